@@ -14,6 +14,8 @@ from ranklens.functions.scalars import (
     RECENCY_EDGES, RELEASE_DAY_EDGES, WATCH_TIME_EDGES, bucket, geo_key, log_recency, map_text, release_flag, sparse_pairs, year_bucket)
 from ranklens.operators.aggregates import profile
 from ranklens.operators.joins import asof_strict, join_version
+from ranklens.session import scratch_path
+from ranklens.sources.logs import materialize
 
 # Feature slots, scalar indices and keys of the serialized feature map.
 SLOTS = {
@@ -71,8 +73,10 @@ def feature_rows(examples: DataFrame, events: DataFrame, catalog: DataFrame, pop
     ``events``: dw_p_id, event_id, timestamp, event_year, payload. ``pop``: version, content_id,
     language_id, dv, wv. ``state_pop``: version, state, content_id, dv, wv. Single-label rows are kept
     for users with both classes; multi-task rows are all kept. The timestamp is the event's.
+
+    The matched examples feed the profiles and the rows, so they are written once to the shared folder.
     """
-    matched = match_events(examples, events)
+    matched = materialize(match_events(examples, events), scratch_path(examples.sparkSession, "matched"))
     needed = events.join(matched.select("event_id").distinct(), "event_id", "left_semi")
     sf = F.col("payload.raw_feature.serialized_features")
     facts = needed.select(

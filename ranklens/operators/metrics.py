@@ -191,6 +191,18 @@ def rmse(df: DataFrame, y: str, p: str) -> DataFrame:
     return df.agg(F.sqrt(F.avg(F.pow(F.col(y) - F.col(p), 2))).alias("rmse"))
 
 
+def _discount_sums(df: DataFrame, user: str, name: str, piece: int = 10_000) -> DataFrame:
+    """Per user, sum of gain x log2 discount over the positions ahead + 1 .. ahead + n of each row.
+
+    A long run of tied positions is cut into pieces, so no array grows with the data.
+    """
+    starts = F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(piece).cast("bigint"))
+    pieces = df.filter(F.col("n") > 0).withColumn("at", F.explode(starts))
+    positions = F.sequence(F.col("at") + 1, F.least(F.col("at") + piece, F.col("n")))
+    discount = F.aggregate(positions, F.lit(0.0), lambda s, i: s + F.lit(1.0) / F.log2(F.col("ahead") + i + 1))
+    return pieces.groupBy(user).agg(F.sum(F.col("gain") * discount).alias(name))
+
+
 def user_metrics(df: DataFrame, score: str, label: str, cap: int = 50_000, salt: str = "eval", user: str = "dw_p_id") -> DataFrame:
     """AP, NDCG and AUC averaged unweighted over users with both classes, plus pooled AUC and loss.
 
@@ -200,15 +212,12 @@ def user_metrics(df: DataFrame, score: str, label: str, cap: int = 50_000, salt:
     users = both.orderBy(hash_uniform([user], salt), user).limit(cap)
     rows = df.join(users, user, "left_semi")
     hist = _score_histogram(rows, [user], score, label)
-    # discounts summed over the tied positions ahead+1 .. ahead+n
     n, ahead = F.col("pos") + F.col("neg"), F.col("pos_above") + F.col("neg_above")
-    discount = F.aggregate(F.sequence(F.lit(1).cast("bigint"), n), F.lit(0.0), lambda s, i: s + F.lit(1.0) / F.log2(ahead + i + 1))
-    ideal = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.sum("pos")), F.lit(0.0), lambda s, i: s + F.lit(1.0) / F.log2(i + 1))
     precision = (F.col("pos_above") + F.col("pos")) / (ahead + n)
-    per_user = hist.groupBy(user).agg(
-        (F.sum(F.col("pos") * precision) / F.sum("pos")).alias("ap"),
-        (F.sum(F.col("pos") / n * discount) / ideal).alias("ndcg"),
-        _auc().alias("auc"))
+    parts = hist.groupBy(user).agg((F.sum(F.col("pos") * precision) / F.sum("pos")).alias("ap"), _auc().alias("auc"), F.sum("pos").alias("total"))
+    gain = _discount_sums(hist.select(user, ahead.alias("ahead"), n.alias("n"), (F.col("pos") / n).alias("gain")), user, "dcg")
+    ideal = _discount_sums(parts.select(user, F.lit(0).cast("bigint").alias("ahead"), F.col("total").alias("n"), F.lit(1.0).alias("gain")), user, "best")
+    per_user = parts.join(gain, user).join(ideal, user).withColumn("ndcg", F.col("dcg") / F.col("best"))
     means = per_user.agg(F.count(F.lit(1)).alias("num_users"), F.avg("ap").alias("map"), F.avg("ndcg").alias("ndcg"), F.avg("auc").alias("group_auc"))
     pooled = pooled_auc(rows, score, label).scalar()
     loss = log_loss(rows, label, score).scalar()
