@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EPS = 1e-8
 MAX_STATE_CELLS = 4_000_000  # 32 MB of doubles
@@ -144,6 +145,10 @@ def solve_state(state: DataFrame, arm: str | None = None) -> DataFrame:
     return out if arm else out.drop("arm")
 
 
+def _with_scores(act: DataFrame) -> T.StructType:
+    return T.StructType([*act.schema.fields, T.StructField("mean", T.DoubleType()), T.StructField("sd", T.DoubleType())])
+
+
 def _scores(m: np.ndarray, inverse: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return m @ theta, np.einsum("ij,jk,ik->i", m, inverse, m, optimize=True)
 
@@ -155,7 +160,7 @@ def score_shared(act: DataFrame, solved: DataFrame, h: str = "h") -> DataFrame:
         raise ValueError(f"a {d} x {d} state is too large to send to every task; score by arm instead")
     state = solved.select("a_inv", "theta").first()
     inverse, theta = np.array(state["a_inv"]).reshape(d, d), np.array(state["theta"])
-    schema = act.schema.add("mean", "double").add("sd", "double")
+    schema = _with_scores(act)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -177,7 +182,7 @@ def score_by_arm(act: DataFrame, solved: DataFrame, lam: float = 1.0, arm: str =
     rows = rows.select(F.col(arm).alias("__arm"), F.col("part").alias("__part"), *[c for c in act.columns])
     copies = solved.join(parts, "arm").select(F.col("arm").alias("__arm"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("__part"), "d", "a_inv", "theta")
     names = act.columns
-    schema = act.schema.add("mean", "double").add("sd", "double")
+    schema = _with_scores(act)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ranklens.functions.hashing import hash_index, hash_uniform
 from ranklens.operators.filters import safe_id
 from ranklens.operators.keyed import first_by_draw, pick_one, prefix_sums
+from ranklens.session import scratch_path
+from ranklens.sources.logs import materialize
 
 WATCH_SECONDS = 600  # fixed value: a watch counts as positive above this
 EXAMPLE_COLUMNS = ["dw_p_id", "tray_id", "content_id", "timestamp", "label", "watch_time", "is_inter_tray"]
@@ -77,11 +79,15 @@ def inter_tray_negatives(ex: DataFrame, salt: str = "inter") -> DataFrame:
     return kept.withColumn("is_inter_tray", F.lit(True)).select(*ex.columns)
 
 
-def user_examples(imp: DataFrame, tray_watches: DataFrame, history: DataFrame, thr: int = WATCH_SECONDS,
-                  ratio: int = 5, salt: str = "day") -> DataFrame:
-    """Single-label examples of a day: capped trays plus inter-tray negatives."""
+def user_examples(imp: DataFrame, tray_watches: DataFrame, history: DataFrame, thr: int = WATCH_SECONDS, ratio: int = 5,
+                  cap_salt: str = "cap", inter_salt: str = "inter") -> DataFrame:
+    """Single-label examples of a day: capped trays plus inter-tray negatives.
+
+    The labelled impressions feed both samplers and their counts, so they are written once.
+    """
     ex = impression_examples(imp, tray_watches, history, thr)
-    return cap_negatives(ex, ratio, f"{salt}-cap").unionByName(inter_tray_negatives(ex, f"{salt}-inter"))
+    ex = materialize(ex, scratch_path(imp.sparkSession, "impressions"))
+    return cap_negatives(ex, ratio, cap_salt).unionByName(inter_tray_negatives(ex, inter_salt))
 
 
 def first_watch_examples(watches: DataFrame, history: DataFrame, thr: int = WATCH_SECONDS) -> DataFrame:

@@ -228,7 +228,7 @@ _SINGLE = _feature_sql(_CAP(5) + " UNION ALL " + _INTER, "m.label")
 
 @query("e14_feature_rows", f"SELECT * FROM ({_SINGLE}) WHERE dw_p_id IN (SELECT dw_p_id FROM ({_SINGLE}) GROUP BY dw_p_id HAVING max(label) = 1 AND min(label) = 0)")
 def _(t):
-    ex = staged(t, examples.cap_negatives(impression_examples(t)).unionByName(examples.inter_tray_negatives(impression_examples(t))))
+    ex = staged(t, examples.user_examples(t.impressions, t.tray_watches, t.history))
     return _flat_features(features.feature_rows(ex, t.requests, t.catalog, t.pop, t.state_pop.withColumn("state", F.lower("state")), "in"), "label")
 
 

@@ -61,13 +61,13 @@ def greedy_sql(source: str, key: str, start: str, early: str, scale: int, max_bi
     """Recursive form of the greedy bins over ``source`` (key, value, n, rn, per_bin)."""
     return f"""
         WITH RECURSIVE src AS MATERIALIZED ({source}),
-        fold AS (
+        bin_fold AS (
             SELECT {key}, CAST(0 AS BIGINT) AS rn, {start} AS edges, CAST(0 AS BIGINT) AS filled FROM (SELECT DISTINCT {key} FROM src)
             UNION ALL
             SELECT f.{key}, s.rn, CASE WHEN {early} f.filled + s.n >= s.per_bin THEN list_append(f.edges, s.value * {scale}) ELSE f.edges END,
                    CASE WHEN {early} f.filled + s.n >= s.per_bin THEN 0 ELSE f.filled + s.n END
-            FROM fold f JOIN src s ON s.{key} = f.{key} AND s.rn = f.rn + 1),
-        edges AS (SELECT {key}, arg_max(edges, rn)[1:{max_bins}] AS edges FROM fold GROUP BY {key})"""
+            FROM bin_fold f JOIN src s ON s.{key} = f.{key} AND s.rn = f.rn + 1),
+        edges AS (SELECT {key}, arg_max(edges, rn)[1:{max_bins}] AS edges FROM bin_fold GROUP BY {key})"""
 
 
 def freq_sql(hist: str, max_bins: int, min_per_bin: int) -> str:
