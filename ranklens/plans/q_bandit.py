@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ranklens.operators import bandit, metrics
 from ranklens.plans.q_metrics import auc_sql
-from ranklens.plans.registry import query, rows_n
+from ranklens.plans.registry import query
+from ranklens.session import scratch_path
+from ranklens.streaming.incremental import next_state, stored_state
 
 _CELLS = """
     vecs AS (SELECT *, list_transform(h, lambda x: x / (sqrt(list_sum(list_transform(h, lambda y: y * y))) + 1e-8)) AS u FROM acts),
@@ -38,6 +40,23 @@ def _(t):
     return state.withColumn("a", F.round("a", 6) + 0.0)
 
 
+@query("b2_stored_state", f"WITH {_CELLS} SELECT i, j, round(a, 6) + 0.0 AS a FROM ({_gram_sql('', '1')})")
+def _(t):
+    """The same through stored versions, one per day."""
+    path = scratch_path(t.spark, "state")
+    for day in range(4):
+        next_state(t.spark, path, t.acts.filter(F.col("day") == day), str(day), None if day == 0 else str(day - 1))
+    return stored_state(t.spark, path).withColumn("a", F.round("a", 6) + 0.0)
+
+
+@query("b2_stored_state_by_arm", f"WITH {_CELLS} SELECT content_id AS arm, i, j, round(a, 6) + 0.0 AS a FROM ({_gram_sql('content_id', '1')})")
+def _(t):
+    path = scratch_path(t.spark, "state-arms")
+    for day in range(4):
+        next_state(t.spark, path, t.acts.filter(F.col("day") == day), str(day), None if day == 0 else str(day - 1), arm="content_id")
+    return stored_state(t.spark, path).select("arm", "i", "j", (F.round("a", 6) + 0.0).alias("a"))
+
+
 @query("b3_gram_by_arm", f"WITH {_CELLS} SELECT content_id AS arm, i, j, round(a, 6) + 0.0 AS a FROM ({_gram_sql('content_id', '1')})")
 def _(t):
     return bandit.gram_by_arm(t.acts, rows_per_part=16).withColumn("a", F.round("a", 6) + 0.0)
@@ -111,12 +130,14 @@ for _strategy, _rate in (("reset", 1.0), ("cumulative", 1.0), ("penalised", 0.95
         return bandit.combine_days(_daily(t), strategy).withColumn("a", F.round("a", 5) + 0.0)
 
 
-@query("w5_decayed_fold", "SELECT d AS day, content_id, round(sum(s * pow(0.95, d - watch_dt)) / 3600, 6) AS hours FROM (SELECT content_id, watch_dt, CAST(sum(watch_time) AS DOUBLE) AS s FROM curve_watches GROUP BY ALL) s JOIN (SELECT DISTINCT watch_dt AS d FROM curve_watches) ON watch_dt <= d GROUP BY ALL")
+@query("w5_decayed_fold", """
+    WITH s AS (SELECT content_id, watch_dt, CAST(sum(watch_time) AS DOUBLE) AS s FROM curve_watches GROUP BY ALL), t AS (SELECT content_id, sum(s) AS plain FROM s GROUP BY ALL)
+    SELECT d AS day, content_id, round(sum(s * pow(0.95, d - watch_dt)) / max(plain), 6) AS share FROM s JOIN t USING (content_id) JOIN (SELECT DISTINCT watch_dt AS d FROM s) ON watch_dt <= d GROUP BY ALL""")
 def _(t):
-    """Decayed running sum per title over days, as one weighted sum per reached day."""
+    """Decayed running sum per title over days, as a share of the title's plain total."""
     daily = t.curve_watches.groupBy(F.col("watch_dt").alias("day"), F.col("content_id").cast("int").alias("i")).agg(F.sum("watch_time").cast("double").alias("a"))
-    out = bandit.combine_days(daily.withColumn("j", F.lit(-2)), "penalised")
-    return out.select("day", F.col("i").cast("bigint").alias("content_id"), F.round(F.col("a") / 3600, 6).alias("hours"))
+    out = bandit.combine_days(daily.withColumn("j", F.lit(-2)), "penalised").join(daily.groupBy("i").agg(F.sum("a").alias("plain")), "i")
+    return out.select("day", F.col("i").cast("bigint").alias("content_id"), F.round(F.col("a") / F.col("plain"), 6).alias("share"))
 
 
 @query("b8_merge_arms", f"WITH {_CELLS} SELECT content_id AS arm, i, j, round(a, 6) + 0.0 AS a FROM ({_gram_sql('content_id', '1')})")
