@@ -93,45 +93,47 @@ def request_ndcg(df: DataFrame, by: list[str], score: str, label: str, ks=KS, mi
     return joined.select(*by, *[F.when(flat, 0.0).otherwise(F.col(f"s{k}") / F.col(f"i{k}")).alias(f"ndcg_{k}") for k in ks])
 
 
-def ndcg_at(df: DataFrame, by: list[str], score: str, label: str, ks=KS) -> DataFrame:
-    """Mean NDCG@k over requests, in long form."""
-    means = request_ndcg(df, by, score, label, ks).agg(*[F.avg(f"ndcg_{k}").alias(f"ndcg_{k}") for k in ks])
-    return _long(means, "ndcg", {k: f"ndcg_{k}" for k in ks})
+def ndcg_at(df: DataFrame, by: list[str], score: str, label: str, ks=KS, group: list[str] = ()) -> DataFrame:
+    """Mean NDCG@k over requests, in long form (group, metric, k, value)."""
+    per = request_ndcg(df, [*group, *by], score, label, ks)
+    means = per.groupBy(*group).agg(*[F.avg(f"ndcg_{k}").alias(f"ndcg_{k}") for k in ks])
+    return _long(means, group, "ndcg", {k: f"ndcg_{k}" for k in ks})
 
 
-def _long(df: DataFrame, metric: str, by_k: dict[int, str]) -> DataFrame:
+def _long(df: DataFrame, group: list[str], metric: str, by_k: dict[int, str]) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), F.col(c).cast("double").alias("value")) for k, c in by_k.items()])
-    return df.select(F.lit(metric).alias("metric"), F.inline(rows))
+    return df.select(*group, F.lit(metric).alias("metric"), F.inline(rows))
 
 
-def popularity_mix_at(df: DataFrame, by: list[str], score: str, category: str, ks=KS) -> DataFrame:
+def _at_each_k(df: DataFrame, by: list[str], score: str, keep: list[str], ks, group: list[str], mode: str = "le") -> DataFrame:
+    """Selected rows counted per (group, k, keep columns)."""
+    top = at_k(df, [*group, *by], score, max(ks)).groupBy(*group, *keep, "rank").agg(F.count(F.lit(1)).alias("n"))
+    each = top.withColumn("k", F.explode(F.array(*[F.lit(k).cast("bigint") for k in ks])))
+    test = F.col("rank") == F.col("k") if mode == "eq" else F.col("rank") <= F.col("k")
+    return each.filter(test).groupBy(*group, "k", *keep).agg(F.sum("n").alias("n"))
+
+
+def popularity_mix_at(df: DataFrame, by: list[str], score: str, category: str, ks=KS, group: list[str] = ()) -> DataFrame:
     """Percent of rows with rank <= k per category, two decimals."""
-    top = at_k(df, by, score, max(ks))
-    counted = top.select(category, F.explode(F.array(*[F.lit(k).cast("bigint") for k in ks])).alias("k"), "rank").filter(
-        F.col("rank") <= F.col("k")).groupBy("k", category).agg(F.count(F.lit(1)).alias("n"))
-    share = F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy("k")), 2)
-    return counted.select(F.lit("popularity_mix").alias("metric"), "k", F.col(category).alias("category"), share.alias("value"))
+    counted = _at_each_k(df, by, score, [category], ks, group)
+    share = F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy(*group, "k")), 2)
+    return counted.select(*group, F.lit("popularity_mix").alias("metric"), "k", F.col(category).alias("category"), share.alias("value"))
 
 
-def catalog_at(df: DataFrame, by: list[str], score: str, item: str, ks=KS) -> DataFrame:
+def catalog_at(df: DataFrame, by: list[str], score: str, item: str, ks=KS, group: list[str] = ()) -> DataFrame:
     """Distinct items with rank <= k."""
-    top = at_k(df, by, score, max(ks))
-    best = top.groupBy(item).agg(F.min("rank").alias("best"))
-    counts = best.agg(*[F.count_if(F.col("best") <= k).alias(f"c{k}") for k in ks])
-    return _long(counts, "catalog", {k: f"c{k}" for k in ks})
+    counted = _at_each_k(df, by, score, [item], ks, group)
+    return counted.groupBy(*group, "k").agg(F.count(F.lit(1)).cast("double").alias("value")).select(*group, F.lit("catalog").alias("metric"), "k", "value")
 
 
-def perplexity_at(df: DataFrame, by: list[str], score: str, item: str, ks=KS, mode: str = "eq") -> DataFrame:
+def perplexity_at(df: DataFrame, by: list[str], score: str, item: str, ks=KS, mode: str = "eq", group: list[str] = ()) -> DataFrame:
     """2 ** entropy of the items at rank exactly k; ``mode='le'`` takes all ranks up to k."""
-    top = at_k(df, by, score, max(ks))
-    test = F.col("rank") == F.col("k") if mode == "eq" else F.col("rank") <= F.col("k")
-    counted = top.select(item, "rank", F.explode(F.array(*[F.lit(k).cast("bigint") for k in ks])).alias("k")).filter(test).groupBy(
-        "k", item).agg(F.count(F.lit(1)).alias("n"))
-    # H = log2 N - sum(n log2 n) / N, one pass per k
+    counted = _at_each_k(df, by, score, [item], ks, group, mode)
+    # H = log2 N - sum(n log2 n) / N
     total = F.sum("n")
     entropy = F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total
-    per_k = counted.groupBy("k").agg(F.pow(F.lit(2.0), entropy).alias("value"))
-    return per_k.select(F.lit("perplexity").alias("metric"), "k", "value")
+    per_k = counted.groupBy(*group, "k").agg(F.pow(F.lit(2.0), entropy).alias("value"))
+    return per_k.select(*group, F.lit("perplexity").alias("metric"), "k", "value")
 
 
 def blend(df: DataFrame, blends: dict[str, tuple] = BLENDS, base="base", sd="sd", mean="mean") -> DataFrame:
@@ -244,28 +246,24 @@ def task_weights(stats: DataFrame, weights: dict[str, float], batch: int) -> Dat
         "active_rows", F.col("share") * batch)
 
 
-def experiment_metrics(df: DataFrame, by: list[str], label: str, category: str, item: str, ks=KS) -> DataFrame:
-    """All metrics of one blend in long form: (metric, k, category, value)."""
-    none = F.lit(None).cast("string").alias("category")
-    flat = [ndcg_at(df, by, "score", label, ks), catalog_at(df, by, "score", item, ks), perplexity_at(df, by, "score", item, ks)]
-    out = popularity_mix_at(df, by, "score", category, ks)
-    for f in flat:
-        out = out.unionByName(f.select("metric", "k", none, "value"))
-    return out
+EXPERIMENT = ["train_date", "strategy", "blend"]
+
 
+def experiment_table(df: DataFrame, by: list[str], score: str, label: str, category: str, item: str, ks=KS,
+                     high: str = "High", new: str = "new release") -> DataFrame:
+    """Metrics and score moments per (train date, matrix strategy, blend), in long form.
 
-def experiment_table(frames: dict[tuple[str, str, str], DataFrame], by: list[str], label: str, category: str, item: str,
-                     ks=KS, high: str = "High", new: str = "new release") -> DataFrame:
-    """Metrics and score moments per (train date, matrix strategy, blend); the High tier includes new releases."""
-    out = None
-    for (date, strategy, blend_name), df in frames.items():
-        merged = df.withColumn(category, F.when(F.col(category) == new, high).otherwise(F.col(category)))
-        moments = df.agg(F.avg("score").alias("mean"), F.stddev_samp("score").alias("std")).select(
-            F.inline(F.array(*[F.struct(F.lit(f"score_{m}").alias("metric"), F.lit(0).cast("bigint").alias("k"),
-                                        F.lit(None).cast("string").alias("category"), F.col(m).alias("value")) for m in ("mean", "std")])))
-        rows = experiment_metrics(merged, by, label, category, item, ks).unionByName(moments).select(
-            F.lit(date).alias("train_date"), F.lit(strategy).alias("strategy"), F.lit(blend_name).alias("blend"), "metric", "k", "category", "value")
-        out = rows if out is None else out.unionByName(rows)
+    ``df`` holds the scored rows of all experiments; the experiment is a key prefix, so a metric is one
+    pass over all of them. The High tier includes new releases.
+    """
+    merged = df.withColumn(category, F.when(F.col(category) == new, high).otherwise(F.col(category)))
+    none = F.lit(None).cast("string").alias("category")
+    moments = merged.groupBy(*EXPERIMENT).agg(F.avg(score).alias("mean"), F.stddev_samp(score).alias("std")).select(
+        *EXPERIMENT, F.inline(F.array(*[F.struct(F.lit(f"score_{m}").alias("metric"), F.lit(0).cast("bigint").alias("k"), F.col(m).alias("value")) for m in ("mean", "std")])))
+    out = popularity_mix_at(merged, by, score, category, ks, EXPERIMENT)
+    for part in (ndcg_at(merged, by, score, label, ks, EXPERIMENT), catalog_at(merged, by, score, item, ks, EXPERIMENT),
+                 perplexity_at(merged, by, score, item, ks, "eq", EXPERIMENT), moments):
+        out = out.unionByName(part.select(*EXPERIMENT, "metric", "k", none, "value"))
     return out
 
 

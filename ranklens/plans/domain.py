@@ -69,11 +69,11 @@ CTES: dict[str, str] = {
         SELECT dw_p_id, k AS content_id, language, watch_time AS watch_len, timestamp AS first_watch, timestamp AS last_watch
         FROM log WHERE event_type = 'purchase'""",
     "rel": """
-        SELECT l_partkey % 100 AS src, CAST(l_partkey % 100 % 3 AS INTEGER) AS src_lang, l_suppkey AS dst, CAST(l_suppkey % 3 AS INTEGER) AS dst_lang,
+        SELECT l_partkey AS src, CAST(l_partkey % 3 AS INTEGER) AS src_lang, l_suppkey AS dst, CAST(l_suppkey % 3 AS INTEGER) AS dst_lang,
                CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / (10 + count(*)) AS score
         FROM lineitem GROUP BY ALL""",
-    "tokens": "SELECT p_partkey AS content_id, CAST(p_partkey % 3 AS INTEGER) AS language, p_name AS name, p_size / 50.0::DOUBLE AS weight FROM part",
-    "token_rel": "SELECT p_name AS name, p_partkey AS dst, CAST(p_partkey % 3 AS INTEGER) AS dst_lang, p_size / 100.0::DOUBLE AS score FROM part",
+    "tokens": "SELECT p_partkey AS content_id, CAST(p_partkey % 3 AS INTEGER) AS language, p_name || '/' || p_brand AS name, p_size / 50.0::DOUBLE AS weight FROM part",
+    "token_rel": "SELECT p_name || '/' || p_brand AS name, p_partkey AS dst, CAST(p_partkey % 3 AS INTEGER) AS dst_lang, p_size / 100.0::DOUBLE AS score FROM part",
     "pop": f"""
         SELECT cd AS version, content_id, language AS language_id,
                count(*) FILTER (event_type = 'view') / (10.0::DOUBLE + count(*)) AS dv, count(*) FILTER (event_type = 'click') / (10.0::DOUBLE + count(*)) AS wv
@@ -246,7 +246,7 @@ class Tables:
 
     @cached_property
     def rel(self) -> DataFrame:
-        src = F.col("l_partkey") % 100
+        src = F.col("l_partkey")
         return self.raw("lineitem").groupBy(
             src.alias("src"), (src % 3).cast("int").alias("src_lang"), F.col("l_suppkey").alias("dst"), (F.col("l_suppkey") % 3).cast("int").alias("dst_lang"),
         ).agg((F.sum(F.round(F.col("l_discount") * 100).cast("bigint")).cast("double") / (10 + F.count(F.lit(1)))).alias("score"))
@@ -254,11 +254,11 @@ class Tables:
     @cached_property
     def tokens(self) -> DataFrame:
         return self.raw("part").select(F.col("p_partkey").alias("content_id"), (F.col("p_partkey") % 3).cast("int").alias("language"),
-                                       F.col("p_name").alias("name"), (F.col("p_size") / 50.0).alias("weight"))
+                                       F.concat_ws("/", "p_name", "p_brand").alias("name"), (F.col("p_size") / 50.0).alias("weight"))
 
     @cached_property
     def token_rel(self) -> DataFrame:
-        return self.raw("part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("dst"), (F.col("p_partkey") % 3).cast("int").alias("dst_lang"),
+        return self.raw("part").select(F.concat_ws("/", "p_name", "p_brand").alias("name"), F.col("p_partkey").alias("dst"), (F.col("p_partkey") % 3).cast("int").alias("dst_lang"),
                                        (F.col("p_size") / 100.0).alias("score"))
 
     def _shares(self, keys: list, base: float) -> DataFrame:

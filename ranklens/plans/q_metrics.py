@@ -270,9 +270,7 @@ _PER_BLEND = ndcg_sql("s", "score", "label", by="blend, dw_p_id, timestamp")
 def _(t):
     """Mean NDCG of all blends from one pass: the blend is part of the request key."""
     rows = blended(t).withColumn("score", F.round("score", 9))
-    per = metrics.request_ndcg(rows, ["blend", *REQ], "score", "label")
-    means = per.groupBy("blend").agg(*[F.avg(f"ndcg_{k}").alias(f"n{k}") for k in metrics.KS])
-    return means.select("blend", F.inline(F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), F.round(f"n{k}", 6).alias("value")) for k in metrics.KS])))
+    return metrics.ndcg_at(rows, REQ, "score", "label", group=["blend"]).select("blend", "k", *r6("value"))
 
 
 _RANKED = RANK_SQL.format("base", "tagged")
@@ -369,8 +367,8 @@ _MOMENTS = " UNION ALL ".join(f"SELECT '{b}' AS blend, 'score_mean' AS metric, 0
     SELECT '2024-01-16' AS train_date, 'cumulative' AS strategy, blend, metric, k, category, round(value, 5) AS value FROM (SELECT * FROM mix UNION ALL SELECT * FROM cat UNION ALL SELECT * FROM per UNION ALL SELECT * FROM ndl UNION ALL {_MOMENTS})""")
 def _(t):
     rows = blended(t).withColumn("score", F.round("score", 9)).withColumn("category", F.when(F.col("category") == "Unmapped", "new release").otherwise(F.col("category")))
-    frames = {("2024-01-16", "cumulative", b): rows.filter(F.col("blend") == b) for b in ("base", "base_explore")}
-    return metrics.experiment_table(frames, REQ, "label", "category", "content_id").withColumn("value", F.round("value", 5))
+    named = rows.filter(F.col("blend").isin("base", "base_explore")).withColumns({"train_date": F.lit("2024-01-16"), "strategy": F.lit("cumulative")})
+    return metrics.experiment_table(named, REQ, "score", "label", "category", "content_id").withColumn("value", F.round("value", 5))
 
 
 @query("m12_mean_by", "SELECT category, count(*) AS n, round(avg(base), 6) AS mean FROM tagged GROUP BY category UNION ALL SELECT CAST(label AS VARCHAR), count(*), round(avg(base), 6) FROM tagged GROUP BY label")
