@@ -121,17 +121,22 @@ def profile(watches: DataFrame, catalog: DataFrame, key: list[str], weight: str
 
 
 def zscore(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Columns standardised by global mean and sample standard deviation."""
+    """Columns standardised by global mean and sample standard deviation.
+
+    The moments are one aggregation, read by the rows as a single scalar-subquery column.
+    """
     moments = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c) for c in cols])
-    one = moments.select(F.struct(*cols)).scalar()
-    return df.withColumns({c: (F.col(c) - one[c]["m"]) / one[c]["s"] for c in cols})
+    rows = df.withColumn("__z", moments.select(F.struct(*cols)).scalar())
+    return rows.withColumns({c: (F.col(c) - F.col(f"__z.{c}.m")) / F.col(f"__z.{c}.s") for c in cols}).drop("__z")
 
 
 def rescale(df: DataFrame, source: str, target: str, out: str) -> DataFrame:
     """``source`` moved to the mean and standard deviation of ``target``."""
-    m = df.agg(F.struct(F.avg(source).alias("ms"), F.stddev_samp(source).alias("ss"),
-                        F.avg(target).alias("mt"), F.stddev_samp(target).alias("st"))).scalar()
-    return df.withColumn(out, (F.col(source) - m["ms"]) / m["ss"] * m["st"] + m["mt"])
+    moments = df.agg(F.struct(F.avg(source).alias("ms"), F.stddev_samp(source).alias("ss"),
+                              F.avg(target).alias("mt"), F.stddev_samp(target).alias("st")))
+    rows = df.withColumn("__z", moments.scalar())
+    scaled = (F.col(source) - F.col("__z.ms")) / F.col("__z.ss") * F.col("__z.st") + F.col("__z.mt")
+    return rows.withColumn(out, scaled).drop("__z")
 
 
 def quantiles(df: DataFrame, by: list[str], x: str, probs: list[float]) -> DataFrame:

@@ -155,10 +155,11 @@ def _scores(m: np.ndarray, inverse: np.ndarray, theta: np.ndarray) -> tuple[np.n
 
 def score_shared(act: DataFrame, solved: DataFrame, h: str = "h") -> DataFrame:
     """Rows with ``mean`` = h theta and ``sd`` = sqrt(h' A^-1 h); rows are never multiplied with each other."""
-    d = solved.select("d").first()["d"]
-    if d * d > MAX_STATE_CELLS:
+    small = F.col("d") * F.col("d") <= MAX_STATE_CELLS
+    state = solved.select("d", F.when(small, F.col("a_inv")).alias("a_inv"), F.when(small, F.col("theta")).alias("theta")).first()
+    d = state["d"]
+    if state["a_inv"] is None:
         raise ValueError(f"a {d} x {d} state is too large to send to every task; score by arm instead")
-    state = solved.select("a_inv", "theta").first()
     inverse, theta = np.array(state["a_inv"]).reshape(d, d), np.array(state["theta"])
     schema = _with_scores(act)
 

@@ -12,6 +12,7 @@ from ranklens.functions.scalars import day_offset
 from ranklens.operators.aggregates import cluster_bins, sum_days
 from ranklens.operators.examples import split_watches
 from ranklens.operators.joins import assign_bin
+from ranklens.sources.logs import stage
 
 PAIR = ["dw_p_id", "content_id"]
 
@@ -149,10 +150,11 @@ def check_bins(grouped: DataFrame, edges: DataFrame) -> DataFrame:
 def cluster_curves(grouped: DataFrame, edges: DataFrame, catalog: DataFrame, max_bins: int = 20, min_users: int = 30) -> DataFrame:
     """Smoothed and cumulative curves per (title, group), thin ones backed by their kind's cluster.
 
-    Clusters are greedy bins over the edges of all titles of a kind, weighted by events.
+    Clusters are greedy bins over the edges of all titles of a kind, weighted by events. The binned
+    curves (titles x groups x days) are read by every step and written once.
     """
     kinds = catalog.select("content_id", "kind")
-    rows = bin_values(grouped, edges).filter(F.col("bin").isNotNull()).join(kinds, "content_id")
+    rows = stage(bin_values(grouped, edges).filter(F.col("bin").isNotNull()).join(kinds, "content_id"), "binned")
     mass = rows.filter(F.col("day") == 0).groupBy("kind", F.col("bin").alias("second")).agg(F.sum("num").alias("n"))
     clusters = cluster_bins(mass, "kind", max_bins).withColumnRenamed("edges", "cluster_edges")
     placed = rows.join(clusters, "kind").withColumn("cluster", assign_bin(F.col("bin"), F.col("cluster_edges")))

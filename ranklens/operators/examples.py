@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from ranklens.functions.hashing import hash_index, hash_uniform
 from ranklens.operators.filters import safe_id
 from ranklens.operators.keyed import first_by_draw, pick_one, prefix_sums
-from ranklens.session import scratch_path
-from ranklens.sources.logs import materialize
+from ranklens.sources.logs import stage
 
 WATCH_SECONDS = 600  # fixed value: a watch counts as positive above this
 EXAMPLE_COLUMNS = ["dw_p_id", "tray_id", "content_id", "timestamp", "label", "watch_time", "is_inter_tray"]
@@ -85,8 +84,7 @@ def user_examples(imp: DataFrame, tray_watches: DataFrame, history: DataFrame, t
 
     The labelled impressions feed both samplers and their counts, so they are written once.
     """
-    ex = impression_examples(imp, tray_watches, history, thr)
-    ex = materialize(ex, scratch_path(imp.sparkSession, "impressions"))
+    ex = stage(impression_examples(imp, tray_watches, history, thr), "impressions")
     return cap_negatives(ex, ratio, cap_salt).unionByName(inter_tray_negatives(ex, inter_salt))
 
 

@@ -14,8 +14,7 @@ from ranklens.functions.scalars import (
     RECENCY_EDGES, RELEASE_DAY_EDGES, WATCH_TIME_EDGES, bucket, geo_key, log_recency, map_text, release_flag, sparse_pairs, year_bucket)
 from ranklens.operators.aggregates import profile
 from ranklens.operators.joins import asof_strict, join_version
-from ranklens.session import scratch_path
-from ranklens.sources.logs import materialize
+from ranklens.sources.logs import stage
 
 # Feature slots, scalar indices and keys of the serialized feature map.
 SLOTS = {
@@ -76,7 +75,7 @@ def feature_rows(examples: DataFrame, events: DataFrame, catalog: DataFrame, pop
 
     The matched examples feed the profiles and the rows, so they are written once to the shared folder.
     """
-    matched = materialize(match_events(examples, events), scratch_path(examples.sparkSession, "matched"))
+    matched = stage(match_events(examples, events), "matched")
     needed = events.join(matched.select("event_id").distinct(), "event_id", "left_semi")
     sf = F.col("payload.raw_feature.serialized_features")
     facts = needed.select(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 
 def asof_strict(left: DataFrame, right: DataFrame, by: list[str], ts: str, right_ts: str | None = None,
-                tie: list[str] = (), keep_unmatched: bool = False, width: int = 86400) -> DataFrame:
+                tie: list[str] = (), keep_unmatched: bool = False, width: int = 3600) -> DataFrame:
     """Each left row with the latest right row strictly before it, per key.
 
     Right columns (other than the key) keep their names and must not clash with left ones. Time is
@@ -56,9 +56,10 @@ def resolve_version(df: DataFrame, dim: DataFrame, version: str = "version", on_
     A version inside the range that does not exist raises an error, or resolves to null with
     ``on_gap='null'``. An empty dimension resolves to null.
     """
-    bounds = dim.agg(F.max(version).alias("hi"), F.min(version).alias("lo"))
-    hi, lo = bounds.select("hi").scalar(), bounds.select("lo").scalar()
-    clamped = df.withColumn("resolved", F.when(F.col(version) > hi, hi).when(F.col(version) < lo, lo).otherwise(F.col(version)))
+    bounds = dim.agg(F.struct(F.max(version).alias("hi"), F.min(version).alias("lo")))
+    hi, lo = F.col("__v.hi"), F.col("__v.lo")
+    clamped = df.withColumn("__v", bounds.scalar()).withColumn(
+        "resolved", F.when(F.col(version) > hi, hi).when(F.col(version) < lo, lo).otherwise(F.col(version)))
     known = dim.select(F.col(version).alias("resolved")).distinct().withColumn("__known", F.lit(True))
     checked = clamped.join(known, "resolved", "left")
     gap = F.col("__known").isNull() & F.col(version).isNotNull() & lo.isNotNull()
@@ -66,7 +67,7 @@ def resolve_version(df: DataFrame, dim: DataFrame, version: str = "version", on_
     if on_gap == "error":
         message = F.concat(F.lit("no matched version for "), F.col(version).cast("string"))
         resolved = F.when(gap, F.raise_error(message).cast(df.schema[version].dataType)).otherwise(resolved)
-    return checked.withColumn("resolved", resolved).drop("__known")
+    return checked.withColumn("resolved", resolved).drop("__known", "__v")
 
 
 def join_version(df: DataFrame, dim: DataFrame, keys: list[str], version: str = "version", on_gap: str = "error") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ranklens.functions.hashing import hash_uniform
 from ranklens.operators.keyed import prefix_sums, score_cuts, slice_of, top_n
+from ranklens.sources.logs import stage
 
 KS = [1, 3, 5]
 # Fixed values: (base, deviation, mean) weights of the five blends.
@@ -208,11 +209,12 @@ def _discount_sums(df: DataFrame, user: str, name: str, piece: int = 10_000) ->
 def user_metrics(df: DataFrame, score: str, label: str, cap: int = 50_000, salt: str = "eval", user: str = "dw_p_id") -> DataFrame:
     """AP, NDCG and AUC averaged unweighted over users with both classes, plus pooled AUC and loss.
 
-    At most ``cap`` users take part, chosen by hash order.
+    At most ``cap`` users take part, chosen by hash order. Their three columns are read by every metric
+    and written once.
     """
     both = df.groupBy(user).agg(F.max(label).alias("hi"), F.min(label).alias("lo")).filter("hi > 0 and lo <= 0").select(user)
     users = both.orderBy(hash_uniform([user], salt), user).limit(cap)
-    rows = df.join(users, user, "left_semi")
+    rows = stage(df.select(user, score, label).join(users, user, "left_semi"), "evaluated")
     hist = _score_histogram(rows, [user], score, label)
     n, ahead = F.col("pos") + F.col("neg"), F.col("pos_above") + F.col("neg_above")
     precision = (F.col("pos_above") + F.col("pos")) / (ahead + n)

@@ -43,16 +43,19 @@ def item_scores(watches: DataFrame, relevances: DataFrame, now: int, thr: int =
     """Sum of relevance x recency per (user, target), from watches of at least ``thr`` seconds.
 
     A user none of whose long watches leads anywhere is scored from all watches. Targets among the
-    watches used are dropped. Both passes come from one join: long and total sums side by side.
+    watches used are dropped. Both passes come from one join: long and total sums side by side. The
+    window over a user sees one row per target, so its size is bounded by the catalogue.
     """
-    rows = watches.withColumn("__long", F.col("watch_len") >= thr).withColumn("__w", recency(F.col("last_watch"), now, half_life))
-    joined = watch_relevance(rows, relevances).withColumn("__s", F.col("relevance") * F.col("__w"))
+    long, decay = F.col("watch_len") >= thr, recency(F.col("last_watch"), now, half_life)
+    per_title = watches.groupBy("dw_p_id", "content_id", "language").agg(
+        F.sum(F.when(long, decay)).alias("__long"), F.sum(decay).alias("__any"))
+    joined = watch_relevance(per_title, relevances)
     sums = joined.groupBy("dw_p_id", "dst", "dst_lang").agg(
-        F.sum(F.when(F.col("__long"), F.col("__s"))).alias("long_score"), F.sum("__s").alias("any_score"))
-    users = sums.groupBy("dw_p_id").agg(F.count_if(F.col("long_score").isNotNull()).alias("__n_long"))
-    scored = sums.join(users, "dw_p_id").withColumn("__pass", F.when(F.col("__n_long") > 0, "long").otherwise("any"))
+        F.sum(F.col("relevance") * F.col("__long")).alias("long_score"), F.sum(F.col("relevance") * F.col("__any")).alias("any_score"))
+    n_long = F.count("long_score").over(Window.partitionBy("dw_p_id"))
+    scored = sums.withColumn("__pass", F.when(n_long > 0, "long").otherwise("any"))
     scored = scored.withColumn("score", F.when(F.col("__pass") == "long", F.col("long_score")).otherwise(F.col("any_score"))).filter("score is not null")
-    used = rows.groupBy("dw_p_id", F.col("content_id").alias("dst")).agg(F.max("__long").alias("__used_long"))
+    used = watches.groupBy("dw_p_id", F.col("content_id").alias("dst")).agg(F.max(long).alias("__used_long"))
     left = scored.join(used, ["dw_p_id", "dst"], "left")
     hidden = F.when(F.col("__pass") == "long", F.col("__used_long")).otherwise(F.col("__used_long").isNotNull())
     return left.filter(~F.coalesce(hidden, F.lit(False))).select("dw_p_id", "dst", "dst_lang", "score")

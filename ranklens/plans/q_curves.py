@@ -8,6 +8,7 @@ from ranklens.operators import aggregates, curves
 from ranklens.plans.domain import CURVE_DAYS
 from ranklens.plans.q_metrics import freq_sql, greedy_sql
 from ranklens.plans.registry import query
+from ranklens.sources.logs import stage
 
 R = 30
 NOW_C = CURVE_DAYS * 86400
@@ -43,7 +44,8 @@ _CURVE = f"""{_MATRIX},
 
 
 def curve(t):
-    return curves.title_curve(matrix(t), R)
+    """Title curves (titles x days), written once for the steps that follow."""
+    return stage(curves.title_curve(matrix(t), R), "curves")
 
 
 @query("c2_title_curve", f"WITH {_CURVE} SELECT * FROM curve")
@@ -56,13 +58,9 @@ _KIND = f"""{_CURVE},
     kcurve AS (SELECT kind, day, CAST(sum(watch) AS BIGINT) AS watch, CAST(sum(users) AS BIGINT) AS users, sum(watch) / greatest(sum(users), 1) AS per_user FROM curve JOIN kinds USING (content_id) WHERE kind IS NOT NULL GROUP BY kind, day)"""
 
 
-def kinds(t):
-    return curves.kind_curve(curve(t), t.catalog)
-
-
 @query("c3_kind_curve", f"WITH {_KIND} SELECT kind, day, watch, users, round(per_user, 4) AS per_user, round(sum(per_user) FILTER (day < 14) OVER (PARTITION BY kind), 4) AS complete FROM kcurve")
 def _(t):
-    return kinds(t).select("kind", "day", "watch", "users", *r4("per_user", "complete"))
+    return curves.kind_curve(curve(t), t.catalog).select("kind", "day", "watch", "users", *r4("per_user", "complete"))
 
 
 def smooth_sql(curve: str, keys: str, default_keys: str, min_users: int) -> str:
@@ -83,7 +81,8 @@ def smooth_sql(curve: str, keys: str, default_keys: str, min_users: int) -> str:
     {smooth_sql('based', 'content_id', '', 30)}
     SELECT content_id, day, round(per_user, 4) AS per_user, round(total, 4) AS cumulative FROM fold""")
 def _(t):
-    return curves.smooth_curve(curve(t), kinds(t), t.catalog).select("content_id", "day", *r4("per_user", "cumulative"))
+    titles = curve(t)
+    return curves.smooth_curve(titles, curves.kind_curve(titles, t.catalog), t.catalog).select("content_id", "day", *r4("per_user", "cumulative"))
 
 
 @query("c4_complete_watch", f"""WITH RECURSIVE {_KIND},
@@ -91,7 +90,8 @@ def _(t):
     {smooth_sql('based', 'content_id', '', 200)}
     SELECT content_id, round(sum(per_user) FILTER (day < 14), 4) AS complete_watch FROM fold GROUP BY content_id""")
 def _(t):
-    return curves.complete_watch(curves.smooth_curve(curve(t), kinds(t), t.catalog, 200)).select("content_id", *r4("complete_watch"))
+    titles = curve(t)
+    return curves.complete_watch(curves.smooth_curve(titles, curves.kind_curve(titles, t.catalog), t.catalog, 200)).select("content_id", *r4("complete_watch"))
 
 
 # ---- curves by prior watch. Event day = day of a watch of 600 s or more, prior = earlier seconds.
@@ -114,7 +114,7 @@ def _events(t):
     prior = days.withColumn("watched", F.coalesce(F.sum("wt").over(before), F.lit(0)))
     span = F.col("watch_dt").between(_START, _START + _DAYS - 1)
     events = prior.filter(span & (F.col("wt") >= 600)).select(*PAIR, (F.col("watch_dt") - _START).alias("event_dt"), "watched", F.col("wt").alias("wt_0"))
-    return events, t.curve_watches.filter(span).withColumn("watch_dt", F.col("watch_dt") - _START)
+    return stage(events, "events"), t.curve_watches.filter(span).withColumn("watch_dt", F.col("watch_dt") - _START)
 
 
 def _edges(events):

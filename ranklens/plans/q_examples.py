@@ -10,17 +10,11 @@ from ranklens.operators.features import SLOTS
 from ranklens.plans.domain import CUT, RECO_EXACT, RECO_PREFIXES
 from ranklens.plans.q_joins import PAST_SQL
 from ranklens.plans.registry import query, rows_n
-from ranklens.session import scratch_path
-from ranklens.sources.logs import materialize
+from ranklens.sources.logs import stage
 
 _RECO = "(starts_with(full_tray_id, 'home-picks') OR starts_with(full_tray_id, 'reco-picks') OR starts_with(full_tray_id, 'reco-wide'))"
 
 
-def staged(t, df):
-    """Daily examples are written once, then extracted from."""
-    return materialize(df, scratch_path(t.spark, "examples"))
-
-
 def reco():
     return filters.is_reco_tray(F.col("full_tray_id"), RECO_EXACT, RECO_PREFIXES)
 
@@ -44,6 +38,11 @@ def impression_examples(t):
     return examples.impression_examples(t.impressions, t.tray_watches, t.history)
 
 
+def labelled(t):
+    """The same, written once for the samplers, which read it several times."""
+    return stage(impression_examples(t), "impressions")
+
+
 @query("e1_first_impressions", _FIRST)
 def _(t):
     return examples.first_impressions(t.impressions)
@@ -72,17 +71,17 @@ _INTER = f"""
 
 @query("e4_cap_negatives", _CAP(5))
 def _(t):
-    return examples.cap_negatives(impression_examples(t))
+    return examples.cap_negatives(labelled(t))
 
 
 @query("e4_cap_negatives_tight", _CAP(1))
 def _(t):
-    return examples.cap_negatives(impression_examples(t), ratio=1)
+    return examples.cap_negatives(labelled(t), ratio=1)
 
 
 @query("e5_inter_tray_negatives", _INTER)
 def _(t):
-    return examples.inter_tray_negatives(impression_examples(t))
+    return examples.inter_tray_negatives(labelled(t))
 
 
 _FIRST_WATCH = """
@@ -167,7 +166,7 @@ def _(t):
 
 @query("e13_require_both_classes", f"SELECT * FROM ({_IMPR}) WHERE dw_p_id IN (SELECT dw_p_id FROM ({_IMPR}) GROUP BY dw_p_id HAVING max(label) = 1 AND min(label) = 0)")
 def _(t):
-    return examples.require_both_classes(impression_examples(t), ["dw_p_id"])
+    return examples.require_both_classes(labelled(t), ["dw_p_id"])
 
 
 @query("j3_full_outer", f"""
@@ -228,13 +227,13 @@ _SINGLE = _feature_sql(_CAP(5) + " UNION ALL " + _INTER, "m.label")
 
 @query("e14_feature_rows", f"SELECT * FROM ({_SINGLE}) WHERE dw_p_id IN (SELECT dw_p_id FROM ({_SINGLE}) GROUP BY dw_p_id HAVING max(label) = 1 AND min(label) = 0)")
 def _(t):
-    ex = staged(t, examples.user_examples(t.impressions, t.tray_watches, t.history))
+    ex = stage(examples.user_examples(t.impressions, t.tray_watches, t.history), "examples")
     return _flat_features(features.feature_rows(ex, t.requests, t.catalog, t.pop, t.state_pop.withColumn("state", F.lower("state")), "in"), "label")
 
 
 @query("e14_feature_rows_mtl", _feature_sql(f"SELECT * FROM ({_BOTH})", "m.click, m.watch, m.watch_time, m.paywall_view, m.add_watchlist"))
 def _(t):
-    ex = staged(t, examples.mtl_examples(positives(t), negatives(t), 1.1))
+    ex = stage(examples.mtl_examples(positives(t), negatives(t), 1.1), "examples")
     return _flat_features(features.feature_rows(ex, t.requests, t.catalog, t.pop, t.state_pop, "in", mtl=True), "click", "watch", "watch_time", "paywall_view", "add_watchlist")
 
 

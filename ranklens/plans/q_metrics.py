@@ -8,6 +8,7 @@ from ranklens.functions.scalars import recency
 from ranklens.operators import aggregates, joins, keyed, metrics, popularity, retrieval
 from ranklens.plans.domain import CUT, NOW, WEEK0
 from ranklens.plans.registry import query, rows_n
+from ranklens.sources.logs import stage
 
 REQ = ["dw_p_id", "timestamp"]
 
@@ -230,7 +231,9 @@ def _(t):
 
 
 def blended(t):
-    return metrics.blend(aggregates.zscore(t.tagged, ["base", "sd", "mean"]))
+    """Standardised scores, written once as every metric reads them, times the blends."""
+    standard = aggregates.zscore(t.tagged, ["base", "sd", "mean"]).select("event_id", *REQ, "content_id", "label", "category", "base", "sd", "mean")
+    return metrics.blend(stage(standard, "standardised"))
 
 
 _BLENDS = " UNION ALL ".join(f"SELECT *, '{n}' AS blend, {a} * base + {b} * sd + {c} * mean AS score FROM z" for n, (a, b, c) in metrics.BLENDS.items())

@@ -8,6 +8,7 @@ from ranklens.operators import filters, retrieval
 from ranklens.plans.domain import CUT, NOW
 from ranklens.plans.q_examples import draw_sql
 from ranklens.plans.registry import query, rows_n
+from ranklens.sources.logs import stage
 
 DATE = "2024-01-31"
 _W = f"pow(0.5, ({NOW} - last_watch) / 1209600.0::DOUBLE)"
@@ -67,7 +68,7 @@ _TOP = f"{_FLAGGED}, top AS (SELECT dw_p_id, dst, dst_lang, score FROM ({quota_s
 def top(t):
     """Retrieved candidates, written once for the list steps that follow."""
     kept = retrieval.quota_topk(flagged(t), ["dw_p_id"], [F.col("score").desc(), F.col("dst"), F.col("dst_lang")], 200, 50, "is_show", "is_brand")
-    return kept.select("dw_p_id", "dst", "dst_lang", "score")
+    return stage(kept.select("dw_p_id", "dst", "dst_lang", "score"), "candidates")
 
 
 _GATE = f"""{_TOP},

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ranklens.session import scratch_path
+
 ANONYMOUS_USER = "-1"
 
 
@@ -63,10 +65,18 @@ def latest_partition(spark: SparkSession, table: str, date: str, look_back: int
     return None
 
 
+def by_user(df: DataFrame, partitions: int, key: str = "dw_p_id") -> DataFrame:
+    """Rows of a user together, in about ``partitions`` parts.
+
+    A rebalance, not a plain repartition: adaptive execution splits the part of a heavy user.
+    """
+    return df.hint("rebalance", partitions, F.col(key))
+
+
 def union_countries(dfs: list[DataFrame], partitions: int | None = None, key: str = "dw_p_id") -> DataFrame:
     """Union by name; the optional repartition co-locates users for the jobs that follow."""
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
-    return out.repartition(partitions, key) if partitions else out
+    return by_user(out, partitions, key) if partitions else out
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
@@ -75,14 +85,13 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_by_user(df: DataFrame, path: str, partitions: int, key: str = "dw_p_id") -> None:
-    df.repartition(partitions, key).write.mode("overwrite").parquet(path)
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """``materialize`` below the cluster's shared folder: cuts the plan and survives lost executors."""
+    return materialize(df, scratch_path(df.sparkSession, name))
 
 
-def write_spread(df: DataFrame, path: str, partitions: int, key: str = "dw_p_id", salts: int = 1) -> None:
-    """As ``write_by_user``, with heavy users spread over ``salts`` files each."""
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if not dict(df.dtypes)[c].startswith("map")]), F.lit(salts))
-    df.repartition(partitions, F.col(key), salt).write.mode("overwrite").parquet(path)
+def write_by_user(df: DataFrame, path: str, partitions: int, key: str = "dw_p_id") -> None:
+    by_user(df, partitions, key).write.mode("overwrite").parquet(path)
 
 
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
