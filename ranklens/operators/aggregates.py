@@ -91,12 +91,15 @@ def task_stats(df: DataFrame) -> DataFrame:
     return per_task.withColumn("share", F.col("n") / total)
 
 
-def example_stats(df: DataFrame, kinds: list[str], key: str = "dw_p_id") -> DataFrame:
-    """Users and examples per kind of example array; null arrays count as empty."""
-    size = lambda k: F.coalesce(F.size(k), F.lit(0))
-    return df.agg(
+def example_stats(counts: DataFrame, kinds: list[str]) -> DataFrame:
+    """Users in all, and examples and users per kind, from one row per user with a count per kind.
+
+    A null count (user without that kind) is 0.
+    """
+    size = lambda k: F.coalesce(F.col(k), F.lit(0))
+    return counts.agg(
         F.count(F.lit(1)).alias("users"),
-        *[F.sum(size(k)).cast("bigint").alias(f"{k}_examples") for k in kinds],
+        *[F.coalesce(F.sum(size(k)), F.lit(0)).cast("bigint").alias(f"{k}_examples") for k in kinds],
         *[F.count_if(size(k) > 0).alias(f"{k}_users") for k in kinds],
     )
 

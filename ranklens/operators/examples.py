@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ranklens.functions.hashing import hash_index, hash_uniform
+from ranklens.functions.hashing import fid_slot, hash_index, hash_uniform
 from ranklens.operators.filters import safe_id
+from ranklens.operators.joins import past_watch
 from ranklens.operators.keyed import first_by_draw, pick_one, prefix_sums
 from ranklens.sources.logs import stage
 
@@ -203,8 +204,6 @@ def discovery(watches: DataFrame, latest: DataFrame, history: DataFrame, rate: f
 
     ``past_wt`` 0 is kept, above 0 is kept at ``rate``, -1 (seen without time) never.
     """
-    from ranklens.operators.joins import past_watch
-
     per_lang = watches.groupBy("dw_p_id", "content_id", "language").agg(
         F.sum("watch_time").alias("watch_time"), F.min("first_watch_ts").alias("timestamp"))
     main = pick_one(per_lang.withColumn("__neg", -F.col("language")), ["dw_p_id", "content_id"], ["watch_time", "__neg"]).drop("__neg")
@@ -264,8 +263,6 @@ def mix(parts: list[tuple[float, DataFrame]], salt: str = "mix", user: str = "dw
 
 def mask_new_titles(rows: DataFrame, slot: int, days: int = 2, rate: float = 0.1, salt: str = "mask") -> DataFrame:
     """Item-id features of titles at most ``days`` old set to 0 for a hash-chosen share of rows."""
-    from ranklens.functions.hashing import fid_slot
-
     draw = hash_uniform(["dw_p_id", "content_id", "timestamp"], salt)
     hide = (F.col("secs_start_dt") <= days * 86400) & (draw < rate)
     masked = F.transform("fids", lambda f: F.when(fid_slot(f) == slot, F.lit(0).cast("bigint")).otherwise(f))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HASH_SLICES = 64
+HASH_SLICES = 1024
 
 
 def small_value(df: DataFrame) -> Column:

@@ -7,6 +7,8 @@ the shuffle. Metrics over all rows use the sliced running sums.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,8 +58,6 @@ def at_k(df: DataFrame, by: list[str], score: str, k: int, mode: str = "le") ->
 
 
 def _discounts(k: int) -> list[float]:
-    import math
-
     return [1 / math.log2(i + 2) for i in range(k)]
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ranklens.functions.hashing import hash_uniform
 from ranklens.functions.scalars import recency
-from ranklens.operators.joins import watch_relevance
+from ranklens.operators.joins import watch_relevance, without_seen
 from ranklens.operators.keyed import pick_one, top_n
 
 HALF_LIFE = 14 * 86400
@@ -287,8 +287,6 @@ def premium_decay(results: DataFrame, watches: DataFrame, catalog: DataFrame, st
 
 def export_unseen(pred: DataFrame, latest: DataFrame) -> DataFrame:
     """Predicted id lists without the ids a user watched lately; ``latest`` holds (dw_p_id, latest_ids)."""
-    from ranklens.operators.joins import without_seen
-
     return pred.join(latest, "dw_p_id", "left").withColumn(
         "items", F.when(F.size("latest_ids") > 0, without_seen(F.col("items"), F.col("latest_ids"))).otherwise(F.col("items"))).drop("latest_ids")
 

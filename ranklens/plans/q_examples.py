@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ranklens.functions.hashing import hash_uniform
+from ranklens.functions.hashing import hash_uniform, slot_fid
 from ranklens.operators import examples, features, filters
 from ranklens.operators.features import SLOTS
-from ranklens.plans.domain import CUT, RECO_EXACT, RECO_PREFIXES
-from ranklens.plans.q_joins import PAST_SQL
+from ranklens.plans.domain import RECO_EXACT, RECO_PREFIXES
 from ranklens.plans.registry import query, rows_n
 from ranklens.sources.logs import stage
 
@@ -309,8 +308,6 @@ def _(t):
     SELECT event_id, CASE WHEN secs_start_dt <= 10 * 86400 AND {draw_sql(['dw_p_id', 'content_id', 'timestamp'], 'mask')} < 0.5 THEN 0 ELSE (50::BIGINT << 48) + {_h('content_id')} END AS id_fid, (53::BIGINT << 48) + {_h('studio_id')} AS studio_fid
     FROM (SELECT l.*, c.studio_id, l.timestamp - c.start_dt AS secs_start_dt FROM log l JOIN catalog c USING (content_id))""")
 def _(t):
-    from ranklens.functions.hashing import slot_fid
-
     rows = t.log.join(t.catalog, "content_id").select("event_id", "dw_p_id", "content_id", "timestamp", (F.col("timestamp") - F.col("start_dt")).alias("secs_start_dt"),
                                                       F.array(slot_fid(50, F.col("content_id")), slot_fid(53, F.col("studio_id"))).alias("fids"))
     out = examples.mask_new_titles(rows, 50, days=10, rate=0.5)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ranklens.functions import hashing, scalars
-from ranklens.operators import aggregates, filters
+from ranklens.operators import filters
 from ranklens.plans.domain import CUT, NOW, RECO_EXACT, RECO_PREFIXES
 from ranklens.plans.registry import query, rows_n
 from ranklens.sources import packed

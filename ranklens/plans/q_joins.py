@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ranklens.operators import aggregates, filters, joins, popularity
+from ranklens.operators import aggregates, joins, popularity
 from ranklens.plans.domain import CUT
 from ranklens.plans.registry import query, rows_n
 

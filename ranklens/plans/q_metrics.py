@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ranklens.functions.scalars import recency
-from ranklens.operators import aggregates, joins, keyed, metrics, popularity, retrieval
-from ranklens.plans.domain import CUT, NOW, WEEK0
-from ranklens.plans.registry import query, rows_n
+from ranklens.operators import aggregates, keyed, metrics, popularity
+from ranklens.operators.filters import mask_labels
+from ranklens.plans.domain import WEEK0
+from ranklens.plans.q_filters import CLEAN_SQL
+from ranklens.plans.registry import ORACLES, query, rows_n
 from ranklens.sources.logs import stage
 
 REQ = ["dw_p_id", "timestamp"]
@@ -109,7 +111,7 @@ def _(t):
     SELECT count(*) AS users, CAST(sum(coalesce(c, 0)) AS BIGINT) AS clicks_examples, CAST(sum(coalesce(w, 0)) AS BIGINT) AS watches_examples, count(c) AS clicks_users, count(w) AS watches_users
     FROM (SELECT dw_p_id, count(*) AS c FROM clicks GROUP BY ALL) FULL JOIN (SELECT dw_p_id, count(*) AS w FROM daily GROUP BY ALL) USING (dw_p_id)""")
 def _(t):
-    one = lambda df, name: df.groupBy("dw_p_id").agg(F.collect_list("content_id").alias(name))
+    one = lambda df, name: df.groupBy("dw_p_id").agg(rows_n(name))
     return aggregates.example_stats(one(t.clicks, "clicks").join(one(t.daily, "watches"), "dw_p_id", "full"), ["clicks", "watches"])
 
 
@@ -205,8 +207,6 @@ def _(t):
 
 @query("w6_cumsum", "SELECT content_id, watch_dt, CAST(sum(s) OVER (PARTITION BY content_id ORDER BY watch_dt) AS BIGINT) AS total FROM (SELECT content_id, watch_dt, sum(watch_time) AS s FROM curve_watches GROUP BY ALL)")
 def _(t):
-    from pyspark.sql import Window
-
     daily = t.curve_watches.groupBy("content_id", "watch_dt").agg(F.sum("watch_time").alias("s"))
     return daily.select("content_id", "watch_dt", F.sum("s").over(Window.partitionBy("content_id").orderBy("watch_dt")).alias("total"))
 
@@ -348,8 +348,6 @@ def _(t):
     aucs AS (SELECT * FROM ({auc_sql('long', 'logit', 'y', 'task')}))
     SELECT task, count(*) AS n, round({_LOSS('y', 'logit')}, 6) AS log_loss, round(max(CASE WHEN aucs.auc = aucs.auc THEN aucs.auc END), 6) AS auc FROM long JOIN aucs USING (task) GROUP BY task""")
 def _(t):
-    from ranklens.operators.filters import mask_labels
-
     rows = t.scored.select("task", "click", F.when(F.col("task") == 1, F.col("label")).otherwise(F.col("content_id") % 2).alias("watch"), F.lit(0).alias("paywall_view"),
                            F.lit(0).alias("add_watchlist"), (F.col("base") * 10 - 2).alias("z1"), (F.col("sd") * 4 - 2).alias("z2"), (F.col("mean") * 4 - 2).alias("z3"))
     out = metrics.task_metrics(mask_labels(rows), [("click", "z1"), ("random_watch", "z2"), ("watch", "z3")])
@@ -359,6 +357,12 @@ def _(t):
 _MOMENTS = " UNION ALL ".join(f"SELECT '{b}' AS blend, 'score_mean' AS metric, 0::BIGINT AS k, NULL AS category, avg(score) AS value FROM s WHERE blend = '{b}' UNION ALL SELECT '{b}', 'score_std', 0, NULL, stddev_samp(score) FROM s WHERE blend = '{b}'" for b in ("base", "base_explore"))
 
 
+def _experiment(t):
+    rows = blended(t).withColumn("score", F.round("score", 9)).withColumn("category", F.when(F.col("category") == "Unmapped", "new release").otherwise(F.col("category")))
+    named = rows.filter(F.col("blend").isin("base", "base_explore")).withColumns({"train_date": F.lit("2024-01-16"), "strategy": F.lit("cumulative")})
+    return metrics.experiment_table(named, REQ, "score", "label", "category", "content_id").withColumn("value", F.round("value", 5))
+
+
 @query("m11_experiment_table", f"""
     WITH z AS ({ZSCORED}), s AS (SELECT * REPLACE (round(score, 9) AS score, CASE WHEN category = 'Unmapped' THEN 'High' ELSE category END AS category) FROM ({_BLENDS}) WHERE blend IN ('base', 'base_explore')),
     nd AS ({_PER_BLEND}), rk AS (SELECT *, rank() OVER (PARTITION BY blend, dw_p_id, timestamp ORDER BY score DESC) + (count(*) OVER (PARTITION BY blend, dw_p_id, timestamp, score) - 1) / 2.0::DOUBLE AS rank FROM s),
@@ -369,9 +373,22 @@ _MOMENTS = " UNION ALL ".join(f"SELECT '{b}' AS blend, 'score_mean' AS metric, 0
     ndl AS (SELECT blend, 'ndcg' AS metric, unnest([1::BIGINT, 3, 5]) AS k, NULL AS category, unnest([a, b, c]) AS value FROM (SELECT blend, avg(ndcg_1) AS a, avg(ndcg_3) AS b, avg(ndcg_5) AS c FROM nd GROUP BY blend))
     SELECT '2024-01-16' AS train_date, 'cumulative' AS strategy, blend, metric, k, category, round(value, 5) AS value FROM (SELECT * FROM mix UNION ALL SELECT * FROM cat UNION ALL SELECT * FROM per UNION ALL SELECT * FROM ndl UNION ALL {_MOMENTS})""")
 def _(t):
-    rows = blended(t).withColumn("score", F.round("score", 9)).withColumn("category", F.when(F.col("category") == "Unmapped", "new release").otherwise(F.col("category")))
-    named = rows.filter(F.col("blend").isin("base", "base_explore")).withColumns({"train_date": F.lit("2024-01-16"), "strategy": F.lit("cumulative")})
-    return metrics.experiment_table(named, REQ, "score", "label", "category", "content_id").withColumn("value", F.round("value", 5))
+    return _experiment(t)
+
+
+def _wide(metric: str, k: int, category: str | None = None) -> str:
+    name = "_".join([metric] + ([str(k)] if k else []) + ([category.lower()] if category else []))
+    test = f"metric = '{metric}' AND k = {k}" + (f" AND category = '{category}'" if category else "")
+    return f"max(value) FILTER ({test}) AS {name}"
+
+
+_WIDE = ", ".join([_wide(m, k) for m in ("catalog", "ndcg", "perplexity") for k in (1, 3, 5)] + [_wide("popularity_mix", k, c) for k in (1, 3, 5) for c in ("High", "Low", "Medium")]
+                  + [_wide("score_mean", 0), _wide("score_std", 0)])
+
+
+@query("m11_wide_table", f"SELECT train_date, strategy, blend, {_WIDE} FROM ({ORACLES['m11_experiment_table']}) GROUP BY ALL")
+def _(t):
+    return metrics.wide_table(_experiment(t))
 
 
 @query("m12_mean_by", "SELECT category, count(*) AS n, round(avg(base), 6) AS mean FROM tagged GROUP BY category UNION ALL SELECT CAST(label AS VARCHAR), count(*), round(avg(base), 6) FROM tagged GROUP BY label")
@@ -392,8 +409,6 @@ def _(t):
 # ---- popularity tiers
 
 _START, _END = "1997-01-01", "1997-12-31"
-from ranklens.plans.q_filters import CLEAN_SQL  # noqa: E402
-
 _AVAIL = f"SELECT show_content_id, min(fromdate) AS fromdate FROM titles WHERE {CLEAN_SQL} AND fromdate <= '{_END}' GROUP BY ALL"
 _VIEWERS = f"""SELECT sub_title_id, count(DISTINCT dw_p_id) AS viewers, CAST(grouping(sub_title_id) AS INTEGER) AS is_total FROM view_log
     WHERE cd BETWEEN '{_START}' AND '{_END}' AND category <> 'sports' AND watch_minutes > 0 AND sub_title_id IN (SELECT show_content_id FROM ({_AVAIL})) GROUP BY GROUPING SETS ((sub_title_id), ())"""
