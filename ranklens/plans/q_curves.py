@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ranklens.operators import aggregates, curves
 from ranklens.plans.domain import CURVE_DAYS
-from ranklens.plans.q_metrics import freq_sql, greedy_sql
+from ranklens.plans.q_metrics import freq_sql
 from ranklens.plans.registry import query
 from ranklens.sources.logs import stage
 
