@@ -70,7 +70,8 @@ def feature_rows(examples: DataFrame, events: DataFrame, catalog: DataFrame, pop
 
     ``events``: dw_p_id, event_id, timestamp, event_year, payload. ``pop``: version, content_id,
     language_id, dv, wv. ``state_pop``: version, state, content_id, dv, wv. Single-label rows are kept
-    for users with both classes; multi-task rows are all kept. The timestamp is the event's.
+    for users with both classes; multi-task rows are all kept. The timestamp is the event's. Examples
+    may carry their own ``task`` column; the class rule then holds per (user, task).
 
     The matched examples feed the profiles and the rows, so they are written once to the shared folder.
     """
@@ -115,15 +116,16 @@ def feature_rows(examples: DataFrame, events: DataFrame, catalog: DataFrame, pop
     if production_house:
         pairs.append(("production_house_weight", _weight("production_house_id", F.col("production_house_id"))))
     indices, values = sparse_pairs([(SCALARS[n], v) for n, v in pairs])
+    task_col = F.col("task") if "task" in examples.columns else F.lit(task)
     labels = ["click", "watch", "watch_time", "paywall_view", "add_watchlist"] if mtl else ["label"]
     out = rows.select(
-        F.lit(country).alias("country"), "dw_p_id", "content_id", ts.alias("timestamp"), F.lit(task).alias("task"), F.lit(task).alias("flag"),
+        F.lit(country).alias("country"), "dw_p_id", "content_id", ts.alias("timestamp"), task_col.alias("task"), task_col.alias("flag"),
         "user_fids", "user_weighted_fids", "user_weighted_fid_weights", fids.alias("fids"),
         F.array(F.lit(0).cast("bigint")).alias("weighted_fids"), F.array(F.lit(0.0)).alias("weighted_fid_weights"),
         indices.alias("sparse_indices"), values.alias("sparse_values"), (ts - start).alias("secs_start_dt"), *labels)
     if mtl:
         return out
-    return require_both_classes(out, ["dw_p_id"])
+    return require_both_classes(out, ["dw_p_id", "task"])
 
 
 def cumwatch_features(base: DataFrame, events: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CUT = 1705363200  # 2024-01-16 00:00 UTC: history before it, "today" from it
@@ -87,7 +87,8 @@ CTES: dict[str, str] = {
                CASE event_type WHEN 'view' THEN 'dc' WHEN 'click' THEN 'wc' WHEN 'purchase' THEN 'mc' WHEN 'signup' THEN 'dv' ELSE 'zz' END AS tag, value
         FROM log""",
     "day_pop": """
-        SELECT timestamp // 86400 AS day, k AS content_id, language, count(*) / (1.0::DOUBLE + count(*)) AS popularity FROM log GROUP BY ALL""",
+        SELECT day, content_id, language, percent_rank() OVER (PARTITION BY day ORDER BY n) AS popularity
+        FROM (SELECT timestamp // 86400 AS day, k AS content_id, language, count(*) AS n FROM log GROUP BY ALL)""",
     "scored": f"""
         SELECT event_id, dw_p_id, (timestamp - {WEEK0}) // 604800 AS timestamp, k AS content_id, value / 500.0::DOUBLE AS base,
                (event_id * 7) % 97 / 97.0::DOUBLE AS sd, (event_id * 13) % 89 / 89.0::DOUBLE AS mean,
@@ -281,9 +282,8 @@ class Tables:
 
     @cached_property
     def day_pop(self) -> DataFrame:
-        n = F.count(F.lit(1))
-        return self.log.groupBy(F.floor(F.col("timestamp") / 86400).cast("bigint").alias("day"), F.col("k").alias("content_id"), "language").agg(
-            (n / (F.lit(1.0) + n)).alias("popularity"))
+        counts = self.log.groupBy(F.floor(F.col("timestamp") / 86400).cast("bigint").alias("day"), F.col("k").alias("content_id"), "language").agg(F.count(F.lit(1)).alias("n"))
+        return counts.select("day", "content_id", "language", F.percent_rank().over(Window.partitionBy("day").orderBy("n")).alias("popularity"))
 
     @cached_property
     def scored(self) -> DataFrame:

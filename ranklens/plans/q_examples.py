@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ranklens.functions.hashing import hash_uniform, slot_fid
 from ranklens.operators import examples, features, filters
 from ranklens.operators.features import SLOTS
+from ranklens.plans import extract
 from ranklens.plans.domain import RECO_EXACT, RECO_PREFIXES
 from ranklens.plans.registry import query, rows_n
 from ranklens.sources.logs import stage
@@ -236,6 +237,41 @@ def _(t):
     return _flat_features(features.feature_rows(ex, t.requests, t.catalog, t.pop, t.state_pop, "in", mtl=True), "click", "watch", "watch_time", "paywall_view", "add_watchlist")
 
 
+_RANDOM = f"""
+    SELECT dw_p_id, tray_id, content_id, timestamp, label, watch_time, is_inter_tray FROM pos
+    UNION ALL SELECT DISTINCT d.dw_p_id, '', c.content_id, d.timestamp, 0::BIGINT, 0::BIGINT, false FROM draws d JOIN {_PCAT} c USING (idx)
+    WHERE c.content_id <> d.content_id AND c.start_dt <= d.timestamp AND NOT EXISTS (SELECT 1 FROM history h WHERE h.dw_p_id = d.dw_p_id AND h.content_id = c.content_id)"""
+_RANDOM_CTES = f"""pos AS (SELECT * FROM ({_FIRST_WATCH}) WHERE {draw_sql(['dw_p_id'], 'lw')} < 0.6),
+    draws AS (SELECT dw_p_id, content_id, timestamp, CAST(floor({draw_sql(['dw_p_id', 'content_id', 'timestamp', 'draw'], 'rand')} * (SELECT count(*) FROM catalog)) AS BIGINT) AS idx
+        FROM (SELECT *, unnest(range(0, 15)) AS draw FROM pos))"""
+_DAY = _feature_sql(f"SELECT *, 0 AS task FROM (SELECT * FROM ({_CAP(5)}) UNION ALL SELECT * FROM ({_INTER})) UNION ALL SELECT *, 1 FROM ({_RANDOM})", "m.label, m.task").replace("WITH evw", f"WITH {_RANDOM_CTES}, evw", 1)
+
+
+def _random_watch(t):
+    return extract.random_watch_examples(examples.first_watch_examples(t.daily, t.history), t.catalog, t.history, 0.6, 15)
+
+
+@query("e14_extract_day", f"SELECT * FROM ({_DAY}) WHERE (dw_p_id, task) IN (SELECT (dw_p_id, task) FROM ({_DAY}) GROUP BY dw_p_id, task HAVING max(label) = 1 AND min(label) = 0)")
+def _(t):
+    """Both tasks of a day: exposed items and random-watch items with random negatives."""
+    exposed = examples.user_examples(t.impressions, t.tray_watches, t.history)
+    out = extract.extract_day(exposed, _random_watch(t), t.requests, t.catalog, t.pop, t.state_pop, "in")
+    return _flat_features(out, "label", "task")
+
+
+_MDAY = _feature_sql(f"SELECT dw_p_id, content_id, timestamp, click, watch, watch_time, 0 AS task FROM ({_BOTH}) UNION ALL SELECT dw_p_id, content_id, timestamp, label, label, watch_time, 1 FROM ({_RANDOM})", "m.click, m.task").replace("WITH evw", f"WITH {_RANDOM_CTES}, evw", 1)
+
+
+@query("e14_training_stats", f"""WITH s AS (SELECT * FROM ({_MDAY}) WHERE task = 0 OR {draw_sql(['dw_p_id', "'2024-01-16'", "'2024-01-31'"], 'agg')} < 0.5)
+    SELECT task, count(*) AS n, count(*) FILTER (click > 0) AS post_click, round(count(*) / (SELECT count(*) FROM s), 6) AS share FROM s GROUP BY task""")
+def _(t):
+    """Shares of the tasks in the sampled multi-task training set."""
+    exposed = examples.mtl_examples(positives(t), negatives(t), 1.1)
+    day = extract.extract_day(exposed, _random_watch(t), t.requests, t.catalog, t.pop, t.state_pop, "in", mtl=True).withColumn("cd", F.lit("2024-01-16"))
+    rows = stage(extract.training_set(day, "2024-01-31", 0.5), "training")
+    return extract.training_stats(rows).withColumn("share", F.round("share", 6))
+
+
 _DISC = f"""
     SELECT * FROM (SELECT m.*, CASE WHEN h.wt > 0 THEN h.wt WHEN h.dw_p_id IS NOT NULL OR l.dw_p_id IS NOT NULL THEN -1 ELSE 0 END::BIGINT AS past_wt FROM (
         SELECT dw_p_id, content_id, language, CAST(sum(watch_time) AS BIGINT) AS watch_time, min(first_watch_ts) AS timestamp FROM daily GROUP BY dw_p_id, content_id, language

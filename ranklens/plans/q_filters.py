@@ -23,7 +23,7 @@ def _(t):
     return filters.adds_only(t.watchlist).groupBy("dw_p_id", "content_id").agg(rows_n())
 
 
-@query("f3_safe_id", "SELECT id, count(*) AS n FROM (SELECT try_cast(CASE WHEN k % 10 = 3 THEN '0' WHEN k % 10 = 4 THEN '12.0' WHEN k % 10 = 5 THEN 'x' || k ELSE ' ' || k || ' ' END AS BIGINT) AS id, k FROM log WHERE k % 10 <> 4) WHERE id <> 0 GROUP BY ALL")
+@query("f3_safe_id", "SELECT id, count(*) AS n FROM (SELECT CASE WHEN regexp_full_match(trim(s), '-?[0-9]+') THEN CAST(trim(s) AS BIGINT) END AS id FROM (SELECT CASE WHEN k % 10 = 3 THEN '0' WHEN k % 10 = 4 THEN '12.0' WHEN k % 10 = 5 THEN 'x' || k ELSE ' ' || k || ' ' END AS s FROM log)) WHERE id <> 0 GROUP BY ALL")
 def _(t):
     digit = F.col("k") % 10
     text = F.when(digit == 3, "0").when(digit == 4, "12.0").when(digit == 5, F.concat(F.lit("x"), F.col("k"))).otherwise(F.concat(F.lit(" "), F.col("k"), F.lit(" ")))
