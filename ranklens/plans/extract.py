@@ -44,3 +44,13 @@ def training_stats(rows: DataFrame) -> DataFrame:
     """Rows, share and post-click rows per task."""
     label = F.col("click") if "click" in rows.columns else F.col("label")
     return aggregates.task_stats(rows.withColumn("click", label))
+
+
+def cumwatch_training(feature_rows: DataFrame, watches: DataFrame, start: str, horizons: list[int]) -> DataFrame:
+    """Cumulative-watch rows: features of a discovery day with item and user hours per horizon.
+
+    ``day`` is the horizon's index from 0; ``user_hash`` groups a user's rows without the id.
+    """
+    labels = examples.horizon_labels(watches, start, horizons)
+    rows = feature_rows.join(labels, ["dw_p_id", "content_id"])
+    return rows.withColumn("day", (F.col("horizon") - 1).cast("int")).withColumn("user_hash", F.xxhash64("dw_p_id")).drop("horizon")

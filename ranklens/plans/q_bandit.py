@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ranklens.operators import bandit, metrics
+from ranklens.plans import evaluate
 from ranklens.plans.q_metrics import auc_sql
 from ranklens.plans.registry import query
 from ranklens.session import scratch_path
@@ -171,6 +172,16 @@ def _(t):
     return bandit.fit_quality(scored)
 
 
+@query("m11_bandit_experiment")
+def _(t):
+    """Train on three days, score the fourth with shared and per-arm states, compare the blends."""
+    acts = t.acts.withColumn("base", F.get("h", F.lit(0))).withColumn("request", F.floor(F.col("vec_id") / 40))
+    train, test = acts.filter("day < 3"), acts.filter("day = 3")
+    sets = {("d3", "shared"): evaluate.score_requests(train, test), ("d3", "by_arm"): evaluate.score_requests(train, test, arm="content_id")}
+    tags = t.tags.withColumn("content_id", F.col("content_id").cast("int"))
+    return evaluate.compare(sets, tags, ["request"], "click")
+
+
 @query("b11_layer_choice", f"WITH {_CELLS.replace('acts)', '(SELECT * REPLACE (list_transform(h, lambda x: greatest(x, 0.0)) AS h) FROM acts))', 1)} SELECT i, j, round(a, 6) + 0.0 AS a FROM ({_gram_sql('', '1')})")
 def _(t):
     """The rectified layer instead of the raw one."""

@@ -9,7 +9,7 @@ from ranklens.operators import examples, features, filters
 from ranklens.operators.features import SLOTS
 from ranklens.plans import extract
 from ranklens.plans.domain import RECO_EXACT, RECO_PREFIXES
-from ranklens.plans.registry import query, rows_n
+from ranklens.plans.registry import ORACLES, query, rows_n
 from ranklens.sources.logs import stage
 
 _RECO = "(starts_with(full_tray_id, 'home-picks') OR starts_with(full_tray_id, 'reco-picks') OR starts_with(full_tray_id, 'reco-wide'))"
@@ -326,6 +326,24 @@ def _(t):
                        F.size("fids").cast("bigint").alias("n_fids"), slot("past_watched_time").alias("past_fid"), slot("last_watch_to_now").alias("since_fid"))
 
 
+_CUMWATCH = ORACLES["e19_cumwatch_features"]
+
+
+@query("e16_cumwatch_training", f"""
+    WITH f AS ({_CUMWATCH}), w AS (SELECT dw_p_id, content_id, watch_time, date_diff('day', DATE '2024-01-16', CAST(cd AS DATE)) AS d FROM log WHERE event_type = 'purchase'),
+    h AS (SELECT unnest([1, 3, 7]) AS horizon), s AS (SELECT dw_p_id, content_id, horizon, sum(watch_time) AS s FROM w, h WHERE d BETWEEN 0 AND horizon - 1 GROUP BY ALL),
+    u AS (SELECT dw_p_id, horizon, sum(s) AS a FROM s GROUP BY ALL)
+    SELECT f.dw_p_id, f.content_id, f.timestamp, CAST(horizon - 1 AS INTEGER) AS day, f.r1, f.r2, f.n_fids, round(CAST(s / 3600 AS FLOAT)::DOUBLE, 4) AS cum_watch_time, round(CAST(a / 3600 AS FLOAT)::DOUBLE, 4) AS all_watch_time
+    FROM f JOIN s USING (dw_p_id, content_id) JOIN u USING (dw_p_id, horizon)""")
+def _(t):
+    """Cumulative-watch training rows of one discovery day at horizons 1, 3 and 7."""
+    rows = features.cumwatch_features(examples.discovery(t.daily, t.latest, t.history, 0.5), t.requests, t.catalog)
+    watches = t.between("purchase").select("dw_p_id", "content_id", "watch_time", F.col("cd").cast("date").alias("cd"))
+    out = extract.cumwatch_training(rows, watches, "2024-01-16", [1, 3, 7])
+    return out.select("dw_p_id", "content_id", "timestamp", "day", F.get("raw", F.lit(0)).alias("r1"), F.get("raw", F.lit(1)).alias("r2"), F.size("fids").cast("bigint").alias("n_fids"),
+                      *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("cum_watch_time", "all_watch_time")])
+
+
 _TW = "SELECT dw_p_id, content_id, watch_len AS watch_time, last_watch AS timestamp FROM kwatch"
 
 

@@ -158,3 +158,43 @@ def test_user_metrics_long_tie_runs(spark):
     pieces = metrics._discount_sums(spark.createDataFrame([("u", 2, 23, 1.0)], "dw_p_id string, ahead long, n long, gain double"), "dw_p_id", "d", piece=4).first()["d"]
     assert pieces == pytest.approx(sum(1 / np.log2(i + 1) for i in range(3, 26)))
     assert metrics.user_metrics(df, "s", "label").first()["num_users"] == 2
+
+
+def test_bandit_evaluation_like_pandas(spark, data):
+    from ranklens.plans import evaluate
+
+    rng = np.random.default_rng(2)
+    pdf = data.assign(h=data["h"].map(list), base=rng.random(len(data)), request=data["id"] // 8, day=data["id"] % 2)
+    df = spark.createDataFrame(pdf)
+    tags = spark.createDataFrame([(1, "High"), (2, "Low")], "content_id long, popularity_tag string")
+    scored = evaluate.score_requests(df.filter("day = 0"), df)
+    table = evaluate.compare({("d", "s"): scored}, tags, ["request"], "click").toPandas()
+
+    h, _, _ = state(pdf)
+    _, a, b = state(pdf[pdf.day == 0])
+    inv = np.linalg.inv(a)
+    want = pdf.assign(mean=h @ (inv @ b), sd=np.sqrt(np.einsum("ij,jk,ik->i", h, inv, h)))
+    want = want[want.click != -1]
+    for c in ("base", "sd", "mean"):
+        want[c] = (want[c] - want[c].mean()) / want[c].std()
+    want["score"] = want["base"] + want["sd"]
+    want["rank"] = want.groupby("request")["score"].rank(ascending=False)
+    rows = table[(table.blend == "base_explore") & table.category.isna()]
+    got = {(r.metric, r.k): r.value for r in rows.itertuples()}
+    for k in (1, 3, 5):
+        top = want[want["rank"] <= k]
+        assert got["catalog", k] == top["content_id"].nunique()
+        p = want[want["rank"] == k]["content_id"].value_counts(normalize=True)
+        assert got["perplexity", k] == pytest.approx(2 ** -(p * np.log2(p)).sum())
+    assert got["score_std", 0] == pytest.approx(want["score"].std())
+
+    def ndcg(g, k=3):
+        if len(g) < 5:
+            return None
+        if g["click"].nunique() == 1:
+            return 0.0
+        d = 1 / np.log2(np.arange(2, k + 2))
+        return (g.sort_values("score", ascending=False)["click"].to_numpy()[:k] * d).sum() / (np.sort(g["click"])[::-1][:k] * d).sum()
+
+    per = [v for v in (ndcg(g) for _, g in want.groupby("request")) if v is not None]
+    assert got["ndcg", 3] == pytest.approx(np.mean(per))
