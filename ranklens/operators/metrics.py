@@ -30,7 +30,10 @@ BLENDS = {
 def tie_groups(df: DataFrame, by: list[str], score: str, k: int, label: str | None = None) -> DataFrame:
     """First k distinct scores per request with size, label sum and rows before them (``ahead``)."""
     sums = [F.sum(F.col(label).cast("double")).alias("gain")] if label else []
-    groups = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("n"), *sums)
+    return _first_groups(df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("n"), *sums), by, score, k)
+
+
+def _first_groups(groups: DataFrame, by: list[str], score: str, k: int) -> DataFrame:
     kept = top_n(groups, by, [F.col(score).desc()], k)
     w = Window.partitionBy(*by).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, -1)
     return kept.withColumn("ahead", F.coalesce(F.sum("n").over(w), F.lit(0)))
@@ -74,21 +77,22 @@ def request_ndcg(df: DataFrame, by: list[str], score: str, label: str, ks=KS, mi
     """NDCG@k per request with linear gain, log2 discount and mean gain inside ties.
 
     Requests with fewer than ``min_rows`` rows (default: the largest k) are left out; a request with
-    one label value scores 0.
+    one label value scores 0. Request facts and the ideal order both come from the label counts.
     """
     kmax = max(ks)
-    facts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.min(label).alias("lo"), F.max(label).alias("hi"))
+    labels = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("n"))
+    facts = labels.groupBy(*by).agg(F.sum("n").alias("rows"), F.min(label).alias("lo"), F.max(label).alias("hi"))
     facts = facts.filter(F.col("rows") >= (kmax if min_rows is None else min_rows))
 
-    def gains(order_col: str):
-        g = tie_groups(df, by, order_col, kmax, label)
+    def gains(g: DataFrame):
         mean = F.col("gain") / F.col("n")
         return g.groupBy(*by).agg(*[
             F.sum(mean * (_cum_discount(F.col("ahead") + F.col("n"), k) - _cum_discount(F.col("ahead"), k))).alias(f"s{k}")
             for k in ks])
 
-    got = gains(score)
-    best = gains(label).withColumnsRenamed({f"s{k}": f"i{k}" for k in ks})
+    got = gains(tie_groups(df, by, score, kmax, label))
+    ideal = labels.withColumn("gain", F.col("n") * F.col(label).cast("double"))
+    best = gains(_first_groups(ideal, by, label, kmax)).withColumnsRenamed({f"s{k}": f"i{k}" for k in ks})
     joined = facts.join(got, by).join(best, by)
     flat = F.col("lo") == F.col("hi")
     return joined.select(*by, *[F.when(flat, 0.0).otherwise(F.col(f"s{k}") / F.col(f"i{k}")).alias(f"ndcg_{k}") for k in ks])

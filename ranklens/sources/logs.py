@@ -101,7 +101,7 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
 
 def write_csv1(df: DataFrame, path: str) -> None:
     """One CSV file with header; for reports whose row count is bounded by titles."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_stats(df: DataFrame, path: str) -> None:
