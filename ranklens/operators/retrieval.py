@@ -218,6 +218,14 @@ def token_scores(ns_watches: DataFrame, videos: DataFrame, tokens: DataFrame, to
     return scored.join(ent_watches.select("dw_p_id", F.col("content_id").alias("dst")), ["dw_p_id", "dst"], "left_anti")
 
 
+def token_retrieve(scores: DataFrame, catalog: DataFrame, n: int = 200, kind_min: int = 100) -> DataFrame:
+    """Token scores cut to n per user, with at least ``kind_min`` shows and as many other titles."""
+    info = catalog.select(F.col("content_id").alias("dst"), (F.col("kind") == "show").alias("is_show"))
+    rows = scores.join(info, "dst", "left").withColumn("is_show", F.coalesce("is_show", F.lit(False)))
+    kept = quota_topk(rows, ["dw_p_id"], [F.col("score").desc(), F.col("dst"), F.col("dst_lang")], n, kind_min, "is_show")
+    return kept.select(*scores.columns)
+
+
 def tagged_union(sources: dict[str, DataFrame], catalog: DataFrame) -> DataFrame:
     """Known titles of all sources with the sorted list of sources per (user, title)."""
     out = None
@@ -228,14 +236,23 @@ def tagged_union(sources: dict[str, DataFrame], catalog: DataFrame) -> DataFrame
     return known.groupBy("dw_p_id", "content_id").agg(F.array_sort(F.collect_set("source")).alias("sources"))
 
 
+def top_sources(weights: DataFrame, limit: int = 20) -> DataFrame:
+    """A user's heaviest watched titles with their position from 1."""
+    return top_n(weights, ["dw_p_id"], [F.col("weight").desc(), F.col("src"), F.col("src_lang")], limit, "src_pos")
+
+
+def source_evidence(sources: DataFrame, relevances: DataFrame) -> DataFrame:
+    """Evidence of the chosen sources only, so the join does not expand a user's whole history."""
+    return evidence(sources.select("dw_p_id", F.col("src").alias("content_id"), F.col("src_lang").alias("language")), relevances)
+
+
 def diversify(results: DataFrame, evidences: DataFrame, weights: DataFrame, limit: int = 20) -> DataFrame:
     """Scores x capacity of the item's best source / (1 + earlier items of that source).
 
     Sources are a user's ``limit`` heaviest watches. An item without evidence scores 0 and counts
     against the heaviest source.
     """
-    src_order = [F.col("weight").desc(), F.col("src"), F.col("src_lang")]
-    sources = top_n(weights, ["dw_p_id"], src_order, limit, "src_pos")
+    sources = top_sources(weights, limit)
     known = evidences.join(sources, ["dw_p_id", "src", "src_lang"])
     best = known.groupBy("dw_p_id", "dst", "dst_lang").agg(
         F.max_by(F.struct("src_pos", "weight", "relevance"), F.struct("relevance", -F.col("src_pos"))).alias("b"))

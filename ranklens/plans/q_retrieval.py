@@ -190,16 +190,26 @@ def _(t):
 _TYPES = "MAP {" + ", ".join(f"{k}: {v}::DOUBLE" for k, v in retrieval.NS_TYPE_WEIGHTS.items()) + "}"
 
 
-@query("k10_token_scores", f"""
+_TOKEN = f"""
     WITH last AS (SELECT * FROM ns_watches QUALIFY row_number() OVER (PARTITION BY dw_p_id ORDER BY last_watch DESC, content_id, language, watch_len) <= 20),
     w AS (SELECT l.*, coalesce({_TYPES}[content_type_id], 0) * {_W} * CASE WHEN watch_len <= 600 THEN 0.1 ELSE 1 END
           * CASE WHEN CASE WHEN content_type_id = 301 THEN watch_len < 600 ELSE watch_len < 30 AND (duration <= 0 OR watch_len / duration < 0.5) END THEN 0.1 ELSE 1 END AS w FROM last l JOIN videos v USING (content_id))
     SELECT w.dw_p_id, r.dst, r.dst_lang, round(sum(r.score * w.w * t.weight), 6) AS score FROM w JOIN tokens t ON t.content_id = w.content_id AND t.language = w.language JOIN token_rel r ON r.name = t.name
-    WHERE NOT EXISTS (SELECT 1 FROM kwatch k WHERE k.dw_p_id = w.dw_p_id AND k.content_id = r.dst) GROUP BY ALL""")
+    WHERE NOT EXISTS (SELECT 1 FROM kwatch k WHERE k.dw_p_id = w.dw_p_id AND k.content_id = r.dst) GROUP BY ALL"""
+
+
+@query("k10_token_scores", _TOKEN)
 def _(t):
     return r6(retrieval.token_scores(t.ns_watches, t.videos, t.tokens, t.token_rel, t.kwatch, NOW))
 
 
+@query("k10_token_retrieve", f"""WITH ts AS ({_TOKEN}), tf AS (SELECT ts.*, coalesce(kind = 'show', false) AS is_show, false AS is_brand FROM ts LEFT JOIN catalog ON content_id = dst)
+    SELECT dw_p_id, dst, dst_lang, score FROM ({quota_sql('tf', 'dw_p_id', _ORDER, 10, 8)})""")
+def _(t):
+    scores = r6(retrieval.token_scores(t.ns_watches, t.videos, t.tokens, t.token_rel, t.kwatch, NOW))
+    return retrieval.token_retrieve(scores, t.catalog, 10, 8)
+
+
 @query("k11_tagged_union", "SELECT dw_p_id, content_id, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM (SELECT dw_p_id, k AS content_id, event_type AS source FROM log WHERE event_type IN ('view', 'click', 'error')) WHERE content_id IN (SELECT content_id FROM catalog) GROUP BY ALL")
 def _(t):
     part = lambda e: t.between(e).select("dw_p_id", F.col("k").alias("content_id"))
@@ -216,8 +226,9 @@ _DIV = f"""{_TOP},
 
 @query("k12_diversify", f"WITH {_DIV} SELECT dw_p_id, dst, dst_lang, round(CASE WHEN hit THEN score * weight / row_number() OVER (PARTITION BY dw_p_id, src ORDER BY {_ORDER}) ELSE 0 END, 6) AS score FROM rows")
 def _(t):
-    out = retrieval.diversify(top(t), retrieval.evidence(t.kwatch, t.rel), retrieval.watch_weights(t.kwatch, NOW), 6)
-    return r6(out)
+    weights = retrieval.watch_weights(t.kwatch, NOW)
+    evidence = retrieval.source_evidence(retrieval.top_sources(weights, 6), t.rel)
+    return r6(retrieval.diversify(top(t), evidence, weights, 6))
 
 
 _D = draw_sql(["dw_p_id", f"'{DATE}'", "dst"], "home")
