@@ -11,12 +11,18 @@ from pyspark.sql import functions as F
 from ranklens.session import scratch_path
 
 ANONYMOUS_USER = "-1"
+_STAGED: list[str] = []
+
+
+def _fs(spark: SparkSession, path: str):
+    """Hadoop file system and path object of a path, whatever its scheme."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
 
 
 def _days(start: str, n: int) -> list[str]:
@@ -87,7 +93,18 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """``materialize`` below the cluster's shared folder: cuts the plan and survives lost executors."""
-    return materialize(df, scratch_path(df.sparkSession, name))
+    path = scratch_path(df.sparkSession, name)
+    _STAGED.append(path)
+    return materialize(df, path)
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the folders staged by this process, once the results built on them are written."""
+    dropped = 0
+    while _STAGED:
+        fs, p = _fs(spark, _STAGED.pop())
+        dropped += bool(fs.delete(p, True))
+    return dropped
 
 
 def write_by_user(df: DataFrame, path: str, partitions: int, key: str = "dw_p_id") -> None:
