@@ -6,17 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranklens.llm import decontaminate, mixing, quality, simhash, toxicity
+from ranklens.llm import chat, decontaminate, mixing, quality, simhash, tokens, toxicity, warc
 from ranklens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat": lambda spark, d: chat.format_chats(chat.with_control_conversation(read(spark, d, "conversations"))),
     "op3_simhash": lambda spark, d: simhash.near_duplicates(read(spark, d, "documents")),
+    "op4_tokens": lambda spark, d: tokens.token_counts(read(spark, d, "documents")),
     "op5_quality": lambda spark, d: quality.quality(read(spark, d, "documents"), read(spark, d, "labels")),
+    "op6_warc": lambda spark, d: warc.round_trip(read(spark, d, "pages")),
     "op7_decontaminate": lambda spark, d: decontaminate.overlap(read(spark, d, "documents"), read(spark, d, "benchmark")),
     "op9_mix": lambda spark, d: mixing.mix(read(spark, d, "documents")),
     "op10_toxicity": lambda spark, d: toxicity.toxicity(read(spark, d, "documents"), read(spark, d, "labels")),
 }
 ORACLES: dict[str, str] = {
+    "op2_chat": chat.ORACLE,
+    "op6_warc": warc.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op9_mix": mixing.ORACLE,
 }
