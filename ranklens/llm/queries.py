@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranklens.llm import chat, decontaminate, mixing, quality, simhash, tokens, toxicity, warc
+from ranklens.llm import chat, decontaminate, embeddings, mixing, quality, simhash, tokens, toxicity, warc
 from ranklens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embeddings": lambda spark, d: embeddings.near_duplicates(read(spark, d, "embeddings")),
     "op2_chat": lambda spark, d: chat.format_chats(chat.with_control_conversation(read(spark, d, "conversations"))),
     "op3_simhash": lambda spark, d: simhash.near_duplicates(read(spark, d, "documents")),
     "op4_tokens": lambda spark, d: tokens.token_counts(read(spark, d, "documents")),
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": lambda spark, d: toxicity.toxicity(read(spark, d, "documents"), read(spark, d, "labels")),
 }
 ORACLES: dict[str, str] = {
+    "op1_embeddings": embeddings.ORACLE,
     "op2_chat": chat.ORACLE,
     "op6_warc": warc.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
