@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranklens.llm import chat, decontaminate, embeddings, mixing, quality, simhash, tokens, toxicity, warc
+from ranklens.llm import chat, decontaminate, embeddings, htmltext, mixing, quality, simhash, tokens, toxicity, warc
 from ranklens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": lambda spark, d: quality.quality(read(spark, d, "documents"), read(spark, d, "labels")),
     "op6_warc": lambda spark, d: warc.round_trip(read(spark, d, "pages")),
     "op7_decontaminate": lambda spark, d: decontaminate.overlap(read(spark, d, "documents"), read(spark, d, "benchmark")),
+    "op8_html": lambda spark, d: htmltext.main_texts(read(spark, d, "pages")),
     "op9_mix": lambda spark, d: mixing.mix(read(spark, d, "documents")),
     "op10_toxicity": lambda spark, d: toxicity.toxicity(read(spark, d, "documents"), read(spark, d, "labels")),
 }
