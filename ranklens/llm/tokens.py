@@ -135,10 +135,10 @@ def token_counts(docs: DataFrame, path: str | None = None, over: int = OVER) ->
     own = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     lists = stage(own.mapInArrow(_lists, f"block long, doc int, doc_id {kind}, n_bytes long, piece string, docs array<int>, counts array<int>"), "pre-tokens")
-    entries = lists.filter(F.col("piece").isNotNull()).select("piece", "block", F.arrays_zip("docs", "counts").alias("entries"))
+    entries = lists.filter(F.col("piece").isNotNull()).select("piece", "block", "docs", "counts")
     pieces = lists.filter(F.col("piece").isNotNull()).select("piece").distinct()
     pieces = stage(pieces.withColumn("n", _count_pieces(path or vocabulary_path())(F.col("piece"))), "pieces")
-    found = entries.join(pieces, "piece").select("block", "n", F.explode("entries").alias("e"))
+    found = entries.join(pieces, "piece").select("block", "n", F.explode(F.arrays_zip("docs", "counts")).alias("e"))
     sums = found.groupBy("block", F.col("e.docs").alias("doc")).agg(F.sum(F.col("e.counts") * F.col("n").cast("long")).alias("n_tokens"))
     known = lists.filter(F.col("piece").isNull()).select("block", "doc", "doc_id", "n_bytes")
     out = known.join(sums, ["block", "doc"], "left").select("doc_id", "n_bytes", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
