@@ -1,18 +1,22 @@
 """Token counts: each distinct pre-token is encoded once and joined to the documents' pre-token frequencies.
 
 A task turns its documents into an inverted list: per distinct pre-token the documents that hold it
-and how often. The distinct pre-tokens are encoded once each, the counts are joined to the lists on
-the pre-token, and frequency times count is summed by document. No token ids are kept.
+and how often, one row per block of documents. The rows are brought together and sorted by
+pre-token; each distinct one is encoded once, its count meets the frequencies of its rows as they
+stream by, and frequency times count is summed by document. No token ids are kept, and a pre-token
+that every document holds is a row per block.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -20,11 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranklens.llm.common import stage
-
 VOCABULARY, OVER = "byte_bpe_50k.json", 1024
-#: (document, pre-token) entries a task holds before it hands its lists on.
-BLOCK_ENTRIES = 1_000_000
+#: (document, pre-token) entries and documents in a block: what a task holds before it hands its lists on.
+BLOCK_ENTRIES, BLOCK_DOCS = 4_000_000, 1 << 15
+#: Blocks whose sums a task holds at a time.
+BLOCKS_HELD = 64
 
 # The vocabulary's special token and its pre-token pattern.
 SPECIAL = "<|endoftext|>"
@@ -67,63 +71,146 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-def _count_pieces(path: str):
-    def run(pieces: pa.Array) -> pa.Array:
-        words, out = pieces.to_pylist(), []
-        for at in range(0, len(words), 1000):
-            out += [len(e) for e in _tokenizer(path).encode_batch_fast(words[at : at + 1000], add_special_tokens=False)]
-        return pa.array(out, type=pa.int32())
-
-    return F.arrow_udf(run, "int")
-
-
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of two kinds: per document its id and size, and per pre-token its list in the block."""
+    """Rows of two kinds: per document its id and size, and per pre-token its list in the block.
+
+    A list is packed: two bytes for the document's place in the block and one for the frequency; a
+    larger frequency is several entries.
+    """
     base, block = TaskContext.get().partitionId() << 32, 0
-    lists: dict[str, tuple[list[int], list[int]]] = {}
+    lists: dict[str, tuple[array, bytearray]] = {}
     ids, sizes, n, entries = [], [], 0, 0
 
     def flush():
         nonlocal lists, ids, sizes, n, entries, block
         block += 1
-        id_column, size_column = pa.concat_arrays(ids), pa.concat_arrays(sizes)
-        yield pa.RecordBatch.from_arrays([
-            pa.array([base + block] * n, pa.int64()), pa.array(range(n), pa.int32()), id_column, size_column,
-            pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int32())),
-        ], names=_NAMES)
+        id_column = pa.concat_arrays(ids)
+        yield _rows(base + block, n, id_column.type, doc=pa.array(range(n), pa.int32()), doc_id=id_column, n_bytes=pa.concat_arrays(sizes))
         names = list(lists)
-        for at in range(0, len(names), 50_000):
-            own = names[at : at + 50_000]
-            m = len(own)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([base + block] * m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, id_column.type), pa.nulls(m, pa.int64()),
-                pa.array(own, pa.string()), pa.array([lists[w][0] for w in own], pa.list_(pa.int32())), pa.array([lists[w][1] for w in own], pa.list_(pa.int32())),
-            ], names=_NAMES)
+        for at in range(0, len(names), 20_000):
+            own = names[at : at + 20_000]
+            docs, counts = pa.array([lists[w][0].tobytes() for w in own], pa.binary()), pa.array([bytes(lists[w][1]) for w in own], pa.binary())
+            yield _rows(base + block, len(own), id_column.type, piece=pa.array(own, pa.string()), docs=docs, counts=counts)
         lists, ids, sizes, n, entries = {}, [], [], 0, 0
 
     for batch in batches:
-        texts = batch.column("text")
-        start = 0
+        texts, start = batch.column("text"), 0
         for k in range(len(texts)):
             for piece, count in pre_tokens(texts[k].as_py()).items():
                 at = lists.get(piece)
                 if at is None:
-                    at = lists[piece] = ([], [])
-                at[0].append(n)
-                at[1].append(count)
-                entries += 1
+                    at = lists[piece] = (array("H"), bytearray())
+                while count > 0:
+                    at[0].append(n)
+                    at[1].append(min(count, 255))
+                    count -= 255
+                    entries += 1
             n += 1
-            if entries >= BLOCK_ENTRIES or k == len(texts) - 1:
+            full = entries >= BLOCK_ENTRIES or n == BLOCK_DOCS
+            if full or k == len(texts) - 1:
                 ids.append(batch.column("doc_id").slice(start, k + 1 - start))
-                sizes.append(pc.cast(batch.column("n_bytes").slice(start, k + 1 - start), pa.int64()))
+                sizes.append(batch.column("n_bytes").slice(start, k + 1 - start))
                 start = k + 1
-            if entries >= BLOCK_ENTRIES:
+            if full:
                 yield from flush()
     if n:
         yield from flush()
 
 
-_NAMES = ["block", "doc", "doc_id", "n_bytes", "piece", "docs", "counts"]
+_COLUMNS = {"doc": pa.int32(), "doc_id": None, "n_bytes": pa.int64(), "piece": pa.string(), "docs": pa.binary(), "counts": pa.binary()}
+
+
+def _rows(block: int, n: int, id_type: pa.DataType, **columns) -> pa.RecordBatch:
+    """Rows of one block; columns that are not given are null."""
+    out = [pa.array(np.full(n, block, dtype=np.int64))]
+    out += [columns[c] if c in columns else pa.nulls(n, kind or id_type) for c, kind in _COLUMNS.items()]
+    return pa.RecordBatch.from_arrays(out, names=["block", *_COLUMNS])
+
+
+def _unpacked(column: pa.Array, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype)
+
+
+def _joined(path: str):
+    """Frequency times count summed by document, from list rows sorted by pre-token; rows of documents pass.
+
+    Sums are kept for a bounded number of blocks and handed on packed, one row per block.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n_last, id_type = None, 0, None
+        slots: dict[int, int] = {}
+        sums = np.zeros((BLOCKS_HELD, BLOCK_DOCS), dtype=np.int64)
+
+        def flush():
+            for block, slot in slots.items():
+                found = np.flatnonzero(sums[slot])
+                yield _rows(block, 1, id_type, docs=pa.array([found.astype(np.uint16).tobytes()], pa.binary()), counts=pa.array([sums[slot, found].tobytes()], pa.binary()))
+                sums[slot] = 0
+            slots.clear()
+
+        for batch in batches:
+            id_type = batch.schema.field("doc_id").type
+            of_document = pc.is_null(batch.column("piece"))
+            if len(documents := batch.filter(of_document)):
+                yield documents
+            own = batch.filter(pc.invert(of_document))
+            pieces = own.column("piece").to_pylist()
+            fresh = [w for w, before in zip(pieces, [last, *pieces]) if w != before]
+            sizes = iter([len(e) for e in _tokenizer(path).encode_batch_fast(fresh, add_special_tokens=False)] if fresh else ())
+            n = np.empty(len(pieces), dtype=np.int64)
+            for k, w in enumerate(pieces):
+                if w != last:
+                    last, n_last = w, next(sizes)
+                n[k] = n_last
+            blocks, place = np.unique(own.column("block").to_numpy(), return_inverse=True)
+            each = pc.binary_length(own.column("counts")).to_numpy(zero_copy_only=False)
+            doc = _unpacked(own.column("docs"), np.uint16).astype(np.int64)
+            tokens = _unpacked(own.column("counts"), np.uint8) * np.repeat(n, each)
+            of_block = np.repeat(place, each)
+            for at in range(0, len(blocks), BLOCKS_HELD):
+                some = blocks[at : at + BLOCKS_HELD].tolist()
+                if len(slots) + sum(b not in slots for b in some) > BLOCKS_HELD:
+                    yield from flush()
+                slot = np.array([slots.setdefault(b, len(slots)) for b in some], dtype=np.int64)
+                here = (of_block >= at) & (of_block < at + len(some))
+                np.add.at(sums.reshape(-1), slot[of_block[here] - at] * BLOCK_DOCS + doc[here], tokens[here])
+        if slots:
+            yield from flush()
+
+    return run
+
+
+def _collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with their token counts, from rows sorted by block; one block is held at a time."""
+    now, held = None, []
+
+    def ended() -> pa.RecordBatch:
+        sums = np.zeros(BLOCK_DOCS, dtype=np.int64)
+        documents = []
+        for part in held:
+            of_document = pc.is_valid(part.column("doc"))
+            documents.append(part.filter(of_document))
+            for docs, counts in zip(*(part.filter(pc.invert(of_document)).column(c).to_pylist() for c in ("docs", "counts"))):
+                sums[np.frombuffer(docs, np.uint16)] += np.frombuffer(counts, np.int64)
+        table = pa.Table.from_batches(documents).combine_chunks()
+        doc = table.column("doc").to_numpy()
+        return pa.RecordBatch.from_arrays(
+            [*(pa.concat_arrays(table.column(c).chunks) for c in ("doc_id", "n_bytes")), pa.array(sums[doc])], names=["doc_id", "n_bytes", "n_tokens"])
+
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1), len(block)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if held and block[a] != now:
+                yield ended()
+                held = []
+            now = block[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield ended()
 
 
 def token_counts(docs: DataFrame, path: str | None = None, over: int = OVER) -> DataFrame:
@@ -134,12 +221,11 @@ def token_counts(docs: DataFrame, path: str | None = None, over: int = OVER) ->
     """
     own = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    lists = stage(own.mapInArrow(_lists, f"block long, doc int, doc_id {kind}, n_bytes long, piece string, docs array<int>, counts array<int>"), "pre-tokens")
-    entries = lists.filter(F.col("piece").isNotNull()).select("piece", "block", "docs", "counts")
-    pieces = lists.filter(F.col("piece").isNotNull()).select("piece").distinct()
-    pieces = stage(pieces.withColumn("n", _count_pieces(path or vocabulary_path())(F.col("piece"))), "pieces")
-    found = entries.join(pieces, "piece").select("block", "n", F.explode(F.arrays_zip("docs", "counts")).alias("e"))
-    sums = found.groupBy("block", F.col("e.docs").alias("doc")).agg(F.sum(F.col("e.counts") * F.col("n").cast("long")).alias("n_tokens"))
-    known = lists.filter(F.col("piece").isNull()).select("block", "doc", "doc_id", "n_bytes")
-    out = known.join(sums, ["block", "doc"], "left").select("doc_id", "n_bytes", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
-    return out.withColumn("over_limit", F.col("n_tokens") > over)
+    schema = f"block long, doc int, doc_id {kind}, n_bytes long, piece string, docs binary, counts binary"
+    lists = own.mapInArrow(_lists, schema)
+    # lists are dealt by pre-token, rows of documents by their place
+    key = F.when(F.col("piece").isNotNull(), F.xxhash64("piece")).otherwise(F.xxhash64("block", "doc"))
+    sums = lists.repartition(key).sortWithinPartitions("piece").mapInArrow(_joined(path or vocabulary_path()), schema)
+    by_block = sums.drop("piece").repartition("block").sortWithinPartitions("block")
+    out = by_block.mapInArrow(_collected, f"doc_id {kind}, n_bytes long, n_tokens long")
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit"))

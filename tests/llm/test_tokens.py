@@ -9,14 +9,35 @@ TEXTS = [
 ]
 
 
+def _with(function, **values):
+    """The function with other module constants, set in the worker before it runs."""
+
+    def run(batches):
+        before = {k: getattr(tokens, k) for k in values}
+        for k, v in values.items():
+            setattr(tokens, k, v)
+        try:
+            yield from function(batches)
+        finally:
+            for k, v in before.items():
+                setattr(tokens, k, v)
+
+    return run
+
+
 @pytest.fixture(scope="module")
 def library():
     return Tokenizer.from_file(tokens.vocabulary_path())
 
 
-@pytest.mark.parametrize("block", [1_000_000, 7])
+@pytest.mark.parametrize("block", [False, True])
 def test_counts_equal_the_library(spark, library, block, monkeypatch):
-    monkeypatch.setattr(tokens, "BLOCK_ENTRIES", block)
+    if block:  # read when the functions are sent to the workers
+        for name in ("_lists", "_collected"):
+            small = getattr(tokens, name)
+            monkeypatch.setattr(tokens, name, _with(small, BLOCK_ENTRIES=7, BLOCK_DOCS=3))
+        joined = tokens._joined
+        monkeypatch.setattr(tokens, "_joined", lambda path: _with(joined(path), BLOCKS_HELD=2, BLOCK_DOCS=3))
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(3, TEXTS[3]), (None, "no id")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'p' AS piece", "7 AS n_tokens", "8 AS block")
     got = sorted((tuple(r) for r in tokens.token_counts(df).collect()), key=str)
