@@ -8,16 +8,15 @@ from pyspark.sql import functions as F
 from ranklens.operators.keyed import prefix_sums, score_cuts, slice_of
 
 
-def nest(df: DataFrame, key: str, cols: list[str], as_: str, max_rows: int = 10_000) -> DataFrame:
-    """Sorted list of structs per key, in chunks of about ``max_rows``.
+def nest(df: DataFrame, key: str, cols: list[str], as_: str, time: str = "timestamp") -> DataFrame:
+    """List of structs per (key, day), in the order of ``time`` and the other columns.
 
-    Users within the limit get one row with chunk 0; a heavier user gets several rows, since a list
-    of all its events need not fit in one task. No event is dropped.
+    The rule is the same for every user: a list holds one day of events.
     """
-    sizes = df.groupBy(key).agg(F.greatest(F.ceil(F.count(F.lit(1)) / max_rows), F.lit(1)).alias("chunks"))
-    chunk = F.pmod(F.xxhash64(*cols), F.col("chunks")).cast("int")
-    rows = df.select(key, *cols).join(sizes, key).withColumn("chunk", F.when(F.col("chunks") > 1, chunk).otherwise(0))
-    return rows.groupBy(key, "chunk").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(as_))
+    order = [time, *[c for c in cols if c != time]]
+    day = F.floor(F.col(time) / 86400).cast("bigint").alias("day")
+    events = F.array_sort(F.collect_list(F.struct(*order)))
+    return df.groupBy(key, day).agg(F.transform(events, lambda e: F.struct(*[e[c].alias(c) for c in cols])).alias(as_))
 
 
 def agg_watch(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
@@ -123,23 +122,26 @@ def profile(watches: DataFrame, catalog: DataFrame, key: list[str], weight: str
     return summed.withColumn("t", total).filter(F.col("t") != 0).select(*key, "attr", "value", (F.col("w") / F.col("t")).alias("share"))
 
 
-def zscore(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Columns standardised by global mean and sample standard deviation.
+def zscore(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
+    """Columns standardised by mean and sample standard deviation, over all rows or per group.
 
-    The moments are one aggregation, read by the rows as a single scalar-subquery column.
+    A constant column (or a single row) is 0 everywhere. The moments are one aggregation; over all
+    rows they are read as a single scalar-subquery column, per group by a join of one row per group.
     """
-    moments = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c) for c in cols])
-    rows = df.withColumn("__z", moments.select(F.struct(*cols)).scalar())
-    return rows.withColumns({c: (F.col(c) - F.col(f"__z.{c}.m")) / F.col(f"__z.{c}.s") for c in cols}).drop("__z")
+    moments = df.groupBy(*by).agg(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(f"__{c}") for c in cols])
+    packed = moments.select(*by, F.struct(*[F.col(f"__{c}").alias(c) for c in cols]).alias("__z"))
+    rows = df.join(packed, list(by)) if by else df.withColumn("__z", packed.scalar())
+    scaled = lambda c: F.coalesce(F.try_divide(F.col(c) - F.col(f"__z.{c}.m"), F.col(f"__z.{c}.s")), F.when(F.col(c).isNotNull(), 0.0))
+    return rows.withColumns({c: scaled(c) for c in cols}).drop("__z")
 
 
 def rescale(df: DataFrame, source: str, target: str, out: str) -> DataFrame:
-    """``source`` moved to the mean and standard deviation of ``target``."""
+    """``source`` moved to the mean and standard deviation of ``target``; a constant source goes to the mean."""
     moments = df.agg(F.struct(F.avg(source).alias("ms"), F.stddev_samp(source).alias("ss"),
                               F.avg(target).alias("mt"), F.stddev_samp(target).alias("st")))
     rows = df.withColumn("__z", moments.scalar())
-    scaled = (F.col(source) - F.col("__z.ms")) / F.col("__z.ss") * F.col("__z.st") + F.col("__z.mt")
-    return rows.withColumn(out, scaled).drop("__z")
+    z = F.coalesce(F.try_divide(F.col(source) - F.col("__z.ms"), F.col("__z.ss")), F.when(F.col(source).isNotNull(), 0.0))
+    return rows.withColumn(out, z * F.col("__z.st") + F.col("__z.mt")).drop("__z")
 
 
 def quantiles(df: DataFrame, by: list[str], x: str, probs: list[float]) -> DataFrame:

@@ -1,8 +1,9 @@
 """Linear bandit statistics on activation vectors, shared or per arm.
 
 State is long: (i, j, a) and (i, b) cells, plus ``arm`` for per-arm state. Dense products run in
-Arrow batches where Spark has put the rows; only d x d partial sums are shuffled. A^-1 and theta of
-the shared model are d x d numbers, checked before they are sent to the tasks.
+Arrow batches where Spark has put the rows; only d x d partial sums are shuffled. Scoring brings rows
+and solved states together by (arm, part) with a bounded number of rows per part, for the shared
+model too, so a state of any size takes the same way. A null arm is an arm like any other.
 """
 
 from __future__ import annotations
@@ -11,12 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 EPS = 1e-8
-MAX_STATE_CELLS = 4_000_000  # 32 MB of doubles
 PARTIAL = "arm {arm}, i int, j int, a double"
 
 
@@ -65,12 +65,17 @@ def _unfold(cells: DataFrame, keys: list[str], lam: float) -> DataFrame:
     return both.select(*keys, i.alias("i"), j.alias("j"), (F.col("a") + ridge).alias("a"))
 
 
-def gram(act: DataFrame, lam: float = 1.0, h: str = "h", label: str = "click") -> DataFrame:
+def gram(act: DataFrame, d: int, lam: float = 1.0, h: str = "h", label: str = "click") -> DataFrame:
     """Shared state (i, j, a): A = lam I + H'H, and b = H'y in the rows with j = -1.
 
-    ``h`` names the layer to use (before or after the activation, or another layer).
+    Without any row that counts, the state is lam I and b = 0 of dimension ``d``. ``h`` names the layer
+    to use (before or after the activation, or another layer).
     """
-    return _unfold(gram_partials(act, h, label), [], lam)
+    span = F.sequence(F.col("i"), F.lit(d - 1))
+    zeros = act.sparkSession.range(d).select(F.col("id").cast("int").alias("i"))
+    zeros = zeros.select("i", F.explode(F.concat(F.array(F.lit(-1)), span)).alias("j"), F.lit(0.0).alias("a"))
+    cells = gram_partials(act, h, label).filter("i >= 0").unionByName(zeros).groupBy("i", "j").agg(F.sum("a").alias("a"))
+    return _unfold(cells, [], lam)
 
 
 def update_state(state: DataFrame, partial: DataFrame, keys: list[str] = ()) -> DataFrame:
@@ -79,18 +84,25 @@ def update_state(state: DataFrame, partial: DataFrame, keys: list[str] = ()) ->
     return state.select(*cols).unionByName(partial.select(*cols)).groupBy(*keys, "i", "j").agg(F.sum("a").alias("a"))
 
 
-def gram_by_arm(act: DataFrame, lam: float = 1.0, arm: str = "content_id", h: str = "h", label: str = "click", rows_per_part: int = 100_000) -> DataFrame:
-    """Per-arm state (arm, i, j, a) with lam I for every arm seen.
+def _arm_key(arm) -> Column:
+    """An arm as text that is never null, so that rows of a null arm meet too."""
+    return F.coalesce(F.concat(F.lit("="), F.col(arm).cast("string")), F.lit("none"))
 
-    Rows meet by (arm, part): an arm has one part per ``rows_per_part`` rows, so a hot arm is summed by
-    many tasks. Inside a task the rows come sorted by arm, and one d x d sum is held at a time.
+
+def _arm_value(key: str, kind: str) -> Column:
+    return F.when(F.col(key) != "none", F.substring(F.col(key), 2, 1 << 30)).cast(kind)
+
+
+def gram_by_arm(act: DataFrame, lam: float = 1.0, arm: str = "content_id", h: str = "h", label: str = "click", parts: int = 16) -> DataFrame:
+    """Per-arm state (arm, i, j, a) with lam I for every arm with a row that counts.
+
+    Rows are dealt by (arm, part), the part drawn per row, so a hot arm is summed by ``parts`` tasks
+    whatever its vectors are. Inside a task the rows come sorted by arm, and one d x d sum is held.
     """
     kept = act.filter((F.col(label) != -1) & F.col(h).isNotNull()).select(
-        F.col(arm).alias("arm"), F.col(h).alias("h"), F.col(label).cast("double").alias("y"))
-    parts = kept.groupBy("arm").agg(F.ceil(F.count(F.lit(1)) / rows_per_part).cast("int").alias("parts"))
-    placed = kept.join(parts, "arm").withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
-    placed = placed.repartition("arm", "part").sortWithinPartitions("arm", "part")
-    arm_type = kept.schema["arm"].dataType.simpleString()
+        _arm_key(arm).alias("arm"), F.col(h).alias("h"), F.col(label).cast("double").alias("y"), (F.monotonically_increasing_id() % parts).alias("part"))
+    placed = kept.repartition("arm", "part").sortWithinPartitions("arm", "part")
+    arm_type = act.schema[arm].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, a, b, count = None, None, None, 0
@@ -113,8 +125,9 @@ def gram_by_arm(act: DataFrame, lam: float = 1.0, arm: str = "content_id", h: st
         if a is not None:
             yield flush()
 
-    cells = placed.select("arm", "h", "y").mapInPandas(run, PARTIAL.format(arm=arm_type))
-    return _unfold(cells.groupBy("arm", "i", "j").agg(F.sum("a").alias("a")), ["arm"], lam)
+    cells = placed.select("arm", "h", "y").mapInPandas(run, PARTIAL.format(arm="string"))
+    summed = cells.groupBy("arm", "i", "j").agg(F.sum("a").alias("a"))
+    return _unfold(summed.withColumn("arm", _arm_value("arm", arm_type)), ["arm"], lam)
 
 
 def _dense(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -132,8 +145,8 @@ def solve_state(state: DataFrame, arm: str | None = None) -> DataFrame:
 
     A group is the d x d state of one arm, whatever the number of rows behind it.
     """
-    keyed = state if arm else state.withColumn("arm", F.lit(0))
-    arm_type = keyed.schema["arm"].dataType.simpleString()
+    arm_type = state.schema[arm].dataType.simpleString() if arm else "int"
+    keyed = state.select((_arm_key(arm) if arm else F.lit("=0")).alias("arm"), "i", "j", "a")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = _dense(pdf)
@@ -141,8 +154,8 @@ def solve_state(state: DataFrame, arm: str | None = None) -> DataFrame:
         return pd.DataFrame({"arm": [pdf["arm"].iloc[0]], "d": [len(b)], "a_inv": [inverse.ravel()], "theta": [inverse @ b],
                              "min_eigenvalue": [float(np.linalg.eigvalsh((a + a.T) / 2).min())]})
 
-    out = keyed.groupBy("arm").applyInPandas(run, f"arm {arm_type}, d int, a_inv array<double>, theta array<double>, min_eigenvalue double")
-    return out if arm else out.drop("arm")
+    out = keyed.groupBy("arm").applyInPandas(run, "arm string, d int, a_inv array<double>, theta array<double>, min_eigenvalue double")
+    return out.withColumn("arm", _arm_value("arm", arm_type)) if arm else out.drop("arm")
 
 
 def _with_scores(act: DataFrame) -> T.StructType:
@@ -153,35 +166,26 @@ def _scores(m: np.ndarray, inverse: np.ndarray, theta: np.ndarray) -> tuple[np.n
     return m @ theta, np.einsum("ij,jk,ik->i", m, inverse, m, optimize=True)
 
 
-def score_shared(act: DataFrame, solved: DataFrame, h: str = "h") -> DataFrame:
-    """Rows with ``mean`` = h theta and ``sd`` = sqrt(h' A^-1 h); rows are never multiplied with each other."""
-    small = F.col("d") * F.col("d") <= MAX_STATE_CELLS
-    state = solved.select("d", F.when(small, F.col("a_inv")).alias("a_inv"), F.when(small, F.col("theta")).alias("theta")).first()
-    d = state["d"]
-    if state["a_inv"] is None:
-        raise ValueError(f"a {d} x {d} state is too large to send to every task; score by arm instead")
-    inverse, theta = np.array(state["a_inv"]).reshape(d, d), np.array(state["theta"])
-    schema = _with_scores(act)
+def score_shared(act: DataFrame, solved: DataFrame, lam: float = 1.0, h: str = "h", rows_per_part: int = 50_000) -> DataFrame:
+    """Rows with ``mean`` = h theta and ``sd`` = sqrt(h' A^-1 h); rows are never multiplied with each other.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                mean, var = _scores(_matrix(pdf[h]), inverse, theta)
-                yield pdf.assign(mean=mean, sd=np.sqrt(np.maximum(var, 0.0)))
-
-    return act.mapInPandas(run, schema)
+    The same way as ``score_by_arm``, with one arm for all rows.
+    """
+    one = act.withColumn("__one", F.lit(0))
+    return score_by_arm(one, solved.withColumn("arm", F.lit(0)), lam, "__one", h, rows_per_part, 0.0).drop("__one")
 
 
-def score_by_arm(act: DataFrame, solved: DataFrame, lam: float = 1.0, arm: str = "content_id", h: str = "h", rows_per_part: int = 50_000) -> DataFrame:
-    """Scores against the row's own arm; an unseen arm gets mean 0 and variance h'h / lam.
+def score_by_arm(act: DataFrame, solved: DataFrame, lam: float = 1.0, arm: str = "content_id", h: str = "h", rows_per_part: int = 50_000, floor: float = EPS) -> DataFrame:
+    """Scores against the row's own arm; an arm without state gets mean 0 and variance h'h / lam.
 
-    Rows and state meet by (arm, part) with a bounded number of rows per part; a hot arm's state is
-    repeated once per part.
+    Rows and state meet by (arm, part) with a bounded number of rows per part, drawn per row; a hot
+    arm's state is repeated once per part. A null arm is cold unless it was trained.
     """
-    parts = act.groupBy(F.col(arm).alias("arm")).agg(F.ceil(F.count(F.lit(1)) / rows_per_part).cast("int").alias("parts"))
-    rows = act.join(parts.withColumnRenamed("arm", arm), arm).withColumn("part", F.pmod(F.xxhash64(h), F.col("parts")).cast("int"))
-    rows = rows.select(F.col(arm).alias("__arm"), F.col("part").alias("__part"), *[c for c in act.columns])
-    copies = solved.join(parts, "arm").select(F.col("arm").alias("__arm"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("__part"), "d", "a_inv", "theta")
+    keyed = act.select(_arm_key(arm).alias("__arm"), F.monotonically_increasing_id().alias("__row"), *act.columns)
+    parts = keyed.groupBy("__arm").agg(F.ceil(F.count(F.lit(1)) / rows_per_part).cast("int").alias("__parts"))
+    rows = keyed.join(parts, "__arm").withColumn("__part", (F.col("__row") % F.col("__parts")).cast("int")).drop("__row", "__parts")
+    copies = solved.select(_arm_key("arm").alias("__arm"), "d", "a_inv", "theta").join(parts, "__arm")
+    copies = copies.select("__arm", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part"), "d", "a_inv", "theta")
     names = act.columns
     schema = _with_scores(act)
 
@@ -194,7 +198,7 @@ def score_by_arm(act: DataFrame, solved: DataFrame, lam: float = 1.0, arm: str =
             mean, var = _scores(m, np.array(right["a_inv"].iloc[0]).reshape(d, d), np.array(right["theta"].iloc[0]))
         else:
             mean, var = np.zeros(len(m)), (m * m).sum(axis=1) / lam
-        return left[names].assign(mean=mean, sd=np.sqrt(np.maximum(var, EPS)))
+        return left[names].assign(mean=mean, sd=np.sqrt(np.maximum(var, floor)))
 
     return rows.groupBy("__arm", "__part").cogroup(copies.groupBy("__arm", "__part")).applyInPandas(run, schema)
 
@@ -213,12 +217,19 @@ def combine_days(daily: DataFrame, strategy: str, gamma: float = 0.95, lam: floa
     if strategy == "reset":
         return numbered.withColumn("a", F.col("a") + F.when(F.col("i") == F.col("j"), F.lit(lam)).otherwise(0.0)).drop("step")
     rate = {"cumulative": 1.0, "penalised": gamma}[strategy]
-    # each increment reaches every later day with weight rate ** distance
-    spread = numbered.withColumn("at", F.explode(F.sequence(F.col("step"), last)))
-    weight = F.pow(F.lit(rate), F.col("at") - F.col("step"))
-    summed = spread.groupBy("at", "i", "j").agg(F.sum(F.col("a") * weight).alias("a"))
+    # a cell's increments in day order, folded once; a cell's list has one entry per day
+    once = numbered.groupBy("i", "j", "step").agg(F.sum("a").alias("a")).withColumn("last", last)
+    cell = once.groupBy("i", "j").agg(F.map_from_entries(F.collect_list(F.struct("step", "a"))).alias("by_step"), F.min("step").alias("first"), F.max("last").alias("last"))
+
+    def fold(acc, at):
+        state = acc["state"] * F.lit(rate) + F.coalesce(F.try_element_at(F.col("by_step"), at), F.lit(0.0))
+        return F.struct(F.concat(acc["out"], F.array(state)).alias("out"), state.alias("state"))
+
+    zero = F.struct(F.array().cast("array<double>").alias("out"), F.lit(0.0).alias("state"))
+    states = F.aggregate(F.sequence("first", "last"), zero, fold)["out"]
+    rows = cell.select("i", "j", "first", F.posexplode(states).alias("after", "a")).withColumn("at", F.col("first") + F.col("after"))
     ridge = F.when(F.col("i") == F.col("j"), F.lit(lam) * F.pow(F.lit(rate), F.col("at") - 1)).otherwise(0.0)
-    return summed.select(F.element_at(ordered.scalar(), F.col("at").cast("int")).alias("day"), "i", "j", (F.col("a") + ridge).alias("a"))
+    return rows.select(F.element_at(ordered.scalar(), F.col("at").cast("int")).alias("day"), "i", "j", (F.col("a") + ridge).alias("a"))
 
 
 def merge_arms(daily: DataFrame, lam: float = 1.0, lam_inside: float = 0.0) -> DataFrame:

@@ -126,7 +126,7 @@ def task_rows(df: DataFrame, task: int) -> DataFrame:
     return df.filter(F.col("task") == task)
 
 
-def drop_oversized(df: DataFrame, limit: int = 1000, key: str = "dw_p_id", max_id: int = 1000) -> DataFrame:
+def drop_oversized(df: DataFrame, limit: int, max_id: int, key: str = "dw_p_id") -> DataFrame:
     """Without users over the row limit and users with an over-long id.
 
     Counting and an anti join keep the heavy users out of any window.

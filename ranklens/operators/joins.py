@@ -112,9 +112,9 @@ def qualify(df: DataFrame, by: list[str], having: Column) -> DataFrame:
     return df.join(groups, by, "left_semi")
 
 
-def lookup(df: DataFrame, dim: DataFrame, key: str, value: str, default, order: str | None = None) -> DataFrame:
+def lookup(df: DataFrame, dim: DataFrame, key: str, value: str, default, order: str) -> DataFrame:
     """Left join to one value per key (lowest ``order`` wins) with a default for unmapped keys."""
-    one = dim.groupBy(key).agg(F.min_by(value, order).alias(value)) if order else dim.select(key, value)
+    one = dim.groupBy(key).agg(F.min_by(value, order).alias(value))
     return df.join(one, key, "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
 
 

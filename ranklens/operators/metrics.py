@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ranklens.functions.hashing import hash_uniform
 from ranklens.operators.keyed import prefix_sums, score_cuts, slice_of, top_n
-from ranklens.sources.logs import stage
 
 KS = [1, 3, 5]
 # Fixed values: (base, deviation, mean) weights of the five blends.
@@ -28,7 +27,11 @@ BLENDS = {
 
 
 def tie_groups(df: DataFrame, by: list[str], score: str, k: int, label: str | None = None) -> DataFrame:
-    """First k distinct scores per request with size, label sum and rows before them (``ahead``)."""
+    """First k distinct scores per request with size, label sum and rows before them (``ahead``).
+
+    Rows without a score take no position.
+    """
+    df = df.filter(F.col(score).isNotNull())
     sums = [F.sum(F.col(label).cast("double")).alias("gain")] if label else []
     return _first_groups(df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("n"), *sums), by, score, k)
 
@@ -40,13 +43,16 @@ def _first_groups(groups: DataFrame, by: list[str], score: str, k: int) -> DataF
 
 
 def avg_rank(df: DataFrame, by: list[str], score: str) -> DataFrame:
-    """Every row with its descending rank; equal scores share the mean of their positions."""
-    groups = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("__n"))
+    """Every row with its descending rank; equal scores share the mean of their positions.
+
+    A row without a score takes no position; its rank is null.
+    """
+    groups = df.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count(F.lit(1)).alias("__n"))
     cuts = score_cuts(groups, score)
     sliced = groups.withColumn("__s", slice_of(F.col(score), cuts))
     placed = prefix_sums(sliced, by, [F.col(score).desc()], "__s", {"__ahead": F.col("__n")}, descending_slices=True)
     ranks = placed.select(*by, score, (F.col("__ahead") + (F.col("__n") + 1) / 2).alias("rank"))
-    return df.join(ranks, [*by, score])
+    return df.join(ranks, [*by, score], "left")
 
 
 def at_k(df: DataFrame, by: list[str], score: str, k: int, mode: str = "le") -> DataFrame:
@@ -210,15 +216,15 @@ def _discount_sums(df: DataFrame, user: str, name: str, piece: int = 10_000) ->
     return pieces.groupBy(user).agg(F.sum(F.col("gain") * discount).alias(name))
 
 
-def user_metrics(df: DataFrame, score: str, label: str, cap: int = 50_000, salt: str = "eval", user: str = "dw_p_id") -> DataFrame:
+def user_metrics(df: DataFrame, score: str, label: str, rate: float | None = None, salt: str = "eval", user: str = "dw_p_id") -> DataFrame:
     """AP, NDCG and AUC averaged unweighted over users with both classes, plus pooled AUC and loss.
 
-    At most ``cap`` users take part, chosen by hash order. Their three columns are read by every metric
-    and written once.
+    All users take part; a caller that wants a sample names the ``rate`` of users drawn by hash. The
+    input is read by several metrics, so a caller with an expensive one stages it first.
     """
     both = df.groupBy(user).agg(F.max(label).alias("hi"), F.min(label).alias("lo")).filter("hi > 0 and lo <= 0").select(user)
-    users = both.orderBy(hash_uniform([user], salt), user).limit(cap)
-    rows = stage(df.select(user, score, label).join(users, user, "left_semi"), "evaluated")
+    users = both if rate is None else both.filter(hash_uniform([user], salt) < rate)
+    rows = df.select(user, score, label).join(users, user, "left_semi")
     hist = _score_histogram(rows, [user], score, label)
     n, ahead = F.col("pos") + F.col("neg"), F.col("pos_above") + F.col("neg_above")
     precision = (F.col("pos_above") + F.col("pos")) / (ahead + n)
@@ -253,6 +259,7 @@ def task_weights(stats: DataFrame, weights: dict[str, float], batch: int) -> Dat
 
 
 EXPERIMENT = ["train_date", "strategy", "blend"]
+TIERS = ["High", "Medium", "Low", "Negligible", "Unmapped"]
 
 
 def experiment_table(df: DataFrame, by: list[str], score: str, label: str, category: str, item: str, ks=KS,
@@ -273,7 +280,12 @@ def experiment_table(df: DataFrame, by: list[str], score: str, label: str, categ
     return out
 
 
-def wide_table(table: DataFrame) -> DataFrame:
-    """Experiment table with one column per metric (metric@k, and the category where there is one)."""
+def wide_table(table: DataFrame, ks=KS, tiers: list[str] = TIERS) -> DataFrame:
+    """Experiment table with one column per metric (metric@k, and the category where there is one).
+
+    The columns follow from ``ks`` and ``tiers``, not from the data; a metric without rows is null.
+    """
+    clean = lambda c: c.lower().replace(" ", "_")
+    names = [f"{m}_{k}" for m in ("catalog", "ndcg", "perplexity") for k in ks] + [f"popularity_mix_{k}_{clean(c)}" for k in ks for c in tiers] + ["score_mean", "score_std"]
     name = F.concat_ws("_", "metric", F.when(F.col("k") > 0, F.col("k").cast("string")), F.lower(F.replace("category", F.lit(" "), F.lit("_"))))
-    return table.withColumn("name", name).groupBy("train_date", "strategy", "blend").pivot("name").agg(F.first("value"))
+    return table.withColumn("name", name).groupBy(*EXPERIMENT).pivot("name", names).agg(F.first("value"))

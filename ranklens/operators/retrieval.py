@@ -69,15 +69,27 @@ def retrieve(watches: DataFrame, relevances: DataFrame, catalog: DataFrame, now:
     return quota_topk(rows, ["dw_p_id"], [F.col("score").desc(), F.col("dst"), F.col("dst_lang")], n, kind_min, "is_show", "is_brand")
 
 
-def evidence(watches: DataFrame, relevances: DataFrame) -> DataFrame:
-    """Which watched title led to which target: (user, src, src_lang, dst, dst_lang, relevance)."""
-    pairs = watches.select("dw_p_id", "content_id", "language").distinct()
+def used_watches(watches: DataFrame, relevances: DataFrame, thr: int = 600) -> DataFrame:
+    """Watches of the pass that scored the user, as in ``item_scores``.
+
+    Those of at least ``thr`` seconds; all of them for a user none of whose long watches leads anywhere.
+    """
+    sources = relevances.select(F.col("src").alias("content_id"), F.col("src_lang").alias("language"))
+    long = watches.filter(F.col("watch_len") >= thr)
+    by_long = long.select("dw_p_id", "content_id", "language").distinct().join(sources, ["content_id", "language"], "left_semi")
+    rows = watches.join(by_long.select("dw_p_id", F.lit(True).alias("__long")).distinct(), "dw_p_id", "left")
+    return rows.filter(F.col("__long").isNull() | (F.col("watch_len") >= thr)).drop("__long")
+
+
+def evidence(used: DataFrame, relevances: DataFrame) -> DataFrame:
+    """Which used watch led to which target: (user, src, src_lang, dst, dst_lang, relevance)."""
+    pairs = used.select("dw_p_id", "content_id", "language").distinct()
     return watch_relevance(pairs, relevances).withColumnsRenamed({"content_id": "src", "language": "src_lang"})
 
 
-def watch_weights(watches: DataFrame, now: int, half_life: float = HALF_LIFE) -> DataFrame:
-    """Recency weight of each watched title, from its newest watch."""
-    return watches.groupBy("dw_p_id", F.col("content_id").alias("src"), F.col("language").alias("src_lang")).agg(
+def watch_weights(used: DataFrame, now: int, half_life: float = HALF_LIFE) -> DataFrame:
+    """Recency weight of each title among the used watches, from its newest watch."""
+    return used.groupBy("dw_p_id", F.col("content_id").alias("src"), F.col("language").alias("src_lang")).agg(
         recency(F.max("last_watch"), now, half_life).alias("weight"))
 
 
@@ -249,7 +261,7 @@ def source_evidence(sources: DataFrame, relevances: DataFrame) -> DataFrame:
 def diversify(results: DataFrame, evidences: DataFrame, weights: DataFrame, limit: int = 20) -> DataFrame:
     """Scores x capacity of the item's best source / (1 + earlier items of that source).
 
-    Sources are a user's ``limit`` heaviest watches. An item without evidence scores 0 and counts
+    Sources are a user's ``limit`` heaviest watches of the pass that scored the user. An item without evidence scores 0 and counts
     against the heaviest source.
     """
     sources = top_sources(weights, limit)
@@ -310,6 +322,5 @@ def export_unseen(pred: DataFrame, latest: DataFrame) -> DataFrame:
 
 def predict(watches: DataFrame, relevances: DataFrame, catalog: DataFrame, now: int, n: int = 40, min_pay_ratio: float = 0.0) -> DataFrame:
     """Candidates for all users end to end: retrieve, language gate, filter, final list."""
-    ok = watches.filter(F.length("dw_p_id") <= 1000)
-    found = retrieve(ok, relevances, catalog, now).select("dw_p_id", "dst", "dst_lang", "score")
-    return finalize(filter_results(language_gate(found, ok), ok, catalog), catalog, n, min_pay_ratio)
+    found = retrieve(watches, relevances, catalog, now).select("dw_p_id", "dst", "dst_lang", "score")
+    return finalize(filter_results(language_gate(found, watches), watches, catalog), catalog, n, min_pay_ratio)

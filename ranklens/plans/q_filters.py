@@ -109,7 +109,7 @@ def _(t):
 
 @query("f13_drop_oversized", "SELECT dw_p_id, count(*) AS n FROM log GROUP BY dw_p_id HAVING count(*) <= 70 AND length(dw_p_id) <= 2")
 def _(t):
-    return filters.drop_oversized(t.log, 70, max_id=2).groupBy("dw_p_id").agg(rows_n())
+    return filters.drop_oversized(t.log, limit=70, max_id=2).groupBy("dw_p_id").agg(rows_n())
 
 
 def _sections(t):

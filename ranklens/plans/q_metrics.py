@@ -22,11 +22,12 @@ def r6(*cols):
 # ---- aggregations
 
 
-@query("a1_nest", "SELECT dw_p_id, count(*) AS n, min(timestamp) AS first_ts, max(timestamp) AS last_ts FROM clicks GROUP BY ALL")
+@query("a1_nest", """
+    SELECT dw_p_id, timestamp // 86400 AS day, CAST(row_number() OVER (PARTITION BY dw_p_id, timestamp // 86400 ORDER BY timestamp, content_id, full_tray_id) - 1 AS INTEGER) AS pos, timestamp, content_id, full_tray_id FROM clicks""")
 def _(t):
-    nested = aggregates.nest(t.clicks, "dw_p_id", ["timestamp", "content_id", "full_tray_id"], "clicks", max_rows=8)
-    return nested.groupBy("dw_p_id").agg(
-        F.sum(F.size("clicks")).cast("bigint").alias("n"), F.min(F.get("clicks", F.lit(0))["timestamp"]).alias("first_ts"), F.max(F.element_at("clicks", -1)["timestamp"]).alias("last_ts"))
+    """Every element of every list with its place."""
+    nested = aggregates.nest(t.clicks, "dw_p_id", ["timestamp", "content_id", "full_tray_id"], "clicks")
+    return nested.select("dw_p_id", "day", F.posexplode("clicks").alias("pos", "e")).select("dw_p_id", "day", "pos", "e.*")
 
 
 @query("a2_agg_watch", "SELECT dw_p_id, content_id, CAST(sum(watch_len) AS BIGINT) AS seconds, min(first_watch) AS first_watch, count(*) AS n FROM kwatch GROUP BY ALL")
@@ -324,7 +325,7 @@ _LOSS = lambda y, z: f"avg(-({y} * ln(least(greatest(1 / (1 + exp(-{z})), 1e-8),
            round((SELECT {_LOSS('label', 'logit')} FROM u), 6) AS loss FROM per JOIN a USING (dw_p_id)""")
 def _(t):
     rows = t.scored.select("event_id", "dw_p_id", "label", (F.floor(F.col("base") * 20) / 4 - 2).alias("logit"))
-    return metrics.user_metrics(rows, "logit", "label").select("num_users", *r6("map", "ndcg", "group_auc", "auc", "loss"))
+    return metrics.user_metrics(stage(rows, "evaluated"), "logit", "label").select("num_users", *r6("map", "ndcg", "group_auc", "auc", "loss"))
 
 
 @query("m7_pooled_auc", f"SELECT round(auc, 6) AS auc FROM ({auc_sql('scored', 'base', 'label')})")
@@ -354,17 +355,17 @@ def _(t):
     return out.select("task", "n", *r6("log_loss", "auc"))
 
 
-_MOMENTS = " UNION ALL ".join(f"SELECT '{b}' AS blend, 'score_mean' AS metric, 0::BIGINT AS k, NULL AS category, avg(score) AS value FROM s WHERE blend = '{b}' UNION ALL SELECT '{b}', 'score_std', 0, NULL, stddev_samp(score) FROM s WHERE blend = '{b}'" for b in ("base", "base_explore"))
+_MOMENTS = " UNION ALL ".join(f"SELECT '{b}' AS blend, 'score_mean' AS metric, 0::BIGINT AS k, NULL AS category, avg(score) AS value FROM s WHERE blend = '{b}' UNION ALL SELECT '{b}', 'score_std', 0, NULL, stddev_samp(score) FROM s WHERE blend = '{b}'" for b in metrics.BLENDS)
 
 
 def _experiment(t):
     rows = blended(t).withColumn("score", F.round("score", 9)).withColumn("category", F.when(F.col("category") == "Unmapped", "new release").otherwise(F.col("category")))
-    named = rows.filter(F.col("blend").isin("base", "base_explore")).withColumns({"train_date": F.lit("2024-01-16"), "strategy": F.lit("cumulative")})
+    named = rows.withColumns({"train_date": F.lit("2024-01-16"), "strategy": F.lit("cumulative")})
     return metrics.experiment_table(named, REQ, "score", "label", "category", "content_id").withColumn("value", F.round("value", 5))
 
 
 @query("m11_experiment_table", f"""
-    WITH z AS ({ZSCORED}), s AS (SELECT * REPLACE (round(score, 9) AS score, CASE WHEN category = 'Unmapped' THEN 'High' ELSE category END AS category) FROM ({_BLENDS}) WHERE blend IN ('base', 'base_explore')),
+    WITH z AS ({ZSCORED}), s AS (SELECT * REPLACE (round(score, 9) AS score, CASE WHEN category = 'Unmapped' THEN 'High' ELSE category END AS category) FROM ({_BLENDS})),
     nd AS ({_PER_BLEND}), rk AS (SELECT *, rank() OVER (PARTITION BY blend, dw_p_id, timestamp ORDER BY score DESC) + (count(*) OVER (PARTITION BY blend, dw_p_id, timestamp, score) - 1) / 2.0::DOUBLE AS rank FROM s),
     ks AS (SELECT unnest([1::BIGINT, 3, 5]) AS k),
     mix AS (SELECT blend, 'popularity_mix' AS metric, k, category, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY blend, k), 2) AS value FROM rk, ks WHERE rank <= k GROUP BY blend, k, category),
@@ -382,7 +383,7 @@ def _wide(metric: str, k: int, category: str | None = None) -> str:
     return f"max(value) FILTER ({test}) AS {name}"
 
 
-_WIDE = ", ".join([_wide(m, k) for m in ("catalog", "ndcg", "perplexity") for k in (1, 3, 5)] + [_wide("popularity_mix", k, c) for k in (1, 3, 5) for c in ("High", "Low", "Medium")]
+_WIDE = ", ".join([_wide(m, k) for m in ("catalog", "ndcg", "perplexity") for k in (1, 3, 5)] + [_wide("popularity_mix", k, c) for k in (1, 3, 5) for c in metrics.TIERS]
                   + [_wide("score_mean", 0), _wide("score_std", 0)])
 
 

@@ -27,8 +27,8 @@ _SCORES = f"""
                WHERE CASE WHEN pass = 'long' THEN ls ELSE als END IS NOT NULL AND NOT coalesce(CASE WHEN pass = 'long' THEN u.ul ELSE u.ul IS NOT NULL END, false))"""
 
 
-def scores(t):
-    return r6(retrieval.item_scores(t.kwatch, t.rel, NOW))
+def scores(t, rel=None):
+    return r6(retrieval.item_scores(t.kwatch, t.rel if rel is None else rel, NOW))
 
 
 @query("k1_item_scores", f"WITH {_SCORES} SELECT * FROM scores")
@@ -45,9 +45,9 @@ _FLAGGED = f"{_SCORES}, flagged AS (SELECT s.*, coalesce(kind = 'show', false) A
 _ORDER = "score DESC, dst, dst_lang"
 
 
-def flagged(t):
+def flagged(t, rel=None):
     info = t.catalog.select(F.col("content_id").alias("dst"), (F.col("kind") == "show").alias("is_show"), "is_brand")
-    return scores(t).join(info, "dst", "left").fillna({"is_show": False, "is_brand": False})
+    return scores(t, rel).join(info, "dst", "left").fillna({"is_show": False, "is_brand": False})
 
 
 @query("w8_quota_topk", f"WITH {_FLAGGED} SELECT dw_p_id, dst, dst_lang, score FROM ({quota_sql('flagged', 'dw_p_id', _ORDER, 20, 12)})")
@@ -56,18 +56,35 @@ def _(t):
     return kept.select("dw_p_id", "dst", "dst_lang", "score")
 
 
-@query("k2_evidence", f"SELECT w.dw_p_id, w.content_id AS src, w.language AS src_lang, r.dst, r.dst_lang, round(r.score, 6) AS relevance, round(max({_W}), 6) AS weight FROM kwatch w JOIN rel r ON r.src = w.content_id AND r.src_lang = w.language GROUP BY ALL")
+# the first pass takes watches of 600 s and more; only if it finds no target, a second one takes all
+_USED = """usedw AS (SELECT * FROM kwatch k WHERE watch_len >= 600 OR NOT EXISTS (
+    SELECT 1 FROM kwatch w JOIN rel r ON r.src = w.content_id AND r.src_lang = w.language WHERE w.dw_p_id = k.dw_p_id AND w.watch_len >= 600))"""
+
+
+@query("k2_used_watches", f"WITH {_USED} SELECT dw_p_id, content_id, language, watch_len, last_watch FROM usedw")
+def _(t):
+    return retrieval.used_watches(t.kwatch, t.rel).select("dw_p_id", "content_id", "language", "watch_len", "last_watch")
+
+
+@query("k2_short_only", "SELECT dw_p_id, content_id, language, watch_len, last_watch FROM kwatch WHERE watch_len < 600")
+def _(t):
+    """Users whose watches are all short are scored from all of them."""
+    return retrieval.used_watches(t.kwatch.filter("watch_len < 600"), t.rel).select("dw_p_id", "content_id", "language", "watch_len", "last_watch")
+
+
+@query("k2_evidence", f"WITH {_USED} SELECT w.dw_p_id, w.content_id AS src, w.language AS src_lang, r.dst, r.dst_lang, round(r.score, 6) AS relevance, round(max({_W}), 6) AS weight FROM usedw w JOIN rel r ON r.src = w.content_id AND r.src_lang = w.language GROUP BY ALL")
 def _(t):
-    ev = retrieval.evidence(t.kwatch, t.rel).join(retrieval.watch_weights(t.kwatch, NOW), ["dw_p_id", "src", "src_lang"])
+    used = retrieval.used_watches(t.kwatch, t.rel)
+    ev = retrieval.evidence(used, t.rel).join(retrieval.watch_weights(used, NOW), ["dw_p_id", "src", "src_lang"])
     return ev.withColumns({"relevance": F.round("relevance", 6), "weight": F.round("weight", 6)})
 
 
 _TOP = f"{_FLAGGED}, top AS (SELECT dw_p_id, dst, dst_lang, score FROM ({quota_sql('flagged', 'dw_p_id', _ORDER, 200, 50)}))"
 
 
-def top(t):
+def top(t, rel=None):
     """Retrieved candidates, written once for the list steps that follow."""
-    kept = retrieval.quota_topk(flagged(t), ["dw_p_id"], [F.col("score").desc(), F.col("dst"), F.col("dst_lang")], 200, 50, "is_show", "is_brand")
+    kept = retrieval.quota_topk(flagged(t, rel), ["dw_p_id"], [F.col("score").desc(), F.col("dst"), F.col("dst_lang")], 200, 50, "is_show", "is_brand")
     return stage(kept.select("dw_p_id", "dst", "dst_lang", "score"), "candidates")
 
 
@@ -216,9 +233,15 @@ def _(t):
     return retrieval.tagged_union({e: part(e) for e in ("view", "click", "error")}, t.catalog).withColumn("sources", F.concat_ws(",", "sources"))
 
 
-_DIV = f"""{_TOP},
-    ww AS (SELECT dw_p_id, content_id AS src, language AS src_lang, pow(0.5, ({NOW} - max(last_watch)) / 1209600.0::DOUBLE) AS weight FROM kwatch GROUP BY ALL),
-    srcs AS (SELECT *, row_number() OVER (PARTITION BY dw_p_id ORDER BY weight DESC, src, src_lang) AS pos FROM ww QUALIFY pos <= 6),
+@query("k10_token_retrieve_default", f"""WITH ts AS ({_TOKEN}), tf AS (SELECT ts.*, coalesce(kind = 'show', false) AS is_show, false AS is_brand FROM ts LEFT JOIN catalog ON content_id = dst)
+    SELECT dw_p_id, dst, dst_lang, score FROM ({quota_sql('tf', 'dw_p_id', _ORDER, 200, 100)})""")
+def _(t):
+    return retrieval.token_retrieve(r6(retrieval.token_scores(t.ns_watches, t.videos, t.tokens, t.token_rel, t.kwatch, NOW)), t.catalog)
+
+
+_DIV = f"""{_TOP}, {_USED},
+    ww AS (SELECT dw_p_id, content_id AS src, language AS src_lang, pow(0.5, ({NOW} - max(last_watch)) / 1209600.0::DOUBLE) AS weight FROM usedw GROUP BY ALL),
+    srcs AS (SELECT *, row_number() OVER (PARTITION BY dw_p_id ORDER BY weight DESC, src, src_lang) AS pos FROM ww QUALIFY pos <= 20),
     ev AS (SELECT s.dw_p_id, r.dst, r.dst_lang, s.pos, s.weight, r.score AS relevance FROM srcs s JOIN rel r ON r.src = s.src AND r.src_lang = s.src_lang),
     best AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY dw_p_id, dst, dst_lang ORDER BY relevance DESC, pos) = 1),
     rows AS (SELECT t.*, b.weight, coalesce(b.relevance > 0, false) AS hit, CASE WHEN b.relevance > 0 THEN b.pos ELSE 1 END AS src FROM top t LEFT JOIN best b USING (dw_p_id, dst, dst_lang) WHERE t.dw_p_id IN (SELECT dw_p_id FROM srcs))"""
@@ -226,9 +249,10 @@ _DIV = f"""{_TOP},
 
 @query("k12_diversify", f"WITH {_DIV} SELECT dw_p_id, dst, dst_lang, round(CASE WHEN hit THEN score * weight / row_number() OVER (PARTITION BY dw_p_id, src ORDER BY {_ORDER}) ELSE 0 END, 6) AS score FROM rows")
 def _(t):
-    weights = retrieval.watch_weights(t.kwatch, NOW)
-    evidence = retrieval.source_evidence(retrieval.top_sources(weights, 6), t.rel)
-    return r6(retrieval.diversify(top(t), evidence, weights, 6))
+    rel = stage(t.rel, "relevances")  # read for scoring, for the pass and for the evidence
+    weights = retrieval.watch_weights(retrieval.used_watches(t.kwatch, rel), NOW)
+    evidence = retrieval.source_evidence(retrieval.top_sources(weights), rel)
+    return r6(retrieval.diversify(top(t, rel), evidence, weights))
 
 
 _D = draw_sql(["dw_p_id", f"'{DATE}'", "dst"], "home")
@@ -242,6 +266,14 @@ def _(t):
     return r6(retrieval.impression_discount(top(t), counts, DATE, start=1, most=4))
 
 
+@query("k13_impression_discount_default", f"""WITH {_TOP}, imp AS (SELECT dw_p_id, k AS dst, count(*) * 3 AS impressions FROM log GROUP BY ALL),
+    m AS (SELECT t.*, impressions, min(score) OVER (PARTITION BY t.dw_p_id) AS low, least((impressions - 2) / 8.0::DOUBLE, 1) AS pull FROM top t LEFT JOIN imp USING (dw_p_id, dst))
+    SELECT dw_p_id, dst, dst_lang, round(CASE WHEN impressions > 2 THEN (score - low) * (pull * {_D} + (1 - pull)) + low ELSE score END, 6) AS score FROM m""")
+def _(t):
+    counts = t.log.groupBy("dw_p_id", F.col("k").alias("dst")).agg((F.count(F.lit(1)) * 3).alias("impressions"))
+    return r6(retrieval.impression_discount(top(t), counts, DATE))
+
+
 @query("k14_jitter", f"WITH {_TOP} SELECT dw_p_id, dst, dst_lang, round(CASE WHEN score > 0 THEN score * ({_D} * 0.5 + 0.5) ELSE score END, 6) AS score FROM top")
 def _(t):
     return r6(retrieval.jitter(top(t), DATE))

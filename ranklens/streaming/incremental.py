@@ -21,13 +21,15 @@ def stored_state(spark: SparkSession, path: str, version: str | None = None) ->
     return df.filter(F.col("version") == at).drop("version")
 
 
-def next_state(spark: SparkSession, path: str, act: DataFrame, version: str, previous: str | None, lam: float = 1.0, arm: str | None = None) -> None:
+def next_state(spark: SparkSession, path: str, act: DataFrame, version: str, previous: str | None, d: int, lam: float = 1.0, arm: str | None = None) -> None:
     """Write version = previous + increment of ``act``; without ``previous`` the state starts anew at lam I.
 
+    A first increment without rows leaves lam I of dimension ``d`` (no arm yet, per arm).
+
     A version is one partition directory, overwritten as a whole, so a rerun leaves the same state.
     """
     start = lam if previous is None else 0.0
-    new = gram_by_arm(act, start, arm) if arm else gram(act, start)
+    new = gram_by_arm(act, start, arm) if arm else gram(act, d, start)
     keys = ["arm"] if arm else []
     if previous is not None:
         old = stored_state(spark, path, previous)
@@ -39,11 +41,11 @@ def next_state(spark: SparkSession, path: str, act: DataFrame, version: str, pre
     new.write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={version}")
 
 
-def fold_batch(path: str, lam: float = 1.0, arm: str | None = None) -> Callable[[DataFrame, int], None]:
+def fold_batch(path: str, d: int, lam: float = 1.0, arm: str | None = None) -> Callable[[DataFrame, int], None]:
     """Function for ``foreachBatch``: batch n writes version n on top of version n - 1."""
 
     def run(batch: DataFrame, number: int) -> None:
         previous = f"{number - 1:012d}" if number > 0 else None
-        next_state(batch.sparkSession, path, batch, f"{number:012d}", previous, lam, arm)
+        next_state(batch.sparkSession, path, batch, f"{number:012d}", previous, d, lam, arm)
 
     return run

@@ -248,8 +248,9 @@ def test_geo_default_and_suffix(spark):
     assert [scalars.variant_suffix(v) for v in ("x", "-x", "", None)] == ["-x", "-x", "", None]
 
 
-def test_nest_chunks_lose_nothing(spark):
-    df = spark.createDataFrame([("u", i) for i in range(100)] + [("v", 1)], "dw_p_id string, x int")
-    n = aggregates.nest(df, "dw_p_id", ["x"], "xs", max_rows=10)
-    assert n.filter("dw_p_id = 'v'").count() == 1 and n.filter("dw_p_id = 'u'").count() > 1
-    assert sorted(r[0] for r in n.filter("dw_p_id = 'u'").select(F.explode("xs.x")).collect()) == list(range(100))
+def test_nest_is_one_list_per_day_in_time_order(spark):
+    df = spark.createDataFrame([("u", (i * 37) % 100 * 2000) for i in range(100)] + [("v", 1)], "dw_p_id string, timestamp long")
+    n = aggregates.nest(df, "dw_p_id", ["timestamp"], "xs")
+    assert n.filter("dw_p_id = 'v'").count() == 1
+    lists = [[e.timestamp for e in r.xs] for r in n.filter("dw_p_id = 'u'").orderBy("day").collect()]
+    assert [len(x) for x in lists] == [44, 43, 13] and sum(lists, []) == [i * 2000 for i in range(100)]

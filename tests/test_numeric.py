@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ranklens.operators import aggregates, bandit, metrics
+from ranklens.streaming import incremental
 from ranklens.streaming.incremental import fold_batch, stored_state
 
 D = 6
@@ -45,26 +46,72 @@ def dense(rows):
 def test_gram_under_any_partitioning(act, data):
     _, a, b = state(data)
     for df in (act, act.coalesce(1), act.repartition(13)):
-        got = dense(bandit.gram(df).collect())
+        got = dense(bandit.gram(df, D).collect())
         assert np.allclose(got[0], a) and np.allclose(got[1], b)
 
 
 def test_gram_by_arm_splits_a_hot_arm(act, data):
-    rows = bandit.gram_by_arm(act, rows_per_part=20).collect()
+    rows = bandit.gram_by_arm(act, parts=5).collect()
     for arm, df in data.groupby("content_id"):
         _, a, b = state(df)
         got = dense([r for r in rows if r["arm"] == arm])
         assert np.allclose(got[0], a) and np.allclose(got[1], b)
 
 
-def test_masked_only_gives_no_state(act):
-    assert bandit.gram(act.withColumn("click", F.lit(-1))).count() == 0
+def test_no_rows_that_count_give_lambda(act):
+    for none in (act.withColumn("click", F.lit(-1)), act.filter("false")):
+        a, b = dense(bandit.gram(none, D, lam=3.0).collect())
+        assert np.allclose(a, 3 * np.eye(D)) and not b.any()
+
+
+def test_empty_first_increment_keeps_lambda(spark, act, data, tmp_path):
+    path = f"file://{tmp_path}/state"
+    incremental.next_state(spark, path, act.filter("false"), "0", None, D)
+    incremental.next_state(spark, path, act, "1", "0", D)
+    a, b = dense(incremental.stored_state(spark, path, "1").collect())
+    assert np.allclose(a, state(data)[1]) and np.allclose(b, state(data)[2])
+
+
+def test_null_arm_is_cold_or_trained(act, data):
+    null3 = act.withColumn("content_id", F.when(F.col("content_id") != 3, F.col("content_id")))
+    h3 = data[data["content_id"] == 3]
+    for trained in (False, True):
+        base = null3 if trained else act.filter("content_id <> 3")
+        got = bandit.score_by_arm(null3, bandit.solve_state(bandit.gram_by_arm(base), "arm")).toPandas().set_index("id")
+        assert len(got) == len(data) and got.loc[h3["id"], "content_id"].isna().all()
+        assert (got.loc[h3["id"], "mean"] != 0).all() == trained
+
+
+def test_hot_arm_of_equal_vectors_is_split(spark):
+    df = spark.range(200).selectExpr("7 AS content_id", "array(1.0D, 0.0D) AS h", "1 AS click")
+    rows = bandit.gram_by_arm(df, parts=8).collect()
+    assert {(r["i"], r["j"]): round(r["a"], 4) for r in rows} == {(0, 0): 201.0, (0, 1): 0.0, (1, 0): 0.0, (1, 1): 1.0, (0, -1): 200.0, (1, -1): 0.0}
+
+
+def test_smallest_eigenvalue(act, data):
+    got = bandit.solve_state(bandit.gram(act, D)).first()["min_eigenvalue"]
+    assert np.isclose(got, np.linalg.eigvalsh(state(data)[1]).min())
+
+
+def test_constant_scores_standardise_to_zero(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 4.0), ("b", 5.0, 7.0)], "g string, x double, y double")
+    assert [(r.x, round(r.y, 4)) for r in aggregates.zscore(df, ["x", "y"], ["g"]).orderBy("g", "y").collect()] == [(0.0, -0.7071), (0.0, 0.7071), (0.0, 0.0)]
+    one = aggregates.zscore(df.withColumn("x", F.lit(3.0)), ["x"])
+    assert {r.x for r in one.collect()} == {0.0}
+    assert all(r.z == pytest.approx(13 / 3) for r in aggregates.rescale(one, "x", "y", "z").collect())
+
+
+def test_null_scores_keep_their_rows(spark):
+    df = spark.createDataFrame([(1, 5.0), (1, None), (1, 5.0), (1, 2.0)], "g int, s double")
+    got = sorted((r.s or 0, r["rank"] or 0) for r in metrics.avg_rank(df, ["g"], "s").collect())
+    assert got == [(0, 0), (2.0, 3.0), (5.0, 1.5), (5.0, 1.5)]
+    assert sorted(r.s for r in metrics.at_k(df, ["g"], "s", 3).collect()) == [2.0, 5.0, 5.0]
 
 
 def test_scores(act, data):
     h, a, b = state(data)
     inv = np.linalg.inv(a)
-    got = bandit.score_shared(act, bandit.solve_state(bandit.gram(act))).toPandas().sort_values("id")
+    got = bandit.score_shared(act, bandit.solve_state(bandit.gram(act, D))).toPandas().sort_values("id")
     assert np.allclose(got["mean"], h @ (inv @ b)) and np.allclose(got["sd"], np.sqrt(np.diag(h @ inv @ h.T)))
 
 
@@ -117,7 +164,7 @@ def test_stream_batches_fold_into_versions(spark, act, data, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "state")
     act.repartition(3).write.parquet(source)
     stream = spark.readStream.schema(act.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    q = stream.writeStream.foreachBatch(fold_batch(out)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(fold_batch(out, D)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     a, b = dense(stored_state(spark, out).collect())
     want = state(data)
@@ -167,8 +214,8 @@ def test_bandit_evaluation_like_pandas(spark, data):
     pdf = data.assign(h=data["h"].map(list), base=rng.random(len(data)), request=data["id"] // 8, day=data["id"] % 2)
     df = spark.createDataFrame(pdf)
     tags = spark.createDataFrame([(1, "High"), (2, "Low")], "content_id long, popularity_tag string")
-    scored = evaluate.score_requests(df.filter("day = 0"), df)
-    table = evaluate.compare({("d", "s"): scored}, tags, ["request"], "click").toPandas()
+    scored = evaluate.score_requests(df.filter("day = 0"), df, D)
+    table = evaluate.experiment(evaluate.compare({("d", "s"): scored}, tags), ["request"]).toPandas()
 
     h, _, _ = state(pdf)
     _, a, b = state(pdf[pdf.day == 0])
