@@ -26,19 +26,42 @@ FOLDS, HELD_OUT, ACCEPT = 4, 2, 0.7
 #: Words whose weight a task remembers before it starts anew; only time depends on it.
 MEMO_WORDS = 300_000
 LONG_WORD = 64
+#: Words whose pieces are hashed at once.
+CHUNK_WORDS = 20_000
 
 
-def _bucket(piece: bytes) -> int:
-    return zlib.crc32(piece) & (BUCKETS - 1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_STEP = [np.uint64(pow(0x100000001B3, k, 1 << 64)) for k in range(LONG_WORD + 2)]
 
 
-def pieces(word: str) -> list[int]:
-    """Buckets of a word: its whole form and its character n-grams with marked ends."""
-    marked = f"<{word}>"
-    out = [_bucket(b"w" + word.encode())]
+def _bucket(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _MIX
+    return (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
+def pieces(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words one after another, and how many each has.
+
+    A word (of 1 to 64 characters) has its whole form and its character n-grams with marked ends,
+    hashed as polynomials of code points over all words at once.
+    """
+    size = np.array([len(w) + 2 for w in words])
+    code = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
+    first = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(words)), size)
+    found = [_bucket(np.add.reduceat(code * np.array(_STEP)[np.arange(len(code)) - first[owner]], first))]
+    owners = [np.arange(len(words))]
     for n in GRAMS:
-        out += [_bucket(marked[i : i + n].encode()) for i in range(len(marked) - n + 1)]
-    return out
+        m = max(0, len(code) - n + 1)
+        h = np.full(m, n, dtype=np.uint64) * _MIX
+        for k in range(n):
+            h += code[k : m + k] * _STEP[k + 1]
+        inside = owner[:m] == owner[n - 1 :][:m]
+        found.append(_bucket(h)[inside])
+        owners.append(owner[:m][inside])
+    own = np.concatenate(owners)
+    order = np.argsort(own, kind="stable")
+    return np.concatenate(found)[order], np.bincount(own, minlength=len(words))
 
 
 def counted(text: str | None) -> Counter:
@@ -71,10 +94,11 @@ class Model:
     def fit(self, texts: list[str], labels: list[int], seed: int = 1) -> Model:
         counts = [counted(t) for t in texts]
         index = {w: i for i, w in enumerate(dict.fromkeys(w for c in counts for w in c))}
-        lists = [pieces(w) for w in index]
-        size = np.array([len(x) for x in lists])
-        start = np.r_[0, np.cumsum(size)]
-        flat = np.array([b for x in lists for b in x], dtype=np.int64)
+        names = list(index)
+        parts = [pieces(names[at : at + CHUNK_WORDS]) for at in range(0, len(names), CHUNK_WORDS)]
+        flat = np.concatenate([np.zeros(0, np.int32), *(b.astype(np.int32) for b, _ in parts)])
+        size = np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
+        start = np.r_[0, np.cumsum(size)].astype(np.int64)
         docs = [(np.array([index[w] for w in c], dtype=np.int64), np.array(list(c.values()), dtype=np.float32)) for c in counts]
         docs = [(i, v / v.sum()) for i, v in docs]
         y, rng = np.array(labels), np.random.default_rng(seed)
@@ -124,20 +148,23 @@ class Scorer:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias, self.memo = weights, bias, {}
 
-    def word(self, word: str) -> float:
-        value = self.memo.get(word)
-        if value is None:
-            if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
-            value = float(self.weights[pieces(word)].mean())
-            self.memo[word] = value
-        return value
+    def learn(self, words: list[str]) -> None:
+        """Remembers the weight of words: the mean over their pieces."""
+        for at in range(0, len(words), CHUNK_WORDS):
+            own = words[at : at + CHUNK_WORDS]
+            buckets, n = pieces(own)
+            self.memo.update(zip(own, (np.add.reduceat(self.weights[buckets], np.cumsum(n) - n) / n).tolist()))
 
-    def score(self, text: str | None) -> float:
-        counts = counted(text)
-        total = sum(counts.values())
-        z = self.bias + (sum(self.word(w) * n for w, n in counts.items()) / total if total else 0.0)
-        return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        if len(self.memo) >= MEMO_WORDS:
+            self.memo.clear()
+        counts = [counted(t) for t in texts]
+        self.learn(list({w for c in counts for w in c if w not in self.memo}))
+        z = np.full(len(texts), self.bias)
+        for k, c in enumerate(counts):
+            if c:
+                z[k] += sum(self.memo[w] * n for w, n in c.items()) / sum(c.values())
+        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +194,8 @@ def score_column(text, model: tuple[np.ndarray, float]):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(weights, bias)
         for texts in batches:
-            yield pa.array([scorer.score(t.as_py()) for t in texts], type=pa.float64())
+            parts = [scorer.scores(texts[at : at + 256].to_pylist()) for at in range(0, len(texts), 256)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0), type=pa.float64())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "double")(text)
