@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ranklens.operators.keyed import prefix_sums, score_cuts, slice_of
+from ranklens.operators.keyed import prefix_sums
 
 
 def nest(df: DataFrame, key: str, cols: list[str], as_: str, time: str = "timestamp") -> DataFrame:
@@ -106,14 +106,15 @@ def example_stats(counts: DataFrame, kinds: list[str]) -> DataFrame:
 PROFILE_SCALARS = ["studio_id", "parental_rating", "content_type_id", "year_bucket", "production_house_id"]
 
 
-def profile(watches: DataFrame, catalog: DataFrame, key: list[str], weight: str = "weight") -> DataFrame:
+def profile(watches: DataFrame, catalog: DataFrame, key: list[str], weight: str = "weight", extra: list[str] = ()) -> DataFrame:
     """Share of watch weight per attribute value: (key, attr, value, share).
 
     ``catalog`` holds the scalar attributes and ``genre_ids``. An attribute whose weights sum to 0
-    has no rows. All attributes come from one pass through a long (attr, value) form.
+    has no rows. All attributes come from one pass through a long (attr, value) form. ``extra`` names
+    attributes that the watches carry themselves.
     """
     scalars = [c for c in PROFILE_SCALARS if c in catalog.columns]
-    pairs = [F.struct(F.lit(c).alias("attr"), F.col(c).cast("string").alias("value")) for c in scalars]
+    pairs = [F.struct(F.lit(c).alias("attr"), F.col(c).cast("string").alias("value")) for c in [*scalars, *extra]]
     genres = F.transform("genre_ids", lambda g: F.struct(F.lit("genre").alias("attr"), g.cast("string").alias("value")))
     rows = watches.join(catalog.select("content_id", *scalars, "genre_ids"), "content_id").select(
         *key, F.col(weight).alias("w"), F.inline(F.concat(F.array(*pairs), genres)))
@@ -150,11 +151,7 @@ def quantiles(df: DataFrame, by: list[str], x: str, probs: list[float]) -> DataF
     Works on the histogram of values with running counts, so no group is held in one task.
     """
     hist = df.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("__n"))
-    cuts = score_cuts(hist, x)
-    sliced = hist.withColumn("__s", slice_of(F.col(x), cuts))
-    placed = prefix_sums(sliced, by, [F.col(x)], "__s", {"__p": F.col("__n")})
-    totals = df.groupBy(*by).agg(F.count(x).alias("__t"))
-    rows = placed.join(totals, by) if by else placed.withColumn("__t", df.agg(F.count(x)).scalar())
+    rows = prefix_sums(hist, by, x, {"__p": F.col("__n")}).withColumnRenamed("__p_total", "__t")
 
     def at(position):
         inside = (F.col("__p") <= position) & (position < F.col("__p") + F.col("__n"))
@@ -176,7 +173,8 @@ def describe_by(df: DataFrame, category: str, x: str) -> DataFrame:
     basic = df.groupBy(category).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
                                      F.min(x).alias("min"), F.max(x).alias("max"))
     q = quantiles(df, [category], x, [0.25, 0.5, 0.75])
-    return basic.join(q.withColumnsRenamed({"q0": "p25", "q1": "p50", "q2": "p75"}), category, "left")
+    q = q.select(F.col(category).alias("__c"), F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"))
+    return basic.join(q, F.col(category).eqNullSafe(F.col("__c")), "left").drop("__c")
 
 
 def label_mix(df: DataFrame, category: str, label: str) -> DataFrame:

@@ -9,19 +9,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranklens.functions.scalars import day_offset
-from ranklens.operators.aggregates import cluster_bins, sum_days
+from ranklens.operators.aggregates import cluster_bins
 from ranklens.operators.examples import split_watches
 from ranklens.operators.joins import assign_bin
-from ranklens.sources.logs import stage
 
 PAIR = ["dw_p_id", "content_id"]
 
 
 def discovery_matrix(watches: DataFrame, history: DataFrame, now: int, days: int = 30, min_first_day: int = 600) -> DataFrame:
-    """Per (user, title): seconds by day since the first watch, and which days were complete.
+    """Seconds per (user, title, day since the first watch), one row per day with a watch.
 
     ``history`` holds (dw_p_id, content_id, first_watch). A pair counts when its first watch is not
-    later than the history's and day 0 reaches ``min_first_day`` seconds. Arrays have days + 1 entries.
+    later than the history's and day 0 reaches ``min_first_day`` seconds. ``complete`` is the number of
+    days (at most days + 1) that are over; later watches are left out.
     """
     firsts = watches.groupBy(*PAIR).agg(F.min("first_watch_ts").alias("first_ts"))
     known = history.groupBy(*PAIR).agg(F.min("first_watch").alias("known_ts"))
@@ -31,21 +31,25 @@ def discovery_matrix(watches: DataFrame, history: DataFrame, now: int, days: int
     dayed = watches.join(pairs, PAIR).withColumn("day", day_offset(F.col("last_watch_ts"), F.col("first_ts")))
     dayed = dayed.filter((F.col("day") >= 0) & (F.col("day") < F.col("complete")))
     sums = dayed.groupBy(*PAIR, "first_ts", "complete", "day").agg(F.sum("watch_time").cast("bigint").alias("wt"))
-    packed = sums.groupBy(*PAIR, "first_ts", "complete").agg(F.map_from_entries(F.collect_list(F.struct("day", "wt"))).alias("m"))
-    axis = F.sequence(F.lit(0), F.lit(days))
-    out = packed.select(
-        *PAIR, "first_ts", "complete",
-        F.transform(axis, lambda d: F.coalesce(F.try_element_at("m", d.cast("bigint")), F.lit(0).cast("bigint"))).alias("wt"),
-        F.transform(axis, lambda d: F.when(d < F.col("complete"), 1).otherwise(0).cast("bigint")).alias("exposed"))
-    return out.filter(F.get("wt", F.lit(0)) >= min_first_day)
+    # a pair has at most days + 1 rows
+    first_day = F.max(F.when(F.col("day") == 0, F.col("wt"))).over(Window.partitionBy(*PAIR))
+    return sums.withColumn("__first", first_day).filter(F.col("__first") >= min_first_day).drop("__first")
 
 
 def title_curve(matrix: DataFrame, days: int = 30) -> DataFrame:
-    """(content_id, day, watch, users): one wide sum per title, then one row per day."""
-    wide = sum_days(matrix, "content_id", ["wt", "exposed"], days + 1)
-    rows = F.array(*[F.struct(F.lit(d).cast("bigint").alias("day"), F.col(f"wt_{d}").alias("watch"), F.col(f"exposed_{d}").alias("users"))
-                     for d in range(days + 1)])
-    return wide.select("content_id", F.inline(rows))
+    """(content_id, day, watch, users) for each day of each title of ``discovery_matrix``.
+
+    Watch is summed per (title, day); exposure is counted per (title, complete days) first, so what is
+    spread over the days is at most days + 1 rows per title.
+    """
+    zero = F.lit(0).cast("bigint")
+    watch = matrix.groupBy("content_id", "day").agg(F.sum("wt").alias("watch")).select("content_id", "day", "watch", zero.alias("users"))
+    exposed = matrix.filter(F.col("day") == 0).groupBy("content_id", "complete").agg(F.count(F.lit(1)).alias("users"))
+    day = lambda upto: F.explode(F.sequence(F.lit(0).cast("bigint"), upto.cast("bigint"))).alias("day")
+    users = exposed.select("content_id", day(F.col("complete") - 1), zero.alias("watch"), "users")
+    axis = exposed.groupBy("content_id").agg(F.max("complete").alias("m")).select("content_id", day(F.lit(days)), zero.alias("watch"), zero.alias("users"))
+    rows = watch.unionByName(users).unionByName(axis)
+    return rows.groupBy("content_id", "day").agg(F.sum("watch").alias("watch"), F.sum("users").alias("users"))
 
 
 def kind_curve(curve: DataFrame, catalog: DataFrame, effect: int = 14) -> DataFrame:
@@ -147,14 +151,17 @@ def check_bins(grouped: DataFrame, edges: DataFrame) -> DataFrame:
     return bin_values(grouped, edges).filter(F.col("bin").isNull()).select("content_id", "group").distinct()
 
 
-def cluster_curves(grouped: DataFrame, edges: DataFrame, catalog: DataFrame, max_bins: int = 20, min_users: int = 30) -> DataFrame:
+def binned_curves(grouped: DataFrame, edges: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Grouped curves with the edge of their group and the title's kind, the input of ``cluster_curves``."""
+    return bin_values(grouped, edges).filter(F.col("bin").isNotNull()).join(catalog.select("content_id", "kind"), "content_id")
+
+
+def cluster_curves(rows: DataFrame, max_bins: int = 20, min_users: int = 30) -> DataFrame:
     """Smoothed and cumulative curves per (title, group), thin ones backed by their kind's cluster.
 
-    Clusters are greedy bins over the edges of all titles of a kind, weighted by events. The binned
-    curves (titles x groups x days) are read by every step and written once.
+    Clusters are greedy bins over the edges of all titles of a kind, weighted by events. ``rows`` are
+    ``binned_curves`` (titles x groups x days); every step reads them, so a caller stages them.
     """
-    kinds = catalog.select("content_id", "kind")
-    rows = stage(bin_values(grouped, edges).filter(F.col("bin").isNotNull()).join(kinds, "content_id"), "binned")
     mass = rows.filter(F.col("day") == 0).groupBy("kind", F.col("bin").alias("second")).agg(F.sum("num").alias("n"))
     clusters = cluster_bins(mass, "kind", max_bins).withColumnRenamed("edges", "cluster_edges")
     placed = rows.join(clusters, "kind").withColumn("cluster", assign_bin(F.col("bin"), F.col("cluster_edges")))

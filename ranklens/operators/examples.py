@@ -12,7 +12,6 @@ from ranklens.functions.hashing import fid_slot, hash_index, hash_uniform
 from ranklens.operators.filters import safe_id
 from ranklens.operators.joins import past_watch
 from ranklens.operators.keyed import first_by_draw, pick_one, prefix_sums
-from ranklens.sources.logs import stage
 
 WATCH_SECONDS = 600  # fixed value: a watch counts as positive above this
 EXAMPLE_COLUMNS = ["dw_p_id", "tray_id", "content_id", "timestamp", "label", "watch_time", "is_inter_tray"]
@@ -83,9 +82,14 @@ def user_examples(imp: DataFrame, tray_watches: DataFrame, history: DataFrame, t
                   cap_salt: str = "cap", inter_salt: str = "inter") -> DataFrame:
     """Single-label examples of a day: capped trays plus inter-tray negatives.
 
-    The labelled impressions feed both samplers and their counts, so they are written once.
+    The labelled impressions feed both samplers and their counts; a caller may stage them and use
+    ``sampled_examples``.
     """
-    ex = stage(impression_examples(imp, tray_watches, history, thr), "impressions")
+    return sampled_examples(impression_examples(imp, tray_watches, history, thr), ratio, cap_salt, inter_salt)
+
+
+def sampled_examples(ex: DataFrame, ratio: int = 5, cap_salt: str = "cap", inter_salt: str = "inter") -> DataFrame:
+    """Labelled impressions with negatives capped per tray, plus inter-tray negatives."""
     return cap_negatives(ex, ratio, cap_salt).unionByName(inter_tray_negatives(ex, inter_salt))
 
 
@@ -160,10 +164,9 @@ def sample_users(df: DataFrame, rate: float, salt: str, user: str = "dw_p_id") -
     return hash_sample(df, [user], rate, salt)
 
 
-def dense_index(catalog: DataFrame, id_col: str = "content_id", width: int = 4096) -> DataFrame:
+def dense_index(catalog: DataFrame, id_col: str = "content_id") -> DataFrame:
     """Ids numbered 0, 1, 2, ... in order, without sorting the table in one task."""
-    ids = catalog.select(id_col).distinct().withColumn("__all", F.lit(0)).withColumn("__s", F.floor(F.col(id_col) / width))
-    return prefix_sums(ids, ["__all"], [F.col(id_col)], "__s", {"idx": F.lit(1)}).select(id_col, F.col("idx").cast("bigint").alias("idx"))
+    return prefix_sums(catalog.select(id_col).distinct(), [], id_col, {"idx": F.lit(1)}).select(id_col, F.col("idx").cast("bigint").alias("idx"))
 
 
 def random_negatives(positives: DataFrame, catalog: DataFrame, history: DataFrame, n: int, salt: str = "rand") -> DataFrame:

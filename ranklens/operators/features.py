@@ -15,7 +15,6 @@ from ranklens.functions.scalars import (
 from ranklens.operators.aggregates import profile
 from ranklens.operators.examples import require_both_classes
 from ranklens.operators.joins import asof_strict, join_version
-from ranklens.sources.logs import stage
 
 # Feature slots, scalar indices and keys of the serialized feature map.
 SLOTS = {
@@ -42,18 +41,10 @@ def event_profiles(events: DataFrame, catalog: DataFrame) -> DataFrame:
     years = catalog.select("content_id", "year")
     dated = watches.join(years, "content_id").withColumn("year_bucket", year_bucket(F.col("year"), F.col("event_year")))
     attrs = catalog.select("content_id", "studio_id", "parental_rating", "content_type_id", "production_house_id", "genre_ids")
-    rows = profile(dated, attrs, ["event_id"])
-    years_only = _year_profile(dated)
-    entries = rows.unionByName(years_only).select("event_id", F.concat_ws(":", "attr", "value").alias("k"), "share")
+    entries = profile(dated, attrs, ["event_id"], extra=["year_bucket"]).select("event_id", F.concat_ws(":", "attr", "value").alias("k"), "share")
     return entries.groupBy("event_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "share"))).alias("profile"))
 
 
-def _year_profile(dated: DataFrame) -> DataFrame:
-    sums = dated.groupBy("event_id", F.col("year_bucket").cast("string").alias("value")).agg(F.sum("weight").alias("w"))
-    total = F.sum("w").over(Window.partitionBy("event_id"))
-    return sums.withColumn("t", total).filter("t != 0").select("event_id", F.lit("year_bucket").alias("attr"), "value", (F.col("w") / F.col("t")).alias("share"))
-
-
 def match_events(examples: DataFrame, events: DataFrame) -> DataFrame:
     """Examples with the id and time of the latest request event strictly before them."""
     slim = events.select("dw_p_id", F.col("timestamp").alias("event_ts"), "event_id")
@@ -65,7 +56,7 @@ def _weight(attr: str, value: Column) -> Column:
 
 
 def feature_rows(examples: DataFrame, events: DataFrame, catalog: DataFrame, pop: DataFrame, state_pop: DataFrame,
-                 country: str, task: int = 0, mtl: bool = False, production_house: bool = False) -> DataFrame:
+                 country: str, task: int = 0, mtl: bool = False, production_house: bool = False, on_gap: str = "null", prepare=None) -> DataFrame:
     """Examples as feature rows.
 
     ``events``: dw_p_id, event_id, timestamp, event_year, payload. ``pop``: version, content_id,
@@ -73,9 +64,17 @@ def feature_rows(examples: DataFrame, events: DataFrame, catalog: DataFrame, pop
     for users with both classes; multi-task rows are all kept. The timestamp is the event's. Examples
     may carry their own ``task`` column; the class rule then holds per (user, task).
 
-    The matched examples feed the profiles and the rows, so they are written once to the shared folder.
+    The class rule is applied to the matched examples of known titles, before anything is assembled.
+    ``on_gap`` says what a popularity version between the known ones does: "null" leaves the values 0,
+    "error" fails. The matched examples feed the profiles and the rows; ``prepare`` is applied to them,
+    for a caller that stages them.
     """
-    matched = stage(match_events(examples, events), "matched")
+    task_col = F.col("task") if "task" in examples.columns else F.lit(task)
+    matched = match_events(examples, events).join(catalog.select("content_id"), "content_id", "left_semi")
+    if not mtl:
+        matched = require_both_classes(matched.withColumn("__task", task_col), ["dw_p_id", "__task"]).drop("__task")
+    if prepare is not None:
+        matched = prepare(matched)
     needed = events.join(matched.select("event_id").distinct(), "event_id", "left_semi")
     sf = F.col("payload.raw_feature.serialized_features")
     facts = needed.select(
@@ -93,9 +92,9 @@ def feature_rows(examples: DataFrame, events: DataFrame, catalog: DataFrame, pop
     rows = rows.withColumn("profile", F.coalesce("profile", empty)).withColumn("yb", year_bucket(F.col("year"), F.col("event_year")))
 
     rows = join_version(rows.withColumnRenamed("pop_version", "version"), pop.withColumnsRenamed({"dv": "lang_dv", "wv": "lang_wv"}),
-                        ["content_id", "language_id"], on_gap="null").drop("resolved", "version")
+                        ["content_id", "language_id"], on_gap=on_gap).drop("resolved", "version")
     rows = join_version(rows.withColumnRenamed("state_version", "version"), state_pop.withColumnsRenamed({"dv": "state_dv", "wv": "state_wv"}),
-                        ["content_id", "state"], on_gap="null").drop("resolved", "version")
+                        ["content_id", "state"], on_gap=on_gap).drop("resolved", "version")
 
     genres = F.when(F.size("genre_ids") > 0, F.transform("genre_ids", lambda g: g.cast("string"))).otherwise(F.array(F.lit("empty")))
     one = lambda slot, col: F.array(slot_fid(SLOTS[slot], F.col(col)))
@@ -116,16 +115,12 @@ def feature_rows(examples: DataFrame, events: DataFrame, catalog: DataFrame, pop
     if production_house:
         pairs.append(("production_house_weight", _weight("production_house_id", F.col("production_house_id"))))
     indices, values = sparse_pairs([(SCALARS[n], v) for n, v in pairs])
-    task_col = F.col("task") if "task" in examples.columns else F.lit(task)
     labels = ["click", "watch", "watch_time", "paywall_view", "add_watchlist"] if mtl else ["label"]
-    out = rows.select(
+    return rows.select(
         F.lit(country).alias("country"), "dw_p_id", "content_id", ts.alias("timestamp"), task_col.alias("task"), task_col.alias("flag"),
         "user_fids", "user_weighted_fids", "user_weighted_fid_weights", fids.alias("fids"),
         F.array(F.lit(0).cast("bigint")).alias("weighted_fids"), F.array(F.lit(0.0)).alias("weighted_fid_weights"),
         indices.alias("sparse_indices"), values.alias("sparse_values"), (ts - start).alias("secs_start_dt"), *labels)
-    if mtl:
-        return out
-    return require_both_classes(out, ["dw_p_id", "task"])
 
 
 def cumwatch_features(base: DataFrame, events: DataFrame, catalog: DataFrame) -> DataFrame:

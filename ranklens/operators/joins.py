@@ -60,8 +60,9 @@ def resolve_version(df: DataFrame, dim: DataFrame, version: str = "version", on_
     hi, lo = F.col("__v.hi"), F.col("__v.lo")
     clamped = df.withColumn("__v", bounds.scalar()).withColumn(
         "resolved", F.when(F.col(version) > hi, hi).when(F.col(version) < lo, lo).otherwise(F.col(version)))
-    known = dim.select(F.col(version).alias("resolved")).distinct().withColumn("__known", F.lit(True))
-    checked = clamped.join(known, "resolved", "left")
+    # a handful of versions: read as one array, no join on a few values
+    known = dim.agg(F.collect_set(version).alias("k")).scalar()
+    checked = clamped.withColumn("__all", known).withColumn("__known", F.when(F.array_contains("__all", F.col("resolved")), True)).drop("__all")
     gap = F.col("__known").isNull() & F.col(version).isNotNull() & lo.isNotNull()
     resolved = F.when(F.col("__known"), F.col("resolved"))
     if on_gap == "error":

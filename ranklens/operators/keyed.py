@@ -7,6 +7,8 @@ the position within a slice. Results equal the single-window form exactly.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,42 +20,63 @@ def small_value(df: DataFrame) -> Column:
     return df.scalar()
 
 
-def score_cuts(df: DataFrame, col: str, slices: int = 64) -> list[float]:
-    """At most ``slices - 1`` cut points that spread ``col`` evenly.
+#: Rows of a key that are sorted in one task; a key with more is cut into slices of its own range.
+SLICE_ROWS = 10_000
+#: Slices of a range, on each of two levels.
+CUTS = 4096
+
+
+def _slice(x: Column, lo: Column, hi: Column) -> Column:
+    """Which of equal parts of [lo, hi] holds x; grows with x, the infinite and NaN at the ends."""
+    place = (x - lo) / F.when(hi > lo, hi - lo)
+    inside = F.greatest(F.lit(0), F.least(F.lit(CUTS - 1), F.floor(place * CUTS)))
+    return F.when((x == lo) | place.isNull(), 0).when(F.isnan(place), CUTS - 1).otherwise(inside).cast("long")
+
+
+def _join_facts(rows: DataFrame, keys: list[str], facts: list[Column]) -> DataFrame:
+    """Rows with aggregates of their key; keys may be null. Without keys the aggregates are a scalar subquery."""
+    if not keys:
+        packed = rows.agg(*facts)
+        return rows.withColumn("__f", packed.select(F.struct("*")).scalar()).select(*rows.columns, "__f.*")
+    per_key = rows.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(*facts)
+    return rows.join(per_key, _same(keys)).drop(*[f"__k_{k}" for k in keys])
 
-    Runs one sketch job and returns a bounded list of doubles. The cuts only balance the work:
-    any cuts give the same result, so the sketch error does not matter.
+
+def prefix_sums(df: DataFrame, by: list[str], col: str, values: dict[str, Column], descending: bool = False, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Exclusive running sums per ``by`` in the order of the number ``col``, and the key's ``<name>_total``.
+
+    ``col`` is distinct within a key. A key with more than ``slice_rows`` rows is cut into equal parts of
+    its own range, and a part that still holds more is cut once again, so outliers do not undo the
+    cut. Least and largest values are exact, whatever order they are merged in, so the plan may
+    evaluate them more than once. Keys may be null. The cuts only spread the work.
     """
-    probs = [i / slices for i in range(1, slices)]
-    cuts = df.select(F.col(col).cast("double").alias("x")).approxQuantile("x", probs, 0.005)
-    return sorted({c for c in cuts if c == c})
-
-
-def slice_of(x: Column, cuts: list[float]) -> Column:
-    """Index of the range between cuts that holds x; grows with x."""
-    if not cuts:
-        return F.lit(0)
-    edges = F.array(*[F.lit(float(c)) for c in cuts])
-    return F.size(F.filter(edges, lambda c: c <= x))
-
-
-def prefix_sums(df: DataFrame, by: list[str], order: list[Column], slice_col: str,
-                values: dict[str, Column], descending_slices: bool = False) -> DataFrame:
-    """Exclusive running sums per ``by`` in ``order``; ``slice_col`` must follow the order."""
-    keys = [*by, slice_col]
-    named = df.select("*", *[v.alias(f"__{n}") for n, v in values.items()])
-    totals = named.groupBy(*keys).agg(*[F.sum(f"__{n}").alias(f"__t_{n}") for n in values])
-    slice_order = F.col(slice_col).desc() if descending_slices else F.col(slice_col)
-    before = Window.partitionBy(*by).orderBy(slice_order).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(
-        *keys, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__c_{n}") for n in values]
-    )
-    inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = named.join(carry, keys)
-    return joined.select(
-        *df.columns,
-        *[(F.coalesce(F.sum(f"__{n}").over(inner), F.lit(0)) + F.col(f"__c_{n}")).alias(n) for n in values],
-    )
+    by = list(by)
+    x = F.col(col).cast("double")
+    rows = df.select("*", *[v.alias(f"__v_{n}") for n, v in values.items()])
+    bounds = [F.count(F.lit(1)).alias("__rows"), F.min(x).alias("__lo"), F.max(x).alias("__hi")]
+    rows = _join_facts(rows, by, [*bounds, *[F.sum(f"__v_{n}").alias(f"{n}_total") for n in values]])
+    part = F.when(F.col("__rows") > slice_rows, _slice(x, F.col("__lo"), F.col("__hi"))).otherwise(F.lit(0).cast("long"))
+    rows = _join_facts(rows.withColumn("__p", part).drop("__rows", "__lo", "__hi"), [*by, "__p"], bounds)
+    again = F.when(F.col("__rows") > slice_rows, _slice(x, F.col("__lo"), F.col("__hi"))).otherwise(F.lit(0).cast("long"))
+    rows = rows.withColumn("__s", F.col("__p") * CUTS + again).drop("__rows", "__lo", "__hi", "__p")
+    keys = [*by, "__s"]
+    slices = rows.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in values])
+    over_keys = Window.partitionBy(*[f"__k_{k}" for k in by]) if by else Window.partitionBy()
+    before = over_keys.orderBy("__k___s").rowsBetween(Window.unboundedPreceding, -1)
+    carry = slices.select(*[f"__k_{k}" for k in keys], *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__c_{n}") for n in values])
+    inner = Window.partitionBy(*keys).orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(carry, _same(keys))
+
+    def out(n):
+        upto = F.coalesce(F.sum(f"__v_{n}").over(inner), F.lit(0)) + F.col(f"__c_{n}")
+        return F.col(f"{n}_total") - upto - F.col(f"__v_{n}") if descending else upto
+
+    return joined.select(*df.columns, *[out(n).alias(n) for n in values], *[f"{n}_total" for n in values])
+
+
+def _same(keys: list[str]) -> Column:
+    """Join condition on keys that may be null, against columns named ``__k_<key>``."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
 
 
 def first_by_draw(df: DataFrame, by: list[str], draw: str, tie: list[str], limit: Column) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranklens.functions.hashing import hash_uniform
-from ranklens.operators.keyed import prefix_sums, score_cuts, slice_of, top_n
+from ranklens.operators.keyed import prefix_sums, top_n
 
 KS = [1, 3, 5]
 # Fixed values: (base, deviation, mean) weights of the five blends.
@@ -48,9 +48,7 @@ def avg_rank(df: DataFrame, by: list[str], score: str) -> DataFrame:
     A row without a score takes no position; its rank is null.
     """
     groups = df.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count(F.lit(1)).alias("__n"))
-    cuts = score_cuts(groups, score)
-    sliced = groups.withColumn("__s", slice_of(F.col(score), cuts))
-    placed = prefix_sums(sliced, by, [F.col(score).desc()], "__s", {"__ahead": F.col("__n")}, descending_slices=True)
+    placed = prefix_sums(groups, by, score, {"__ahead": F.col("__n")}, descending=True)
     ranks = placed.select(*by, score, (F.col("__ahead") + (F.col("__n") + 1) / 2).alias("rank"))
     return df.join(ranks, [*by, score], "left")
 
@@ -116,30 +114,31 @@ def _long(df: DataFrame, group: list[str], metric: str, by_k: dict[int, str]) ->
     return df.select(*group, F.lit(metric).alias("metric"), F.inline(rows))
 
 
-def _at_each_k(df: DataFrame, by: list[str], score: str, keep: list[str], ks, group: list[str], mode: str = "le") -> DataFrame:
-    """Selected rows counted per (group, k, keep columns)."""
-    top = at_k(df, [*group, *by], score, max(ks)).groupBy(*group, *keep, "rank").agg(F.count(F.lit(1)).alias("n"))
+def _top_counts(df: DataFrame, by: list[str], score: str, keep: list[str], ks, group: list[str]) -> DataFrame:
+    """Rows with rank <= the largest k counted per (group, rank, keep columns): all that the list metrics need."""
+    return at_k(df, [*group, *by], score, max(ks)).groupBy(*group, *keep, "rank").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _at_each_k(top: DataFrame, keep: list[str], ks, group: list[str], mode: str = "le") -> DataFrame:
+    """Counts of ``_top_counts`` summed per (group, k, keep columns)."""
     each = top.withColumn("k", F.explode(F.array(*[F.lit(k).cast("bigint") for k in ks])))
     test = F.col("rank") == F.col("k") if mode == "eq" else F.col("rank") <= F.col("k")
     return each.filter(test).groupBy(*group, "k", *keep).agg(F.sum("n").alias("n"))
 
 
-def popularity_mix_at(df: DataFrame, by: list[str], score: str, category: str, ks=KS, group: list[str] = ()) -> DataFrame:
-    """Percent of rows with rank <= k per category, two decimals."""
-    counted = _at_each_k(df, by, score, [category], ks, group)
+def _popularity_mix(top: DataFrame, category: str, ks, group: list[str]) -> DataFrame:
+    counted = _at_each_k(top, [category], ks, group)
     share = F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy(*group, "k")), 2)
     return counted.select(*group, F.lit("popularity_mix").alias("metric"), "k", F.col(category).alias("category"), share.alias("value"))
 
 
-def catalog_at(df: DataFrame, by: list[str], score: str, item: str, ks=KS, group: list[str] = ()) -> DataFrame:
-    """Distinct items with rank <= k."""
-    counted = _at_each_k(df, by, score, [item], ks, group)
+def _catalog(top: DataFrame, item: str, ks, group: list[str]) -> DataFrame:
+    counted = _at_each_k(top, [item], ks, group)
     return counted.groupBy(*group, "k").agg(F.count(F.lit(1)).cast("double").alias("value")).select(*group, F.lit("catalog").alias("metric"), "k", "value")
 
 
-def perplexity_at(df: DataFrame, by: list[str], score: str, item: str, ks=KS, mode: str = "eq", group: list[str] = ()) -> DataFrame:
-    """2 ** entropy of the items at rank exactly k; ``mode='le'`` takes all ranks up to k."""
-    counted = _at_each_k(df, by, score, [item], ks, group, mode)
+def _perplexity(top: DataFrame, item: str, ks, mode: str, group: list[str]) -> DataFrame:
+    counted = _at_each_k(top, [item], ks, group, mode)
     # H = log2 N - sum(n log2 n) / N
     total = F.sum("n")
     entropy = F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total
@@ -147,6 +146,21 @@ def perplexity_at(df: DataFrame, by: list[str], score: str, item: str, ks=KS, mo
     return per_k.select(*group, F.lit("perplexity").alias("metric"), "k", "value")
 
 
+def popularity_mix_at(df: DataFrame, by: list[str], score: str, category: str, ks=KS, group: list[str] = ()) -> DataFrame:
+    """Percent of rows with rank <= k per category, two decimals."""
+    return _popularity_mix(_top_counts(df, by, score, [category], ks, group), category, ks, group)
+
+
+def catalog_at(df: DataFrame, by: list[str], score: str, item: str, ks=KS, group: list[str] = ()) -> DataFrame:
+    """Distinct items with rank <= k."""
+    return _catalog(_top_counts(df, by, score, [item], ks, group), item, ks, group)
+
+
+def perplexity_at(df: DataFrame, by: list[str], score: str, item: str, ks=KS, mode: str = "eq", group: list[str] = ()) -> DataFrame:
+    """2 ** entropy of the items at rank exactly k; ``mode='le'`` takes all ranks up to k."""
+    return _perplexity(_top_counts(df, by, score, [item], ks, group), item, ks, mode, group)
+
+
 def blend(df: DataFrame, blends: dict[str, tuple] = BLENDS, base="base", sd="sd", mean="mean") -> DataFrame:
     """One row per blend with ``score = a * base + b * sd + c * mean``."""
     structs = F.array(*[F.struct(F.lit(n).alias("blend"), (F.lit(a) * F.col(base) + F.lit(b) * F.col(sd) + F.lit(c) * F.col(mean)).alias("score"))
@@ -167,12 +181,7 @@ def _score_histogram(df: DataFrame, by: list[str], score: str, label: str) -> Da
     """Distinct scores with positives, negatives and the same counted over all larger scores."""
     hist = df.groupBy(*by, score).agg(
         F.count_if(F.col(label) > 0).alias("pos"), F.count_if(F.col(label) <= 0).alias("neg"))
-    cuts = score_cuts(hist, score)
-    sliced = hist.withColumn("__s", slice_of(F.col(score), cuts))
-    if not by:
-        sliced = sliced.withColumn("__all", F.lit(0))
-    return prefix_sums(sliced, by or ["__all"], [F.col(score).desc()], "__s",
-                       {"pos_above": F.col("pos"), "neg_above": F.col("neg")}, descending_slices=True)
+    return prefix_sums(hist, by, score, {"pos_above": F.col("pos"), "neg_above": F.col("neg")}, descending=True)
 
 
 def _auc() -> Column:
@@ -273,9 +282,11 @@ def experiment_table(df: DataFrame, by: list[str], score: str, label: str, categ
     none = F.lit(None).cast("string").alias("category")
     moments = merged.groupBy(*EXPERIMENT).agg(F.avg(score).alias("mean"), F.stddev_samp(score).alias("std")).select(
         *EXPERIMENT, F.inline(F.array(*[F.struct(F.lit(f"score_{m}").alias("metric"), F.lit(0).cast("bigint").alias("k"), F.col(m).alias("value")) for m in ("mean", "std")])))
-    out = popularity_mix_at(merged, by, score, category, ks, EXPERIMENT)
-    for part in (ndcg_at(merged, by, score, label, ks, EXPERIMENT), catalog_at(merged, by, score, item, ks, EXPERIMENT),
-                 perplexity_at(merged, by, score, item, ks, "eq", EXPERIMENT), moments):
+    # ranked and counted once; the three list metrics are sums of these counts
+    top = _top_counts(merged, by, score, [category, item], ks, EXPERIMENT)
+    out = _popularity_mix(top, category, ks, EXPERIMENT)
+    for part in (ndcg_at(merged, by, score, label, ks, EXPERIMENT), _catalog(top, item, ks, EXPERIMENT),
+                 _perplexity(top, item, ks, "eq", EXPERIMENT), moments):
         out = out.unionByName(part.select(*EXPERIMENT, "metric", "k", none, "value"))
     return out
 

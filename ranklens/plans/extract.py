@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from ranklens.functions.hashing import hash_uniform
 from ranklens.operators import aggregates, examples, features
-from ranklens.sources.logs import stage
 
 EXPOSED, RANDOM_WATCH = 0, 1
 
 
-def random_watch_examples(first_watch: DataFrame, catalog: DataFrame, history: DataFrame, rate: float, n: int, salt: str = "lw") -> DataFrame:
-    """First-watch positives of a share of the users, each with up to n random negatives."""
-    positives = stage(examples.sample_users(first_watch, rate, salt), "first-watch")
+def random_watch_examples(positives: DataFrame, catalog: DataFrame, history: DataFrame, n: int) -> DataFrame:
+    """First-watch positives (of a sample of users, staged by the caller), each with up to n random negatives."""
     negatives = examples.random_negatives(positives, catalog, history, n)
     return positives.select(*examples.EXAMPLE_COLUMNS).unionByName(negatives.select(*examples.EXAMPLE_COLUMNS))
 
@@ -27,11 +25,11 @@ def as_mtl(ex: DataFrame) -> DataFrame:
 
 
 def extract_day(exposed: DataFrame, random_watch: DataFrame, events: DataFrame, catalog: DataFrame, pop: DataFrame, state_pop: DataFrame,
-                country: str, mtl: bool = False) -> DataFrame:
+                country: str, mtl: bool = False, prepare=None) -> DataFrame:
     """Feature rows of both tasks; the task is a column, so events, profiles and dimensions are joined once."""
     second = as_mtl(random_watch) if mtl else random_watch
     both = exposed.withColumn("task", F.lit(EXPOSED)).unionByName(second.withColumn("task", F.lit(RANDOM_WATCH)))
-    return features.feature_rows(both, events, catalog, pop, state_pop, country, mtl=mtl)
+    return features.feature_rows(both, events, catalog, pop, state_pop, country, mtl=mtl, prepare=prepare)
 
 
 def training_set(days: DataFrame, end: str, rate: float) -> DataFrame:

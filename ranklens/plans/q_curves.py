@@ -34,8 +34,7 @@ def matrix(t):
 
 @query("c1_discovery_matrix", f"WITH {_MATRIX} SELECT dw_p_id, content_id, complete, day, wt FROM kept")
 def _(t):
-    rows = matrix(t).select(*PAIR, F.col("complete"), F.posexplode("wt").alias("day", "wt"))
-    return rows.filter("wt > 0").withColumn("day", F.col("day").cast("bigint"))
+    return matrix(t).select(*PAIR, "complete", "day", "wt")
 
 
 _CURVE = f"""{_MATRIX},
@@ -168,7 +167,7 @@ _BINNED = f"""{_GROUPED},
 @query("c7_cluster_curves", f"WITH RECURSIVE {_BINNED} SELECT content_id, grp AS group_id, day, round(per_user, 4) AS per_user, round(total, 4) AS cumulative FROM fold")
 def _(t):
     curve, edges = grouped(t)
-    out = curves.cluster_curves(curve, edges, t.catalog, max_bins=8)
+    out = curves.cluster_curves(stage(curves.binned_curves(curve, edges, t.catalog), "binned"), max_bins=8)
     return out.select("content_id", F.col("group").alias("group_id"), "day", *r4("per_user", "cumulative"))
 
 

@@ -156,7 +156,7 @@ def _(t):
 
 @query("e11_dense_index", "SELECT content_id, row_number() OVER (ORDER BY content_id) - 1 AS idx FROM catalog")
 def _(t):
-    return examples.dense_index(t.catalog, width=64)
+    return examples.dense_index(t.catalog)
 
 
 @query("e12_sample_users", f"SELECT dw_p_id, count(*) AS n FROM log WHERE {draw_sql(['dw_p_id'], 'lw')} < 0.4 GROUP BY ALL")
@@ -225,16 +225,25 @@ def _flat_features(df, *labels):
 _SINGLE = _feature_sql(_CAP(5) + " UNION ALL " + _INTER, "m.label")
 
 
+def _labelled(t):
+    """Labelled impressions, written once as both samplers and their counts read them."""
+    return stage(examples.impression_examples(t.impressions, t.tray_watches, t.history), "impressions")
+
+
+def _matched(df):
+    return stage(df, "matched")
+
+
 @query("e14_feature_rows", f"SELECT * FROM ({_SINGLE}) WHERE dw_p_id IN (SELECT dw_p_id FROM ({_SINGLE}) GROUP BY dw_p_id HAVING max(label) = 1 AND min(label) = 0)")
 def _(t):
-    ex = stage(examples.user_examples(t.impressions, t.tray_watches, t.history), "examples")
-    return _flat_features(features.feature_rows(ex, t.requests, t.catalog, t.pop, t.state_pop.withColumn("state", F.lower("state")), "in"), "label")
+    ex = stage(examples.sampled_examples(_labelled(t)), "examples")
+    return _flat_features(features.feature_rows(ex, t.requests, t.catalog, t.pop, t.state_pop.withColumn("state", F.lower("state")), "in", prepare=_matched), "label")
 
 
 @query("e14_feature_rows_mtl", _feature_sql(f"SELECT * FROM ({_BOTH})", "m.click, m.watch, m.watch_time, m.paywall_view, m.add_watchlist"))
 def _(t):
     ex = stage(examples.mtl_examples(positives(t), negatives(t), 1.1), "examples")
-    return _flat_features(features.feature_rows(ex, t.requests, t.catalog, t.pop, t.state_pop, "in", mtl=True), "click", "watch", "watch_time", "paywall_view", "add_watchlist")
+    return _flat_features(features.feature_rows(ex, t.requests, t.catalog, t.pop, t.state_pop, "in", mtl=True, prepare=_matched), "click", "watch", "watch_time", "paywall_view", "add_watchlist")
 
 
 _RANDOM = f"""
@@ -248,14 +257,15 @@ _DAY = _feature_sql(f"SELECT *, 0 AS task FROM (SELECT * FROM ({_CAP(5)}) UNION
 
 
 def _random_watch(t):
-    return extract.random_watch_examples(examples.first_watch_examples(t.daily, t.history), t.catalog, t.history, 0.6, 15)
+    positives = stage(examples.sample_users(examples.first_watch_examples(t.daily, t.history), 0.6, "lw"), "first-watch")
+    return extract.random_watch_examples(positives, t.catalog, t.history, 15)
 
 
 @query("e14_extract_day", f"SELECT * FROM ({_DAY}) WHERE (dw_p_id, task) IN (SELECT (dw_p_id, task) FROM ({_DAY}) GROUP BY dw_p_id, task HAVING max(label) = 1 AND min(label) = 0)")
 def _(t):
     """Both tasks of a day: exposed items and random-watch items with random negatives."""
-    exposed = examples.user_examples(t.impressions, t.tray_watches, t.history)
-    out = extract.extract_day(exposed, _random_watch(t), t.requests, t.catalog, t.pop, t.state_pop, "in")
+    exposed = examples.sampled_examples(_labelled(t))
+    out = extract.extract_day(exposed, _random_watch(t), t.requests, t.catalog, t.pop, t.state_pop, "in", prepare=_matched)
     return _flat_features(out, "label", "task")
 
 
@@ -267,7 +277,7 @@ _MDAY = _feature_sql(f"SELECT dw_p_id, content_id, timestamp, click, watch, watc
 def _(t):
     """Shares of the tasks in the sampled multi-task training set."""
     exposed = examples.mtl_examples(positives(t), negatives(t), 1.1)
-    day = extract.extract_day(exposed, _random_watch(t), t.requests, t.catalog, t.pop, t.state_pop, "in", mtl=True).withColumn("cd", F.lit("2024-01-16"))
+    day = extract.extract_day(exposed, _random_watch(t), t.requests, t.catalog, t.pop, t.state_pop, "in", mtl=True, prepare=_matched).withColumn("cd", F.lit("2024-01-16"))
     rows = stage(extract.training_set(day, "2024-01-31", 0.5), "training")
     return extract.training_stats(rows).withColumn("share", F.round("share", 6))
 

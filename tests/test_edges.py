@@ -180,9 +180,10 @@ def test_exposure_counts_complete_days_only(spark):
     watches = spark.createDataFrame([("a", 1, 700, 10 * day, 10 * day), ("b", 1, 700, 9 * day, 9 * day), ("c", 1, 700, 0, 0), ("c", 1, 50, 0, 9 * day)],
                                     "dw_p_id string, content_id long, watch_time long, first_watch_ts long, last_watch_ts long")
     hist = watches.groupBy("dw_p_id", "content_id").agg(F.min("first_watch_ts").alias("first_watch"))
-    m = {r["dw_p_id"]: r for r in curves.discovery_matrix(watches, hist, 10 * day, 3).collect()}
-    assert "a" not in m  # first watched today: no complete day
-    assert m["b"]["exposed"] == [1, 0, 0, 0] and m["c"]["exposed"] == [1, 1, 1, 1] and m["c"]["wt"] == [700, 0, 0, 0]
+    matrix = curves.discovery_matrix(watches, hist, 10 * day, 3)
+    # "a" was first watched today: no complete day; the late watch of "c" is beyond the range
+    assert rows(matrix, "dw_p_id", "complete", "day", "wt") == [("b", 1, 0, 700), ("c", 4, 0, 700)]
+    assert rows(curves.title_curve(matrix, 3), "day", "watch", "users") == [(0, 1400, 2), (1, 0, 1), (2, 0, 1), (3, 0, 1)]
 
 
 def test_greedy_bins(spark):

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ranklens.operators import aggregates, bandit, metrics
+from ranklens.operators import aggregates, bandit, keyed, metrics
 from ranklens.streaming import incremental
 from ranklens.streaming.incremental import fold_batch, stored_state
 
@@ -245,3 +245,21 @@ def test_bandit_evaluation_like_pandas(spark, data):
 
     per = [v for v in (ndcg(g) for _, g in want.groupby("request")) if v is not None]
     assert got["ndcg", 3] == pytest.approx(np.mean(per))
+
+
+def test_prefix_sums_do_not_depend_on_slices(spark):
+    rng = np.random.default_rng(5)
+    data = sorted({(g, float(x)) for g, x in zip(rng.choice(["a", "b", None], 400, p=[0.8, 0.15, 0.05]), rng.normal(size=400))}, key=str)
+    df = spark.createDataFrame([(g, x, i % 7) for i, (g, x) in enumerate(data)], "g string, x double, n long")
+    want = {}
+    for g in ("a", "b", None):
+        own = sorted((x, n) for h, x, n in map(tuple, df.collect()) if h == g)
+        for k, (x, _) in enumerate(own):
+            want[g, x] = (sum(n for _, n in own[:k]), sum(n for _, n in own[k + 1 :]), sum(n for _, n in own))
+    for width in (1, 5, 10_000):
+        up = {(r.g, r.x): (r.s, r.s_total) for r in keyed.prefix_sums(df, ["g"], "x", {"s": F.col("n")}, slice_rows=width).collect()}
+        down = {(r.g, r.x): r.s for r in keyed.prefix_sums(df, ["g"], "x", {"s": F.col("n")}, True, width).collect()}
+        assert {k: (up[k][0], down[k], up[k][1]) for k in up} == want
+    total = sum(n for _, _, n in map(tuple, df.collect()))
+    once = keyed.prefix_sums(df.dropDuplicates(["x"]), [], "x", {"s": F.col("n")}, slice_rows=3).orderBy("x").collect()
+    assert [r.s for r in once] == list(np.cumsum([0, *(r.n for r in once[:-1])])) and once[0].s_total == total
