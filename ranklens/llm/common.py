@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranklens.session import scratch_path
-
-_STAGED: list[str] = []
+from ranklens.sources.logs import _STAGED
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +14,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write below the cluster's shared folder and read back: cuts lineage, survives lost executors."""
+    """Write below the cluster's shared folder and read back: cuts lineage, survives lost executors.
+
+    ``logs.drop_staged`` deletes what is left once a job's results are written.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -32,15 +34,6 @@ def drop(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def drop_all(spark: SparkSession) -> int:
-    """Delete every staged table of this process, once all results built on them are written."""
-    paths = list(_STAGED)
-    _STAGED.clear()
-    for path in paths:
-        _delete(spark, path)
-    return len(paths)
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
