@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ranklens.functions.hashing import hash_uniform, slot_fid
 from ranklens.operators import examples, features, filters
 from ranklens.operators.features import SLOTS
-from ranklens.plans import extract
+from ranklens.plans import daily, extract
 from ranklens.plans.domain import RECO_EXACT, RECO_PREFIXES
 from ranklens.plans.registry import ORACLES, query, rows_n
+from ranklens.session import scratch_path
 from ranklens.sources.logs import stage
 
 _RECO = "(starts_with(full_tray_id, 'home-picks') OR starts_with(full_tray_id, 'reco-picks') OR starts_with(full_tray_id, 'reco-wide'))"
@@ -282,6 +283,34 @@ def _(t):
     return extract.training_stats(rows).withColumn("share", F.round("share", 6))
 
 
+_COUNTRY = "CASE WHEN CAST(dw_p_id AS BIGINT) % 2 = 0 THEN 'in' ELSE 'sg' END"
+
+
+@query("e14_daily_job", f"""
+    WITH days AS (SELECT unnest(['2024-01-30', '2024-01-31']) AS cd, unnest([3, 5]) AS part),
+    rows AS (SELECT * FROM ({_DAY}) WHERE (dw_p_id, task) IN (SELECT (dw_p_id, task) FROM ({_DAY}) GROUP BY dw_p_id, task HAVING max(label) = 1 AND min(label) = 0)),
+    s AS (SELECT cd, {_COUNTRY} AS country, r.* FROM rows r, days WHERE CAST(dw_p_id AS BIGINT) % part <> 0)
+    SELECT cd, country, task, dw_p_id, content_id, timestamp, label FROM s WHERE task = 0 OR {draw_sql(['dw_p_id', 'cd', "'2024-01-31'"], 'agg')} < 0.5""")
+def _(t):
+    """Two days of two countries, the first day run twice; each day leaves out other users."""
+    root = scratch_path(t.spark, "daily")
+    t.spark.range(1).write.parquet(f"{root}/ready")
+    user = F.col("dw_p_id").cast("bigint")
+
+    def rows(part, odd):
+        mine = lambda df: df.filter((user % part != 0) & (user % 2 == odd))
+        exposed = examples.sampled_examples(stage(examples.impression_examples(mine(t.impressions), t.tray_watches, t.history), "impressions"))
+        positives = stage(examples.sample_users(examples.first_watch_examples(mine(t.daily), t.history), 0.6, "lw"), "first-watch")
+        second = extract.random_watch_examples(positives, t.catalog, t.history, 15)
+        return extract.extract_day(exposed, second, t.requests, t.catalog, t.pop, t.state_pop, "", prepare=_matched)
+
+    for cd, part in (("2024-01-30", 3), ("2024-01-31", 5), ("2024-01-30", 3)):
+        countries = {name: (lambda part=part, odd=odd: rows(part, odd)) for odd, name in enumerate(("in", "sg"))}
+        daily.run_day(t.spark, f"{root}/features", cd, countries, [f"{root}/ready"], 4)
+    picked = daily.run_training(t.spark, f"{root}/features", "2024-01-31", 7, 0.5, f"{root}/training")
+    return picked.select("cd", "country", "task", "dw_p_id", "content_id", "timestamp", "label")
+
+
 _DISC = f"""
     SELECT * FROM (SELECT m.*, CASE WHEN h.wt > 0 THEN h.wt WHEN h.dw_p_id IS NOT NULL OR l.dw_p_id IS NOT NULL THEN -1 ELSE 0 END::BIGINT AS past_wt FROM (
         SELECT dw_p_id, content_id, language, CAST(sum(watch_time) AS BIGINT) AS watch_time, min(first_watch_ts) AS timestamp FROM daily GROUP BY dw_p_id, content_id, language

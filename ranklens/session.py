@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -31,22 +33,24 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster in ``spark.checkpoint.dir``.
 
-    A local session without the setting gets its own folder; a cluster without it is an error,
-    because a folder on one machine is not visible to the other executors.
+    A local session without the setting gets a folder of its own, which is removed when the process
+    ends; a cluster without it is an error, because a folder on one machine is not visible to the
+    other executors.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    named = named or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    set_before = spark.sparkContext.getCheckpointDir()
-    if set_before:
-        return set_before
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    own = tempfile.mkdtemp(prefix="ranklens-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext.getCheckpointDir()
+    return f"file://{_local_folder()}"
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    own = tempfile.mkdtemp(prefix="ranklens-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return own
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
