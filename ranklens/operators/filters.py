@@ -96,11 +96,16 @@ def qualified_ns(watches: DataFrame, videos: DataFrame, long_s: int = 600, clip_
     return joined.withColumn("ns_class", label).filter(F.col("ns_class").isNotNull())
 
 
-def clean_titles(df: DataFrame) -> DataFrame:
-    """Active movies and episodes with an id and a title that is not a test title."""
+def clean_titles(df: DataFrame, ignore_case: bool = False) -> DataFrame:
+    """Active movies and episodes with an id and a title that is not a test title.
+
+    The block list is compared with the lower-cased title as it stands, so its entries with capitals
+    never match; ``ignore_case`` lower-cases the list too.
+    """
+    blocked = [b.lower() for b in BLOCKED_TITLES] if ignore_case else BLOCKED_TITLES
     sub_type = F.upper(F.trim("sub_type")).isin("MOVIE", "EPISODE")
     has_id = F.col("show_content_id").isNotNull() & (F.col("show_content_id") != "")
-    title_ok = F.trim("title").isNotNull() & ~F.lower(F.trim("title")).isin(BLOCKED_TITLES)
+    title_ok = F.trim("title").isNotNull() & ~F.lower(F.trim("title")).isin(blocked)
     return df.filter(sub_type & (F.col("clip_status") == "10") & has_id & title_ok & (F.col("trailer_flag") == "0"))
 
 

@@ -1,8 +1,8 @@
 """Candidate retrieval and re-ranking for all users at once.
 
 Scores are joins and grouped sums. List steps run after the per-user cut of ``quota_topk``, so the
-windows over one user's list are bounded by the list length; popularity, burst, new-title and sports
-lists meet users by an equi join on language.
+windows over one user's list are bounded by the list length. Popularity, burst, new-title and sports
+lists reach users as one map by language, so users are not dealt by their few languages.
 """
 
 from __future__ import annotations
@@ -154,12 +154,24 @@ def top_languages(watches: DataFrame, users: DataFrame | None = None, default: d
     return top_n(own, ["dw_p_id"], [F.col("weight").desc(), F.col("language")], n)
 
 
+def _inline_lists(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """Rows with the entries of their language's list, as in a join on ``language``.
+
+    The lists (titles, not users) are read as one map, a scalar subquery.
+    """
+    entries = F.struct(*[c for c in lists.columns if c != "language"])
+    each = lists.groupBy(F.col("language").cast("int").alias("language")).agg(F.collect_list(entries).alias("entries"))
+    by_language = each.agg(F.map_from_entries(F.collect_list(F.struct("language", "entries")))).scalar()
+    found = rows.withColumn("__lists", by_language)
+    return found.select(*rows.columns, F.inline(F.try_element_at("__lists", F.col("language").cast("int"))))
+
+
 def popular_for_user(languages: DataFrame, popular: DataFrame, limit: int | None = None) -> DataFrame:
     """Popular lists of a user's languages merged by (position + 0.5) / weight.
 
     The whole merged list comes back unless ``limit`` is given.
     """
-    rows = languages.join(popular, "language").withColumn("rank_score", (F.col("position") + 0.5) / F.col("weight"))
+    rows = _inline_lists(languages, popular).withColumn("rank_score", (F.col("position") + 0.5) / F.col("weight"))
     rows = rows.select("dw_p_id", "language", "content_id", "rank_score")
     return rows if limit is None else top_n(rows, ["dw_p_id"], [F.col("rank_score"), F.col("language"), F.col("content_id")], limit)
 
@@ -185,7 +197,7 @@ def _by_user_language(users: DataFrame, watches: DataFrame, titles: DataFrame, d
     """Each title in the language the user watches most, or its default for users without languages."""
     keyed = titles.select("content_id", F.col("language").cast("int").alias("language"), F.col("language").cast("int").alias("pick")).unionByName(
         defaults.select("content_id", F.lit(ANY_LANGUAGE).alias("language"), F.col("language").cast("int").alias("pick")))
-    joined = _strong_languages(users, watches).join(keyed, "language")
+    joined = _inline_lists(_strong_languages(users, watches), keyed)
     return joined.groupBy("dw_p_id", "content_id").agg(F.max_by("pick", F.struct("seconds", -F.col("pick"))).alias("language"))
 
 
@@ -205,7 +217,7 @@ def sports_for_user(languages: DataFrame, sports: DataFrame, n: int = 20) -> Dat
     """First n sports titles by (position + 0.5) / weight over the user's languages, movies listed first."""
     order = [F.when(F.col("kind") == "movie", 0).otherwise(1), F.col("content_id")]
     listed = top_n(sports.withColumnRenamed("language_id", "language"), ["language"], order, n, "pos")
-    rows = languages.join(listed, "language").withColumn("rank_score", (F.col("pos") - 0.5) / F.col("weight"))
+    rows = _inline_lists(languages, listed.select("language", "content_id", "pos")).withColumn("rank_score", (F.col("pos") - 0.5) / F.col("weight"))
     return top_n(rows, ["dw_p_id"], [F.col("rank_score"), F.col("language"), F.col("content_id")], n).select("dw_p_id", "language", "content_id", "rank_score")
 
 

@@ -10,9 +10,11 @@ from ranklens.plans.registry import query, rows_n
 
 
 
-@query("j1_inner_user", "SELECT r.dw_p_id, count(*) AS n FROM requests r JOIN history h USING (dw_p_id) GROUP BY ALL")
+@query("j1_inner_user", "SELECT r.dw_p_id, event_id, h.seconds FROM requests r JOIN (SELECT dw_p_id, CAST(sum(watch_len) AS BIGINT) AS seconds FROM history GROUP BY ALL) h USING (dw_p_id)")
 def _(t):
-    return t.requests.select("dw_p_id").join(t.history.select("dw_p_id"), "dw_p_id", "inner").groupBy("dw_p_id").agg(rows_n())
+    """Requests of users with a history, one history row per user."""
+    past = aggregates.agg_watch(t.history, ["dw_p_id"], seconds=F.sum("watch_len"))
+    return t.requests.select("dw_p_id", "event_id").join(past, "dw_p_id", "inner")
 
 
 @query("j2_left_optional", """

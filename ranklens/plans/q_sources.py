@@ -29,7 +29,7 @@ def _stored(t, name: str, write) -> str:
 def _log_table(t) -> str:
     """The log as a table partitioned by country and day; one user becomes anonymous, one blank."""
     user = F.when(F.col("dw_p_id") == "1", "-1").when(F.col("dw_p_id") == "2", "").otherwise(F.col("dw_p_id"))
-    return _stored(t, "log", lambda p: t.log.withColumn("dw_p_id", user).repartition("country", "cd").write.partitionBy("country", "cd").parquet(p))
+    return _stored(t, "log", lambda p: t.log.withColumn("dw_p_id", user).hint("rebalance", F.col("country"), F.col("cd")).write.partitionBy("country", "cd").parquet(p))
 
 
 _VALID = "(dw_p_id NOT IN ('1', '2'))"
@@ -71,13 +71,13 @@ def _(t):
 
 
 @query("s5_materialize", """
-    SELECT r.dw_p_id, count(DISTINCT r.event_id) AS requests, count(*) AS n FROM requests r JOIN kwatch w USING (dw_p_id) GROUP BY ALL""")
+    SELECT r.dw_p_id, count(*) AS requests, max(w.watches) AS watches, max(w.seconds) AS seconds FROM requests r
+    JOIN (SELECT dw_p_id, count(*) AS watches, CAST(sum(watch_len) AS BIGINT) AS seconds FROM kwatch GROUP BY ALL) w USING (dw_p_id) GROUP BY ALL""")
 def _(t):
-    joined = t.requests.select("dw_p_id", "event_id").join(t.kwatch.select("dw_p_id", "content_id"), "dw_p_id")
-    path = scratch_path(t.spark, "joined")
-    once = logs.materialize(joined, path)
-    pairs = once.groupBy("dw_p_id", "event_id").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.groupBy("dw_p_id").agg(F.count(F.lit(1)).alias("requests"), F.sum("n").alias("n"))
+    """Requests with one row of watch totals per user, written once and read for the extract."""
+    totals = t.kwatch.groupBy("dw_p_id").agg(F.count(F.lit(1)).alias("watches"), F.sum("watch_len").alias("seconds"))
+    once = logs.materialize(t.requests.select("dw_p_id", "event_id").join(totals, "dw_p_id"), scratch_path(t.spark, "joined"))
+    return once.groupBy("dw_p_id").agg(F.count(F.lit(1)).alias("requests"), F.max("watches").alias("watches"), F.max("seconds").alias("seconds"))
 
 
 @query("s6_read_csv", "SELECT dw_p_id, count(*) AS n FROM log WHERE event_type = 'error' AND value > 100 GROUP BY ALL")

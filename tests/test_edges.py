@@ -255,3 +255,18 @@ def test_nest_is_one_list_per_day_in_time_order(spark):
     assert n.filter("dw_p_id = 'v'").count() == 1
     lists = [[e.timestamp for e in r.xs] for r in n.filter("dw_p_id = 'u'").orderBy("day").collect()]
     assert [len(x) for x in lists] == [44, 43, 13] and sum(lists, []) == [i * 2000 for i in range(100)]
+
+
+def test_blocked_titles_with_capitals(spark):
+    upper = next(b for b in filters.BLOCKED_TITLES if b != b.lower())
+    df = spark.createDataFrame([("1", "movie", "10", upper, "0"), ("2", "movie", "10", "fine", "0")], "show_content_id string, sub_type string, clip_status string, title string, trailer_flag string")
+    assert [r[0] for r in filters.clean_titles(df).select("show_content_id").collect()] == ["1", "2"]
+    assert [r[0] for r in filters.clean_titles(df, ignore_case=True).select("show_content_id").collect()] == ["2"]
+
+
+def test_feature_rows_gap_can_fail(spark):
+    df = spark.createDataFrame([("2024-01-05",)], "version string")
+    dim = spark.createDataFrame([("2024-01-01", 1), ("2024-01-09", 1)], "version string, content_id int")
+    with pytest.raises(Exception, match="no matched version"):
+        joins.resolve_version(df, dim).collect()
+    assert joins.resolve_version(df, dim, on_gap="null").first()["resolved"] is None
