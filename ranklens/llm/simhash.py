@@ -240,11 +240,13 @@ def keep_one(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     All columns are returned as they came. Of repeated rows with that id one stays, and of a group
     without any doc_id one row stays.
     """
-    code = free_name(docs, "code")
+    code, key = free_name(docs, "code"), free_name(docs, "key")
+    id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
     marked = stage(docs.withColumn(code, fingerprint_column(F.col("text"))), "marked")
     slim = marked.select("doc_id", F.col(code).alias("code"))
     groups = components_of(slim, limit)
     here = slim.join(groups, "code").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = here.groupBy("root").agg(F.min("component_id").alias("k_id"), F.min("code").alias("k_code"))
-    kept = marked.join(chosen, marked["doc_id"].eqNullSafe(chosen["k_id"]) & (marked[code] == chosen["k_code"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", code]).select(*docs.columns)
+    chosen = here.groupBy("root").agg(F.min("component_id").alias("doc_id"), F.min("code").alias(code)).select(id_key.alias(key), code)
+    # the key is never null and names the document twice: the rows stay where the join has dealt them
+    kept = marked.withColumn(key, id_key).join(chosen, [key, code], "left_semi")
+    return kept.dropDuplicates([key, code]).select(*docs.columns)
