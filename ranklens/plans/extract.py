@@ -25,11 +25,11 @@ def as_mtl(ex: DataFrame) -> DataFrame:
 
 
 def extract_day(exposed: DataFrame, random_watch: DataFrame, events: DataFrame, catalog: DataFrame, pop: DataFrame, state_pop: DataFrame,
-                country: str, mtl: bool = False, prepare=None) -> DataFrame:
+                country: str, mtl: bool = False, production_house: bool = False, prepare=None) -> DataFrame:
     """Feature rows of both tasks; the task is a column, so events, profiles and dimensions are joined once."""
     second = as_mtl(random_watch) if mtl else random_watch
     both = exposed.withColumn("task", F.lit(EXPOSED)).unionByName(second.withColumn("task", F.lit(RANDOM_WATCH)))
-    return features.feature_rows(both, events, catalog, pop, state_pop, country, mtl=mtl, prepare=prepare)
+    return features.feature_rows(both, events, catalog, pop, state_pop, country, mtl=mtl, production_house=production_house, prepare=prepare)
 
 
 def training_set(days: DataFrame, end: str, rate: float) -> DataFrame:

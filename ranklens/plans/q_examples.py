@@ -183,7 +183,7 @@ _ASOF = "ASOF JOIN (SELECT dw_p_id, timestamp, max(event_id) AS event_id FROM re
 _EVW = """evw AS (SELECT event_id, unnest([1 + k % 10, 1 + k // 10]) AS content_id, unnest([value, value / 2]) AS w FROM requests),
     attrs AS (SELECT e.event_id, e.w, c.* FROM evw e JOIN catalog c USING (content_id)),
     pairs AS (SELECT event_id, 'genre:' || unnest(genre_ids) AS k, w FROM attrs UNION ALL SELECT event_id, 'studio_id:' || studio_id, w FROM attrs UNION ALL SELECT event_id, 'parental_rating:' || parental_rating, w FROM attrs
-        UNION ALL SELECT event_id, 'content_type_id:' || content_type_id, w FROM attrs UNION ALL SELECT event_id, 'year_bucket:' || least(greatest(2024 - year, 0), 10), w FROM attrs),
+        UNION ALL SELECT event_id, 'content_type_id:' || content_type_id, w FROM attrs UNION ALL SELECT event_id, 'production_house_id:' || production_house_id, w FROM attrs UNION ALL SELECT event_id, 'year_bucket:' || least(greatest(2024 - year, 0), 10), w FROM attrs),
     prof AS (SELECT event_id, k, sum(w) / sum(sum(w)) OVER (PARTITION BY event_id, split_part(k, ':', 1)) AS share FROM pairs GROUP BY event_id, k)"""
 _SHARE = lambda expr: f"coalesce((SELECT share FROM prof p WHERE p.event_id = m.event_id AND p.k = {expr}), 0)"
 _RESOLVED = "CASE WHEN m.cd > '2024-01-18' THEN '2024-01-18' WHEN m.cd < '2024-01-15' THEN '2024-01-15' WHEN m.cd IN ('2024-01-15', '2024-01-17', '2024-01-18') THEN m.cd END"
@@ -192,12 +192,14 @@ _RESOLVED = "CASE WHEN m.cd > '2024-01-18' THEN '2024-01-18' WHEN m.cd < '2024-0
 def _feature_sql(source: str, extra: str) -> str:
     """Scalar features of matched examples, one column per scalar."""
     return f"""
-    WITH {_EVW}, ex AS ({source}), m AS (SELECT e.*, r.event_id, r.timestamp AS event_ts, q.cd, q.country FROM ex e {_ASOF} JOIN requests q ON q.event_id = r.event_id)
+    WITH {_EVW}, ex AS ({source}), m AS (SELECT e.*, r.event_id, r.timestamp AS event_ts, q.cd, q.country, q.k AS rk, q.value AS rvalue FROM ex e {_ASOF} JOIN requests q ON q.event_id = r.event_id)
     SELECT m.dw_p_id, m.content_id, m.event_ts AS timestamp, {extra}, m.event_ts - c.start_dt AS secs_start_dt,
            round(coalesce((SELECT sum(share) FROM prof p WHERE p.event_id = m.event_id AND p.k IN (SELECT 'genre:' || unnest(c.genre_ids))), 0), 5) AS x1,
            round({_SHARE("'studio_id:' || c.studio_id")}, 5) AS x2, round({_SHARE("'parental_rating:' || c.parental_rating")}, 5) AS x3, round({_SHARE("'content_type_id:' || c.content_type_id")}, 5) AS x4,
            round({_SHARE("'year_bucket:' || least(greatest(2024 - c.year, 0), 10)")}, 5) AS x6, round(1 / (1 + ln(1 + greatest((m.event_ts - c.start_dt) / 86400.0::DOUBLE, 0))), 5) AS x7,
-           CAST(m.event_ts - c.start_dt < 604800 AS INTEGER)::DOUBLE AS x9,
+           round({_SHARE("'production_house_id:' || c.production_house_id")}, 5) AS x5,
+           {", ".join(f"CAST(m.event_ts - c.start_dt < {d} * 86400 AS INTEGER)::DOUBLE AS x{i}" for i, d in ((8, 3), (9, 7), (10, 30)))},
+           rk || ',' || (7 + rk % 2) AS user_fids, CAST(rk AS VARCHAR) AS user_weighted_fids, round(rvalue, 5) AS user_weights,
            round(coalesce(sp.dv, 0), 5) AS x11, round(coalesce(sp.wv, 0), 5) AS x12, round(coalesce(lp.dv, 0), 5) AS x13, round(coalesce(lp.wv, 0), 5) AS x14,
            len(c.genre_ids) + CASE WHEN len(c.genre_ids) = 0 THEN 1 ELSE 0 END + 8 AS n_fids, {_fid_sum('c')} AS fid_sum
     FROM m JOIN catalog c USING (content_id) LEFT JOIN pop lp ON lp.version = {_RESOLVED} AND lp.content_id = m.content_id AND lp.language_id = c.language_ids[1]
@@ -209,18 +211,22 @@ def _h(expr: str) -> str:
 
 
 def _fid_sum(c: str) -> str:
-    """Low-bit sum of all hashed ids, a check over the id list."""
-    parts = [_h(f"{c}.{x}") for x in ("content_id", "entitlement", "content_type_id", "parental_rating", "studio_id", "production_house_id", "priority")]
-    parts.append(_h(f"least(greatest(2024 - {c}.year, 0), 10)"))
-    genres = f"CASE WHEN len({c}.genre_ids) = 0 THEN {_h(chr(39) + 'empty' + chr(39))} ELSE {_h(f'{c}.genre_ids[1]')} + {_h(f'{c}.genre_ids[2]')} END"
+    """Sum of all ids with their slots, a check over the id list."""
+    id_ = lambda slot, expr: f"({SLOTS[slot]}::BIGINT * 281474976710656 + {_h(expr)})"
+    parts = [id_("target_id", f"{c}.content_id"), *[id_(x, f"{c}.{x}") for x in ("entitlement", "content_type_id", "parental_rating", "studio_id", "production_house_id", "priority")]]
+    parts.append(id_("year_bucket", f"least(greatest(2024 - {c}.year, 0), 10)"))
+    genre = lambda expr: id_("genre_id", expr)
+    genres = f"CASE WHEN len({c}.genre_ids) = 0 THEN {genre(chr(39) + 'empty' + chr(39))} ELSE {genre(f'{c}.genre_ids[1]')} + {genre(f'{c}.genre_ids[2]')} END"
     return f"({' + '.join(parts)} + {genres})"
 
 
 def _flat_features(df, *labels):
     value = lambda i: F.round(F.element_at("sparse_values", F.array_position("sparse_indices", F.lit(i)).cast("int")), 5).alias(f"x{i}")
-    low = F.aggregate("fids", F.lit(0).cast("bigint"), lambda s, f: s + f.bitwiseAND(F.lit((1 << 48) - 1)))
-    return df.select("dw_p_id", "content_id", "timestamp", *labels, "secs_start_dt", *[value(i) for i in (1, 2, 3, 4, 6, 7, 9, 11, 12, 13, 14)],
-                     F.size("fids").cast("bigint").alias("n_fids"), low.alias("fid_sum"))
+    whole = F.aggregate("fids", F.lit(0).cast("bigint"), lambda s, f: s + f)
+    return df.select("dw_p_id", "content_id", "timestamp", *labels, "secs_start_dt", *[value(i) for i in range(1, 15)],
+                     *[F.concat_ws(",", F.col(c).cast("array<string>")).alias(c) for c in ("user_fids", "user_weighted_fids")],
+                     F.round(F.aggregate("user_weighted_fid_weights", F.lit(0.0), lambda s, w: s + w), 5).alias("user_weights"),
+                     F.size("fids").cast("bigint").alias("n_fids"), whole.alias("fid_sum"))
 
 
 _SINGLE = _feature_sql(_CAP(5) + " UNION ALL " + _INTER, "m.label")
@@ -238,13 +244,13 @@ def _matched(df):
 @query("e14_feature_rows", f"SELECT * FROM ({_SINGLE}) WHERE dw_p_id IN (SELECT dw_p_id FROM ({_SINGLE}) GROUP BY dw_p_id HAVING max(label) = 1 AND min(label) = 0)")
 def _(t):
     ex = stage(examples.sampled_examples(_labelled(t)), "examples")
-    return _flat_features(features.feature_rows(ex, t.requests, t.catalog, t.pop, t.state_pop.withColumn("state", F.lower("state")), "in", prepare=_matched), "label")
+    return _flat_features(features.feature_rows(ex, t.requests, t.catalog, t.pop, t.state_pop.withColumn("state", F.lower("state")), "in", production_house=True, prepare=_matched), "label")
 
 
 @query("e14_feature_rows_mtl", _feature_sql(f"SELECT * FROM ({_BOTH})", "m.click, m.watch, m.watch_time, m.paywall_view, m.add_watchlist"))
 def _(t):
     ex = stage(examples.mtl_examples(positives(t), negatives(t), 1.1), "examples")
-    return _flat_features(features.feature_rows(ex, t.requests, t.catalog, t.pop, t.state_pop, "in", mtl=True, prepare=_matched), "click", "watch", "watch_time", "paywall_view", "add_watchlist")
+    return _flat_features(features.feature_rows(ex, t.requests, t.catalog, t.pop, t.state_pop, "in", mtl=True, production_house=True, prepare=_matched), "click", "watch", "watch_time", "paywall_view", "add_watchlist")
 
 
 _RANDOM = f"""
@@ -266,7 +272,7 @@ def _random_watch(t):
 def _(t):
     """Both tasks of a day: exposed items and random-watch items with random negatives."""
     exposed = examples.sampled_examples(_labelled(t))
-    out = extract.extract_day(exposed, _random_watch(t), t.requests, t.catalog, t.pop, t.state_pop, "in", prepare=_matched)
+    out = extract.extract_day(exposed, _random_watch(t), t.requests, t.catalog, t.pop, t.state_pop, "in", production_house=True, prepare=_matched)
     return _flat_features(out, "label", "task")
 
 
