@@ -250,7 +250,7 @@ _DIV = f"""{_TOP}, {_USED},
 @query("k12_diversify", f"WITH {_DIV} SELECT dw_p_id, dst, dst_lang, round(CASE WHEN hit THEN score * weight / row_number() OVER (PARTITION BY dw_p_id, src ORDER BY {_ORDER}) ELSE 0 END, 6) AS score FROM rows")
 def _(t):
     rel = stage(t.rel, "relevances")  # read for scoring, for the pass and for the evidence
-    weights = retrieval.watch_weights(retrieval.used_watches(t.kwatch, rel), NOW)
+    weights = stage(retrieval.watch_weights(retrieval.used_watches(t.kwatch, rel), NOW), "weights")  # read for the sources and the ranks
     evidence = retrieval.source_evidence(retrieval.top_sources(weights), rel)
     return r6(retrieval.diversify(top(t, rel), evidence, weights))
 
