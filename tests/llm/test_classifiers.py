@@ -53,12 +53,16 @@ def test_filters_return_documents_as_they_came(spark):
     assert Q.accepted(docs, none).columns == T.not_toxic(docs, none).columns == docs.columns
 
 
-def test_labels_of_the_held_out_fold_are_not_learned():
-    import inspect
-
-    from ranklens.llm import labelled
-
-    assert "fold(" in inspect.getsource(labelled.training_sample)
+def test_sample_is_bounded_and_outside_the_held_out_fold(spark):
+    from ranklens.llm.labelled import training_sample
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    rows = training_sample(docs.unionByName(docs), labels, "quality", 4, 2).collect()
+    assert {r.doc_id: r.y for r in rows} == {k: y for k, y in known.items() if _held(k, 4) != 2} and len(rows) == len({r.doc_id for r in rows})
+    few = training_sample(docs, labels, "quality", 4, 2, rows=50)
+    assert few.count() == 50 and {r.doc_id for r in few.collect()} <= {r.doc_id for r in rows}
+    assert training_sample(docs, labels, "quality", 4, 2, chars=100).count() < 50
 
 
 def test_long_text_in_runs_equals_one_run(monkeypatch):
