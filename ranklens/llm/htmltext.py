@@ -34,7 +34,7 @@ DEPTH = 40
 
 # Element names by role.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("script style template noscript a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _RAW = frozenset("script style noscript template iframe textarea title svg math select".split())
 _ITEMS = frozenset("li dt dd tr td th option".split())
 _LISTS = frozenset("ul ol dl table tbody thead tfoot tr select".split())

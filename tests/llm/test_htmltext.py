@@ -42,6 +42,6 @@ def test_classes_and_slots_of_a_host(spark):
     assert template["#page/html/body/div.top"] == "side" and template["#page/html/body/div.text/p"] == "open"
     assert template["#page/html/body/div.links/a"] == "side" and "#page/html/body/div.text/p/i" not in template
     got = sorted(((r.page_id, r.text, r.n_chars) for r in H.main_texts(df).collect()), key=str)
-    assert (3, "x\nstory 3\nrare", 14) in got and (20, "no host", 7) in got and (None, "", 0) in got
-    assert [t for p, t, _ in got if p == 21] == ["x\nstory 0"] * 2
+    assert (3, "story 3\nrare", 12) in got and (20, "no host", 7) in got and (None, "", 0) in got
+    assert [t for p, t, _ in got if p == 21] == ["story 0"] * 2
     assert H.main_texts(spark.createDataFrame([], SCHEMA)).count() == 0
