@@ -34,16 +34,23 @@ DEPTH = 40
 
 # Element names by role.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("script style template noscript a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-_RAW = frozenset("script style noscript template iframe textarea title svg math select".split())
+_INLINE = frozenset("script style template noscript a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr "
+                    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose mfenced msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics annotation annotation-xml".split())
+_RAW = frozenset("script style noscript template iframe textarea title svg select".split())
 _ITEMS = frozenset("li dt dd tr td th option".split())
 _LISTS = frozenset("ul ol dl table tbody thead tfoot tr select".split())
-_FURNITURE = frozenset("head nav header footer aside form button input select option script style noscript template iframe textarea title svg math dialog menu".split())
+_FURNITURE = frozenset("head nav header footer aside form button input select option script style noscript template iframe textarea title svg dialog menu".split())
 _ARTICLE = frozenset("article main".split())
+_NEVER = frozenset("html body main article".split())
+# Whole class names, ids and roles; what these miss is left to the deduction.
+_PLACES = r"(?:(?:site|page|global|main|top|bottom|primary|secondary|left|right)[-_]?)?"
 _FURNITURE_NAMES = re.compile(
-    r"(?:^|[-_.])(?:ad|ads|advert\w*|adslot|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|widget|"
-    r"cookies?|consent|notice|notification|alert|popup|modal|newsletter|subscri\w+|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|respond|replies|disqus)(?:$|[-_.])"
+    rf"(?:ads?|advert\w*|ads?[-_]?(?:slot|box|unit|banner|block|container|wrapper|0)|sponsor\w*|promos?|promotions?|{_PLACES}(?:nav|navbar|navigation|menu|footer|sidebar)|nav[-_]?(?:bar|menu)|menu[-_]?bar|"
+    r"breadcrumbs?|banner|aside|complementary|contentinfo|widgets?|cookies?|cookie[-_]?(?:banner|bar|consent|notice)|consent|notice|notification|alert|popup|modal|newsletter(?:[-_]?signup)?|subscri\w+|signup|login|"
+    r"share|sharing|social|(?:social[-_]?)?share[-_]?(?:bar|buttons?|links?)|social[-_]?(?:bar|buttons?|links?|share|sharing)|related(?:[-_]?(?:articles|posts|stories|links))?|recommend\w*|comments?|comment[-_]?(?:list|section|form)|comments[-_]?(?:area|list|section)|respond|replies|disqus(?:_thread)?)"
 )
+#: Names that hold the title when they stand inside the article.
+_HEADER_NAMES = re.compile(rf"{_PLACES}(?:header|masthead)")
 _TAG = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*>|<[!?][^>]*>", re.S
 )
@@ -59,9 +66,14 @@ def _key(name: str, attributes: str) -> str:
 
 
 @lru_cache(maxsize=50_000)
-def is_furniture(key: str) -> bool:
-    name, _, rest = key.partition(".")
-    return name in _FURNITURE or bool(rest and _FURNITURE_NAMES.search(rest))
+def is_furniture(key: str, in_article: bool = False) -> bool:
+    """Whether an element is furniture by its name, or by a whole class name, id or role."""
+    name, *words = key.split(".")
+    if name in _FURNITURE and not (name == "header" and in_article):
+        return True
+    if name in _NEVER or is_article(key) or name == "header":
+        return False
+    return any(_FURNITURE_NAMES.fullmatch(w) or not in_article and _HEADER_NAMES.fullmatch(w) for w in words)
 
 
 @lru_cache(maxsize=50_000)
@@ -71,20 +83,28 @@ def is_article(key: str) -> bool:
 
 
 class Place:
-    """An open element: its path, and whether furniture or the article is around it."""
+    """An open element: its path, and whether the article or a link is around it.
+
+    Whether furniture is around it is known once the page is read to its end (``events``).
+    """
 
-    __slots__ = ("name", "path", "depth", "furniture", "article", "link", "above")
+    __slots__ = ("name", "key", "path", "depth", "furniture", "article", "link", "above", "chars")
 
     def __init__(self, name: str, key: str, above: Place | None):
-        self.name, self.above = name, above
+        self.name, self.key, self.above = name, key, above
         self.depth = above.depth + 1 if above else 0
         self.path = f"{above.path}/{key}" if above and self.depth < DEPTH else (above.path if above else key)
-        # a header inside the article holds its title
-        own = is_furniture(key) and not (name == "header" and above is not None and above.article)
-        self.furniture = own or (above is not None and above.furniture)
+        self.furniture, self.chars = False, 0
         self.article = is_article(key) or (above is not None and above.article)
         self.link = name == "a" or (above is not None and above.link)
 
+    def around(self) -> Iterator[Place]:
+        """This place and those around it, innermost first."""
+        at: Place | None = self
+        while at is not None:
+            yield at
+            at = at.above
+
 
 ROOT = ("#page", "#page")
 
@@ -144,11 +164,43 @@ def _ended_by(name: str, here: Place) -> Place:
     return here
 
 
+def events(page: str | None) -> list[tuple[str, Place, str]]:
+    """Events of a whole page, each place marked if furniture is around it.
+
+    An element around the article is no furniture: if all articles of a page stand in furniture, the
+    one with the most text is taken out of it. On a page without one, a form that holds more than
+    half of the text is no furniture.
+    """
+    out = list(walk(page))
+    places = [place for kind, place, _ in out if kind == "open"]
+    _mark(places, frozenset())
+    if not any(p.furniture for p in places) or any(p.article and not p.furniture for p in places):
+        return out
+    for kind, place, text in out:
+        if kind == "text":
+            place.chars += sum(map(len, text.split()))
+    for p in reversed(places):
+        p.above.chars += p.chars
+    articles = [p for p in places if p.article and not p.above.article and not any(is_furniture(x.key) for x in p.around() if x.article)]
+    if articles:
+        chosen = max(articles, key=lambda p: p.chars)
+        _mark(places, frozenset(map(id, chosen.around())))
+    elif forms := [p for p in places if p.name == "form" and 2 * p.chars > places[0].above.chars]:
+        _mark(places, frozenset(map(id, forms)))
+    return out
+
+
+def _mark(places: list[Place], spared: frozenset[int]) -> None:
+    for p in places:
+        own = id(p) not in spared and is_furniture(p.key, p.above.article)
+        p.furniture = own or p.above.furniture
+
+
 def observed(page: str | None) -> dict[str, list]:
     """Per path of a page: occurrences, characters of text, characters of link text, hash of the text."""
     out: dict[str, list] = {}
     texts: dict[str, list[str]] = {}
-    for kind, place, text in walk(page):
+    for kind, place, text in events(page):
         if kind == "open":
             seen = out.setdefault(place.path, [0, 0, 0, 0, place.article and not place.furniture, place.furniture])
             seen[0] += 1
@@ -172,7 +224,7 @@ def main_text(page: str | None, template: dict[str, str]) -> str:
     spare: list[str] = []
     spare_now: list[str] = []
     article = False
-    for kind, place, text in walk(page):
+    for kind, place, text in events(page):
         if kind == "text":
             if place.furniture:
                 continue
@@ -187,7 +239,7 @@ def main_text(page: str | None, template: dict[str, str]) -> str:
                     if joined := " ".join("".join(own).split()):
                         to.append(joined)
                     own.clear()
-        elif place.article:
+        elif place.article and not place.furniture:
             article = True
     for own, to in ((now, blocks), (spare_now, spare)):
         if joined := " ".join("".join(own).split()):

@@ -45,3 +45,17 @@ def test_classes_and_slots_of_a_host(spark):
     assert (3, "story 3\nrare", 12) in got and (20, "no host", 7) in got and (None, "", 0) in got
     assert [t for p, t, _ in got if p == 21] == ["story 0"] * 2
     assert H.main_texts(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<html class='has-sidebar'><body class='no-sidebar modal'><main class='has-sidebar widget'><article class='post comments-open share'>text</article></main>", "text"),
+    ("<article><div class='post-header'><h1>T</h1></div><div class='article-header'>by A</div><div class=header><h2>U</h2></div><p>x", "T\nby A\nU\nx"),
+    ("<body><form id=all><nav>menu</nav><article>one<form>in</form></article><div class=sidebar><article>tip</article></div></form>", "one"),
+    ("<body><form id=all><div class=menu>menu</div><p>one<p>two</form>", "one\ntwo"), ("<p>much more text than the form has</p><form>search</form>", "much more text than the form has"),
+    ("<div class=widget><nav>menu</nav><div id=main>text</div></div>", "text"), ("<nav class=main>menu</nav><p>text", "text"),
+    ("<article>so <math><mi>x</mi><mo>+</mo><mn>1</mn></math> holds</article>", "so x+1 holds"),
+    ("<main>a<div class='related'><article>tip</article></div></main>", "a"),
+    ("<div class='site-footer'>f</div><div class='cookie-banner'>c</div><div class='adaptive menu-of-the-day'>soup</div>", "soup"),
+])
+def test_names_never_take_the_article(page, text):
+    assert H.main_text(page, {}) == text
