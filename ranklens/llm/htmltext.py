@@ -12,6 +12,7 @@ Vectors are compared by a 64-bit signature that adds up over pages, so no host's
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 import zlib
@@ -27,8 +28,8 @@ from ranklens.llm.common import stage
 
 #: Least share of a host's pages on which a valid class occurs.
 SUPPORT = 0.5
-#: Least pages of a host from which text that never changes counts as template.
-FIXED_PAGES = 5
+#: Least distinct pages of a host on which a text stands before it counts as unchanging: fewer compare nothing.
+LEAST_PAGES = 2
 #: Elements nested deeper than this share the path of the last one named.
 DEPTH = 40
 
@@ -88,12 +89,13 @@ class Place:
     Whether furniture is around it is known once the page is read to its end (``events``).
     """
 
-    __slots__ = ("name", "key", "path", "depth", "furniture", "article", "link", "above", "chars")
+    __slots__ = ("name", "key", "path", "depth", "furniture", "article", "link", "above", "block", "chars")
 
     def __init__(self, name: str, key: str, above: Place | None):
         self.name, self.key, self.above = name, key, above
         self.depth = above.depth + 1 if above else 0
         self.path = f"{above.path}/{key}" if above and self.depth < DEPTH else (above.path if above else key)
+        self.block = above.block if above and name in _INLINE else self
         self.furniture, self.chars = False, 0
         self.article = is_article(key) or (above is not None and above.article)
         self.link = name == "a" or (above is not None and above.link)
@@ -196,55 +198,94 @@ def _mark(places: list[Place], spared: frozenset[int]) -> None:
         p.furniture = own or p.above.furniture
 
 
-def observed(page: str | None) -> dict[str, list]:
-    """Per path of a page: occurrences, characters of text, characters of link text, hash of the text."""
-    out: dict[str, list] = {}
-    texts: dict[str, list[str]] = {}
-    for kind, place, text in events(page):
+def content(out: list[tuple[str, Place, str]]) -> int:
+    """Hash of a page's text outside furniture: rows with equal ones are copies of one page."""
+    text = hashlib.blake2b(digest_size=8)
+    for kind, place, words in out:
+        if kind == "text" and not place.furniture:
+            for word in words.split():
+                text.update(word.encode("utf-8", "surrogatepass") + b" ")
+    return int.from_bytes(text.digest(), "big", signed=True)
+
+
+def text_token(path: str, text: str) -> str:
+    """Token of a block of text in an element."""
+    return f"{path}\t{hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}"
+
+
+def blocks_of(out: list[tuple[str, Place, str]]) -> Iterator[tuple[Place, str]]:
+    """Blocks of a page's text outside furniture, each with the block element it stands in."""
+    now: list[str] = []
+    at: Place | None = None
+    for kind, place, text in [*out, ("break", None, "")]:
+        if kind == "text" and not place.furniture:
+            now.append(text)
+            at = at or place
+        elif kind == "break" and now:
+            if joined := " ".join("".join(now).split()):
+                yield at.block, joined
+            now, at = [], None
+
+
+def observed(page: str | None) -> tuple[int, dict[str, list]]:
+    """Content of a page, and per token: occurrences, characters, characters of link text, hash of the text, flags.
+
+    Tokens are element paths and blocks of text in their element. An element's text is that of its
+    inline elements too; they have their own besides.
+    """
+    read = events(page)
+    out: dict[str, list] = {ROOT[0]: [1, 0, 0, 0, False, False]} if read else {}
+    for kind, place, text in read:
         if kind == "open":
             seen = out.setdefault(place.path, [0, 0, 0, 0, place.article and not place.furniture, place.furniture])
             seen[0] += 1
         elif kind == "text" and not place.furniture and (words := text.split()):
-            seen = out.get(place.path)
-            if seen is not None:
-                n = sum(map(len, words))
-                seen[1] += n
-                seen[2] += n if place.link else 0
-                seen[3] = zlib.crc32(" ".join(words).encode(), seen[3])
-    return out
+            n, line = sum(map(len, words)), " ".join(words).encode("utf-8", "surrogatepass")
+            for path in {place.path, place.block.path}:
+                if (seen := out.get(path)) is not None:
+                    seen[1] += n
+                    seen[2] += n if place.link else 0
+                    seen[3] = zlib.crc32(line, seen[3])
+    for place, text in blocks_of(read):
+        seen = out.setdefault(text_token(place.path, text), [0, len(text), 0, 0, place.article, False])
+        seen[0] += 1
+    return content(read), out
 
 
 def main_text(page: str | None, template: dict[str, str]) -> str:
     """Main text of a page; ``template`` gives each template token's slot: main, side, or open.
 
-    "open" slots are main text only on pages without an article.
+    "open" slots are main text only on pages without an article. Unchanging texts are left out there,
+    unless the page has no other text.
     """
+    read = events(page)
     blocks: list[str] = []
-    now: list[str] = []
-    spare: list[str] = []
-    spare_now: list[str] = []
-    article = False
-    for kind, place, text in events(page):
-        if kind == "text":
-            if place.furniture:
-                continue
-            slot = _slot(place, template)
-            if place.article or slot == "main":
-                now.append(text)
-            elif slot == "open":
-                spare_now.append(text)
-        elif kind == "break":
-            for own, to in ((now, blocks), (spare_now, spare)):
-                if own:
-                    if joined := " ".join("".join(own).split()):
-                        to.append(joined)
-                    own.clear()
-        elif place.article and not place.furniture:
-            article = True
-    for own, to in ((now, blocks), (spare_now, spare)):
-        if joined := " ".join("".join(own).split()):
-            to.append(joined)
-    return "\n".join(blocks if article else spare)
+    spare: list[tuple[str, str]] = []
+    fixed: list[int] = []
+    for place, text in blocks_of(read):
+        slot = _slot(place, template)
+        if place.article or slot == "main":
+            blocks.append(text)
+        elif template.get(text_token(place.path, text)) == "side":
+            fixed.append(len(spare))
+            spare.append((place.path, text))
+        elif slot == "open":
+            spare.append((place.path, text))
+    return "\n".join(blocks or _varying(spare, fixed))
+
+
+def _varying(blocks: list[tuple[str, str]], fixed: list[int]) -> list[str]:
+    """Texts without the unchanging ones at ``fixed``.
+
+    They stay where they are the larger part of a path that has others too: versions of one text share
+    most of it. They all stay if the page has no other text: then the pages themselves are equal.
+    """
+    sizes: dict[str, list[int]] = {}
+    out = set(fixed)
+    for k, (path, text) in enumerate(blocks):
+        sizes.setdefault(path, [0, 0])[k in out] += len(text)
+    left = [text for k, (path, text) in enumerate(blocks) if k not in out or 0 < sizes[path][0] < sizes[path][1]]
+    return left or [text for _, text in blocks]
 
 
 def _slot(place: Place, template: dict[str, str]) -> str:
@@ -258,18 +299,22 @@ def _slot(place: Place, template: dict[str, str]) -> str:
     return "open"
 
 
+_TOKENS = {"host": ("string", pa.string()), "page": ("long", pa.int64()), "path": ("string", pa.string()), "n": ("long", pa.int64()), "chars": ("long", pa.int64()),
+           "link_chars": ("long", pa.int64()), "text_hash": ("long", pa.int64()), "article": ("boolean", pa.bool_()), "furniture": ("boolean", pa.bool_())}
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["host", "row", "path", "n", "chars", "link_chars", "text_hash", "article", "furniture"]
-    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+    types = [t for _, t in _TOKENS.values()]
     for batch in batches:
-        hosts, rows, pages = (batch.column(c) for c in ("host", "row", "html"))
-        for at in range(0, len(batch), 256):
-            out = []
-            for k in range(at, min(at + 256, len(batch))):
-                host, row = hosts[k].as_py(), rows[k].as_py()
-                out += [(host, row, path, *seen) for path, seen in observed(pages[k].as_py()).items()]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+        out: list[tuple] = []
+        for host, html in zip(batch.column("host"), batch.column("html")):
+            page, tokens = observed(html.as_py())
+            out += [(host.as_py(), page, token, *seen) for token, seen in tokens.items()]
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=list(_TOKENS))
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=list(_TOKENS))
 
 
 def host_of(url):
@@ -277,22 +322,32 @@ def host_of(url):
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): the valid classes of each host as one string of lines ``slot<tab>path``."""
-    own = pages.select(host_of(F.col("url")).alias("host"), F.monotonically_increasing_id().alias("row"), "html")
-    total = own.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    tokens = own.mapInArrow(_tokens, "host string, row long, path string, n long, chars long, link_chars long, text_hash long, article boolean, furniture boolean")
-    tokens = tokens.groupBy("host", "path").agg(
-        F.bit_xor(F.xxhash64("row", "n")).alias("vector"), F.count(F.lit(1)).alias("on"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars"),
-        F.min("text_hash").alias("low"), F.max("text_hash").alias("high"), F.first("article").alias("article"), F.first("furniture").alias("furniture"),
+    """(host, template): the template tokens of each host as one string of lines ``slot<tab>token``.
+
+    Pages count once per content, so copies of a page prove nothing; pages without text or element
+    do not count.
+    """
+    own = pages.filter(F.length("html") > 0).select(host_of(F.col("url")).alias("host"), "html")
+    seen = own.mapInArrow(_tokens, ", ".join(f"{c} {t}" for c, (t, _) in _TOKENS.items()))
+    # one row per token and content: copies of a page fall together
+    seen = seen.groupBy("host", "path", "page").agg(*[F.max(c).alias(c) for c in _TOKENS if c not in ("host", "path", "page")])
+    tokens = seen.groupBy("host", "path").agg(
+        F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count(F.lit(1)).alias("on"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars"),
+        F.min("text_hash").alias("low"), F.max("text_hash").alias("high"), F.max("article").alias("article"), F.max("furniture").alias("furniture"),
     )
-    # an equivalence class: the tokens of a host with one vector; it is valid if enough pages hold it
-    classes = tokens.groupBy("host", "vector", "on").agg(F.collect_list(F.struct("path", "chars", "link_chars", "low", "high", "article", "furniture")).alias("tokens"))
-    valid = classes.join(total, "host").filter(F.col("on") >= SUPPORT * F.col("pages"))
-    rows = valid.select("host", "on", "pages", F.explode("tokens").alias("t")).select("host", "on", "pages", "t.*")
-    fixed = (F.col("pages") >= FIXED_PAGES) & (F.col("on") == F.col("pages")) & (F.col("low") == F.col("high")) & (F.col("chars") > 0)
+    text = F.instr("path", "\t") > 0
+    tokens = stage(tokens.withColumn("text", text).filter(~text | (F.col("on") >= LEAST_PAGES)), "tokens")
+    total = tokens.filter(F.col("path") == ROOT[0]).select("host", F.col("on").alias("pages"))
+    valid = tokens.join(total, "host").filter((F.col("on") >= SUPPORT * F.col("pages")) & ~F.col("text"))
+    fixed = (F.col("on") >= LEAST_PAGES) & (F.col("low") == F.col("high")) & (F.col("chars") > 0)
     links = (F.col("chars") > 0) & (2 * F.col("link_chars") > F.col("chars"))
     slot = F.when(F.col("furniture"), "side").when(F.col("article"), "main").when(fixed | links, "side").otherwise("open")
-    lines = rows.select("host", F.concat_ws("\t", slot, F.col("path")).alias("line"))
+    # a text is unchanging if most pages that hold its element hold it
+    held = valid.select(F.col("host").alias("h"), F.col("path").alias("element"), F.col("on").alias("held"))
+    texts = tokens.filter(F.col("text") & ~F.col("article")).withColumn("element", F.substring_index("path", "\t", 1))
+    texts = texts.join(held, (F.col("host") == F.col("h")) & (texts["element"] == held["element"])).filter(F.col("on") >= SUPPORT * F.col("held"))
+    lines = valid.select("host", F.concat_ws("\t", slot, F.col("path")).alias("line"))
+    lines = lines.unionByName(texts.select("host", F.concat_ws("\t", F.lit("side"), F.col("path")).alias("line")))
     return lines.groupBy("host").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("template"))
 
 
@@ -308,7 +363,10 @@ def _read(lines: str | None) -> dict[str, str]:
 def main_texts(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
-    Null html is an empty page with an empty text. A page whose url names no host is taken with all
+    Null html is an empty page with an empty text, and no page of its host for the template. On a host
+    with one distinct page nothing can be compared: all text not named furniture is kept. From two on,
+    a text outside an article is template if it stands, the same, on most distinct pages that hold its
+    element. A page whose url names no host is taken with all
     others of that kind. Repeated rows are each extracted; a null page_id is kept. Templates are
     written to a table first: while it is small it reaches the pages without moving them, otherwise
     by a join on the host that can split a host with many pages. Other columns are ignored.

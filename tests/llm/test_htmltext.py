@@ -59,3 +59,23 @@ def test_classes_and_slots_of_a_host(spark):
 ])
 def test_names_never_take_the_article(page, text):
     assert H.main_text(page, {}) == text
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 6])
+def test_unchanging_text_of_small_and_broken_hosts(spark, n):
+    page = "<html><body><div class=x>Same on all</div><div class=y><p>story {0} is told here</p><p>Read on</p><p>{0} more <a href=/>and {0} linked words of it</a></div></body></html>"
+    rows = [(i, "http://few.example/", page.format(i)) for i in range(n)] + [(50, "http://few.example/", None), (51, "http://few.example/", "")]
+    rows += [(60 + i, "http://copies.example/", page.format("one")) for i in range(7)]
+    rows += [(70 + i, "http://cut.example/", page.format(i)) for i in range(6)] + [(80, "http://cut.example/", page[:40])]
+    got = {r.page_id: r.text for r in H.main_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    kept = "story {0} is told here\n{0} more and {0} linked words of it"
+    whole = "Same on all\nstory {0} is told here\nRead on\n{0} more and {0} linked words of it"
+    assert [got[i] for i in range(n)] == [(whole if n == 1 else kept).format(i) for i in range(n)]
+    assert got[50] == got[51] == "" and {got[60 + i] for i in range(7)} == {whole.format("one")}
+    assert [got[70 + i] for i in range(6)] == [kept.format(i) for i in range(6)] and got[80]
+
+
+def test_versions_of_one_text_keep_it():
+    template = {H.text_token("#page/p", t): "side" for t in ("a long paragraph", "and another one")}
+    assert H.main_text("<p>a long paragraph<p>new<p>and another one", template) == "a long paragraph\nnew\nand another one"
+    assert H.main_text("<p>a long paragraph", template) == "a long paragraph"
