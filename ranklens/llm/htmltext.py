@@ -1,11 +1,15 @@
 """Main text of pages by equivalence-class template deduction.
 
-A token is the path of an element, such as ``html/body/div.ad``. Its occurrence vector tells how
-often it stands on each page of a host. Tokens of a host with equal vectors form an equivalence
-class; classes that occur on enough pages are valid, and since a path occurs only where its parent
-does, they nest into one template per host. Text stands in the slot of the innermost template token
-around it. Slots inside the article are main text; without one, all slots are, other than those
-whose text never changes and those made of links. Elements named as furniture are never main text.
+A token is the path of an element, such as ``html/body/div.ad``, or a block of text in one. Its
+occurrence vector tells how often it stands on each distinct page of a host. Tokens of a host with
+equal vectors form an equivalence class; it is valid if it stands on enough pages. A text in a class
+with elements is part of the template: it stands as often as they do, whatever else the pages say.
+Between the elements before and after it in the order of its class it is left out, inside the article
+too. Outside, a text that most holders of its element share is left out as well, and so are elements
+made of links.
+
+Names decide the rest: furniture is never main text, and a page with an article has no main text
+outside it.
 
 Vectors are compared by a 64-bit signature that adds up over pages, so no host's pages are gathered.
 """
@@ -30,6 +34,8 @@ from ranklens.llm.common import stage
 SUPPORT = 0.5
 #: Least distinct pages of a host on which a text stands before it counts as unchanging: fewer compare nothing.
 LEAST_PAGES = 2
+#: Least distinct pages on which a text inside the article stands before its class can make it template.
+CLASS_PAGES = 5
 #: Elements nested deeper than this share the path of the last one named.
 DEPTH = 40
 
@@ -213,18 +219,19 @@ def text_token(path: str, text: str) -> str:
     return f"{path}\t{hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}"
 
 
-def blocks_of(out: list[tuple[str, Place, str]]) -> Iterator[tuple[Place, str]]:
-    """Blocks of a page's text outside furniture, each with the block element it stands in."""
+def blocks_of(out: list[tuple[str, Place, str]]) -> Iterator[tuple[int, Place, str]]:
+    """Blocks of a page's text outside furniture: first event, block element it stands in, text."""
     now: list[str] = []
-    at: Place | None = None
-    for kind, place, text in [*out, ("break", None, "")]:
+    first, at = 0, None
+    for k, (kind, place, text) in enumerate([*out, ("break", None, "")]):
         if kind == "text" and not place.furniture:
+            if not now:
+                first, at = k, place.block
             now.append(text)
-            at = at or place
         elif kind == "break" and now:
             if joined := " ".join("".join(now).split()):
-                yield at.block, joined
-            now, at = [], None
+                yield first, at, joined
+            now = []
 
 
 def observed(page: str | None) -> tuple[int, dict[str, list]]:
@@ -234,10 +241,10 @@ def observed(page: str | None) -> tuple[int, dict[str, list]]:
     inline elements too; they have their own besides.
     """
     read = events(page)
-    out: dict[str, list] = {ROOT[0]: [1, 0, 0, 0, False, False]} if read else {}
-    for kind, place, text in read:
+    out: dict[str, list] = {ROOT[0]: [1, 0, 0, 0, False, False, -1]} if read else {}
+    for at, (kind, place, text) in enumerate(read):
         if kind == "open":
-            seen = out.setdefault(place.path, [0, 0, 0, 0, place.article and not place.furniture, place.furniture])
+            seen = out.setdefault(place.path, [0, 0, 0, 0, place.article and not place.furniture, place.furniture, at])
             seen[0] += 1
         elif kind == "text" and not place.furniture and (words := text.split()):
             n, line = sum(map(len, words)), " ".join(words).encode("utf-8", "surrogatepass")
@@ -246,8 +253,8 @@ def observed(page: str | None) -> tuple[int, dict[str, list]]:
                     seen[1] += n
                     seen[2] += n if place.link else 0
                     seen[3] = zlib.crc32(line, seen[3])
-    for place, text in blocks_of(read):
-        seen = out.setdefault(text_token(place.path, text), [0, len(text), 0, 0, place.article, False])
+    for at, place, text in blocks_of(read):
+        seen = out.setdefault(text_token(place.path, text), [0, len(text), 0, 0, place.article, False, at])
         seen[0] += 1
     return content(read), out
 
@@ -255,30 +262,44 @@ def observed(page: str | None) -> tuple[int, dict[str, list]]:
 def main_text(page: str | None, template: dict[str, str]) -> str:
     """Main text of a page; ``template`` gives each template token's slot: main, side, or open.
 
-    "open" slots are main text only on pages without an article. Unchanging texts are left out there,
-    unless the page has no other text.
+    A text of a class has the slot "after<vertical tab>before": the elements of its class around it. "open" slots
+    are main text only on pages without an article. Template texts are left out, unless they are most
+    of the article or the page has no other text.
     """
     read = events(page)
-    blocks: list[str] = []
+    blocks: list[tuple[str, str]] = []
+    known: list[int] = []
+    opened: Counter[str] = Counter()
+    passed = 0
     spare: list[tuple[str, str]] = []
     fixed: list[int] = []
-    for place, text in blocks_of(read):
-        slot = _slot(place, template)
+    for at, place, text in blocks_of(read):
+        opened.update(p.path for kind, p, _ in read[passed:at] if kind == "open")
+        passed = at
+        slot, own = _slot(place, template), template.get(text_token(place.path, text), "")
         if place.article or slot == "main":
-            blocks.append(text)
-        elif template.get(text_token(place.path, text)) == "side":
+            if "\v" in own and _in_order(own, opened):
+                known.append(len(blocks))
+            blocks.append(("", text))
+        elif own == "side":
             fixed.append(len(spare))
             spare.append((place.path, text))
         elif slot == "open":
             spare.append((place.path, text))
-    return "\n".join(blocks or _varying(spare, fixed))
+    return "\n".join(_varying(blocks, known) or _varying(spare, fixed))
+
+
+def _in_order(around: str, opened: Counter[str]) -> bool:
+    """Whether a text stands between the elements of its class: the one before has opened once more than the one after."""
+    after, before = around.split("\v")
+    return bool(opened[after] if after else True) and (not before or opened[before] < (opened[after] if after else 1))
 
 
 def _varying(blocks: list[tuple[str, str]], fixed: list[int]) -> list[str]:
     """Texts without the unchanging ones at ``fixed``.
 
-    They stay where they are the larger part of a path that has others too: versions of one text share
-    most of it. They all stay if the page has no other text: then the pages themselves are equal.
+    They stay where they are the larger part of a path (or of the article) that has others too: versions
+    of one text share most of it. They all stay if there is no other text: then the pages are equal.
     """
     sizes: dict[str, list[int]] = {}
     out = set(fixed)
@@ -300,7 +321,7 @@ def _slot(place: Place, template: dict[str, str]) -> str:
 
 
 _TOKENS = {"host": ("string", pa.string()), "page": ("long", pa.int64()), "path": ("string", pa.string()), "n": ("long", pa.int64()), "chars": ("long", pa.int64()),
-           "link_chars": ("long", pa.int64()), "text_hash": ("long", pa.int64()), "article": ("boolean", pa.bool_()), "furniture": ("boolean", pa.bool_())}
+           "link_chars": ("long", pa.int64()), "text_hash": ("long", pa.int64()), "article": ("boolean", pa.bool_()), "furniture": ("boolean", pa.bool_()), "place": ("long", pa.int64())}
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,11 +355,13 @@ def templates(pages: DataFrame) -> DataFrame:
     tokens = seen.groupBy("host", "path").agg(
         F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count(F.lit(1)).alias("on"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars"),
         F.min("text_hash").alias("low"), F.max("text_hash").alias("high"), F.max("article").alias("article"), F.max("furniture").alias("furniture"),
+        F.sum("place").alias("place"),
     )
     text = F.instr("path", "\t") > 0
     tokens = stage(tokens.withColumn("text", text).filter(~text | (F.col("on") >= LEAST_PAGES)), "tokens")
     total = tokens.filter(F.col("path") == ROOT[0]).select("host", F.col("on").alias("pages"))
-    valid = tokens.join(total, "host").filter((F.col("on") >= SUPPORT * F.col("pages")) & ~F.col("text"))
+    often = tokens.join(total, "host").filter(F.col("on") >= SUPPORT * F.col("pages"))
+    valid = often.filter(~F.col("text"))
     fixed = (F.col("on") >= LEAST_PAGES) & (F.col("low") == F.col("high")) & (F.col("chars") > 0)
     links = (F.col("chars") > 0) & (2 * F.col("link_chars") > F.col("chars"))
     slot = F.when(F.col("furniture"), "side").when(F.col("article"), "main").when(fixed | links, "side").otherwise("open")
@@ -348,9 +371,25 @@ def templates(pages: DataFrame) -> DataFrame:
     texts = texts.join(held, (F.col("host") == F.col("h")) & (texts["element"] == held["element"])).filter(F.col("on") >= SUPPORT * F.col("held"))
     lines = valid.select("host", F.concat_ws("\t", slot, F.col("path")).alias("line"))
     lines = lines.unionByName(texts.select("host", F.concat_ws("\t", F.lit("side"), F.col("path")).alias("line")))
+    lines = lines.unionByName(_class_lines(often))
     return lines.groupBy("host").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("template"))
 
 
+def _class_lines(tokens: DataFrame) -> DataFrame:
+    """(host, line): the texts inside the article that an equivalence class with elements holds.
+
+    A class is the tokens of a host with one vector, in their order on the pages (equal vectors: on
+    the same pages, so the sums of places order them). A line names the elements before and after.
+    """
+    member = F.struct("place", "path", "text", (F.col("article") & F.col("text")).alias("own"))
+    classes = tokens.filter(F.col("on") >= CLASS_PAGES).groupBy("host", "vector", "on").agg(F.array_sort(F.collect_list(member)).alias("tokens"))
+    classes = classes.filter(F.exists("tokens", lambda t: t["own"]) & F.exists("tokens", lambda t: ~t["text"]))
+    texts = classes.withColumn("elements", F.filter("tokens", lambda t: ~t["text"])).select("host", "elements", F.explode(F.filter("tokens", lambda t: t["own"])).alias("t"))
+    before = F.try_element_at(F.filter("elements", lambda e: e["place"] > F.col("t.place")), F.lit(1))["path"]
+    after = F.try_element_at(F.filter("elements", lambda e: e["place"] < F.col("t.place")), F.lit(-1))["path"]
+    return texts.select("host", F.concat(F.coalesce(after, F.lit("")), F.lit("\v"), F.coalesce(before, F.lit("")), F.lit("\t"), F.col("t.path")).alias("line"))
+
+
 def _extract(texts: pa.Array, chosen: pa.Array) -> pa.Array:
     return pa.array([main_text(t.as_py(), _read(c.as_py())) for t, c in zip(texts, chosen)], pa.string())
 

@@ -79,3 +79,24 @@ def test_versions_of_one_text_keep_it():
     template = {H.text_token("#page/p", t): "side" for t in ("a long paragraph", "and another one")}
     assert H.main_text("<p>a long paragraph<p>new<p>and another one", template) == "a long paragraph\nnew\nand another one"
     assert H.main_text("<p>a long paragraph", template) == "a long paragraph"
+
+
+def test_classes_find_template_text_inside_the_article(spark):
+    page = "<body><article><h1>T{0}</h1><p>story {0} is told at some length</p><div class=q>Read on</div>{1}<p>{2}</p><p>end {0}, told as well</p></article></body>"
+    rows = [(i, "http://h.example/", page.format(i, "<p>Get the app</p>" if i < 7 else "", "said by chance" if i % 3 else "own %d" % i)) for i in range(8)]
+    rows[7] = (7, rows[7][1], page.format(7, "", "own 7").replace("<h1>T7</h1>", "<h1>T7</h1><div class=r>Read on</div>"))
+    rows += [(20 + i, "http://few.example/", page.format(i, "", "x")) for i in range(4)]
+    rows += [(30 + i, "http://versions.example/", page.format("one", "", "version %d" % i)) for i in range(6)]
+    got = {r.page_id: r.text for r in H.main_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    # "Read on" has the vector of its element and the page; the others have none: said on most pages, by chance or not
+    assert got[1] == "T1\nstory 1 is told at some length\nGet the app\nsaid by chance\nend 1, told as well"
+    assert got[7] == "T7\nRead on\nstory 7 is told at some length\nown 7\nend 7, told as well"
+    assert got[20] == "T0\nstory 0 is told at some length\nRead on\nx\nend 0, told as well"
+    assert got[31] == "Tone\nstory one is told at some length\nRead on\nversion 1\nend one, told as well"
+
+
+def test_class_order_on_the_page():
+    around = {H.text_token("#page/article/p", "Read on"): "#page/article/h1\v#page/article/h2"}
+    page = "<article><h1>T</h1><p>{}</p><h2>U</h2><p>{}</p></article>"
+    assert H.main_text(page.format("Read on", "a long story"), around) == "T\nU\na long story"
+    assert H.main_text(page.format("a long story", "Read on"), around) == "T\na long story\nU\nRead on"
