@@ -15,13 +15,16 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     """(text, y): at most ``rows`` labelled texts outside the held-out fold, chosen by a hash of doc_id.
 
     Rows without id, label or text are left out; an id with two different labels is left out; of
-    repeated documents one is used. Texts over ``chars`` characters are not used for fitting. The
-    chosen ids are at most ``rows``, so they are broadcast to the scan of the texts.
+    repeated documents one is used. Texts over ``chars`` characters are not used for fitting. Only
+    labels of texts that can be used count towards ``rows``. The chosen ids are at most ``rows``, so
+    they are broadcast to the scan of the texts.
     """
     own = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull())
     own = own.filter(fold(F.col("doc_id"), folds) != held_out)
     own = own.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).filter(F.col("y") == F.col("other"))
+    usable = F.col("text").isNotNull() & (F.length("text") <= chars)
+    own = own.join(docs.filter(usable).select("doc_id"), "doc_id", "left_semi")
     ids = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "y")
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= chars))
+    texts = docs.select("doc_id", "text").filter(usable)
     found = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
     return found.select("doc_id", "text", "y")

@@ -87,3 +87,14 @@ def test_pooled_gradient_matches_differences():
     best, place = net.pooled(rows, ids, np.array([0]))
     total = np.concatenate(net.responses(net.table[rows].sum(1), ids), axis=1)
     assert np.allclose(best[0], total.max(0)) and np.allclose(total[place[0], np.arange(total.shape[1])], best[0])
+
+
+def test_sample_counts_only_labels_of_usable_texts(spark):
+    from ranklens.llm.labelled import training_sample
+
+    docs = spark.createDataFrame([(k, None if k % 5 == 0 else "x" * 200 if k % 5 == 1 else f"text {k}") for k in range(100)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(2000)], "doc_id long, quality int")
+    usable = {k for k in range(100) if k % 5 > 1 and _held(k, 4) != 2}
+    few = training_sample(docs, labels, "quality", 4, 2, rows=20, chars=100).collect()
+    assert len({r.doc_id for r in few}) == len(few) == 20 and {r.doc_id for r in few} <= usable
+    assert {r.doc_id for r in training_sample(docs, labels, "quality", 4, 2, rows=500, chars=100).collect()} == usable
