@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranklens.llm import chat, decontaminate, embeddings, htmltext, licenses, mixing, quality, simhash, tokens, toxicity, warc
+from ranklens.llm import chat, decontaminate, embeddings, htmltext, licenses, manifest, mixing, quality, simhash, spelling, tokens, toxicity, warc
 from ranklens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,7 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": lambda spark, d: htmltext.main_texts(read(spark, d, "pages")),
     "op9_mix": lambda spark, d: mixing.mix(read(spark, d, "documents")),
     "op10_toxicity": lambda spark, d: toxicity.toxicity(read(spark, d, "documents"), read(spark, d, "labels")),
+    "op11_variants": lambda spark, d: spelling.variants(read(spark, d, "documents")),
     "op12_licenses": lambda spark, d: licenses.license_scan(read(spark, d, "documents")),
+    "op13_manifest": lambda spark, d: manifest.manifest(read(spark, d, "documents")),
 }
 ORACLES: dict[str, str] = {
     "op1_embeddings": embeddings.ORACLE,
@@ -28,5 +30,7 @@ ORACLES: dict[str, str] = {
     "op6_warc": warc.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op9_mix": mixing.ORACLE,
+    "op11_variants": spelling.ORACLE,
     "op12_licenses": licenses.ORACLE,
+    "op13_manifest": manifest.ORACLE,
 }
