@@ -23,6 +23,8 @@ from ranklens.llm.labelled import TRAIN_ROWS, training_sample
 BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4, 5)
 EPOCHS, BATCH, RATE = 4, 32, 0.3
 FOLDS, HELD_OUT, ACCEPT = 4, 2, 0.7
+#: Logit of every text where labels of both classes are missing: nothing is told apart, nothing is rejected.
+UNTRAINED = 2.0
 #: Words whose weight a task remembers before it starts anew; only time depends on it.
 MEMO_WORDS = 300_000
 LONG_WORD = 64
@@ -170,21 +172,20 @@ class Scorer:
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = [r for b in batches for r in b.to_pylist()]
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"])))
-    model = Model()
-    if rows:
-        model.fit([r["text"] for r in rows], [r["y"] for r in rows])
-    weights, bias = model.weights()
+    weights, bias = np.zeros(BUCKETS), UNTRAINED
+    if len({r["y"] for r in rows}) == 2:
+        weights, bias = Model().fit([r["text"] for r in rows], [r["y"] for r in rows]).weights()
     yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()]), pa.array([bias])], names=["weights", "bias"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
     """Folded model (2 MiB) from at most ``rows`` labelled texts outside the held-out fold, fitted in one task.
 
-    Without any label every text scores 0.5.
+    Without labels of both classes every text scores the same, above ACCEPT, and is accepted.
     """
     sample = training_sample(docs, labels, "quality", folds, held_out, rows)
     row = sample.repartition(1).mapInArrow(_train, "weights binary, bias double").collect()
-    return (np.frombuffer(bytes(row[0]["weights"])), row[0]["bias"]) if row else (np.zeros(BUCKETS), 0.0)
+    return (np.frombuffer(bytes(row[0]["weights"])), row[0]["bias"]) if row else (np.zeros(BUCKETS), UNTRAINED)
 
 
 def score_column(text, model: tuple[np.ndarray, float]):
@@ -205,7 +206,8 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     Only the text is scored, whole. Repeated rows are each scored; a null doc_id has a null
-    held_out. No rows: no rows. Other columns are ignored.
+    held_out. No rows: no rows. Other columns are ignored. Without labels of both classes every text is
+    accepted (``fit``).
     """
     scored = docs.select("doc_id", score_column(F.col("text"), fit(docs, labels)).alias("score"))
     return scored.select(
@@ -215,6 +217,6 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents the classifier accepts, with their columns as they came."""
+    """Documents the classifier accepts, with their columns as they came; all of them without labels of both classes."""
     name = free_name(docs, "score")
     return docs.withColumn(name, score_column(F.col("text"), fit(docs, labels))).filter(F.col(name) >= ACCEPT).select(*docs.columns)
