@@ -24,13 +24,33 @@ def agg_watch(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
     return df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
 
 
-def distinct_items(df: DataFrame, by: list[str], item: str = "content_id", approximate: bool = False) -> DataFrame:
-    """Distinct items per group; exact unless asked otherwise."""
-    if approximate:
-        return df.groupBy(*by).agg(F.approx_count_distinct(item).alias("items"))
+def distinct_items(df: DataFrame, by: list[str], item: str = "content_id") -> DataFrame:
+    """Exact number of distinct items per group."""
     return df.select(*by, item).distinct().groupBy(*by).agg(F.count(item).alias("items"))
 
 
+#: Registers of a distinct-count sketch, as a power of two; the standard error is about 1.04 / sqrt(2 ** this) (0.8 %).
+SKETCH_BITS = 14
+
+
+def item_sketches(df: DataFrame, by: list[str], item: str = "content_id", bits: int = SKETCH_BITS) -> DataFrame:
+    """A mergeable sketch of the distinct items per group: keep one per day, and any span of days is a merge.
+
+    For counts that may be off by a stated error; ``distinct_items`` is exact. Null items do not count.
+    """
+    return df.groupBy(*by).agg(F.hll_sketch_agg(item, bits).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """Sketches united per group; the groups may be coarser than those they were made for."""
+    return sketches.groupBy(*by).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def sketched_items(sketches: DataFrame) -> DataFrame:
+    """Sketches read as estimated numbers of distinct items."""
+    return sketches.withColumn("items", F.hll_sketch_estimate("sketch")).drop("sketch")
+
+
 def sum_days(df: DataFrame, key: str, arrays: list[str], days: int) -> DataFrame:
     """One sum per array column and day: ``<array>_<day>``."""
     return df.groupBy(key).agg(*[F.sum(F.get(a, F.lit(i))).alias(f"{a}_{i}") for a in arrays for i in range(days)])
@@ -90,17 +110,36 @@ def task_stats(df: DataFrame) -> DataFrame:
     return per_task.withColumn("share", F.col("n") / total)
 
 
-def example_stats(counts: DataFrame, kinds: list[str]) -> DataFrame:
-    """Users in all, and examples and users per kind, from one row per user with a count per kind.
+def task_counters(tasks: list, task: str = "task", click: str = "click") -> dict[str, Column]:
+    """Aggregates of all rows that hold the counts of ``task_stats`` for known tasks, for a writing pass."""
+    out = {"n": F.count(F.lit(1))}
+    for t in tasks:
+        out[f"n_{t}"] = F.count_if(F.col(task) == t)
+        out[f"post_click_{t}"] = F.count_if((F.col(task) == t) & (F.col(click) > 0))
+    return out
+
+
+def task_rows(facts: dict, tasks: list) -> list[tuple]:
+    """(task, n, post_click, share) of the tasks with rows, from the values of ``task_counters``."""
+    return [(t, facts[f"n_{t}"], facts[f"post_click_{t}"], facts[f"n_{t}"] / facts["n"]) for t in tasks if facts[f"n_{t}"]]
+
+
+def example_counters(kinds: list[str]) -> dict[str, Column]:
+    """Users in all, and examples and users per kind, over one row per user with a count per kind.
 
     A null count (user without that kind) is 0.
     """
     size = lambda k: F.coalesce(F.col(k), F.lit(0))
-    return counts.agg(
-        F.count(F.lit(1)).alias("users"),
-        *[F.coalesce(F.sum(size(k)), F.lit(0)).cast("bigint").alias(f"{k}_examples") for k in kinds],
-        *[F.count_if(size(k) > 0).alias(f"{k}_users") for k in kinds],
-    )
+    return {
+        "users": F.count(F.lit(1)),
+        **{f"{k}_examples": F.coalesce(F.sum(size(k)), F.lit(0)).cast("bigint") for k in kinds},
+        **{f"{k}_users": F.count_if(size(k) > 0) for k in kinds},
+    }
+
+
+def example_stats(counts: DataFrame, kinds: list[str]) -> DataFrame:
+    """``example_counters`` of a table that is not written."""
+    return counts.agg(*[c.alias(n) for n, c in example_counters(kinds).items()])
 
 
 PROFILE_SCALARS = ["studio_id", "parental_rating", "content_type_id", "year_bucket", "production_house_id"]
@@ -189,13 +228,18 @@ def request_sizes(df: DataFrame, by: list[str]) -> DataFrame:
     return quantiles(sizes, [], "n", [i / 10 for i in range(11)])
 
 
-def counters(results: DataFrame, items: str = "items") -> DataFrame:
+def result_counters(items: str = "items") -> dict[str, Column]:
     """Predicted users, users with an empty list, and results in total."""
-    return results.agg(
-        F.count(F.lit(1)).alias("predicted"),
-        F.count_if(F.size(items) == 0).alias("empty"),
-        F.coalesce(F.sum(F.size(items)), F.lit(0)).cast("bigint").alias("total"),
-    )
+    return {
+        "predicted": F.count(F.lit(1)),
+        "empty": F.count_if(F.size(items) == 0),
+        "total": F.coalesce(F.sum(F.size(items)), F.lit(0)).cast("bigint"),
+    }
+
+
+def counters(results: DataFrame, items: str = "items") -> DataFrame:
+    """``result_counters`` of a table that is not written."""
+    return results.agg(*[c.alias(n) for n, c in result_counters(items).items()])
 
 
 def last_by(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ranklens.operators.keyed import row_hash
+
 EPS = 1e-8
 PARTIAL = "arm {arm}, i int, j int, a double"
 
@@ -93,14 +95,21 @@ def _arm_value(key: str, kind: str) -> Column:
     return F.when(F.col(key) != "none", F.substring(F.col(key), 2, 1 << 30)).cast(kind)
 
 
-def gram_by_arm(act: DataFrame, lam: float = 1.0, arm: str = "content_id", h: str = "h", label: str = "click", parts: int = 16) -> DataFrame:
+def _draw(act: DataFrame, row: str | None) -> Column:
+    """A hash that deals rows: of the column ``row`` that names them, or of all their columns."""
+    return row_hash(act, [row] if row else act.columns)
+
+
+def gram_by_arm(act: DataFrame, lam: float = 1.0, arm: str = "content_id", h: str = "h", label: str = "click", parts: int = 16, row: str | None = None) -> DataFrame:
     """Per-arm state (arm, i, j, a) with lam I for every arm with a row that counts.
 
-    Rows are dealt by (arm, part), the part drawn per row, so a hot arm is summed by ``parts`` tasks
-    whatever its vectors are. Inside a task the rows come sorted by arm, and one d x d sum is held.
+    Rows are dealt by (arm, part), so a hot arm is summed by ``parts`` tasks. The part is a hash of the
+    row, so a task that runs again, over rows in whatever order, deals them as before; rows equal in every
+    column share a part, unless ``row`` names a column that tells them apart. Inside a task the rows come
+    sorted by arm, and one d x d sum is held.
     """
     kept = act.filter((F.col(label) != -1) & F.col(h).isNotNull()).select(
-        _arm_key(arm).alias("arm"), F.col(h).alias("h"), F.col(label).cast("double").alias("y"), (F.monotonically_increasing_id() % parts).alias("part"))
+        _arm_key(arm).alias("arm"), F.col(h).alias("h"), F.col(label).cast("double").alias("y"), F.pmod(_draw(act, row), F.lit(parts)).alias("part"))
     placed = kept.repartition("arm", "part").sortWithinPartitions("arm", "part")
     arm_type = act.schema[arm].dataType.simpleString()
 
@@ -140,21 +149,38 @@ def _dense(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
+def _inverse(a: np.ndarray) -> tuple[np.ndarray | None, float]:
+    """A^-1 of a symmetric positive definite matrix, None if it is singular, and the smallest eigenvalue."""
+    if not np.isfinite(a).all():
+        return None, float("nan")
+    whole = (a + a.T) / 2
+    values = np.linalg.eigvalsh(whole)
+    least = float(values[0])
+    # rank check: an eigenvalue below rounding error of the largest counts as 0
+    if least <= len(a) * np.finfo(np.float64).eps * max(float(values[-1]), 0.0):
+        return None, least
+    low = np.linalg.solve(np.linalg.cholesky(whole), np.eye(len(a)))
+    return low.T @ low, least
+
+
 def solve_state(state: DataFrame, arm: str | None = None) -> DataFrame:
-    """One row per arm (or one in all): flattened A^-1, theta = A^-1 b, smallest eigenvalue.
+    """One row per arm (or one in all): flattened A^-1, theta = A^-1 b, smallest eigenvalue, singular.
 
-    A group is the d x d state of one arm, whatever the number of rows behind it.
+    A is solved through its Cholesky factor. An arm whose A has no full rank (lambda 0 and too few
+    different rows) or is not finite comes back ``singular``, without A^-1 and theta; the other arms are not
+    touched, and scoring treats it as an arm without state. A group is the d x d state of one arm, whatever
+    the number of rows behind it.
     """
     arm_type = state.schema[arm].dataType.simpleString() if arm else "int"
     keyed = state.select((_arm_key(arm) if arm else F.lit("=0")).alias("arm"), "i", "j", "a")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = _dense(pdf)
-        inverse = np.linalg.inv(a)
-        return pd.DataFrame({"arm": [pdf["arm"].iloc[0]], "d": [len(b)], "a_inv": [inverse.ravel()], "theta": [inverse @ b],
-                             "min_eigenvalue": [float(np.linalg.eigvalsh((a + a.T) / 2).min())]})
+        inverse, least = _inverse(a)
+        return pd.DataFrame({"arm": [pdf["arm"].iloc[0]], "d": [len(b)], "a_inv": [None if inverse is None else inverse.ravel()],
+                             "theta": [None if inverse is None else inverse @ b], "min_eigenvalue": [least], "singular": [inverse is None]})
 
-    out = keyed.groupBy("arm").applyInPandas(run, "arm string, d int, a_inv array<double>, theta array<double>, min_eigenvalue double")
+    out = keyed.groupBy("arm").applyInPandas(run, "arm string, d int, a_inv array<double>, theta array<double>, min_eigenvalue double, singular boolean")
     return out.withColumn("arm", _arm_value("arm", arm_type)) if arm else out.drop("arm")
 
 
@@ -166,25 +192,27 @@ def _scores(m: np.ndarray, inverse: np.ndarray, theta: np.ndarray) -> tuple[np.n
     return m @ theta, np.einsum("ij,jk,ik->i", m, inverse, m, optimize=True)
 
 
-def score_shared(act: DataFrame, solved: DataFrame, lam: float = 1.0, h: str = "h", rows_per_part: int = 50_000) -> DataFrame:
+def score_shared(act: DataFrame, solved: DataFrame, lam: float = 1.0, h: str = "h", rows_per_part: int = 50_000, row: str | None = None) -> DataFrame:
     """Rows with ``mean`` = h theta and ``sd`` = sqrt(h' A^-1 h); rows are never multiplied with each other.
 
     The same way as ``score_by_arm``, with one arm for all rows.
     """
     one = act.withColumn("__one", F.lit(0))
-    return score_by_arm(one, solved.withColumn("arm", F.lit(0)), lam, "__one", h, rows_per_part, 0.0).drop("__one")
+    return score_by_arm(one, solved.withColumn("arm", F.lit(0)), lam, "__one", h, rows_per_part, 0.0, row).drop("__one")
 
 
-def score_by_arm(act: DataFrame, solved: DataFrame, lam: float = 1.0, arm: str = "content_id", h: str = "h", rows_per_part: int = 50_000, floor: float = EPS) -> DataFrame:
-    """Scores against the row's own arm; an arm without state gets mean 0 and variance h'h / lam.
+def score_by_arm(act: DataFrame, solved: DataFrame, lam: float = 1.0, arm: str = "content_id", h: str = "h", rows_per_part: int = 50_000, floor: float = EPS, row: str | None = None) -> DataFrame:
+    """Scores against the row's own arm; an arm without state, or with a singular one, gets mean 0 and variance h'h / lam.
 
-    Rows and state meet by (arm, part) with a bounded number of rows per part, drawn per row; a hot
-    arm's state is repeated once per part. A null arm is cold unless it was trained.
+    Rows and state meet by (arm, part) with about ``rows_per_part`` rows per part; a hot arm's state is
+    repeated once per part. The part is a hash of the row, as in ``gram_by_arm``, so every row is scored
+    once even if tasks run again or ``act`` is evaluated in another order. A null arm is cold unless it was
+    trained.
     """
-    keyed = act.select(_arm_key(arm).alias("__arm"), F.monotonically_increasing_id().alias("__row"), *act.columns)
+    keyed = act.select(_arm_key(arm).alias("__arm"), _draw(act, row).alias("__row"), *act.columns)
     parts = keyed.groupBy("__arm").agg(F.ceil(F.count(F.lit(1)) / rows_per_part).cast("int").alias("__parts"))
-    rows = keyed.join(parts, "__arm").withColumn("__part", (F.col("__row") % F.col("__parts")).cast("int")).drop("__row", "__parts")
-    copies = solved.select(_arm_key("arm").alias("__arm"), "d", "a_inv", "theta").join(parts, "__arm")
+    rows = keyed.join(parts, "__arm").withColumn("__part", F.pmod("__row", "__parts").cast("int")).drop("__row", "__parts")
+    copies = solved.filter(F.col("theta").isNotNull()).select(_arm_key("arm").alias("__arm"), "d", "a_inv", "theta").join(parts, "__arm")
     copies = copies.select("__arm", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part"), "d", "a_inv", "theta")
     names = act.columns
     schema = _with_scores(act)

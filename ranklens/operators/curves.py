@@ -63,7 +63,7 @@ def kind_curve(curve: DataFrame, catalog: DataFrame, effect: int = 14) -> DataFr
 
 
 def _fold(days: Column, defaults: Column, min_users: int) -> Column:
-    """Smoothed seconds per user and day.
+    """Smoothed seconds per user and day, each with the running total up to it.
 
     A day with enough users keeps its own mean. A thin day 0 blends its mean with the default by the
     share of users it has. A thin later day continues the curve so far in the proportion of the
@@ -77,9 +77,11 @@ def _fold(days: Column, defaults: Column, min_users: int) -> Column:
         blended = share * own + (F.lit(1.0) - share) * base
         continued = F.when(acc["base"] != 0, acc["total"] * (base / acc["base"])).otherwise(0.0)
         value = F.when(x["users"] >= min_users, own).when(x["day"] == 0, blended).otherwise(continued)
-        return F.struct(F.concat(acc["out"], F.array(value)).alias("out"), (acc["total"] + value).alias("total"), (acc["base"] + base).alias("base"))
+        total = acc["total"] + value
+        day = F.struct(value.alias("per_user"), total.alias("cumulative"))
+        return F.struct(F.concat(acc["out"], F.array(day)).alias("out"), total.alias("total"), (acc["base"] + base).alias("base"))
 
-    zero = F.struct(F.array().cast("array<double>").alias("out"), F.lit(0.0).alias("total"), F.lit(0.0).alias("base"))
+    zero = F.struct(F.array().cast("array<struct<per_user:double,cumulative:double>>").alias("out"), F.lit(0.0).alias("total"), F.lit(0.0).alias("base"))
     return F.aggregate(days, zero, step)["out"]
 
 
@@ -91,9 +93,8 @@ def smooth(curve: DataFrame, keys: list[str], defaults: DataFrame, default_keys:
         F.transform(F.array_sort(F.collect_list(F.struct("day", "per_user"))), lambda s: s["per_user"]).alias("defaults"))
     folded = own.join(base, default_keys, "left").withColumn(
         "values", _fold(F.col("days"), F.coalesce("defaults", F.array().cast("array<double>")), min_users))
-    rows = folded.select(*keys, F.posexplode("values").alias("pos", "per_user"), "values")
-    cumulative = F.aggregate(F.slice("values", 1, F.col("pos") + 1), F.lit(0.0), lambda s, v: s + v)
-    return rows.select(*keys, F.col("pos").cast("bigint").alias("day"), "per_user", cumulative.alias("cumulative"))
+    rows = folded.select(*keys, F.posexplode("values").alias("pos", "value"))
+    return rows.select(*keys, F.col("pos").cast("bigint").alias("day"), "value.per_user", "value.cumulative")
 
 
 def smooth_curve(curve: DataFrame, kinds: DataFrame, catalog: DataFrame, min_users: int = 30) -> DataFrame:

@@ -79,6 +79,28 @@ def _same(keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
 
 
+def row_hash(df: DataFrame, columns: list[str]) -> Column:
+    """Hash of a row's columns, wherever the row stands: a task that runs again gives the same. Maps are left out."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return F.xxhash64(*[F.col(c) for c in columns if "map<" not in kinds[c]])
+
+
+def places(df: DataFrame, by: list[str], first: str, then: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Distinct (by, first, then) with their number ``n`` and ``place``: rows of the key before them, by ``first`` falling, ``then`` rising.
+
+    Both columns are numbers, ``first`` not null. Rows are counted per value before anything is ordered, and
+    the order is cut into slices of the key's own range, on each of the two columns, so neither a key with
+    very many rows nor a value that very many of them share is sorted in one task.
+    """
+    single = df.groupBy(*by, first, then).agg(F.count(F.lit(1)).alias("n"))
+    ties = prefix_sums(single, [*by, first], then, {"__tie": F.col("n")}, slice_rows=slice_rows).drop("__tie_total")
+    levels = single.groupBy(*[F.col(k).alias(f"__k_{k}") for k in [*by, first]]).agg(F.sum("n").alias("__n"))
+    above = prefix_sums(levels, [f"__k_{k}" for k in by], f"__k_{first}", {"__above": F.col("__n")}, descending=True, slice_rows=slice_rows)
+    above = above.drop("__n", "__above_total")
+    joined = ties.join(above, _same([*by, first]))
+    return joined.select(*by, first, then, "n", (F.col("__above") + F.col("__tie")).alias("place"))
+
+
 def first_by_draw(df: DataFrame, by: list[str], draw: str, tie: list[str], limit: Column) -> DataFrame:
     """Rows whose position in ascending ``draw`` order within ``by`` is at most ``limit``.
 

@@ -53,12 +53,12 @@ def avg_rank(df: DataFrame, by: list[str], score: str) -> DataFrame:
     return df.join(ranks, [*by, score], "left")
 
 
-def at_k(df: DataFrame, by: list[str], score: str, k: int, mode: str = "le") -> DataFrame:
+def at_k(df: DataFrame, by: list[str], score: str, k: int, mode: str = "le", groups: DataFrame | None = None) -> DataFrame:
     """Rows with average rank <= k (or exactly k), with the rank.
 
-    Equal to filtering ``avg_rank``, from the first k tie groups only.
+    Equal to filtering ``avg_rank``, from the first k tie groups only (``groups``, if a caller has them).
     """
-    groups = tie_groups(df, by, score, k)
+    groups = tie_groups(df, by, score, k) if groups is None else groups
     rank = F.col("ahead") + (F.col("n") + 1) / 2
     chosen = groups.select(*by, score, rank.alias("rank")).filter(F.col("rank") <= k if mode == "le" else F.col("rank") == k)
     return df.join(chosen, [*by, score])
@@ -77,7 +77,7 @@ def _cum_discount(pos: Column, k: int) -> Column:
     return F.element_at(F.array(*[F.lit(t) for t in totals]), (F.least(pos, F.lit(k)) + 1).cast("int"))
 
 
-def request_ndcg(df: DataFrame, by: list[str], score: str, label: str, ks=KS, min_rows: int | None = None) -> DataFrame:
+def request_ndcg(df: DataFrame, by: list[str], score: str, label: str, ks=KS, min_rows: int | None = None, groups: DataFrame | None = None) -> DataFrame:
     """NDCG@k per request with linear gain, log2 discount and mean gain inside ties.
 
     Requests with fewer than ``min_rows`` rows (default: the largest k) are left out; a request with
@@ -94,7 +94,7 @@ def request_ndcg(df: DataFrame, by: list[str], score: str, label: str, ks=KS, mi
             F.sum(mean * (_cum_discount(F.col("ahead") + F.col("n"), k) - _cum_discount(F.col("ahead"), k))).alias(f"s{k}")
             for k in ks])
 
-    got = gains(tie_groups(df, by, score, kmax, label))
+    got = gains(tie_groups(df, by, score, kmax, label) if groups is None else groups)
     ideal = labels.withColumn("gain", F.col("n") * F.col(label).cast("double"))
     best = gains(_first_groups(ideal, by, label, kmax)).withColumnsRenamed({f"s{k}": f"i{k}" for k in ks})
     joined = facts.join(got, by).join(best, by)
@@ -102,9 +102,9 @@ def request_ndcg(df: DataFrame, by: list[str], score: str, label: str, ks=KS, mi
     return joined.select(*by, *[F.when(flat, 0.0).otherwise(F.col(f"s{k}") / F.col(f"i{k}")).alias(f"ndcg_{k}") for k in ks])
 
 
-def ndcg_at(df: DataFrame, by: list[str], score: str, label: str, ks=KS, group: list[str] = ()) -> DataFrame:
+def ndcg_at(df: DataFrame, by: list[str], score: str, label: str, ks=KS, group: list[str] = (), groups: DataFrame | None = None) -> DataFrame:
     """Mean NDCG@k over requests, in long form (group, metric, k, value)."""
-    per = request_ndcg(df, [*group, *by], score, label, ks)
+    per = request_ndcg(df, [*group, *by], score, label, ks, groups=groups)
     means = per.groupBy(*group).agg(*[F.avg(f"ndcg_{k}").alias(f"ndcg_{k}") for k in ks])
     return _long(means, group, "ndcg", {k: f"ndcg_{k}" for k in ks})
 
@@ -114,9 +114,9 @@ def _long(df: DataFrame, group: list[str], metric: str, by_k: dict[int, str]) ->
     return df.select(*group, F.lit(metric).alias("metric"), F.inline(rows))
 
 
-def _top_counts(df: DataFrame, by: list[str], score: str, keep: list[str], ks, group: list[str]) -> DataFrame:
+def _top_counts(df: DataFrame, by: list[str], score: str, keep: list[str], ks, group: list[str], groups: DataFrame | None = None) -> DataFrame:
     """Rows with rank <= the largest k counted per (group, rank, keep columns): all that the list metrics need."""
-    return at_k(df, [*group, *by], score, max(ks)).groupBy(*group, *keep, "rank").agg(F.count(F.lit(1)).alias("n"))
+    return at_k(df, [*group, *by], score, max(ks), groups=groups).groupBy(*group, *keep, "rank").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _at_each_k(top: DataFrame, keep: list[str], ks, group: list[str], mode: str = "le") -> DataFrame:
@@ -177,11 +177,14 @@ def validation_set(rows: DataFrame, min_items: int = 5) -> DataFrame:
     return rows.join(good.select(*keys), keys, "left_semi")
 
 
-def _score_histogram(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
-    """Distinct scores with positives, negatives and the same counted over all larger scores."""
-    hist = df.groupBy(*by, score).agg(
-        F.count_if(F.col(label) > 0).alias("pos"), F.count_if(F.col(label) <= 0).alias("neg"))
-    return prefix_sums(hist, by, score, {"pos_above": F.col("pos"), "neg_above": F.col("neg")}, descending=True)
+def _score_counts(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
+    """Distinct scores with positives and negatives."""
+    return df.groupBy(*by, score).agg(F.count_if(F.col(label) > 0).alias("pos"), F.count_if(F.col(label) <= 0).alias("neg"))
+
+
+def _with_above(counts: DataFrame, by: list[str], score: str) -> DataFrame:
+    """``_score_counts`` with the same counted over all larger scores."""
+    return prefix_sums(counts, by, score, {"pos_above": F.col("pos"), "neg_above": F.col("neg")}, descending=True)
 
 
 def _auc() -> Column:
@@ -192,10 +195,12 @@ def _auc() -> Column:
 
 def pooled_auc(df: DataFrame, score: str, label: str, by: list[str] = ()) -> DataFrame:
     """AUC over all rows (per group if asked); null without both classes."""
-    by = list(by)
-    hist = _score_histogram(df, by, score, label)
+    return _counted_auc(_score_counts(df, list(by), score, label), score, list(by))
+
+
+def _counted_auc(counts: DataFrame, score: str, by: list[str]) -> DataFrame:
     both = (F.sum("pos") > 0) & (F.sum("neg") > 0)
-    return hist.groupBy(*by).agg(F.when(both, _auc()).alias("auc"))
+    return _with_above(counts, by, score).groupBy(*by).agg(F.when(both, _auc()).alias("auc"))
 
 
 def log_loss_expr(label: Column, logit: Column, eps: float = 1e-8) -> Column:
@@ -213,16 +218,15 @@ def rmse(df: DataFrame, y: str, p: str) -> DataFrame:
     return df.agg(F.sqrt(F.avg(F.pow(F.col(y) - F.col(p), 2))).alias("rmse"))
 
 
-def _discount_sums(df: DataFrame, user: str, name: str, piece: int = 10_000) -> DataFrame:
-    """Per user, sum of gain x log2 discount over the positions ahead + 1 .. ahead + n of each row.
+def _discounts_between(ahead: Column, n: Column, piece: int = 10_000) -> Column:
+    """Sum of the log2 discounts of the positions ahead + 1 .. ahead + n.
 
-    A long run of tied positions is cut into pieces, so no array grows with the data.
+    A long run of tied positions is summed in pieces, so no array holds all of them.
     """
-    starts = F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(piece).cast("bigint"))
-    pieces = df.filter(F.col("n") > 0).withColumn("at", F.explode(starts))
-    positions = F.sequence(F.col("at") + 1, F.least(F.col("at") + piece, F.col("n")))
-    discount = F.aggregate(positions, F.lit(0.0), lambda s, i: s + F.lit(1.0) / F.log2(F.col("ahead") + i + 1))
-    return pieces.groupBy(user).agg(F.sum(F.col("gain") * discount).alias(name))
+    zero, long = F.lit(0.0), lambda x: F.lit(x).cast("bigint")
+    one = lambda i: F.lit(1.0) / F.log2(ahead + i + 1)
+    inside = lambda at: F.aggregate(F.sequence(at + 1, F.least(at + piece, n)), zero, lambda s, i: s + one(i))
+    return F.when(n > 0, F.aggregate(F.sequence(long(0), n - 1, long(piece)), zero, lambda s, at: s + inside(at))).otherwise(zero)
 
 
 def user_metrics(df: DataFrame, score: str, label: str, rate: float | None = None, salt: str = "eval", user: str = "dw_p_id") -> DataFrame:
@@ -234,15 +238,16 @@ def user_metrics(df: DataFrame, score: str, label: str, rate: float | None = Non
     both = df.groupBy(user).agg(F.max(label).alias("hi"), F.min(label).alias("lo")).filter("hi > 0 and lo <= 0").select(user)
     users = both if rate is None else both.filter(hash_uniform([user], salt) < rate)
     rows = df.select(user, score, label).join(users, user, "left_semi")
-    hist = _score_histogram(rows, [user], score, label)
+    counts = _score_counts(rows, [user], score, label)
+    hist = _with_above(counts, [user], score)
     n, ahead = F.col("pos") + F.col("neg"), F.col("pos_above") + F.col("neg_above")
     precision = (F.col("pos_above") + F.col("pos")) / (ahead + n)
-    parts = hist.groupBy(user).agg((F.sum(F.col("pos") * precision) / F.sum("pos")).alias("ap"), _auc().alias("auc"), F.sum("pos").alias("total"))
-    gain = _discount_sums(hist.select(user, ahead.alias("ahead"), n.alias("n"), (F.col("pos") / n).alias("gain")), user, "dcg")
-    ideal = _discount_sums(parts.select(user, F.lit(0).cast("bigint").alias("ahead"), F.col("total").alias("n"), F.lit(1.0).alias("gain")), user, "best")
-    per_user = parts.join(gain, user).join(ideal, user).withColumn("ndcg", F.col("dcg") / F.col("best"))
+    gain = F.sum(F.col("pos") / n * _discounts_between(ahead, n))
+    parts = hist.groupBy(user).agg((F.sum(F.col("pos") * precision) / F.sum("pos")).alias("ap"), _auc().alias("auc"), F.sum("pos").alias("total"), gain.alias("dcg"))
+    per_user = parts.withColumn("ndcg", F.col("dcg") / _discounts_between(F.lit(0).cast("bigint"), F.col("total")))
     means = per_user.agg(F.count(F.lit(1)).alias("num_users"), F.avg("ap").alias("map"), F.avg("ndcg").alias("ndcg"), F.avg("auc").alias("group_auc"))
-    pooled = pooled_auc(rows, score, label).scalar()
+    # all rows together: the users' counts summed per score
+    pooled = _counted_auc(counts.groupBy(score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), score, []).scalar()
     loss = log_loss(rows, label, score).scalar()
     return means.withColumn("auc", pooled).withColumn("loss", loss)
 
@@ -282,10 +287,11 @@ def experiment_table(df: DataFrame, by: list[str], score: str, label: str, categ
     none = F.lit(None).cast("string").alias("category")
     moments = merged.groupBy(*EXPERIMENT).agg(F.avg(score).alias("mean"), F.stddev_samp(score).alias("std")).select(
         *EXPERIMENT, F.inline(F.array(*[F.struct(F.lit(f"score_{m}").alias("metric"), F.lit(0).cast("bigint").alias("k"), F.col(m).alias("value")) for m in ("mean", "std")])))
-    # ranked and counted once; the three list metrics are sums of these counts
-    top = _top_counts(merged, by, score, [category, item], ks, EXPERIMENT)
+    # one plan of tie groups for NDCG and ranks; rows are counted once, the three list metrics are sums of these counts
+    groups = tie_groups(merged, [*EXPERIMENT, *by], score, max(ks), label)
+    top = _top_counts(merged, by, score, [category, item], ks, EXPERIMENT, groups)
     out = _popularity_mix(top, category, ks, EXPERIMENT)
-    for part in (ndcg_at(merged, by, score, label, ks, EXPERIMENT), _catalog(top, item, ks, EXPERIMENT),
+    for part in (ndcg_at(merged, by, score, label, ks, EXPERIMENT, groups), _catalog(top, item, ks, EXPERIMENT),
                  _perplexity(top, item, ks, "eq", EXPERIMENT), moments):
         out = out.unionByName(part.select(*EXPERIMENT, "metric", "k", none, "value"))
     return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranklens.functions.scalars import TIER_CUTS, tier
@@ -31,6 +31,61 @@ def weekly_viewers(watches: DataFrame, avail: DataFrame, start: str, end: str) -
     return per_title.unionByName(total)
 
 
+#: Viewers of a title in a bucket of 32768 users up to which their places are kept as a list, not as a bitmap.
+FEW = 256
+_SLICES = 4096
+
+
+def number_users(users: DataFrame, known: DataFrame | None = None, user: str = "dw_p_id") -> DataFrame:
+    """(user, number) of the users that ``known`` does not hold yet, numbered on from its largest, without gaps.
+
+    A day adds its new users to the stored numbers, which never change. Null users get none. New users are
+    ordered by a hash cut into slices, so no task orders them all.
+    """
+    new = users.select(user).filter(F.col(user).isNotNull()).distinct()
+    start = F.lit(0)
+    if known is not None:
+        new = new.join(known.select(user), user, "left_anti")
+        start = F.coalesce(known.agg(F.max("number")).scalar(), F.lit(0))
+    cut = new.withColumn("__slice", F.pmod(F.xxhash64(user), F.lit(_SLICES)))
+    sizes = cut.groupBy("__slice").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("__slice").orderBy(user))
+    placed = cut.withColumn("__at", within).join(sizes.select("__slice", before.alias("__before")), "__slice")
+    return placed.select(user, (start + F.col("__before") + F.col("__at")).cast("long").alias("number"))
+
+
+def day_viewers(watches: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Viewers of each title and day that count, as exact sets of user numbers: (cd, sub_title_id, bucket, few, bits).
+
+    A bucket is 32768 consecutive numbers. A set is a bitmap, or the list of its places where that is
+    shorter. Every user of ``watches`` needs a number. A day is kept once and never read from the log again.
+    """
+    rows = watches.filter((F.col("category") != "sports") & (F.col("watch_minutes") > 0)).select("cd", "sub_title_id", "dw_p_id").distinct()
+    rows = rows.join(numbers, "dw_p_id")
+    keys = ["cd", "sub_title_id", "bucket"]
+    placed = rows.select("cd", "sub_title_id", F.bitmap_bucket_number("number").alias("bucket"), F.bitmap_bit_position("number").cast("smallint").alias("at"))
+    lists = placed.groupBy(*keys).agg(F.collect_list("at").alias("few"))  # 32768 places at most
+    small = F.size("few") <= FEW
+    many = lists.filter(~small).select(*keys, F.explode("few").alias("at")).groupBy(*keys).agg(F.bitmap_construct_agg(F.col("at").cast("long")).alias("bits"))
+    return lists.filter(small).withColumn("bits", F.lit(None).cast("binary")).unionByName(many.withColumn("few", F.lit(None).cast("array<smallint>")))
+
+
+def viewers_of_days(days: DataFrame, avail: DataFrame, start: str, end: str) -> DataFrame:
+    """``weekly_viewers`` from the sets of single days: united per title, then over all titles, and counted."""
+    span = F.col("cd").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    titles = avail.select(F.col("show_content_id").alias("sub_title_id"))
+    rows = days.filter(span).join(titles, "sub_title_id", "left_semi")
+    listed = rows.filter(F.col("few").isNotNull()).select("sub_title_id", "bucket", F.explode("few").alias("at"))
+    listed = listed.groupBy("sub_title_id", "bucket").agg(F.bitmap_construct_agg(F.col("at").cast("long")).alias("bits"))
+    sets = listed.unionByName(rows.filter(F.col("bits").isNotNull()).select("sub_title_id", "bucket", "bits"))
+    per_bucket = sets.groupBy("sub_title_id", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    per_title = per_bucket.groupBy("sub_title_id").agg(F.sum(F.bitmap_count("bits")).alias("viewers"), F.lit(0).alias("is_total"))
+    total = per_bucket.groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits")).agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("viewers"))
+    none = F.lit(None).cast(days.schema["sub_title_id"].dataType)
+    return per_title.unionByName(total.select(none.alias("sub_title_id"), "viewers", F.lit(1).alias("is_total")))
+
+
 def viewers(df: DataFrame, title: str = "sub_title_id", user: str = "dw_p_id") -> DataFrame:
     """Grouping-sets form: distinct users per title and overall, told apart by ``is_total``."""
     return df.groupingSets([[title], []], title).agg(

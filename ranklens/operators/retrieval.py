@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ranklens.functions.hashing import hash_uniform
 from ranklens.functions.scalars import recency
 from ranklens.operators.joins import watch_relevance, without_seen
-from ranklens.operators.keyed import pick_one, top_n
+from ranklens.operators.keyed import SLICE_ROWS, pick_one, places, top_n
 
 HALF_LIFE = 14 * 86400
 # Relevance of a sports or news watch by content type.
@@ -307,11 +307,24 @@ def jitter(results: DataFrame, date: str, lo: float = 0.5, hi: float = 1.0, salt
     return results.withColumn("score", F.when(F.col("score") > 0, F.col("score") * (draw * (hi - lo) + lo)).otherwise(F.col("score")))
 
 
-def blend_lists(first: DataFrame, second: DataFrame, weight: float, decay: float = 0.8) -> DataFrame:
-    """Scores of the first list plus weight x decay ** i times the i-th entry of the second."""
-    pos = F.row_number().over(Window.partitionBy("dw_p_id").orderBy(F.col("score").desc(), "dst")) - 1
-    added = second.withColumn("score", F.col("score") * F.lit(float(weight)) * F.pow(F.lit(float(decay)), pos))
+def blend_lists(first: DataFrame, second: DataFrame, weight: float, decay: float = 0.8, whole_logs: bool = False, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Scores of the first list plus weight x decay ** i times the i-th entry of the second.
+
+    Entries stand by score, best first, then by id. Retrieved lists are short and ordered in one window per
+    user; ``whole_logs`` is for second lists of any length, whose order is cut into slices of a user's own
+    range. Entries without a score come last and add nothing.
+    """
     cols = ["dw_p_id", "dst", "score"]
+    share = F.col("score") * F.lit(float(weight))
+    if whole_logs:
+        scored = places(second.filter(F.col("score").isNotNull()), ["dw_p_id"], "score", "dst", slice_rows)
+        # n equal entries at places p, p + 1, ... add decay ** p + decay ** (p + 1) + ...
+        run = F.col("n") if decay == 1 else (1 - F.pow(F.lit(float(decay)), "n")) / (1 - F.lit(float(decay)))
+        added = scored.withColumn("score", share * F.pow(F.lit(float(decay)), "place") * run)
+        added = added.select(*cols).unionByName(second.filter(F.col("score").isNull()).select(*cols))
+    else:
+        pos = F.row_number().over(Window.partitionBy("dw_p_id").orderBy(F.col("score").desc(), "dst")) - 1
+        added = second.withColumn("score", share * F.pow(F.lit(float(decay)), pos))
     return first.select(*cols).unionByName(added.select(*cols)).groupBy("dw_p_id", "dst").agg(F.sum("score").alias("score"))
 
 

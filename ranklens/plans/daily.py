@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ranklens.operators import aggregates
 from ranklens.plans import extract
-from ranklens.sources import logs
+from ranklens.sources import logs, versions
 
 
 def run_day(spark: SparkSession, root: str, cd: str, countries: dict[str, Callable[[], DataFrame]], ready: list[str], partitions: int) -> bool:
@@ -28,12 +29,19 @@ def run_day(spark: SparkSession, root: str, cd: str, countries: dict[str, Callab
 
 
 def run_training(spark: SparkSession, root: str, end: str, n_days: int, rate: float, out: str) -> DataFrame:
-    """Training set of the last ``n_days`` days that are done, written with its statistics beside it."""
+    """Training set of the last ``n_days`` days that are done, written with its statistics beside it.
+
+    The statistics are counted while the rows are written; the set is not read again.
+    """
     base = root.rstrip("/")
     days = [d for d in logs._days(end, -n_days) if logs.done(spark, f"{base}/cd={d}")]
     if not days:
         raise FileNotFoundError(f"no finished day within {n_days} days before {end}")
     rows = spark.read.option("basePath", base).parquet(*[f"{base}/cd={d}" for d in days]).withColumn("cd", F.col("cd").cast("string"))
-    picked = logs.materialize(extract.training_set(rows, end, rate), out)
-    logs.write_stats(extract.training_stats(picked), f"{out.rstrip('/')}_stats")
-    return picked
+    picked = extract.training_set(rows, end, rate)
+    tasks = [extract.EXPOSED, extract.RANDOM_WATCH]
+    label = "click" if "click" in picked.columns else "label"
+    facts = versions.write_observed(picked, out, **aggregates.task_counters(tasks, click=label))
+    stats = spark.createDataFrame(aggregates.task_rows(facts, tasks), "task int, n long, post_click long, share double")
+    logs.write_stats(stats, f"{out.rstrip('/')}_stats")
+    return spark.read.schema(picked.schema).parquet(out)

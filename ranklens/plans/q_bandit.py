@@ -9,7 +9,8 @@ from ranklens.plans import evaluate
 from ranklens.plans.q_metrics import auc_sql, ndcg_sql
 from ranklens.plans.registry import query
 from ranklens.session import scratch_path
-from ranklens.sources.logs import stage
+from ranklens.sources.logs import stage, unmark
+from ranklens.sources.versions import versions
 from ranklens.streaming.incremental import next_state, stored_state
 
 D = 64
@@ -86,6 +87,20 @@ def _(t):
     return stored_state(t.spark, path).withColumn("a", F.round("a", 6) + 0.0)
 
 
+@query("b2_committed_state", f"WITH {_CELLS} SELECT i, j, round(a, 6) + 0.0 AS a FROM ({_gram_sql('', '1')})")
+def _(t):
+    """A newer version that was not written to its end is passed over, then written again on the last good one."""
+    path = scratch_path(t.spark, "state-commit")
+    act = lambda day: t.acts.filter(F.col("day") == day)
+    for day in range(3):
+        next_state(t.spark, path, act(day), str(day), None if day == 0 else str(day - 1), D)
+    next_state(t.spark, path, t.acts, "3", "2", D)
+    unmark(t.spark, f"{path}/version=3")
+    last = versions(t.spark, path)[-1]
+    next_state(t.spark, path, act(3), "3", last, D)
+    return stored_state(t.spark, path).withColumn("a", F.round("a", 6) + 0.0)
+
+
 @query("b2_stored_state_by_arm", f"WITH {_CELLS} SELECT content_id AS arm, i, j, round(a, 6) + 0.0 AS a FROM ({_gram_sql('content_id', '1')})")
 def _(t):
     path = scratch_path(t.spark, "state-arms")
@@ -105,6 +120,21 @@ def _(t):
     return solved.select("d", F.posexplode("theta").alias("i", "theta")).withColumn("theta", F.round("theta", 5) + 0.0)
 
 
+@query("b4_singular_arms", f"SELECT content_id AS arm, count(DISTINCT h) FILTER (click <> -1) < {D} AS singular, count(DISTINCT h) FILTER (click <> -1) >= {D} AS solved FROM acts GROUP BY ALL HAVING count(*) FILTER (click <> -1) > 0")
+def _(t):
+    """Without a regulariser, arms with fewer different vectors than dimensions have no state; the others are solved."""
+    solved = bandit.solve_state(bandit.gram_by_arm(t.acts, lam=0.0), "arm")
+    return solved.select("arm", "singular", F.col("theta").isNotNull().alias("solved"))
+
+
+@query("b6_singular_arms", f"WITH {_CELLS} SELECT vec_id, 0.0::DOUBLE AS mean, round(sqrt(greatest(list_sum(list_transform(u, lambda y: y * y)) / 2, 1e-8)), 6) AS sd FROM vecs")
+def _(t):
+    """Arms of one row each, without a regulariser, are all singular and scored as cold."""
+    one = t.acts.withColumn("content_id", F.col("vec_id"))
+    out = bandit.score_by_arm(one, bandit.solve_state(bandit.gram_by_arm(one, lam=0.0), "arm"), lam=2.0)
+    return out.select("vec_id", "mean", F.round("sd", 6).alias("sd"))
+
+
 _BY_ARM = f"SELECT content_id AS arm, i, j, a FROM ({_gram_sql('content_id', '1')})"
 
 

@@ -84,11 +84,13 @@ def _(t):
 
 @query("j10_assign_bin", """
     SELECT w.dw_p_id, w.content_id, w.watch_len, CASE WHEN p_partkey IS NULL THEN 0 ELSE least(len(list_filter([0, p_size * 10, p_size * 40, p_size * 100], lambda e: e < w.watch_len)), 3) END::INTEGER AS bin
-    FROM kwatch w LEFT JOIN (SELECT * FROM part WHERE p_size < 40) ON p_partkey = w.content_id""")
+    FROM (SELECT dw_p_id, CASE WHEN language = 2 THEN -content_id ELSE content_id END AS content_id, watch_len FROM kwatch) w LEFT JOIN part ON p_partkey = w.content_id""")
 def _(t):
+    """Watches of one language have titles that the table of edges does not hold."""
     size = F.col("p_size")
-    edges = t.raw("part").filter("p_size < 40").select(F.col("p_partkey").alias("content_id"), F.array(F.lit(0), size * 10, size * 40, size * 100).alias("edges"))
-    return t.kwatch.join(edges, "content_id", "left").select("dw_p_id", "content_id", "watch_len", joins.assign_bin(F.col("watch_len"), F.col("edges")).alias("bin"))
+    edges = t.raw("part").select(F.col("p_partkey").alias("content_id"), F.array(F.lit(0), size * 10, size * 40, size * 100).alias("edges"))
+    watches = t.kwatch.withColumn("content_id", F.when(F.col("language") == 2, -F.col("content_id")).otherwise(F.col("content_id")))
+    return watches.join(edges, "content_id", "left").select("dw_p_id", "content_id", "watch_len", joins.assign_bin(F.col("watch_len"), F.col("edges")).alias("bin"))
 
 
 PAST_SQL = """
@@ -122,10 +124,12 @@ def _(t):
     return joins.qualify(t.scored, by, (F.count(F.lit(1)) >= 12) & (F.max("click") == 1)).groupBy(*by).agg(rows_n())
 
 
-@query("j15_map_identity", "SELECT count(*) AS rows, count(c_custkey) AS mapped, count(*) - count(c_custkey) AS unmapped FROM users LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') ON CAST(c_custkey AS VARCHAR) = dw_p_id")
+@query("j15_map_identity", "SELECT count(*) AS rows, count(c_custkey) AS mapped, count(*) - count(c_custkey) AS unmapped FROM (SELECT dw_p_id FROM users UNION ALL SELECT DISTINCT 'guest-' || cd FROM log) LEFT JOIN customer ON CAST(c_custkey AS VARCHAR) = dw_p_id")
 def _(t):
-    mapping = t.raw("customer").filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").cast("string").alias("dw_p_id"), F.col("c_name").alias("profile_id"))
-    return joins.coverage(joins.map_identity(t.users, mapping))
+    """Users of the log, and a guest per day, who has no profile."""
+    mapping = t.raw("customer").select(F.col("c_custkey").cast("string").alias("dw_p_id"), F.col("c_name").alias("profile_id"))
+    guests = t.log.select(F.concat(F.lit("guest-"), "cd").alias("dw_p_id")).distinct()
+    return joins.coverage(joins.map_identity(t.users.unionByName(guests), mapping))
 
 
 @query("j16_watch_relevance", """

@@ -10,6 +10,8 @@ from ranklens.operators.filters import mask_labels
 from ranklens.plans.domain import WEEK0
 from ranklens.plans.q_filters import CLEAN_SQL
 from ranklens.plans.registry import ORACLES, query, rows_n
+from ranklens.session import scratch_path
+from ranklens.sources import versions
 from ranklens.sources.logs import stage
 
 REQ = ["dw_p_id", "timestamp"]
@@ -45,6 +47,20 @@ def _(t):
     return aggregates.distinct_items(t.scored, REQ)
 
 
+_SKETCHED = "SELECT content_id, count(DISTINCT dw_p_id) AS viewers, true AS within FROM log GROUP BY ALL"
+
+
+@query("a4_item_sketches", _SKETCHED)
+def _(t):
+    """Distinct viewers per title from one sketch per day: exact beside estimated, which is within 4 standard errors."""
+    days = aggregates.item_sketches(t.log, ["cd", "content_id"], "dw_p_id")
+    about = aggregates.sketched_items(aggregates.merge_sketches(days, ["content_id"])).withColumnRenamed("items", "about")
+    exact = aggregates.distinct_items(t.log, ["content_id"], "dw_p_id").withColumnRenamed("items", "viewers")
+    most = 4 * 1.04 / 2 ** (aggregates.SKETCH_BITS / 2)
+    near = F.abs(F.col("about") - F.col("viewers")) <= F.col("viewers") * most + 0.5
+    return exact.join(about, "content_id").select("content_id", "viewers", near.alias("within"))
+
+
 @query("a5_sum_days", "SELECT o_custkey, " + ", ".join(f"CAST(sum(CASE WHEN l_linenumber = {i + 1} THEN l_quantity ELSE 0 END) AS BIGINT) AS wt_{i}, count(*) FILTER (l_linenumber > {i}) AS seen_{i}" for i in range(7)) + " FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
 def _(t):
     line = F.col("l_linenumber")
@@ -108,14 +124,37 @@ def _(t):
     return aggregates.task_stats(t.scored).withColumn("share", F.round("share", 6))
 
 
-@query("a10_example_stats", """
+_EXAMPLES = """
     SELECT count(*) AS users, CAST(sum(coalesce(c, 0)) AS BIGINT) AS clicks_examples, CAST(sum(coalesce(w, 0)) AS BIGINT) AS watches_examples, count(c) AS clicks_users, count(w) AS watches_users
-    FROM (SELECT dw_p_id, count(*) AS c FROM clicks GROUP BY ALL) FULL JOIN (SELECT dw_p_id, count(*) AS w FROM daily GROUP BY ALL) USING (dw_p_id)""")
+    FROM (SELECT dw_p_id, count(*) AS c FROM clicks GROUP BY ALL) FULL JOIN (SELECT dw_p_id, count(*) AS w FROM daily GROUP BY ALL) USING (dw_p_id)"""
+
+
+@query("a10_example_stats", _EXAMPLES)
 def _(t):
     one = lambda df, name: df.groupBy("dw_p_id").agg(rows_n(name))
     return aggregates.example_stats(one(t.clicks, "clicks").join(one(t.daily, "watches"), "dw_p_id", "full"), ["clicks", "watches"])
 
 
+def _written(t, df, counters):
+    """One row of aggregates of ``df``, taken while it is written."""
+    return versions.to_rows(t.spark, versions.write_observed(df, scratch_path(t.spark, "counted"), **counters))
+
+
+@query("a9_written_stats", "SELECT task, count(*) AS n, count(*) FILTER (click > 0) AS post_click, round(count(*) / (SELECT count(*) FROM scored), 6) AS share FROM scored GROUP BY task")
+def _(t):
+    """The task shares of a table, from the pass that writes it."""
+    facts = versions.write_observed(t.scored, scratch_path(t.spark, "counted"), **aggregates.task_counters([0, 1]))
+    rows = t.spark.createDataFrame(aggregates.task_rows(facts, [0, 1]), "task long, n long, post_click long, share double")
+    return rows.withColumn("share", F.round("share", 6))
+
+
+@query("a10_written_stats", _EXAMPLES)
+def _(t):
+    one = lambda df, name: df.groupBy("dw_p_id").agg(rows_n(name))
+    counts = one(t.clicks, "clicks").join(one(t.daily, "watches"), "dw_p_id", "full")
+    return _written(t, counts, aggregates.example_counters(["clicks", "watches"]))
+
+
 @query("a11_profile", """
     WITH rows AS (SELECT w.dw_p_id, w.watch_len AS wt, c.* FROM kwatch w JOIN catalog c USING (content_id)),
     long AS (SELECT dw_p_id, 'studio_id' AS attr, CAST(studio_id AS VARCHAR) AS value, wt FROM rows UNION ALL SELECT dw_p_id, 'parental_rating', CAST(parental_rating AS VARCHAR), wt FROM rows
@@ -158,11 +197,21 @@ def _(t):
     return aggregates.request_sizes(t.scored, REQ).select(*[F.round(f"q{i}", 4).alias(f"q{i}") for i in range(11)])
 
 
-@query("a16_counters", "SELECT count(*) AS predicted, count(*) FILTER (n = 0) AS empty, CAST(sum(n) AS BIGINT) AS total FROM (SELECT dw_p_id, count(DISTINCT CASE WHEN watch_len > 2000 THEN content_id END) AS n FROM kwatch GROUP BY ALL)")
+_COUNTERS = "SELECT count(*) AS predicted, count(*) FILTER (n = 0) AS empty, CAST(sum(n) AS BIGINT) AS total FROM (SELECT dw_p_id, count(DISTINCT CASE WHEN watch_len > 2000 THEN content_id END) AS n FROM kwatch GROUP BY ALL)"
+
+
+@query("a16_counters", _COUNTERS)
 def _(t):
     return aggregates.counters(t.kwatch.groupBy("dw_p_id").agg(F.collect_set(F.when(F.col("watch_len") > 2000, F.col("content_id"))).alias("items")))
 
 
+@query("a16_written_counters", _COUNTERS)
+def _(t):
+    """The job counters of a table of predictions, from the pass that writes it."""
+    lists = t.kwatch.groupBy("dw_p_id").agg(F.collect_set(F.when(F.col("watch_len") > 2000, F.col("content_id"))).alias("items"))
+    return _written(t, lists, aggregates.result_counters())
+
+
 @query("a17_last_by", "SELECT dw_p_id, content_id, arg_max(watch_len, (last_watch, watch_len)) AS watch_len FROM kwatch GROUP BY ALL")
 def _(t):
     return aggregates.last_by(t.kwatch, ["dw_p_id", "content_id"], "watch_len", ["last_watch"])
@@ -433,6 +482,13 @@ def _(t):
     return _per_title(t)
 
 
+@query("p2_viewers_by_day", _VIEWERS)
+def _(t):
+    """The same from a set of users per title and day, each day's sets made once."""
+    days = stage(popularity.day_viewers(t.view_log, popularity.number_users(t.view_log)), "day-viewers")
+    return popularity.viewers_of_days(days, popularity.first_availability(t.titles, _END), _START, _END)
+
+
 @query("p3_popularity_tiers", f"""WITH v AS ({_VIEWERS}) SELECT sub_title_id, viewers, platform_viewers, round(share, 6) AS share, popularity_tag, '{_START}' AS week_start, '{_END}' AS week_end,
     '1997-01-08' AS target_week_start, '1998-01-07' AS target_week_end FROM ({_TIERS})""")
 def _(t):

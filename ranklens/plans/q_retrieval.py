@@ -297,7 +297,7 @@ def _(t):
 @query("w4_position_decay", "SELECT dw_p_id, event_id AS dst, round(sum(value * 2.0 * pow(0.8, pos - 1)), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY dw_p_id ORDER BY value DESC, event_id) AS pos FROM log WHERE event_type = 'view') GROUP BY ALL")
 def _(t):
     second = t.between("view").select("dw_p_id", F.col("event_id").alias("dst"), F.col("value").alias("score"))
-    return r6(retrieval.blend_lists(second.filter("false"), second, 2.0))
+    return r6(retrieval.blend_lists(second.filter("false"), second, 2.0, whole_logs=True))
 
 
 @query("k16_export_unseen", f"SELECT DISTINCT dw_p_id, k AS item FROM log l WHERE event_type IN ('view', 'error') AND NOT EXISTS (SELECT 1 FROM kwatch w WHERE w.dw_p_id = l.dw_p_id AND w.content_id = l.k AND w.last_watch >= {CUT})")

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranklens.functions.scalars import step_value
 from ranklens.plans.domain import CUT
-from ranklens.plans.registry import query
+from ranklens.plans.registry import query, rows_n
 from ranklens.session import scratch_path
-from ranklens.sources import logs, packed
+from ranklens.sources import bucketed, logs, packed, versions
 
 _WRITTEN: dict[tuple[int, str, str], str] = {}
 
@@ -113,9 +114,10 @@ def _(t):
 @query("j11_step_value", """
     SELECT w.content_id, w.watch_len, count(*) AS n, max(CASE WHEN p.p_partkey IS NULL THEN 1.0::DOUBLE WHEN w.watch_len / 60.0 - 1 < 0 THEN round(p_retailprice / 1000, 3)
            WHEN w.watch_len / 60.0 - 1 >= p_size * 2 THEN round(p_retailprice / 1000, 3) WHEN w.watch_len / 60.0 - 1 >= p_size THEN 0.5 ELSE 0.1 END) AS value
-    FROM kwatch w LEFT JOIN part p ON p.p_partkey = w.content_id AND p.p_partkey % 3 = w.language AND p.p_size < 40 GROUP BY ALL""")
+    FROM kwatch w LEFT JOIN part p ON p.p_partkey = w.content_id AND p.p_partkey % 3 = w.language GROUP BY ALL""")
 def _(t):
-    steps = _steps(t).join(t.raw("part").select("p_partkey", "p_size"), "p_partkey").filter("p_size < 40")
+    """Watches in a language that a title has no steps for get the default."""
+    steps = _steps(t)
     thresholds, values = packed.step_arrays(F.col("packed"))
     dim = steps.select(F.col("p_partkey").alias("content_id"), "language", thresholds.alias("thr"), values.alias("val"))
     rows = t.kwatch.join(dim, ["content_id", "language"], "left")
@@ -158,14 +160,51 @@ def _(t):
     return t.spark.read.parquet(path).groupBy("dw_p_id").agg(F.count(F.lit(1)).alias("n"), F.sum("watch_len").alias("seconds"))
 
 
+@query("s12_bucketed_joins", """
+    WITH c AS (SELECT dw_p_id, count(*) AS clicks FROM log WHERE event_type = 'click' GROUP BY ALL), s AS (SELECT DISTINCT dw_p_id FROM log WHERE event_type = 'signup' AND k % 4 = 0)
+    SELECT dw_p_id, count(*) AS n, CAST(sum(watch_len) AS BIGINT) AS seconds, max(clicks) AS clicks FROM kwatch LEFT JOIN c USING (dw_p_id) WHERE dw_p_id NOT IN (SELECT dw_p_id FROM s) GROUP BY ALL""")
+def _(t):
+    """Watches, clicks per user and users to leave out, each stored by user; the joins read buckets as they lie."""
+    heavy = logs.stage(bucketed.heavy_users(t.kwatch, 12), "heavy")
+    clicks = t.between("click").groupBy("dw_p_id").agg(rows_n("clicks"))
+    out = t.between("signup").filter("k % 4 = 0").select("dw_p_id").distinct()
+    stored = {}
+    for name, df, lookup in (("watches", t.kwatch, False), ("clicks", clicks, True), ("left_out", out, True)):
+        table = f"{name}_{uuid.uuid4().hex}"
+        bucketed.write_bucketed(df, table, scratch_path(t.spark, name), 8, heavy, lookup=lookup)
+        stored[name] = t.spark.table(table)
+    kept = stored["watches"].join(stored["left_out"].hint("merge"), ["dw_p_id", bucketed.PART], "left_anti")
+    return bucketed.join_users(kept, stored["clicks"], "left").groupBy("dw_p_id").agg(
+        rows_n(), F.sum("watch_len").alias("seconds"), F.max("clicks").alias("clicks"))
+
+
 @query("s13_append", "SELECT horizon, count(*) AS n FROM kwatch, (VALUES (1), (7)) h(horizon) GROUP BY ALL")
 def _(t):
+    """One horizon is run twice; its rows are those of one run."""
     path = scratch_path(t.spark, "append")
-    for n in (1, 7):
-        logs.append(t.kwatch.withColumn("horizon", F.lit(n)), path, ["horizon"])
+    for n in (1, 7, 1):
+        versions.write_increment(t.kwatch, path, {"horizon": n})
     return t.spark.read.parquet(path).groupBy("horizon").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("s13_increment_stats", """
+    SELECT CAST(h.horizon AS INTEGER) AS horizon, count(*) FILTER (w.watch_len > h.horizon * 60) AS n, CAST(sum(watch_len) FILTER (w.watch_len > h.horizon * 60) AS BIGINT) AS seconds
+    FROM kwatch w, (VALUES (1), (7), (1000000)) h(horizon) GROUP BY h.horizon""")
+def _(t):
+    """Counts of each increment from its writing pass; the last one has no rows and leaves no rows of its first run."""
+    path = scratch_path(t.spark, "increments")
+    versions.write_increment(t.kwatch, path, {"horizon": 1000000})
+    facts = [
+        (h, versions.write_increment(t.kwatch.filter(F.col("watch_len") > h * 60), path, {"horizon": h}, seconds=F.sum("watch_len")))
+        for h in (1, 7, 1000000)
+    ]
+    left = t.spark.read.parquet(path).groupBy("horizon").agg(F.count(F.lit(1)).alias("rows"))
+    rows = [versions.to_rows(t.spark, f).withColumn("horizon", F.lit(h)) for h, f in facts]
+    said = reduce(DataFrame.unionByName, rows)
+    # the table holds what the counts say
+    return said.join(left, "horizon", "left").filter(F.coalesce("rows", F.lit(0)) == F.col("n")).drop("rows")
+
+
 @query("s14_write_csv1", "SELECT content_id, count(*) AS n FROM kwatch GROUP BY ALL")
 def _(t):
     path = scratch_path(t.spark, "report")
@@ -180,6 +219,20 @@ def _(t):
     return logs.current_version(t.spark.read.schema("version string, n bigint").json(path))
 
 
+@query("s15_published", "SELECT cd AS version, dw_p_id, count(*) AS n FROM log WHERE cd = (SELECT max(cd) FROM log) GROUP BY ALL")
+def _(t):
+    """The newest day is published; a later one, written half way, and a pointer without its marker do not count."""
+    path = scratch_path(t.spark, "published")
+    days = [r[0] for r in t.log.groupBy("cd").agg(rows_n()).orderBy("cd").select("cd").tail(2)]
+    for cd in days:
+        versions.write_version(t.log.filter(F.col("cd") == cd).select("dw_p_id"), path, cd)
+        versions.publish(t.spark, path, cd, {"day": cd})
+    versions.write_version(t.log.select("dw_p_id"), path, "9999-12-31")
+    logs.unmark(t.spark, f"{path}/version=9999-12-31")
+    now = versions.published(t.spark, path).select("version").scalar()
+    return versions.read_published(t.spark, path).groupBy(now.alias("version"), "dw_p_id").agg(rows_n())
+
+
 @query("s16_insert_into", "SELECT content_id, popularity_tag, count(*) AS n FROM tags GROUP BY ALL")
 def _(t):
     tag = uuid.uuid4().hex

@@ -63,6 +63,12 @@ def done(spark: SparkSession, path: str) -> bool:
     return _exists(spark, f"{path.rstrip('/')}/_SUCCESS")
 
 
+def unmark(spark: SparkSession, path: str) -> None:
+    """Take the success marker away, so that readers wait until the output is written again."""
+    fs, p = _fs(spark, f"{path.rstrip('/')}/_SUCCESS")
+    fs.delete(p, False)
+
+
 def latest_partition(spark: SparkSession, table: str, date: str, look_back: int = 7) -> str | None:
     """Newest ``cd=`` partition on or before a date, within the look-back window."""
     for day in _days(date, -look_back):
@@ -111,11 +117,6 @@ def write_by_user(df: DataFrame, path: str, partitions: int, key: str = "dw_p_id
     by_user(df, partitions, key).write.mode("overwrite").parquet(path)
 
 
-def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    writer = df.write.mode("append")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-
-
 def write_csv1(df: DataFrame, path: str) -> None:
     """One CSV file with header; for reports whose row count is bounded by titles."""
     df.repartition(1).write.mode("overwrite").option("header", True).csv(path)

@@ -12,13 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranklens.operators.bandit import gram, gram_by_arm, update_state
+from ranklens.sources.versions import read_version, write_version
 
 
 def stored_state(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
-    """State cells of a version (the newest by default)."""
-    df = spark.read.parquet(path)
-    at = F.lit(version) if version is not None else df.agg(F.max("version")).scalar()
-    return df.filter(F.col("version") == at).drop("version")
+    """State cells of a version (the newest by default). Only versions whose write has succeeded count."""
+    return read_version(spark, path, version)
 
 
 def next_state(spark: SparkSession, path: str, act: DataFrame, version: str, previous: str | None, d: int, lam: float = 1.0, arm: str | None = None) -> None:
@@ -26,7 +25,8 @@ def next_state(spark: SparkSession, path: str, act: DataFrame, version: str, pre
 
     A first increment without rows leaves lam I of dimension ``d`` (no arm yet, per arm).
 
-    A version is one partition directory, overwritten as a whole, so a rerun leaves the same state.
+    A version is one folder, overwritten as a whole, so a rerun leaves the same state; until the write has
+    succeeded it is no version, and ``previous`` must be one.
     """
     start = lam if previous is None else 0.0
     new = gram_by_arm(act, start, arm) if arm else gram(act, d, start)
@@ -38,7 +38,7 @@ def next_state(spark: SparkSession, path: str, act: DataFrame, version: str, pre
             fresh = new.filter(F.col("i") == F.col("j")).join(old.select("arm").distinct(), "arm", "left_anti")
             new = new.unionByName(fresh.withColumn("a", F.lit(float(lam))))
         new = update_state(old, new, keys)
-    new.write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={version}")
+    write_version(new, path, version)
 
 
 def fold_batch(path: str, d: int, lam: float = 1.0, arm: str | None = None) -> Callable[[DataFrame, int], None]:

@@ -202,8 +202,10 @@ def test_quantiles_like_numpy(scored):
 def test_user_metrics_long_tie_runs(spark):
     rows = [("u", float(i % 2), i % 3 == 0) for i in range(25)] + [("v", float(i), i == 0) for i in range(5)]
     df = spark.createDataFrame([(u, s, int(y)) for u, s, y in rows], "dw_p_id string, s double, label int")
-    pieces = metrics._discount_sums(spark.createDataFrame([("u", 2, 23, 1.0)], "dw_p_id string, ahead long, n long, gain double"), "dw_p_id", "d", piece=4).first()["d"]
-    assert pieces == pytest.approx(sum(1 / np.log2(i + 1) for i in range(3, 26)))
+    runs = spark.createDataFrame([(2, 23), (0, 0), (5, 4), (5, 5)], "ahead long, n long")
+    for piece in (4, 10_000):
+        got = runs.select("ahead", "n", metrics._discounts_between(F.col("ahead"), F.col("n"), piece).alias("d")).collect()
+        assert [r.d for r in got] == pytest.approx([sum(1 / np.log2(i + 1) for i in range(r.ahead + 1, r.ahead + r.n + 1)) for r in got])
     assert metrics.user_metrics(df, "s", "label").first()["num_users"] == 2
 
 
