@@ -1,10 +1,12 @@
 """Token counts: each distinct pre-token is encoded once and joined to the documents' pre-token frequencies.
 
-A task turns its documents into an inverted list: per distinct pre-token the documents that hold it
-and how often, one row per block of documents. The rows are brought together and sorted by
-pre-token; each distinct one is encoded once, its count meets the frequencies of its rows as they
-stream by, and frequency times count is summed by document. No token ids are kept, and a pre-token
-that every document holds is a row per block.
+Pre-tokens that are frequent in a sample of the documents are encoded first; that table has a fixed
+bound, so it is joined where the documents are read. For all other pre-tokens a task turns its documents
+into an inverted list: per distinct pre-token the documents that hold it and how often, one row per block of
+documents. The rows are brought together and sorted by pre-token; each distinct one is encoded once, its
+count meets the frequencies of its rows as they stream by, and frequency times count is summed by document.
+No token ids are kept. The sample only decides which way a pre-token goes: a pre-token that a large part of
+the documents holds is in it, so none is one task's, and what is shuffled is the rare rest.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ VOCABULARY, OVER = "byte_bpe_50k.json", 1024
 BLOCK_ENTRIES, BLOCK_DOCS = 4_000_000, 1 << 15
 #: Blocks whose sums a task holds at a time.
 BLOCKS_HELD = 64
+#: Documents (expected) whose pre-tokens are counted to find the frequent ones, how many of those are taken, and their longest.
+SAMPLE_DOCS, FREQUENT, FREQUENT_CHARS = 20_000, 100_000, 32
 
 # The vocabulary's special token and its pre-token pattern.
 SPECIAL = "<|endoftext|>"
@@ -71,32 +75,77 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of two kinds: per document its id and size, and per pre-token its list in the block.
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Short pre-tokens with the number of sampled documents that hold them."""
+    held: Counter = Counter()
+    for batch in batches:
+        for text in batch.column(0):
+            held.update(w for w in pre_tokens(text.as_py()) if len(w) <= FREQUENT_CHARS)
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["piece", "docs"])
+
+
+def _encoded(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [len(e) for e in _tokenizer(path).encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["piece", "n"])
+
+    return run
+
+
+def frequent_pieces(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, most: int = FREQUENT) -> dict[str, int]:
+    """Token counts of at most ``most`` pre-tokens of at most 32 characters, those most documents of a sample hold.
+
+    The table is at most a few MiB, whatever the documents are.
+    """
+    n = docs.count()
+    if not n:
+        return {}
+    sample = docs.select("text").sample(min(1.0, sample_docs / n), seed=1)
+    seen = sample.mapInArrow(_seen, "piece string, docs long").groupBy("piece").agg(F.sum("docs").alias("docs")).filter("docs > 1")
+    top = seen.orderBy(F.desc("docs"), "piece").limit(most).select("piece")
+    return {r["piece"]: r["n"] for r in top.mapInArrow(_encoded(path), "piece string, n long").collect()}
+
+
+def _lists(known: dict[str, int]):
+    """Rows of two kinds: per document its id, size and known tokens, and per other pre-token its list in the block.
 
     A list is packed: two bytes for the document's place in the block and one for the frequency; a
     larger frequency is several entries.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _blocks(batches, known)
+
+    return run
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], known: dict[str, int]) -> Iterator[pa.RecordBatch]:
     base, block = TaskContext.get().partitionId() << 32, 0
     lists: dict[str, tuple[array, bytearray]] = {}
-    ids, sizes, n, entries = [], [], 0, 0
+    ids, sizes, tokens, n, entries = [], [], [], 0, 0
 
     def flush():
-        nonlocal lists, ids, sizes, n, entries, block
+        nonlocal lists, ids, sizes, tokens, n, entries, block
         block += 1
         id_column = pa.concat_arrays(ids)
-        yield _rows(base + block, n, id_column.type, doc=pa.array(range(n), pa.int32()), doc_id=id_column, n_bytes=pa.concat_arrays(sizes))
+        yield _rows(base + block, n, id_column.type, doc=pa.array(range(n), pa.int32()), doc_id=id_column, n_bytes=pa.concat_arrays(sizes), known=pa.array(tokens, pa.int64()))
         names = list(lists)
         for at in range(0, len(names), 20_000):
             own = names[at : at + 20_000]
             docs, counts = pa.array([lists[w][0].tobytes() for w in own], pa.binary()), pa.array([bytes(lists[w][1]) for w in own], pa.binary())
             yield _rows(base + block, len(own), id_column.type, piece=pa.array(own, pa.string()), docs=docs, counts=counts)
-        lists, ids, sizes, n, entries = {}, [], [], 0, 0
+        lists, ids, sizes, tokens, n, entries = {}, [], [], [], 0, 0
 
     for batch in batches:
         texts, start = batch.column("text"), 0
         for k in range(len(texts)):
+            total = 0
             for piece, count in pre_tokens(texts[k].as_py()).items():
+                size = known.get(piece)
+                if size is not None:
+                    total += size * count
+                    continue
                 at = lists.get(piece)
                 if at is None:
                     at = lists[piece] = (array("H"), bytearray())
@@ -105,6 +154,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at[1].append(min(count, 255))
                     count -= 255
                     entries += 1
+            tokens.append(total)
             n += 1
             full = entries >= BLOCK_ENTRIES or n == BLOCK_DOCS
             if full or k == len(texts) - 1:
@@ -117,7 +167,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-_COLUMNS = {"doc": pa.int32(), "doc_id": None, "n_bytes": pa.int64(), "piece": pa.string(), "docs": pa.binary(), "counts": pa.binary()}
+_COLUMNS = {"doc": pa.int32(), "doc_id": None, "n_bytes": pa.int64(), "known": pa.int64(), "piece": pa.string(), "docs": pa.binary(), "counts": pa.binary()}
 
 
 def _rows(block: int, n: int, id_type: pa.DataType, **columns) -> pa.RecordBatch:
@@ -127,6 +177,11 @@ def _rows(block: int, n: int, id_type: pa.DataType, **columns) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays(out, names=["block", *_COLUMNS])
 
 
+def _packed(sums: np.ndarray) -> bytes:
+    """Positive numbers in the fewest bytes each that hold the largest."""
+    return sums.astype(np.min_scalar_type(int(sums.max()))).tobytes()
+
+
 def _unpacked(column: pa.Array, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype)
 
@@ -134,7 +189,8 @@ def _unpacked(column: pa.Array, dtype) -> np.ndarray:
 def _joined(path: str):
     """Frequency times count summed by document, from list rows sorted by pre-token; rows of documents pass.
 
-    Sums are kept for a bounded number of blocks and handed on packed, one row per block.
+    Sums are kept for a bounded number of blocks and handed on packed, one row per block. With more blocks
+    than that they are handed on earlier, less added up, and take no more bytes than the lists did.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +201,9 @@ def _joined(path: str):
         def flush():
             for block, slot in slots.items():
                 found = np.flatnonzero(sums[slot])
-                yield _rows(block, 1, id_type, docs=pa.array([found.astype(np.uint16).tobytes()], pa.binary()), counts=pa.array([sums[slot, found].tobytes()], pa.binary()))
+                if not len(found):
+                    continue
+                yield _rows(block, 1, id_type, docs=pa.array([found.astype(np.uint16).tobytes()], pa.binary()), counts=pa.array([_packed(sums[slot, found])], pa.binary()))
                 sums[slot] = 0
             slots.clear()
 
@@ -182,21 +240,14 @@ def _joined(path: str):
 
 
 def _collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with their token counts, from rows sorted by block; one block is held at a time."""
-    now, held = None, []
+    """Documents with their token counts, from rows sorted by block; one block's documents and sums are held."""
+    now, documents, sums = None, [], np.zeros(BLOCK_DOCS, dtype=np.int64)
 
     def ended() -> pa.RecordBatch:
-        sums = np.zeros(BLOCK_DOCS, dtype=np.int64)
-        documents = []
-        for part in held:
-            of_document = pc.is_valid(part.column("doc"))
-            documents.append(part.filter(of_document))
-            for docs, counts in zip(*(part.filter(pc.invert(of_document)).column(c).to_pylist() for c in ("docs", "counts"))):
-                sums[np.frombuffer(docs, np.uint16)] += np.frombuffer(counts, np.int64)
         table = pa.Table.from_batches(documents).combine_chunks()
-        doc = table.column("doc").to_numpy()
+        total = sums[table.column("doc").to_numpy()] + table.column("known").to_numpy()
         return pa.RecordBatch.from_arrays(
-            [*(pa.concat_arrays(table.column(c).chunks) for c in ("doc_id", "n_bytes")), pa.array(sums[doc])], names=["doc_id", "n_bytes", "n_tokens"])
+            [*(pa.concat_arrays(table.column(c).chunks) for c in ("doc_id", "n_bytes")), pa.array(total)], names=["doc_id", "n_bytes", "n_tokens"])
 
     for batch in batches:
         block = batch.column("block").to_numpy()
@@ -204,12 +255,18 @@ def _collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(cuts, cuts[1:]):
             if a == b:
                 continue
-            if held and block[a] != now:
+            if documents and block[a] != now:
                 yield ended()
-                held = []
-            now = block[a]
-            held.append(batch.slice(a, b - a))
-    if held:
+                documents = []
+                sums[:] = 0
+            now, part = block[a], batch.slice(a, b - a)
+            of_document = pc.is_valid(part.column("doc"))
+            # a copy, so that the batch of sums it came with can go
+            documents.append(part.filter(of_document))
+            for docs, counts in zip(*(part.filter(pc.invert(of_document)).column(c).to_pylist() for c in ("docs", "counts"))):
+                place = np.frombuffer(docs, np.uint16)
+                sums[place] += np.frombuffer(counts, f"u{len(counts) // len(place)}")
+    if documents:
         yield ended()
 
 
@@ -221,11 +278,12 @@ def token_counts(docs: DataFrame, path: str | None = None, over: int = OVER) ->
     """
     own = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"block long, doc int, doc_id {kind}, n_bytes long, piece string, docs binary, counts binary"
-    lists = own.mapInArrow(_lists, schema)
+    schema = f"block long, doc int, doc_id {kind}, n_bytes long, known long, piece string, docs binary, counts binary"
+    path = path or vocabulary_path()
+    lists = own.mapInArrow(_lists(frequent_pieces(docs, path)), schema)
     # lists are dealt by pre-token, rows of documents by their place
     key = F.when(F.col("piece").isNotNull(), F.xxhash64("piece")).otherwise(F.xxhash64("block", "doc"))
-    sums = lists.repartition(key).sortWithinPartitions("piece").mapInArrow(_joined(path or vocabulary_path()), schema)
+    sums = lists.repartition(key).sortWithinPartitions("piece").mapInArrow(_joined(path), schema)
     by_block = sums.drop("piece").repartition("block").sortWithinPartitions("block")
     out = by_block.mapInArrow(_collected, f"doc_id {kind}, n_bytes long, n_tokens long")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit"))
