@@ -1,10 +1,12 @@
 """WARC archives as a chunked record table.
 
-A payload over ``CHUNK_CHARS`` characters is written as a row per chunk: a first segment and
-continuation records that carry the record's identifier and the chunk number. Archives are gzip files
-of records in WARC 1.1 form, written by Spark's own writer, so that lost tasks leave nothing behind
-and any store that Spark writes to will do. Reading decompresses an archive piece by piece; payloads
-that came in chunks are put through a running digest one chunk at a time, never joined.
+A payload over ``CHUNK_BYTES`` is written as a row per chunk: a first segment and continuation records
+that carry the record's identifier and the chunk number. A row per chunk number comes first and cuts its
+own bytes out of the payload, so the pieces never stand side by side. Archives are gzip files of records in
+WARC 1.1 form, written by Spark's own writer, so that lost tasks leave nothing behind and any store that
+Spark writes to will do. A file holds ``FILE_BYTES`` before compression at most (but for long URLs), because
+a record holds one chunk; that bounds what a reading task has of it. Reading decompresses an archive piece
+by piece; payloads that came in chunks are put through a running digest one chunk at a time, never joined.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ from pyspark.sql import functions as F
 from ranklens.llm.common import stage
 from ranklens.session import scratch_path
 
-CHUNK_CHARS = 1 << 17
-#: Records in an archive file at most: with chunks of this size, a bounded file.
-FILE_RECORDS = 4096
+CHUNK_BYTES, FILE_BYTES = 1 << 16, 1 << 26
+#: Bytes that a record's header takes, without its URL.
+HEADER_BYTES = 1 << 10
 #: Equal payloads shorter than this are each stored.
 REVISIT_BYTES = 100
 READ_BYTES = 1 << 16
@@ -34,21 +36,26 @@ def _line(name: str, value):
     return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), F.regexp_replace(value.cast("string"), r"[\r\n]+", "%0A"), F.lit(CRLF))).otherwise("")
 
 
-def chunked(pages: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """Rows (page_id, url, row, digest, chunk, chunks, total, data): the record table of whole payloads."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    own = pages.select("page_id", "url", html.alias("html"), F.monotonically_increasing_id().alias("row"))
-    own = own.select(
-        "page_id", "url", "row", "html", F.unhex(F.sha2("html", 256)).alias("digest"),
-        F.octet_length("html").cast("long").alias("total"), F.length("html").alias("chars"),
-    )
-    parts = F.when(F.col("chars") <= chunk_chars, F.array("html")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.expr(f"cast((chars - 1) div {int(chunk_chars)} as int)")), lambda i: F.substring(F.col("html"), i * chunk_chars + 1, F.lit(chunk_chars)))
-    )
-    return own.select("page_id", "url", "row", "digest", "total", F.size(parts).alias("chunks"), F.posexplode(parts).alias("chunk", "data"))
+def chunked(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Rows (page_id, url, row, digest, total, chunks, chunk, data): the record table of whole payloads.
+
+    ``data`` is binary; chunks are cut by bytes, also inside a character.
+    """
+    html = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
+    own = pages.select("page_id", "url", html.alias("payload"), F.monotonically_increasing_id().alias("row"))
+    own = own.select("page_id", "url", "row", "payload", F.unhex(F.sha2("payload", 256)).alias("digest"), F.octet_length("payload").cast("long").alias("total"))
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("total") / chunk_bytes).cast("int"))
+    rows = own.withColumn("chunks", chunks).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    data = F.when(F.col("chunks") == 1, F.col("payload")).otherwise(F.substring("payload", F.col("chunk") * chunk_bytes + 1, F.lit(chunk_bytes)))
+    return rows.select("page_id", "url", "row", "digest", "total", "chunks", "chunk", data.alias("data"))
+
+
+def file_records(chunk_bytes: int, file_bytes: int) -> int:
+    """Records in an archive file, so that none is over ``file_bytes`` before compression."""
+    return max(1, file_bytes // (chunk_bytes + HEADER_BYTES))
 
 
-def write_archives(pages: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, file_records: int = FILE_RECORDS) -> None:
+def write_archives(pages: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, file_bytes: int = FILE_BYTES) -> None:
     """Writes a record per page below ``path``.
 
     Of equal payloads of at least 100 bytes the page with the smallest page_id is stored as response
@@ -60,12 +67,12 @@ def write_archives(pages: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS,
     long_ = pages.filter(F.octet_length(html) >= REVISIT_BYTES).select("page_id", F.unhex(F.sha2(html, 256)).alias("digest"))
     first = long_.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
     first = stage(first.filter((F.col("n") > 1) & F.col("first").isNotNull()).select("digest", "first"), "repeated")
-    rows = chunked(pages, chunk_chars).join(first, "digest", "left")
+    rows = chunked(pages, chunk_bytes).join(first, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.coalesce(F.col("page_id") == F.col("first"), F.lit(False))
     kind = F.when(revisit, "revisit").when(F.col("chunk") > 0, "continuation").otherwise("response")
     rows = rows.withColumn("kind", kind).filter(~(revisit & (F.col("chunk") > 0)))
     in_parts = (F.col("chunks") > 1) & ~revisit
-    data = F.when(revisit, F.lit("")).otherwise(F.col("data"))
+    data = F.when(revisit, F.lit("")).otherwise(F.col("data").cast("string"))  # bytes as they are
     record_id = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(">"))
     record = F.concat(
         F.lit(f"WARC/1.1{CRLF}"), _line("WARC-Type", F.col("kind")), _line("WARC-Record-ID", record_id),
@@ -80,7 +87,7 @@ def write_archives(pages: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS,
         F.lit(CRLF), data, F.lit(CRLF),
     )
     out = rows.select(record.alias("value"))
-    out.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", CRLF).option("maxRecordsPerFile", file_records).text(path)
+    out.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", CRLF).option("maxRecordsPerFile", file_records(chunk_bytes, file_bytes)).text(path)
 
 
 class _Stream:
@@ -90,16 +97,17 @@ class _Stream:
         self.data, self.at, self.inflate, self.ready = memoryview(data), 0, zlib.decompressobj(31), bytearray()
 
     def more(self) -> bool:
+        """Adds at most READ_BYTES to what is ready; False at the end."""
         if self.inflate.eof:
-            rest = self.inflate.unused_data
-            self.at -= len(rest)
+            self.at -= len(self.inflate.unused_data)
             self.inflate = zlib.decompressobj(31)
-        if self.at >= len(self.data):
-            return False
-        piece = self.data[self.at : self.at + READ_BYTES]
-        self.at += len(piece)
-        self.ready += self.inflate.decompress(piece)
-        return True
+        piece = self.inflate.unconsumed_tail
+        if not piece:
+            piece = self.data[self.at : self.at + READ_BYTES]
+            self.at += len(piece)
+        out = self.inflate.decompress(piece, READ_BYTES)
+        self.ready += out
+        return bool(len(piece) or out)
 
     def head(self) -> bytes | None:
         """The next header block, or nothing at the end."""
@@ -194,7 +202,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return parsed.filter(F.col("segment") == 0).select(*columns).unionByName(ended.select(*columns))
 
 
-def round_trip(pages: DataFrame, chunk_chars: int = CHUNK_CHARS, file_records: int = FILE_RECORDS) -> DataFrame:
+def round_trip(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """One row per page, from archives written and read again.
 
     Null html is an empty payload, and a null url has no URI line. A null page_id is kept; it revisits
@@ -202,7 +210,7 @@ def round_trip(pages: DataFrame, chunk_chars: int = CHUNK_CHARS, file_records: i
     """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
-    write_archives(pages.select("page_id", "url", "html"), path, chunk_chars, file_records)
+    write_archives(pages.select("page_id", "url", "html"), path, chunk_bytes, file_bytes)
     return read_archives(spark, path)
 
 

@@ -28,10 +28,11 @@ def _want(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("chunk,files", [(1 << 17, 4096), (900, 40)])
+@pytest.mark.parametrize("chunk,files", [(1 << 17, 4096), (64, 5), (1000, 3), (900, 40)])
 def test_round_trip(spark, chunk, files):
+    """Chunk size in bytes and records in a file."""
     df = spark.createDataFrame(ROWS, SCHEMA).repartition(3).selectExpr("*", "1 AS row", "'d' AS digest", "5 AS chunk", "6 AS first")
-    got = warc.round_trip(df, chunk_chars=chunk, file_records=files)
+    got = warc.round_trip(df, chunk_bytes=chunk, file_bytes=files * (chunk + warc.HEADER_BYTES))
     assert sorted((tuple(r) for r in got.collect()), key=str) == _want(ROWS)
 
 
@@ -39,13 +40,13 @@ def test_chunk_rows(spark):
     rows = warc.chunked(spark.createDataFrame(ROWS, SCHEMA), 1000).collect()
     for _, url, h in ROWS:
         own = sorted((r for r in rows if r.url == url and hashlib.sha256((h or "").encode()).digest() == bytes(r.digest)), key=lambda r: (r.row, r.chunk))
-        assert "".join(r.data for r in own if r.row == own[0].row) == (h or "")
+        assert b"".join(bytes(r.data) for r in own if r.row == own[0].row).decode() == (h or "")
         assert all(len(r.data) <= 1000 for r in own)
 
 
 def test_files_are_warc(spark, tmp_path):
     path = scratch_path(spark, "warc-test")
-    warc.write_archives(spark.createDataFrame(ROWS, SCHEMA).coalesce(1), path, chunk_chars=900)
+    warc.write_archives(spark.createDataFrame(ROWS, SCHEMA).coalesce(1), path, chunk_bytes=64)
     local = path.removeprefix("file:")
     import glob
 
@@ -65,3 +66,27 @@ def test_several_gzip_members_and_cut_file():
 
 def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_large_payload_and_file_stay_within_the_stated_peak(spark):
+    """A payload of many chunks, in characters of three bytes, and files far larger than a read buffer."""
+    import glob
+    import gzip
+
+    import numpy as np
+
+    big = "".join(map(chr, np.random.default_rng(1).integers(0x4E00, 0x9FA0, 700_000)))
+    rows = [(k, "u", big if k == 3 else f"page {k} " * 40) for k in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    path = scratch_path(spark, "warc-large")
+    warc.write_archives(df, path, chunk_bytes=1 << 14, file_bytes=1 << 20)
+    sizes = [len(gzip.open(f).read()) for f in glob.glob(f"{path.removeprefix('file:')}/*.gz")]
+    assert len(sizes) > 4 and max(sizes) <= 1 << 20 and max(sizes) > 8 * warc.READ_BYTES
+    got = warc.read_archives(spark, path)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == _want(rows)
+    # what a reading task holds of a file: its bytes, one buffer of decompressed ones, one segment
+    stream = warc._Stream(gzip.compress(b"x" * (1 << 22)))
+    most = 0
+    for piece in stream.pieces(1 << 22):
+        most = max(most, len(stream.ready) + len(piece))
+    assert most <= 2 * warc.READ_BYTES
