@@ -31,7 +31,7 @@ def test_toxicity_on_the_held_out_fold(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     result = T.toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     got, y = _joined(spark, result, "toxic")
-    assert len(y) > 500 and (got[y == 1] == 1).mean() > 0.75 and (got[y == 0] == 0).mean() > 0.97
+    assert len(y) > 500 and (got[y == 1] == 1).mean() > 0.8 and (got[y == 0] == 0).mean() > 0.97
 
 
 @pytest.mark.parametrize("op,folds,out", [(Q.quality, 4, 2), (T.toxicity, 5, 0)])
@@ -98,3 +98,83 @@ def test_sample_counts_only_labels_of_usable_texts(spark):
     few = training_sample(docs, labels, "quality", 4, 2, rows=20, chars=100).collect()
     assert len({r.doc_id for r in few}) == len(few) == 20 and {r.doc_id for r in few} <= usable
     assert {r.doc_id for r in training_sample(docs, labels, "quality", 4, 2, rows=500, chars=100).collect()} == usable
+
+
+@pytest.mark.parametrize("labels", [[], [(4, 0, 0), (5, 0, 0)], [(4, 1, 1), (5, 1, 1)]])
+def test_without_both_classes_nothing_is_rejected(spark, labels):
+    docs = spark.createDataFrame(EDGES, "doc_id long, text string")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for op, kept, label in ((Q.quality, Q.accepted, 1), (T.toxicity, T.not_toxic, 0)):
+        rows = op(docs, labels).collect()
+        assert {r.predicted for r in rows} == {label} and len({r.score for r in rows}) == 1
+        assert kept(docs, labels).count() == len(EDGES)
+
+
+def test_thresholds_hold_against_outliers_and_few_labels():
+    rng = np.random.default_rng(5)
+    z, y = np.r_[rng.normal(-5, 1, 300), rng.normal(5, 1, 40)], np.r_[np.zeros(300), np.ones(40)]
+    z[-1] = -9.0  # a toxic text that the networks miss
+    spoken = np.r_[np.zeros(250), np.ones(50), np.zeros(39), np.ones(1)].astype(int)
+    cut = T.thresholds(z, y, spoken)
+    assert all((z[(y == 0) & (spoken == k)] >= cut[k]).mean() <= 0.03 for k in (0, 1))
+    assert (z[y == 1] >= cut[0]).mean() > 0.9
+    # one text of a class moves a language's cut little; a language without texts has the cut of all
+    assert abs(cut[1] - cut[2]) < 1.5 and cut[2] == cut[3] == T.best_cut(z, y)
+    assert T.best_cut(z[y == 0], y[y == 0]) > z[y == 0].max()
+
+
+def _plain_quality(weights, bias, text):
+    """Score of one text in plain Python, from the folded weight of each bucket."""
+    size = 1 << 64
+
+    def bucket(h):
+        return ((h ^ (h >> 31)) * 0x9E3779B97F4A7C15 % size) >> (64 - (Q.BUCKETS.bit_length() - 1))
+
+    def weight(word):
+        codes = [ord(c) for c in f"<{word}>"]
+        step = [pow(0x100000001B3, k, size) for k in range(len(codes) + 6)]
+        found = [bucket(sum(c * step[k] for k, c in enumerate(codes)) % size)]
+        for n in Q.GRAMS:
+            for i in range(len(codes) - n + 1):
+                found.append(bucket((n * 0x9E3779B97F4A7C15 + sum(codes[i + k] * step[k + 1] for k in range(n))) % size))
+        return sum(weights[b] for b in found) / len(found)
+
+    words = (text or "").split()
+    parts = [w[i : i + 64] for w in words for i in range(0, len(w), 64)]
+    parts += ["\0again"] * sum(a == b for a, b in zip(words, words[1:]))
+    z = bias + (sum(map(weight, parts)) / len(parts) if parts else 0)
+    return 1 / (1 + np.exp(-z))
+
+
+def _plain_toxicity(net, text):
+    """Score of one text in plain Python, one position and filter at a time."""
+    words = [w for w in T.WORD.findall((text or "").lower())]
+    vectors = [[float(sum(net.table[r][d] for r in T.rows_of(w))) for d in range(T.DIM)] for w in words]
+    z, at = net.bias, 0
+    for width, own in zip(T.WIDTHS, net.filters):
+        for f in range(T.FILTERS):
+            best = 0.0  # padding
+            for j in range(len(words)):
+                best = max(best, sum(vectors[j + k][d] * float(own[k][d][f]) for k in range(width) if j + k < len(words) for d in range(T.DIM)))
+            z += max(0.0, best + float(net.shift[at])) * float(net.out[at])
+            at += 1
+    counts = [sum(w in own.split() for w in words) for own in T.FUNCTION_WORDS.values()]
+    spoken = counts.index(max(counts)) if max(counts) else len(counts)
+    return 1 / (1 + np.exp(-(z - net.threshold[spoken])))
+
+
+def test_scores_equal_a_plain_forward_pass():
+    rng = np.random.default_rng(7)
+    vocabulary = [*"the of und der les et que con bad evil foul rotten".split(), *(f"wort{k}é" for k in range(60)), "x" * 130]
+    texts, labels = [], []
+    for k in range(120):
+        words = list(rng.choice(vocabulary[:8] + vocabulary[12:], rng.integers(3, 30)))
+        if k % 3 == 0:
+            words += ["bad", "evil", "rotten"]
+        texts.append(" ".join(words))
+        labels.append(int(k % 3 == 0))
+    probe = [*texts[:25], None, "", "  \n", "the the the", "x" * 200, "Unknown WORDS only", "rotten", "der und x-y_z 12"]
+    weights, bias = Q.Model().fit(texts, labels).weights()
+    assert np.allclose(Q.Scorer(weights, bias).scores(probe), [_plain_quality(weights, bias, t) for t in probe], atol=1e-6)
+    net = T.Network().fit(texts, labels)
+    assert np.allclose(T.Scorer(net).scores(probe), [_plain_toxicity(net, t) for t in probe], atol=1e-4)

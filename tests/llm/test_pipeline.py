@@ -44,3 +44,22 @@ def test_empty_corpus(spark):
     for _, step in P.STAGES:
         docs = step(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_nulls_and_repeats_pass_all_stages(spark):
+    docs = read(spark, SF, "documents").limit(300)
+    first = docs.orderBy("doc_id").limit(20)
+    extra = spark.createDataFrame([(None, None), (None, "a text without an id"), (900_001, None), (900_002, ""), (900_003, "same same"), (900_003, "same same")], "doc_id long, text string")
+    extra = extra.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "CAST(NULL AS STRING) AS source", "CAST(NULL AS BIGINT) AS n_chars")
+    docs = docs.unionByName(first).unionByName(extra.select(*docs.columns))
+    before = {tuple(r) for r in docs.collect()}
+    for name, step in P.STAGES[:-1]:
+        from ranklens.llm.common import stage
+
+        docs = stage(step(spark, docs, SF), f"odd-{name}")
+        rows = [tuple(r) for r in docs.collect()]
+        assert set(rows) <= before
+        if name in ("simhash", "decontaminate"):
+            assert len(rows) == len(set(rows))
+    out = P.mix_sources(spark, docs, SF)
+    assert out.count() == len(rows) and out.filter("taken > 2 * size or taken < 0").count() == 0
