@@ -2,14 +2,16 @@
 
 A token is the path of an element, such as ``html/body/div.ad``, or a block of text in one. Its
 occurrence vector tells how often it stands on each distinct page of a host. Tokens of a host with
-equal vectors form an equivalence class; it is valid if it stands on enough pages. A text in a class
-with elements is part of the template: it stands as often as they do, whatever else the pages say.
-Between the elements before and after it in the order of its class it is left out, inside the article
-too. Outside, a text that most holders of its element share is left out as well, and so are elements
-made of links.
+equal vectors form an equivalence class; it is valid if it has several tokens and stands on enough pages.
+Elements of valid classes that stand once on their pages are the frame of the template; they nest as the
+elements do, and what they hold is a slot. The slots' text that differs from page to page is what the host
+publishes: the innermost frame element that holds most of it, and is no text block itself, is the core. Its
+blocks are the main text.
 
-Names decide the rest: furniture is never main text, and a page with an article has no main text
-outside it.
+In a core that no name marks, a text that most holders of its element share is template and left out; so
+it is on pages without a core, with elements made of links. Names are a prior beside this: a core inside an
+``article`` or ``main`` is widened to it, such an element wins over a core elsewhere and keeps all its
+text, and furniture by name (a menu, an advert, reader comments) is never main text.
 
 Vectors are compared by a 64-bit signature that adds up over pages, so no host's pages are gathered.
 """
@@ -20,7 +22,6 @@ import hashlib
 import html as entities
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,8 +35,10 @@ from ranklens.llm.common import stage
 SUPPORT = 0.5
 #: Least distinct pages of a host on which a text stands before it counts as unchanging: fewer compare nothing.
 LEAST_PAGES = 2
-#: Least distinct pages on which a text inside the article stands before its class can make it template.
-CLASS_PAGES = 5
+#: Least share of a host's changing text in its core, and least tokens of a valid class.
+CORE_SHARE, CLASS_TOKENS = 0.75, 2
+#: Key of the core's path in a template.
+CORE = "\v"
 #: Elements nested deeper than this share the path of the last one named.
 DEPTH = 40
 
@@ -241,10 +244,10 @@ def observed(page: str | None) -> tuple[int, dict[str, list]]:
     inline elements too; they have their own besides.
     """
     read = events(page)
-    out: dict[str, list] = {ROOT[0]: [1, 0, 0, 0, False, False, -1]} if read else {}
-    for at, (kind, place, text) in enumerate(read):
+    out: dict[str, list] = {ROOT[0]: [1, 0, 0, 0, False, False]} if read else {}
+    for kind, place, text in read:
         if kind == "open":
-            seen = out.setdefault(place.path, [0, 0, 0, 0, place.article and not place.furniture, place.furniture, at])
+            seen = out.setdefault(place.path, [0, 0, 0, 0, place.article and not place.furniture, place.furniture])
             seen[0] += 1
         elif kind == "text" and not place.furniture and (words := text.split()):
             n, line = sum(map(len, words)), " ".join(words).encode("utf-8", "surrogatepass")
@@ -253,46 +256,54 @@ def observed(page: str | None) -> tuple[int, dict[str, list]]:
                     seen[1] += n
                     seen[2] += n if place.link else 0
                     seen[3] = zlib.crc32(line, seen[3])
-    for at, place, text in blocks_of(read):
-        seen = out.setdefault(text_token(place.path, text), [0, len(text), 0, 0, place.article, False, at])
+    for _, place, text in blocks_of(read):
+        seen = out.setdefault(text_token(place.path, text), [0, len(text), 0, 0, place.article, False])
         seen[0] += 1
     return content(read), out
 
 
+def core_of(template: dict[str, str]) -> tuple[str, bool]:
+    """Path of the host's core, and whether it is an article by name; no core: empty.
+
+    An article by name around the innermost element is the core; else it is widened as deduced.
+    """
+    if CORE not in template:
+        return "", False
+    path, depth = template[CORE].rsplit("\t", 1)
+    keys = path.split("/")
+    for k, key in enumerate(keys):
+        if is_article(key):
+            return "/".join(keys[: k + 1]), True
+    return "/".join(keys[: int(depth)]), False
+
+
 def main_text(page: str | None, template: dict[str, str]) -> str:
-    """Main text of a page; ``template`` gives each template token's slot: main, side, or open.
+    """Main text of a page; ``template`` gives the core and each template token's slot: side or open.
 
-    A text of a class has the slot "after<vertical tab>before": the elements of its class around it. "open" slots
-    are main text only on pages without an article. Template texts are left out, unless they are most
-    of the article or the page has no other text.
+    An article by name has all its blocks. Otherwise the core has those that are not template; on pages
+    without either, all blocks count that do not stand in a side slot and are not template. Template
+    texts stay if there is no other text.
     """
     read = events(page)
-    blocks: list[tuple[str, str]] = []
-    known: list[int] = []
-    opened: Counter[str] = Counter()
-    passed = 0
+    core, _ = core_of(template)
+    article: list[str] = []
+    inside: list[tuple[str, str]] = []
     spare: list[tuple[str, str]] = []
     fixed: list[int] = []
-    for at, place, text in blocks_of(read):
-        opened.update(p.path for kind, p, _ in read[passed:at] if kind == "open")
-        passed = at
-        slot, own = _slot(place, template), template.get(text_token(place.path, text), "")
-        if place.article or slot == "main":
-            if "\v" in own and _in_order(own, opened):
-                known.append(len(blocks))
-            blocks.append(("", text))
-        elif own == "side":
+    own: list[int] = []
+    for _, place, text in blocks_of(read):
+        shared = template.get(text_token(place.path, text)) == "side"
+        if place.article:
+            article.append(text)
+        elif core and any(p.path == core for p in place.around()):
+            own += [len(inside)] if shared else []
+            inside.append((place.path, text))
+        elif shared:
             fixed.append(len(spare))
             spare.append((place.path, text))
-        elif slot == "open":
+        elif _slot(place, template) == "open":
             spare.append((place.path, text))
-    return "\n".join(_varying(blocks, known) or _varying(spare, fixed))
-
-
-def _in_order(around: str, opened: Counter[str]) -> bool:
-    """Whether a text stands between the elements of its class: the one before has opened once more than the one after."""
-    after, before = around.split("\v")
-    return bool(opened[after] if after else True) and (not before or opened[before] < (opened[after] if after else 1))
+    return "\n".join(article or _varying(inside, own) or _varying(spare, fixed))
 
 
 def _varying(blocks: list[tuple[str, str]], fixed: list[int]) -> list[str]:
@@ -321,7 +332,7 @@ def _slot(place: Place, template: dict[str, str]) -> str:
 
 
 _TOKENS = {"host": ("string", pa.string()), "page": ("long", pa.int64()), "path": ("string", pa.string()), "n": ("long", pa.int64()), "chars": ("long", pa.int64()),
-           "link_chars": ("long", pa.int64()), "text_hash": ("long", pa.int64()), "article": ("boolean", pa.bool_()), "furniture": ("boolean", pa.bool_()), "place": ("long", pa.int64())}
+           "link_chars": ("long", pa.int64()), "text_hash": ("long", pa.int64()), "article": ("boolean", pa.bool_()), "furniture": ("boolean", pa.bool_())}
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,7 +366,7 @@ def templates(pages: DataFrame) -> DataFrame:
     tokens = seen.groupBy("host", "path").agg(
         F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count(F.lit(1)).alias("on"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars"),
         F.min("text_hash").alias("low"), F.max("text_hash").alias("high"), F.max("article").alias("article"), F.max("furniture").alias("furniture"),
-        F.sum("place").alias("place"),
+        F.sum("n").alias("times"),
     )
     text = F.instr("path", "\t") > 0
     tokens = stage(tokens.withColumn("text", text).filter(~text | (F.col("on") >= LEAST_PAGES)), "tokens")
@@ -364,30 +375,42 @@ def templates(pages: DataFrame) -> DataFrame:
     valid = often.filter(~F.col("text"))
     fixed = (F.col("on") >= LEAST_PAGES) & (F.col("low") == F.col("high")) & (F.col("chars") > 0)
     links = (F.col("chars") > 0) & (2 * F.col("link_chars") > F.col("chars"))
-    slot = F.when(F.col("furniture"), "side").when(F.col("article"), "main").when(fixed | links, "side").otherwise("open")
+    slot = F.when(F.col("furniture") | fixed | links, "side").otherwise("open")
     # a text is unchanging if most pages that hold its element hold it
     held = valid.select(F.col("host").alias("h"), F.col("path").alias("element"), F.col("on").alias("held"))
     texts = tokens.filter(F.col("text") & ~F.col("article")).withColumn("element", F.substring_index("path", "\t", 1))
     texts = texts.join(held, (F.col("host") == F.col("h")) & (texts["element"] == held["element"])).filter(F.col("on") >= SUPPORT * F.col("held"))
     lines = valid.select("host", F.concat_ws("\t", slot, F.col("path")).alias("line"))
     lines = lines.unionByName(texts.select("host", F.concat_ws("\t", F.lit("side"), F.col("path")).alias("line")))
-    lines = lines.unionByName(_class_lines(often))
+    lines = lines.unionByName(_cores(tokens, often, fixed | links).select("host", F.concat_ws("\t", F.lit("core"), F.col("path")).alias("line")))
     return lines.groupBy("host").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("template"))
 
 
-def _class_lines(tokens: DataFrame) -> DataFrame:
-    """(host, line): the texts inside the article that an equivalence class with elements holds.
+def _cores(tokens: DataFrame, often: DataFrame, unchanging) -> DataFrame:
+    """(host, path): the core of each host that has one, as the innermost element's path and the depth it is widened to.
 
-    A class is the tokens of a host with one vector, in their order on the pages (equal vectors: on
-    the same pages, so the sums of places order them). A line names the elements before and after.
+    Text counts for the block element it stands in and all elements around that one. The frame elements
+    that hold most of the changing text lie in each other; from the innermost the core is widened as far
+    as no unchanging text and no links come in, so a title beside the paragraphs belongs to it.
     """
-    member = F.struct("place", "path", "text", (F.col("article") & F.col("text")).alias("own"))
-    classes = tokens.filter(F.col("on") >= CLASS_PAGES).groupBy("host", "vector", "on").agg(F.array_sort(F.collect_list(member)).alias("tokens"))
-    classes = classes.filter(F.exists("tokens", lambda t: t["own"]) & F.exists("tokens", lambda t: ~t["text"]))
-    texts = classes.withColumn("elements", F.filter("tokens", lambda t: ~t["text"])).select("host", "elements", F.explode(F.filter("tokens", lambda t: t["own"])).alias("t"))
-    before = F.try_element_at(F.filter("elements", lambda e: e["place"] > F.col("t.place")), F.lit(1))["path"]
-    after = F.try_element_at(F.filter("elements", lambda e: e["place"] < F.col("t.place")), F.lit(-1))["path"]
-    return texts.select("host", F.concat(F.coalesce(after, F.lit("")), F.lit("\v"), F.coalesce(before, F.lit("")), F.lit("\t"), F.col("t.path")).alias("line"))
+    keys = F.split("path", "/")
+    inline = F.substring_index(F.element_at(keys, -1), ".", 1).isin(sorted(_INLINE))
+    blocks = tokens.filter(~F.col("text") & ~F.col("furniture") & ~inline & (F.col("chars") > 0))
+    around = F.transform(F.sequence(F.lit(1), F.size(keys)), lambda k: F.array_join(F.slice(keys, F.lit(1), k), "/"))
+    each = blocks.select("host", "chars", (~unchanging).alias("changing"), F.col("path").alias("block"), F.explode(around).alias("path"))
+    total = lambda test: F.sum(F.when(test, F.col("chars")).otherwise(0))
+    held = each.groupBy("host", "path").agg(
+        total(F.col("changing")).alias("held"), total(~F.col("changing")).alias("other"), total(F.col("changing") & (F.col("block") == F.col("path"))).alias("bare"))
+    whole = held.filter(F.col("path") == ROOT[0]).select("host", F.col("held").alias("whole"))
+    classes = often.groupBy("host", "vector", "on").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") >= CLASS_TOKENS)
+    frame = often.filter(~F.col("text") & ~F.col("furniture") & (F.col("times") == F.col("on")) & (F.col("on") >= LEAST_PAGES) & (F.col("path") != ROOT[0]))
+    frame = frame.join(classes.select("host", "vector", "on"), ["host", "vector", "on"], "left_semi").select("host", "path")
+    cores = frame.join(held, ["host", "path"]).join(whole, "host")
+    cores = cores.filter((F.col("held") > 0) & (F.col("held") >= CORE_SHARE * F.col("whole")) & (2 * F.col("bare") <= F.col("held")))
+    # one chain of nested elements per host, at most DEPTH long
+    chain = cores.groupBy("host").agg(F.array_sort(F.collect_list(F.struct(F.size(keys).alias("depth"), "path", "other"))).alias("chain"))
+    pure = F.filter("chain", lambda e: e["other"] == F.element_at(F.col("chain"), -1)["other"])
+    return chain.select("host", F.concat_ws("\t", F.element_at(F.col("chain"), -1)["path"], F.element_at(pure, 1)["depth"]).alias("path"))
 
 
 def _extract(texts: pa.Array, chosen: pa.Array) -> pa.Array:
@@ -396,16 +419,17 @@ def _extract(texts: pa.Array, chosen: pa.Array) -> pa.Array:
 
 @lru_cache(maxsize=1000)
 def _read(lines: str | None) -> dict[str, str]:
-    return {path: slot for slot, path in (x.split("\t", 1) for x in (lines or "").split("\n") if x)}
+    """Slot by token, and the core's path under ``CORE``."""
+    pairs = [x.split("\t", 1) for x in (lines or "").split("\n") if x]
+    return {CORE if slot == "core" else path: path if slot == "core" else slot for slot, path in pairs}
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
     Null html is an empty page with an empty text, and no page of its host for the template. On a host
-    with one distinct page nothing can be compared: all text not named furniture is kept. From two on,
-    a text outside an article is template if it stands, the same, on most distinct pages that hold its
-    element. A page whose url names no host is taken with all
+    with one distinct page nothing can be compared: the article by name or all text not named furniture is
+    kept. From two on, the core and the template texts are deduced; an article by name keeps all its text. A page whose url names no host is taken with all
     others of that kind. Repeated rows are each extracted; a null page_id is kept. Templates are
     written to a table first: while it is small it reaches the pages without moving them, otherwise
     by a join on the host that can split a host with many pages. Other columns are ignored.
