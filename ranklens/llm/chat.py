@@ -75,50 +75,85 @@ def expand(stream: DataFrame) -> DataFrame:
     )
 
 
+_COUNTED = {
+    "n_turns": "long", "turns_sha256": "string", "loss_chars": "long", "loss_sha256": "string", "formatted_chars": "long",
+    "n_examples": "long", "expanded_chars": "long", "examples_sha256": "string",
+}
+
+
 def read_back(segments: DataFrame, examples: DataFrame) -> DataFrame:
-    """One row per conversation from the stored stream and examples; digests run over sorted turns one batch at a time."""
-    masks = examples.select(F.col("conv_id").alias("c"), "target", "loss_start", "loss_end")
+    """One row per conversation from the stored stream and examples; digests run over sorted turns one batch at a time.
+
+    An example is read through its whole range [0, end): a digest runs over the stream, and its value at
+    the example's end stands for context and reply together. Four ranges and that digest per example go into
+    ``examples_sha256``, so a wrong, missing or repeated context shows.
+    """
+    masks = examples.select(F.col("conv_id").alias("c"), "target", "context_chars", "loss_start", "loss_end", "end")
     rows = segments.join(masks, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("seq") == F.col("target")), "left")
     head = F.regexp_extract("segment", r"^### ([^\n]*)\n", 1)
     body = F.regexp_extract("segment", r"(?s)^### [^\n]*\n(.*)</turn>\n$", 1)
     role = F.regexp_replace(F.regexp_replace(head, r"(?<!\\)((?:\\\\)*)\\n", "$1\n"), _ESCAPED, "$1")
     masked = F.expr("substring(segment, cast(loss_start - start + 1 as int), cast(loss_end - loss_start as int))")
     rows = rows.select(
-        "conv_id", "seq", role.alias("role"), _unescape(body).alias("text"),
-        F.when(F.col("loss_start").isNotNull(), _unescape(masked)).alias("loss"), F.length("segment").cast("long").alias("chars"),
+        "conv_id", "seq", role.alias("role"), _unescape(body).alias("text"), F.when(F.col("loss_start").isNotNull(), _unescape(masked)).alias("loss"),
+        "segment", "context_chars", "loss_start", "loss_end", "end",
     )
     kind = segments.schema["conv_id"].dataType.simpleString()
     sorted_ = rows.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
-    return sorted_.mapInArrow(_digests, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return sorted_.mapInArrow(_digests, ", ".join([f"conv_id {kind}", *(f"{n} {t}" for n, t in _COUNTED.items())]))
+
+
+class _Read:
+    """What has been read of one conversation."""
+
+    def __init__(self, conv):
+        self.conv, self.turns, self.turns_digest = conv, 0, hashlib.sha256()
+        self.loss, self.loss_digest = 0, hashlib.sha256()
+        self.chars, self.stream_digest = 0, hashlib.sha256()
+        self.examples, self.expanded, self.examples_digest = 0, 0, hashlib.sha256()
+
+    def add(self, role, text, loss, segment, context_chars, loss_start, loss_end, end):
+        self.turns += 1
+        self.turns_digest.update(f"{role}\n{text}\n".encode())
+        before = self.chars
+        self.chars += len(segment)
+        self.stream_digest.update(segment.encode())
+        if loss is None:
+            return
+        self.loss += len(loss)
+        self.loss_digest.update(loss.encode())
+        self.examples += 1
+        self.expanded += end
+        # ranges that do not fit the stream have no digest
+        whole = self.stream_digest.hexdigest() if (context_chars, end) == (before, self.chars) else "misplaced"
+        self.examples_digest.update(f"{context_chars}:{loss_start}:{loss_end}:{end}:{whole}\n".encode())
+
+    def row(self) -> tuple:
+        return (self.conv, self.turns, self.turns_digest.hexdigest(), self.loss, self.loss_digest.hexdigest(), self.chars,
+                self.examples, self.expanded, self.examples_digest.hexdigest())
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    state, started = None, False
+    now, kind = None, None
+    types = {"long": pa.int64(), "string": pa.string()}
 
-    def ended(done: list, kind: pa.DataType) -> pa.RecordBatch:
-        columns = list(zip(*[(c, n, t.hexdigest(), k, m.hexdigest(), f) for c, n, t, k, m, f in done]))
-        types = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types)], names=names)
+    def ended(done: list[_Read]) -> pa.RecordBatch:
+        columns = zip(*(r.row() for r in done))
+        kinds = [kind, *(types[t] for t in _COUNTED.values())]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], names=["conv_id", *_COUNTED])
 
-    kind = None
     for batch in batches:
         kind, done = batch.schema.field("conv_id").type, []
-        for conv, _, role, text, loss, chars in zip(*(c.to_pylist() for c in batch.columns)):
-            if not started or conv != state[0]:
-                if started:
-                    done.append(state)
-                state, started = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0], True
-            state[1] += 1
-            state[2].update(f"{role}\n{text}\n".encode())
-            if loss is not None:
-                state[3] += len(loss)
-                state[4].update(loss.encode())
-            state[5] += chars
+        for conv, _, *turn in zip(*(c.to_pylist() for c in batch.columns)):
+            if now is None or conv != now.conv:
+                if now is not None:
+                    done.append(now)
+                now = _Read(conv)
+            now.add(*turn)
         if done:
-            yield ended(done, kind)
-    if started:
-        yield ended([state], kind)
+            yield ended(done)
+    if now is not None:
+        yield ended([now])
 
 
 def render(segments: DataFrame) -> DataFrame:
@@ -157,9 +192,10 @@ def parse(stream: str) -> list[tuple[str, str]]:
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+    """One row per conversation: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples, expanded_chars, examples_sha256.
 
-    ``formatted_chars`` counts the stored stream, each turn once. A conversation without assistant
+    ``formatted_chars`` counts the stored stream, each turn once; ``expanded_chars`` counts the examples as
+    a trainer gets them, each with its context. A conversation without assistant
     turns has no example and an empty loss; a null conv_id is a conversation; repeated rows are turns
     of their own. No rows: no rows. Other columns are ignored.
     """
@@ -181,13 +217,29 @@ WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
-), marked AS (
+), escaped AS (
   SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') AS body,
          replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), chr(10), '\n') AS head FROM turns
+), marked AS (
+  SELECT *, '### ' || head || chr(10) || body || '</turn>' || chr(10) AS segment FROM escaped
+), streams AS (
+  SELECT *, string_agg(segment, '') OVER w AS whole, row_number() OVER w AS seq FROM marked
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), examples AS (
+  SELECT conv_id, seq, length(whole) AS ends, length(whole) - length(segment) AS context, sha256(whole) AS digest,
+         length(whole) - length(body) - 8 AS loss_start, length(whole) - 8 AS loss_end
+  FROM streams WHERE role = 'assistant'
+), expanded AS (
+  SELECT conv_id, count(*) AS n_examples, CAST(sum(ends) AS BIGINT) AS expanded_chars,
+         sha256(string_agg(context || ':' || loss_start || ':' || loss_end || ':' || ends || ':' || digest || chr(10), '' ORDER BY seq)) AS examples_sha256
+  FROM examples GROUP BY conv_id
+), counted AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+         CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+         sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+         CAST(sum(length(segment)) AS BIGINT) AS formatted_chars
+  FROM marked GROUP BY conv_id
 )
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
-       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(4 + length(head) + 1 + length(body) + 8) AS BIGINT) AS formatted_chars
-FROM marked GROUP BY conv_id
+SELECT c.*, coalesce(n_examples, 0) AS n_examples, coalesce(expanded_chars, 0) AS expanded_chars, coalesce(examples_sha256, sha256('')) AS examples_sha256
+FROM counted c LEFT JOIN expanded e ON c.conv_id IS NOT DISTINCT FROM e.conv_id
 """

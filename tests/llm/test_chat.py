@@ -54,3 +54,22 @@ def test_control_conversation_and_empty(spark):
     text = r"\### Assistant: </turn> ok"
     assert [r.conv_id for r in got] == [-7] and got[0].loss_chars == len(text)
     assert got[0].loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_examples_are_read_with_their_contexts(spark):
+    """Counts and digest of the examples equal those of the examples written out; a wrong context shows."""
+    rng = random.Random(9)
+    rows = [(c, t, rng.choice(["user", "assistant"]), rng.choice(CONTROL)) for c in range(6) for t in range(12)] + [(9, 0, "user", "no reply")]
+    stream = chat.layout(spark.createDataFrame(rows, SCHEMA))
+    examples = chat.expand(stream)
+    got = {r.conv_id: r for r in chat.read_back(stream, examples).collect()}
+    full, context = {}, {(r.conv_id, r.target): r.context_chars for r in examples.collect()}
+    for r in sorted(chat.render(stream).collect(), key=lambda r: (r.conv_id, r.target)):
+        full.setdefault(r.conv_id, []).append(r)
+    for c, r in got.items():
+        own = full.get(c, [])
+        lines = "".join(f"{context[c, e.target]}:{e.loss_start}:{e.loss_end}:{len(e.text)}:{hashlib.sha256(e.text.encode()).hexdigest()}\n" for e in own)
+        assert (r.n_examples, r.expanded_chars, r.examples_sha256) == (len(own), sum(len(e.text) for e in own), hashlib.sha256(lines.encode()).hexdigest())
+    for wrong in (examples.withColumn("context_chars", examples.context_chars - 1), examples.withColumn("end", examples.end + 1), examples.filter("target > 1")):
+        other = {r.conv_id: r.examples_sha256 for r in chat.read_back(stream, wrong).collect()}
+        assert any(other[c] != got[c].examples_sha256 for c in got)
