@@ -1,15 +1,16 @@
 """Embedding near-dedup by int8 tile products with rigorous error bounds.
 
-Unit vectors are rounded to int8 codes with one scale each, and the length of what rounding left is
+Unit vectors are rounded once to int8 codes with one scale each, and the length of what rounding left is
 kept. For two vectors the product of codes differs from their cosine by at most
 ``e_v + e_u (1 + e_v)``; pairs whose product is surely above or below the threshold are settled by
-it, and only the others are computed again in double precision.
+it. Only codes, scales and errors are dealt to the tiles. A tile with undecided pairs names the vectors in
+them; these alone are fetched in full, and the tile's undecided pairs are computed in double precision.
 
 Vectors are compared cell by cell. A vector's home is the nearest of a few pivots; it also visits
 every cell that could hold a vector within the threshold: two vectors at distance r cannot lie
 further apart than r across the plane between two pivots. Cells are cut into tiles of bounded size,
-so a crowded cell is many tasks, and each pair of cells meets on one side only. Pivots decide where
-the work is done, never which links are found.
+so a crowded cell is many tasks, and each pair of cells meets on one side only. Pivots follow the number of
+vectors; they decide where the work is done, never which links are found.
 """
 
 from __future__ import annotations
@@ -23,48 +24,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranklens.llm.common import stage
-from ranklens.llm.components import connected_components
+from ranklens.llm.components import connected_components, forest
 
 THRESHOLD = 0.95
 #: Rows on each side of a tile product; vectors per pivot aimed at; pivots at most (a sample of the vectors).
-TILE, CELL_ROWS, PIVOTS = 2048, 2048, 256
+TILE, CELL_ROWS, PIVOTS = 2048, 2048, 2048
 #: Room for the rounding of the single-precision arithmetic on bounds.
 SLACK = 1e-5
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes (held as floats, for exact products), scales, and lengths of the rounding errors."""
+    """int8 codes, scales, and lengths of the rounding errors (rounded up to single precision)."""
     scale = np.abs(unit).max(1) / 127
     code = np.rint(unit / scale[:, None])
     error = np.linalg.norm(unit - code * scale[:, None], axis=1)
-    # sums of products of codes stay below 2**24 up to 1040 dimensions, so single precision is exact
-    return code.astype(np.float32 if unit.shape[1] <= 1040 else np.float64), scale, error
-
-
-def tile_links(u: np.ndarray, v: np.ndarray, threshold: float) -> np.ndarray:
-    """Which rows of u and v (unit vectors) have cosine >= threshold, as a boolean tile."""
-    (qu, su, eu), (qv, sv, ev) = quantise(u), quantise(v)
-    product = qu @ qv.T
-    product *= su.astype(product.dtype)[:, None]
-    product *= sv.astype(product.dtype)[None]
-    gap = (eu[:, None] * (1 + ev)[None] + ev[None]).astype(product.dtype) + product.dtype.type(SLACK)
-    links = product - gap >= threshold
-    a, b = np.nonzero((product + gap >= threshold) & ~links)
-    for at in range(0, len(a), 100_000):
-        x, y = a[at : at + 100_000], b[at : at + 100_000]
-        links[x, y] = np.einsum("ij,ij->i", u[x], v[y]) >= threshold
-    return links
-
-
-def spanning(links: np.ndarray) -> np.ndarray:
-    """Label of each row, then of each column: the first row or column it is connected with."""
-    n, m = links.shape
-    label = np.arange(n + m)
-    for i in np.flatnonzero(links.any(1)):
-        own = np.unique(label[np.r_[i, n + np.flatnonzero(links[i])]])
-        if len(own) > 1:
-            label[np.isin(label, own[1:])] = own[0]
-    return label
+    return code.astype(np.int8), scale, np.nextafter(error.astype(np.float32), np.float32(np.inf))
+
+
+def settle(qu, su, eu, qv, sv, ev, threshold: float) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that surely link, and pairs that codes leave undecided.
+
+    A single-precision product picks the pairs near or above the threshold, with room for its rounding;
+    these are computed again from whole numbers, so the outcome does not depend on the tile.
+    """
+    near = (qu.astype(np.float32) * su.astype(np.float32)[:, None]) @ (qv.astype(np.float32) * sv.astype(np.float32)[:, None]).T
+    worst = float(eu.max()) * (1 + float(ev.max())) + float(ev.max())
+    x, y = np.nonzero(near >= np.float32(threshold - worst - SLACK - 1e-6 * qu.shape[1]))
+    sure, open_ = [], []
+    for at in range(0, len(x), 100_000):
+        i, j = x[at : at + 100_000], y[at : at + 100_000]
+        product = np.einsum("ij,ij->i", qu[i].astype(np.int32), qv[j].astype(np.int32)) * su[i] * sv[j]
+        gap = eu[i].astype(np.float64) * (1 + ev[j].astype(np.float64)) + ev[j] + SLACK
+        yes = product - gap >= threshold
+        maybe = ~yes & (product + gap >= threshold)
+        sure.append((i[yes], j[yes]))
+        open_.append((i[maybe], j[maybe]))
+    join = lambda parts: tuple(np.concatenate([np.zeros(0, np.int64), *(p[k] for p in parts)]) for k in (0, 1))
+    return join(sure), join(open_)
+
+
+def exact(u: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs (i, j) of rows of u and v link, by their cosine in double precision."""
+    yes = np.zeros(len(i), dtype=bool)
+    for at in range(0, len(i), 100_000):
+        x, y = i[at : at + 100_000], j[at : at + 100_000]
+        yes[at : at + 100_000] = np.einsum("ij,ij->i", u[x], v[y]) >= threshold
+    return i[yes], j[yes]
 
 
 def _units(batch: pa.RecordBatch, name: str = "embedding") -> np.ndarray:
@@ -88,10 +93,11 @@ def _homes(pivots: dict[int, np.ndarray], reach: float):
         apart = np.sqrt(np.maximum(2 - 2 * own @ own.T, 0))
         np.fill_diagonal(apart, np.inf)
         apart[apart < 1e-6] = np.inf
-        visits = np.zeros(near.shape, dtype=bool)
+        # how far the vector lies outside the cell: first across the plane to its home, then the worst of all planes
+        visits = (near[np.arange(len(unit)), home][:, None] - near) / apart[home] <= reach
         for a in range(len(own)):
-            # how far the vector lies outside the cell, across the worst of the cell's planes
-            visits[:, a] = ((near - near[:, a : a + 1]) / apart[a]).max(1) <= reach
+            some = np.flatnonzero(visits[:, a])
+            visits[some, a] = ((near[some] - near[some, a : a + 1]) / apart[a]).max(1) <= reach
         number = np.arange(len(own))
         one_way = np.where((number + home[:, None]) % 2 == 0, number < home[:, None], number > home[:, None])
         return home.astype(np.int32), [np.flatnonzero(x).astype(np.int32) for x in visits & one_way]
@@ -103,46 +109,58 @@ def _homes(pivots: dict[int, np.ndarray], reach: float):
                 size = np.array([len(x) for x in part.column("embedding")])
                 for dim in np.unique(size):
                     rows = part.filter(pa.array(size == dim))
-                    home, visits = cells(_units(rows))
+                    unit = _units(rows)
+                    home, visits = cells(unit)
+                    code, scale, error = quantise(unit)
                     yield pa.RecordBatch.from_arrays(
-                        [*rows.columns, pa.array([int(dim)] * len(rows), pa.int32()), pa.array(home), pa.array(visits, pa.list_(pa.int32()))],
-                        names=[*rows.schema.names, "dim", "home", "visits"],
+                        [*(rows.column(c) for c in ("node", "copies")), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(scale), pa.array(error),
+                         pa.array([int(dim)] * len(rows), pa.int32()), pa.array(home), pa.array(visits, pa.list_(pa.int32()))],
+                        names=["node", "copies", "code", "scale", "error", "dim", "home", "visits"],
                     )
 
     return run
 
 
-def _compare(threshold: float):
-    """Tile products over rows sorted by tile pair; one pair is held at a time."""
+def _compare(threshold: float, full: bool):
+    """Tile products over rows sorted by tile pair; one pair is held at a time.
+
+    From codes alone (``full`` false) the sure links come out, and the vectors of undecided pairs with their
+    tile; from those vectors in full, the undecided pairs that link.
+    """
 
     def product(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
         left = table.column("left").to_numpy(zero_copy_only=False)
         node, n = table.column("node").to_numpy(), table.column("copies").to_numpy()
-        unit = _units(table)
+        code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.int8).reshape(len(node), -1)
+        scale, error = table.column("scale").to_numpy(), table.column("error").to_numpy()
         same = bool(table.column("same")[0].as_py())
-        a, b = (np.arange(len(unit)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
+        a, b = (np.arange(len(node)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
         if not len(a) or not len(b):
             return
-        links = tile_links(unit[a], unit[b], threshold)
-        if same:
-            np.fill_diagonal(links, False)
-        if not links.any():
+        sure, undecided = settle(code[a], scale[a], error[a], code[b], scale[b], error[b], threshold)
+        x, y = undecided
+        if same:  # each pair once
+            x, y = x[x < y], y[x < y]
+        if full:
+            unit = _units(table)
+            x, y = exact(unit[a], unit[b], x, y, threshold)
+        else:
+            rows_open = np.unique(np.concatenate([a[x], b[y]]))
+            if len(rows_open):
+                yield _result(node[rows_open], unit=np.full(len(rows_open), table.column("unit")[0].as_py()), left=left[rows_open], same=same)
+            x, y = sure
+            if same:
+                x, y = x[x < y], y[x < y]
+        if not len(x):
             return
-        right_sum = links @ n[b].astype(np.float64)
-        totals = [(node[a], right_sum)] if same else [(node[a], right_sum), (node[b], links.T @ n[a].astype(np.float64))]
-        label = spanning(links)
-        both = np.concatenate([node[a], node[b]])
-        moved = label != np.arange(len(label))
-        ends = [(both[moved], both[label[moved]])]
-        if same:  # a row and its column are one vector
-            ends.append((node[a], both[label[len(a) :]]))
-        for x, total in totals:
-            kept = total > 0
-            yield _result(x[kept], None, total[kept].astype(np.int64))
-        for x, y in ends:
-            kept = x != y
-            yield _result(x[kept], y[kept], None)
+        x, y = a[x], b[y]
+        total = np.bincount(x, n[y], len(node)) + np.bincount(y, n[x], len(node))
+        linked = np.flatnonzero(total)
+        yield _result(node[linked], links=total[linked].astype(np.int64))
+        label = forest(len(node), x, y)
+        moved = np.flatnonzero(label != np.arange(len(node)))
+        yield _result(node[moved], b=node[label[moved]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -164,12 +182,15 @@ def _compare(threshold: float):
     return run
 
 
-def _result(a: np.ndarray, b: np.ndarray | None, links: np.ndarray | None) -> pa.RecordBatch:
+_FOUND = "a long, b long, links long, unit long, left boolean, same boolean"
+
+
+def _result(a: np.ndarray, b=None, links=None, unit=None, left=None, same=None) -> pa.RecordBatch:
+    """Rows of three kinds: an edge (a, b), a number of links of a, or a as a vector to be fetched for a tile."""
     n = len(a)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(a, pa.int64()), pa.nulls(n, pa.int64()) if b is None else pa.array(b, pa.int64()), pa.nulls(n, pa.int64()) if links is None else pa.array(links, pa.int64())],
-        names=["a", "b", "links"],
-    )
+    given = [pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in (b, links, unit)]
+    given += [pa.nulls(n, pa.bool_()) if c is None else pa.array(np.broadcast_to(c, n), pa.bool_()) for c in (left, same)]
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), *given], names=["a", "b", "links", "unit", "left", "same"])
 
 
 def _valid(vector):
@@ -177,8 +198,12 @@ def _valid(vector):
     return vector.isNotNull() & F.coalesce(good, F.lit(False)) & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+#: What a tile gets of a vector.
+_CODED = ("node", "copies", "code", "scale", "error")
+
+
 def _tiled(cells: DataFrame, tile: int) -> DataFrame:
-    """Rows by tile pair: (unit, left, same, node, copies, embedding).
+    """Rows by tile pair: (unit, left, same, node, copies, code, scale, error).
 
     Tiles of a cell are numbered by hash. Home tiles meet each other and the tiles of visitors.
     """
@@ -188,22 +213,22 @@ def _tiled(cells: DataFrame, tile: int) -> DataFrame:
     n_guest = {(r["dim"], r["cell"]): ceil(r["count"] / tile) for r in guests}
     sizes = [(d, c, h, n_guest.get((d, c), 0)) for (d, c), h in n_home.items()]
     sizes = cells.sparkSession.createDataFrame(sizes, "dim int, cell int, h int, g int")
-    # one row for each of at most 256 pivots and each length of vector
+    # one row for each pivot (PIVOTS at most) and each length of vector
     rows = cells.join(F.broadcast(sizes.withColumnRenamed("cell", "home")), ["dim", "home"])
     mine = F.pmod(F.xxhash64("node"), F.col("h")).cast("int")
     number = lambda i, j, kind: F.xxhash64("dim", "cell", i, j, F.lit(kind))
-    base = rows.select("dim", F.col("home").alias("cell"), "h", "g", mine.alias("m"), "node", "copies", "embedding")
+    base = rows.select("dim", F.col("home").alias("cell"), "h", "g", mine.alias("m"), *_CODED)
     among = base.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
     among = among.select(
         number(F.greatest("k", "m"), F.least("k", "m"), "home").alias("unit"), (F.col("k") <= F.col("m")).alias("left"),
-        (F.col("k") == F.col("m")).alias("same"), "node", "copies", "embedding")
+        (F.col("k") == F.col("m")).alias("same"), *_CODED)
     against = base.filter(F.col("g") > 0).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    against = against.select(number("m", "k", "guest").alias("unit"), F.lit(True).alias("left"), F.lit(False).alias("same"), "node", "copies", "embedding")
-    visiting = cells.select("dim", F.explode("visits").alias("cell"), "node", "copies", "embedding")
+    against = against.select(number("m", "k", "guest").alias("unit"), F.lit(True).alias("left"), F.lit(False).alias("same"), *_CODED)
+    visiting = cells.select("dim", F.explode("visits").alias("cell"), *_CODED)
     visiting = visiting.join(F.broadcast(sizes), ["dim", "cell"])
     chunk = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
     visiting = visiting.withColumn("m", chunk).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
-    visiting = visiting.select(number("k", "m", "guest").alias("unit"), F.lit(False).alias("left"), F.lit(False).alias("same"), "node", "copies", "embedding")
+    visiting = visiting.select(number("k", "m", "guest").alias("unit"), F.lit(False).alias("left"), F.lit(False).alias("same"), *_CODED)
     return among.unionByName(against).unionByName(visiting)
 
 
@@ -227,18 +252,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
         x = np.array(x, dtype=np.float64) / max(map(abs, x))
         pivots.setdefault(len(x), []).append(x / np.linalg.norm(x))
     homes = _homes({k: np.array(v) for k, v in pivots.items()}, sqrt(2 - 2 * threshold) + 1e-6)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.select("node", "copies", "embedding").schema.fields)
-    cells = stage(classes.select("node", "copies", "embedding").mapInArrow(homes, f"{schema}, dim int, home int, visits array<int>"), "cells")
+    coded = "node long, copies long, code binary, scale double, error float, dim int, home int, visits array<int>"
+    cells = stage(classes.select("node", "copies", "embedding").mapInArrow(homes, coded), "cells")
     tiles = _tiled(cells, tile).repartition("unit").sortWithinPartitions("unit")
-    found = stage(tiles.mapInArrow(_compare(threshold), "a long, b long, links long"), "tile-links")
+    by_code = stage(tiles.mapInArrow(_compare(threshold, False), _FOUND), "tile-links")
+    wanted = by_code.filter(F.col("unit").isNotNull()).select("unit", F.col("a").alias("node"), "left", "same")
+    full = wanted.join(cells.select(*_CODED), "node").join(classes.select("node", "embedding"), "node").repartition("unit").sortWithinPartitions("unit")
+    by_vector = stage(full.mapInArrow(_compare(threshold, True), _FOUND), "tile-links")
+    found = by_code.filter(F.col("unit").isNull()).unionByName(by_vector)
     links = found.filter(F.col("b").isNull()).groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     groups = connected_components(found.filter(F.col("b").isNotNull()).select("a", "b"))
     known = classes.select("node", "first", "copies").join(links, "node", "left").join(groups, "node", "left")
     known = known.select("node", "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("root"))
     low = known.groupBy("root").agg(F.min("first").alias("component_id"))
     done = stage(known.join(low, "root").select("node", "n_links", "component_id"), "linked")
-    by_vector = classes.select("embedding", "node").join(done, "node").select("embedding", "n_links", "component_id")
-    linked = own.filter(F.col("embedding").isNotNull()).join(by_vector, "embedding").select("vec_id", "n_links", "component_id")
+    results = classes.select("embedding", "node").join(done, "node").select("embedding", "n_links", "component_id")
+    linked = own.filter(F.col("embedding").isNotNull()).join(results, "embedding").select("vec_id", "n_links", "component_id")
     alone = own.filter(F.col("embedding").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

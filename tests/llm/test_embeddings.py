@@ -49,22 +49,53 @@ def test_brute_force(spark, tile, cell_rows):
     assert got == _brute(rows)
 
 
-def test_bound_holds_and_tiles_agree():
+@pytest.mark.parametrize("dim", [3, 64, 1500])
+def test_bound_holds_and_tiles_agree(dim):
     rng = np.random.default_rng(4)
-    u = rng.normal(size=(400, 64))
-    u[200:] = u[:200] + rng.normal(size=(200, 64)) * rng.uniform(0.1, 0.5, (200, 1))
+    u = rng.normal(size=(400, dim))
+    u[200:] = u[:200] + rng.normal(size=(200, dim)) * rng.uniform(0.1, 0.5, (200, 1))
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     code, scale, error = E.quantise(u)
-    product = (code @ code.T).astype(float) * scale[:, None] * scale[None]
-    assert np.abs(code).max() <= 127
-    assert (np.abs(product - u @ u.T) <= error[:, None] * (1 + error[None]) + error[None] + 1e-6).all()
-    assert (E.tile_links(u, u, 0.95) == (u @ u.T >= 0.95)).all()
+    product = (code.astype(int) @ code.astype(int).T) * scale[:, None] * scale[None]
+    assert code.dtype == np.int8 and np.abs(code.astype(int)).max() <= 127
+    e = error.astype(float)
+    assert (np.abs(product - u @ u.T) <= e[:, None] * (1 + e[None]) + e[None] + 1e-9).all()
+    want = {(i, j) for i, j in zip(*np.nonzero(u @ u.T >= 0.95))}
+    for rows in (np.arange(400), rng.permutation(400)[:150]):
+        own = (code[rows], scale[rows], error[rows])
+        sure, undecided = E.settle(*own, *own, 0.95)
+        checked = E.exact(u[rows], u[rows], *undecided, 0.95)
+        got = [(rows[i], rows[j]) for i, j in (*zip(*sure), *zip(*checked))]
+        assert len(got) == len(set(got)) and set(got) == {p for p in want if p[0] in rows and p[1] in rows}
 
 
-def test_spanning():
-    links = np.zeros((4, 5), dtype=bool)
-    links[0, 1] = links[2, 1] = links[3, 4] = True
-    assert E.spanning(links).tolist() == [0, 1, 0, 3, 4, 0, 6, 7, 3]
+def test_the_same_pairs_are_undecided_in_any_tile():
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=64)
+    u = base + rng.normal(size=(300, 64)) * 0.23
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    own = E.quantise(u)
+    sure, undecided = E.settle(*own, *own, 0.95)
+    assert len(undecided[0]) > 100 and len(sure[0]) > 100
+    part = np.unique(np.concatenate(undecided))[::2]
+    less = tuple(x[part] for x in own)
+    again = E.settle(*less, *less, 0.95)[1]
+    inside = {(i, j) for i, j in zip(*undecided) if i in part and j in part}
+    assert {(part[i], part[j]) for i, j in zip(*again)} == inside
+
+
+def test_tiles_get_codes_only(spark):
+    rows = _rows(3, 60, 32, 0.5)
+    tiles = {}
+    keep = E._compare
+    E._compare = lambda threshold, full: tiles.setdefault(full, keep(threshold, full))
+    try:
+        E.near_duplicates(spark.createDataFrame(rows, SCHEMA)).count()
+    finally:
+        E._compare = keep
+    assert set(tiles) == {False, True}
+    cells = spark.createDataFrame([(1, 1, b"x", 0.5, 0.1, 32, 0, [])], "node long, copies long, code binary, scale double, error float, dim int, home int, visits array<int>")
+    assert "embedding" not in E._tiled(cells, 16).columns
 
 
 def test_empty(spark):
