@@ -4,6 +4,10 @@ The patterns are the windows of 13 consecutive words of the benchmark items; an
 words is one shorter pattern. Patterns of one length share a shift table over blocks of two words:
 a block that ends no pattern tells how many positions can be skipped. Where the shift is zero, the
 block's bucket holds the windows that end in it; their first word and then all words are compared.
+
+The windows are cut and freed of repeats by Spark and kept as a table, and the documents are searched for a
+bounded number of them at a time, dealt by hash. An item of any length is many windows like any other, and
+the driver holds the windows of one search only.
 """
 
 from __future__ import annotations
@@ -72,11 +76,12 @@ class WuManber:
             i += 1
 
 
-def tables_of(items: list[tuple[str | None, str | None]]) -> list[WuManber]:
-    by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
-    for item_id, text in items:
-        for w in windows_of(words_of(text)):
-            by_length[len(w)][w].update([] if item_id is None else [item_id])
+def tables_of(windows: list[tuple[bytes, list[str]]]) -> list[WuManber]:
+    """Tables for windows (words joined by spaces, items that have them), one for each length."""
+    by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(dict)
+    for joined, items in windows:
+        words = tuple(joined.split())
+        by_length[len(words)][words] = set(items)
     return [WuManber(n, p) for n, p in sorted(by_length.items())]
 
 
@@ -107,16 +112,32 @@ def _search(tables: list[WuManber]):
     return F.arrow_udf(run, STATE)
 
 
-def _passes(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str | None, str | None]]]:
-    """Items in runs of at most about ``most`` windows, one run in the driver at a time."""
-    run, n = [], 0
-    for item_id, text in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        run.append((item_id, text))
-        n += max(1, len(words_of(text)) - WINDOW + 1)
-        if n >= most:
-            yield run
-            run, n = [], 0
-    yield run
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for item, text in zip(*(c.to_pylist() for c in batch.columns)):
+            held: list[bytes] = []
+            for w in windows_of(words_of(text)):
+                held.append(b" ".join(w))
+                if len(held) == 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array([item] * len(held), pa.string())], names=["words", "item"])
+                    held = []
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array([item] * len(held), pa.string())], names=["words", "item"])
+
+
+def windows(benchmark: DataFrame) -> DataFrame:
+    """(words, items): every distinct window of a benchmark with the items that have it, null ids left out."""
+    cut = benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(_cut, "words binary, item string")
+    return cut.groupBy("words").agg(F.collect_set("item").alias("items"))
+
+
+def _passes(benchmark: DataFrame, most: int) -> Iterator[list[tuple[bytes, list[str]]]]:
+    """The windows in parts of about ``most``, one part in the driver at a time."""
+    table = stage(windows(benchmark), "windows")
+    parts = max(1, -(-table.count() // most))
+    for k in range(parts):
+        part = table.filter(F.pmod(F.xxhash64("words"), F.lit(parts)) == k)
+        yield [(bytes(r["words"]), r["items"]) for r in part.collect()]
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, pass_windows: int = PASS_WINDOWS) -> tuple[DataFrame, str]:
@@ -127,10 +148,10 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, pass_windows: int = PAS
     """
     name = free_name(docs, "passages")
     out = docs.withColumn(name, F.lit(None).cast(STATE))
-    for k, items in enumerate(_passes(benchmark, pass_windows)):
+    for k, part in enumerate(_passes(benchmark, pass_windows)):
         if k:
             out = stage(out, "searched")
-        out = out.withColumn(name, _search(tables_of(items))(F.col("text"), F.col(name)))
+        out = out.withColumn(name, _search(tables_of(part))(F.col("text"), F.col(name)))
     return out, name
 
 
@@ -145,7 +166,12 @@ def _contaminated(name: str):
 
 
 def overlap(docs: DataFrame, benchmark: DataFrame, pass_windows: int = PASS_WINDOWS) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Null and empty texts have no words and are not contaminated. Repeated rows each give a row; a null
+    doc_id is kept. An item without words has no window; repeated items are one; a null item_id marks words
+    but is not listed. Empty tables: no rows, or nothing hit. Other columns are ignored.
+    """
     found, name = find_passages(docs.select("doc_id", "text"), benchmark, pass_windows)
     items = F.col(f"{name}.items")
     return found.select(

@@ -277,6 +277,36 @@ def core_of(template: dict[str, str]) -> tuple[str, bool]:
     return "/".join(keys[: int(depth)]), False
 
 
+def core_of(template: dict[str, str]) -> tuple[str, bool]:
+    """Path of the host's core, widened to the article by name around it, and whether there is one; no core: empty."""
+    path = template.get(CORE, "")
+    keys = path.split("/")
+    for k, key in enumerate(keys):
+        if path and is_article(key):
+            return "/".join(keys[: k + 1]), True
+    return path, False
+
+
+def core_of(template: dict[str, str]) -> tuple[str, bool]:
+    """Path of the host's core, widened to the article by name around it, and whether there is one; no core: empty."""
+    path = template.get(CORE, "")
+    keys = path.split("/")
+    for k, key in enumerate(keys):
+        if path and is_article(key):
+            return "/".join(keys[: k + 1]), True
+    return path, False
+
+
+def core_of(template: dict[str, str]) -> tuple[str, bool]:
+    """Path of the host's core, widened to the article by name around it, and whether there is one; no core: empty."""
+    path = template.get(CORE, "")
+    keys = path.split("/")
+    for k, key in enumerate(keys):
+        if path and is_article(key):
+            return "/".join(keys[: k + 1]), True
+    return path, False
+
+
 def main_text(page: str | None, template: dict[str, str]) -> str:
     """Main text of a page; ``template`` gives the core and each template token's slot: side or open.
 
@@ -387,30 +417,23 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def _cores(tokens: DataFrame, often: DataFrame, unchanging) -> DataFrame:
-    """(host, path): the core of each host that has one, as the innermost element's path and the depth it is widened to.
+    """(host, path): the core of each host that has one.
 
-    Text counts for the block element it stands in and all elements around that one. The frame elements
-    that hold most of the changing text lie in each other; from the innermost the core is widened as far
-    as no unchanging text and no links come in, so a title beside the paragraphs belongs to it.
+    Changing text counts for the block element it stands in and all elements around that one.
     """
     keys = F.split("path", "/")
     inline = F.substring_index(F.element_at(keys, -1), ".", 1).isin(sorted(_INLINE))
-    blocks = tokens.filter(~F.col("text") & ~F.col("furniture") & ~inline & (F.col("chars") > 0))
+    changing = tokens.filter(~F.col("text") & ~F.col("furniture") & ~inline & (F.col("chars") > 0) & ~unchanging)
     around = F.transform(F.sequence(F.lit(1), F.size(keys)), lambda k: F.array_join(F.slice(keys, F.lit(1), k), "/"))
-    each = blocks.select("host", "chars", (~unchanging).alias("changing"), F.col("path").alias("block"), F.explode(around).alias("path"))
-    total = lambda test: F.sum(F.when(test, F.col("chars")).otherwise(0))
-    held = each.groupBy("host", "path").agg(
-        total(F.col("changing")).alias("held"), total(~F.col("changing")).alias("other"), total(F.col("changing") & (F.col("block") == F.col("path"))).alias("bare"))
+    held = changing.select("host", "chars", F.col("path").alias("block"), F.explode(around).alias("path"))
+    held = held.groupBy("host", "path").agg(F.sum("chars").alias("held"), F.sum(F.when(F.col("block") == F.col("path"), F.col("chars")).otherwise(0)).alias("bare"))
     whole = held.filter(F.col("path") == ROOT[0]).select("host", F.col("held").alias("whole"))
     classes = often.groupBy("host", "vector", "on").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") >= CLASS_TOKENS)
     frame = often.filter(~F.col("text") & ~F.col("furniture") & (F.col("times") == F.col("on")) & (F.col("on") >= LEAST_PAGES) & (F.col("path") != ROOT[0]))
     frame = frame.join(classes.select("host", "vector", "on"), ["host", "vector", "on"], "left_semi").select("host", "path")
     cores = frame.join(held, ["host", "path"]).join(whole, "host")
-    cores = cores.filter((F.col("held") > 0) & (F.col("held") >= CORE_SHARE * F.col("whole")) & (2 * F.col("bare") <= F.col("held")))
-    # one chain of nested elements per host, at most DEPTH long
-    chain = cores.groupBy("host").agg(F.array_sort(F.collect_list(F.struct(F.size(keys).alias("depth"), "path", "other"))).alias("chain"))
-    pure = F.filter("chain", lambda e: e["other"] == F.element_at(F.col("chain"), -1)["other"])
-    return chain.select("host", F.concat_ws("\t", F.element_at(F.col("chain"), -1)["path"], F.element_at(pure, 1)["depth"]).alias("path"))
+    cores = cores.filter((F.col("held") >= CORE_SHARE * F.col("whole")) & (2 * F.col("bare") <= F.col("held")))
+    return cores.groupBy("host").agg(F.max_by("path", F.struct(F.size(keys), "path")).alias("path"))
 
 
 def _extract(texts: pa.Array, chosen: pa.Array) -> pa.Array:
