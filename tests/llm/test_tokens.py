@@ -63,7 +63,7 @@ def test_frequent_pieces(spark, library):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     path = tokens.vocabulary_path()
     got = tokens.frequent_pieces(df, path)
-    assert got == {w: len(library.encode(w, add_special_tokens=False).ids) for w in ("alpha", " beta", " ")} or got == {w: len(library.encode(w, add_special_tokens=False).ids) for w in ("alpha", " beta")}
+    assert got == {w: len(library.encode(w, add_special_tokens=False).ids) for w in ("alpha", " beta")}
     assert set(tokens.frequent_pieces(df, path, most=1)) == {"alpha"}
     assert tokens.frequent_pieces(df.limit(0), path) == {}
 
