@@ -194,11 +194,24 @@ def _strong_languages(users: DataFrame, watches: DataFrame, seconds: int = 3600)
 
 
 def _by_user_language(users: DataFrame, watches: DataFrame, titles: DataFrame, defaults: DataFrame) -> DataFrame:
-    """Each title in the language the user watches most, or its default for users without languages."""
-    keyed = titles.select("content_id", F.col("language").cast("int").alias("language"), F.col("language").cast("int").alias("pick")).unionByName(
-        defaults.select("content_id", F.lit(ANY_LANGUAGE).alias("language"), F.col("language").cast("int").alias("pick")))
-    joined = _inline_lists(_strong_languages(users, watches), keyed)
-    return joined.groupBy("dw_p_id", "content_id").agg(F.max_by("pick", F.struct("seconds", -F.col("pick"))).alias("language"))
+    """Each title in the language the user watches most, or its default for users without languages.
+
+    A title carries all its languages and a user all of theirs, so a title's rows choose among themselves
+    as they are listed: the (user, title) rows, many more than users and titles, are never shuffled.
+    """
+    marker = F.lit(ANY_LANGUAGE)
+    known = titles.select("content_id", F.col("language").cast("int").alias("language")).filter("language is not null").distinct()
+    known = known.withColumn("pick", F.col("language")).unionByName(
+        defaults.groupBy("content_id").agg(F.min(F.col("language").cast("int")).alias("pick")).withColumn("language", marker))
+    entries = known.groupBy("content_id").agg(F.collect_list(F.struct("language", "pick")).alias("all"))
+    keyed = entries.select("content_id", F.col("all.language").alias("languages"), F.inline("all"))
+    # seconds decide, then the smaller language; the marker has no seconds
+    own = _strong_languages(users, watches).groupBy("dw_p_id").agg(F.collect_list(F.struct("seconds", (-F.col("language")).alias("neg"))).alias("__own"))
+    rows = own.select("dw_p_id", "__own", F.explode("__own.neg").alias("neg"))
+    listed = _inline_lists(rows.select("dw_p_id", "__own", (-F.col("neg")).alias("language"), (-F.col("neg")).alias("__mine")), keyed)
+    best = F.array_max(F.filter("__own", lambda o: F.array_contains(F.col("languages"), -o["neg"])))
+    only = (F.size("__own") == 1) | (F.size("languages") == 1) | (-best["neg"] == F.col("__mine"))
+    return listed.filter(only).select("dw_p_id", "content_id", F.col("pick").alias("language"))
 
 
 def burst_for_user(users: DataFrame, watches: DataFrame, burst: DataFrame) -> DataFrame:

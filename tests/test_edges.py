@@ -209,6 +209,21 @@ def test_short_watches_count_only_when_long_ones_lead_nowhere(spark):
     assert got == [("u", 2, 0.1), ("u", 8, 0.5), ("v", 8, 0.25)]  # v's target 3 is a watch of the pass
 
 
+def test_titles_by_language_are_listed_without_a_shuffle_of_users_times_titles(spark):
+    watches = spark.createDataFrame([("u", 9, 0, 5000, 0), ("u", 9, 3, 7000, 0), ("u", 9, 5, 10, 0), ("t", 9, 1, 4000, 0), ("t", 9, 3, 4000, 0),
+                                     (None, 9, 0, 5000, 0), ("n", 9, None, 9000, 0)], W)
+    users = spark.createDataFrame([("u",), ("t",), ("v",), (None,), ("v",), ("n",)], "dw_p_id string")
+    new = spark.createDataFrame([(1, [0, 3, None], 1), (1, [3], 0), (2, [1, 3], 1), (3, [4], 4), (None, [0], None)], "content_id long, language_ids array<int>, primary_language int")
+    out = retrieval.new_for_user(users, watches, new)
+    got = sorted((tuple(r) for r in out.collect()), key=str)
+    plain = [(1, 0), (2, 1), (3, 4), (None, None)]  # primary languages, the smallest of a repeated title
+    want = [("u", 1, 3), ("u", 2, 3), ("u", None, 0), ("t", 1, 3), ("t", 2, 1), (None, 1, 0), (None, 2, 1), (None, 3, 4), (None, None, 0)]
+    want += [("v", *p) for p in plain]
+    assert got == sorted(want, key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate inline" in plan and "Aggregate" not in plan[: plan.index("Generate inline")]
+
+
 def test_language_gate(spark):
     res = spark.createDataFrame([("u", 1, 0, 5.0), ("u", 2, 1, 9.0), ("u", 3, 1, 2.0), ("v", 1, 7, 1.0)], "dw_p_id string, dst long, dst_lang int, score double")
     watches = spark.createDataFrame([("u", 9, 0, 600, 0), ("v", 9, 0, 599, 0)], W)
