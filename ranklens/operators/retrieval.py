@@ -7,6 +7,8 @@ lists reach users as one map by language, so users are not dealt by their few la
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -234,12 +236,52 @@ def sports_for_user(languages: DataFrame, sports: DataFrame, n: int = 20) -> Dat
     return top_n(rows, ["dw_p_id"], [F.col("rank_score"), F.col("language"), F.col("content_id")], n).select("dw_p_id", "language", "content_id", "rank_score")
 
 
+class TokenQuota(NamedTuple):
+    """The cut that follows token scores: ``token_retrieve(scores, catalog, n, kind_min)`` on scores rounded to ``digits``."""
+
+    catalog: DataFrame
+    n: int = 200
+    kind_min: int = 100
+    digits: int | None = None
+
+
+def _named_titles(token_rel: DataFrame) -> DataFrame:
+    """One row per target: ``names`` it is reached by, sorted, and their relevances ``rels``, side by side."""
+    each = token_rel.filter("name is not null").groupBy("name", "dst", "dst_lang").agg(F.sum("score").alias("rel"))
+    titles = each.groupBy("dst", "dst_lang").agg(F.sort_array(F.collect_list(F.struct("name", "rel"))).alias("all"))
+    return titles.select("dst", "dst_lang", F.col("all.name").alias("names"), F.col("all.rel").alias("rels"))
+
+
+def _least_scores(reached: DataFrame, titles: DataFrame, most: int) -> DataFrame:
+    """(user, is_show, least): a score that at least ``most`` unwatched targets of the cell reach.
+
+    The relevance at the ranks 1, 2, 4, ... of a name's targets says how many have at least that much.
+    Only targets of a single name and positive finite weights count, so that relevance orders the scores.
+    """
+    order = [F.col("rel").desc(), F.col("dst"), F.col("dst_lang")]
+    single = titles.filter((F.size("names") == 1) & F.col("is_show").isNotNull()).select("names", "is_show", "dst", "dst_lang", F.get("rels", F.lit(0)).alias("rel"))
+    ranked = top_n(single, ["names", "is_show"], order, 4 * most, "place")
+    knots = ranked.filter(F.col("place").isin([1 << i for i in range((4 * most).bit_length())]) & F.col("rel").isNotNull())
+    knots = knots.select("names", "is_show", "rel", F.greatest(F.lit(1), F.floor(F.col("place") / 2)).cast("long").alias("__more"))
+    weight = F.get("weights", F.lit(0))
+    rows = reached.filter((F.size("names") == 1) & (weight > 0) & (weight < float("inf"))).select("dw_p_id", "names", weight.alias("__w"), "__hidden")
+    scored = rows.join(knots, "names").select("dw_p_id", "is_show", "__hidden", (F.col("rel") * F.col("__w")).alias("__s"), "__more")
+    upto = F.sum("__more").over(Window.partitionBy("dw_p_id", "is_show").orderBy(F.col("__s").desc()))
+    enough = scored.withColumn("__upto", upto).filter(F.col("__upto") >= F.lit(most) + F.col("__hidden"))
+    return enough.groupBy(F.col("dw_p_id").alias("__u"), F.col("is_show").alias("__show")).agg(F.max("__s").alias("__least"))
+
+
 def token_scores(ns_watches: DataFrame, videos: DataFrame, tokens: DataFrame, token_rel: DataFrame, ent_watches: DataFrame,
-                 now: int, last_n: int = 20, half_life: float = HALF_LIFE) -> DataFrame:
+                 now: int, last_n: int = 20, half_life: float = HALF_LIFE, quota: TokenQuota | None = None) -> DataFrame:
     """Scores from a user's last sports and news watches through name tokens.
 
     Weight: type weight x recency, x 0.1 up to 600 s, x 0.1 for short clips (under 30 s and under half
     the running time) or live watches under 600 s. Titles in ``ent_watches`` are dropped.
+
+    Weights are summed per user and list of names; the targets with that list meet them in the last join, so
+    (user, target) rows are not shuffled. With ``quota``, rows that its cut cannot keep are left out there:
+    those below a score that enough of the user's targets reach, and those behind enough targets of the
+    same names and relevances.
     """
     last = top_n(ns_watches, ["dw_p_id"], [F.col("last_watch").desc(), F.col("content_id"), F.col("language"), F.col("watch_len")], last_n)
     rows = last.join(videos.select("content_id", "content_type_id", "duration"), "content_id")
@@ -250,9 +292,40 @@ def token_scores(ns_watches: DataFrame, videos: DataFrame, tokens: DataFrame, to
     weight = (F.coalesce(F.try_element_at(types, F.col("content_type_id")), F.lit(0.0)) * recency(F.col("last_watch"), now, half_life)
               * F.when(length <= 600, 0.1).otherwise(1.0) * F.when(short, 0.1).otherwise(1.0))
     named = rows.withColumn("__w", weight).join(tokens.withColumnRenamed("weight", "token_weight"), ["content_id", "language"])
-    scored = named.join(token_rel, "name").groupBy("dw_p_id", "dst", "dst_lang").agg(
-        F.sum(F.col("score") * F.col("__w") * F.col("token_weight")).alias("score"))
-    return scored.join(ent_watches.select("dw_p_id", F.col("content_id").alias("dst")), ["dw_p_id", "dst"], "left_anti")
+    named = named.groupBy("dw_p_id", "name").agg(F.sum(F.col("__w") * F.col("token_weight")).alias("__w"))
+
+    titles = _named_titles(token_rel)
+    by_name = titles.select("names").distinct().select(F.explode("names").alias("name"), "names")
+    found = named.join(by_name, "name").groupBy("dw_p_id", "names").agg(F.map_from_entries(F.collect_list(F.struct("name", "__w"))).alias("__of"))
+    weights = F.transform("names", lambda n: F.try_element_at("__of", n))
+    seen = ent_watches.select(F.col("dw_p_id").alias("__u"), F.col("content_id").alias("dst")).distinct().join(titles.select("dst", "names"), "dst")
+    seen = seen.groupBy("__u", F.col("names").alias("__n")).agg(F.collect_set("dst").alias("__seen"), F.count(F.lit(1)).alias("__gone"))
+    reached = found.join(seen, (F.col("dw_p_id") == F.col("__u")) & (F.col("names") == F.col("__n")), "left")
+    reached = reached.select("dw_p_id", "names", weights.alias("weights"), "__seen", F.coalesce("__gone", F.lit(0)).alias("__gone"))
+    if quota is not None:
+        most = max(quota.n, quota.kind_min)
+        show = F.coalesce(F.col("kind") == "show", F.lit(False))
+        kinds = quota.catalog.groupBy(F.col("content_id").alias("dst")).agg(F.min(show).alias("__lo"), F.max(show).alias("__hi"))
+        # a title that the catalogue lists as both kinds has none here, and only its own like push it out
+        kind = F.when(F.col("__lo").isNull(), F.lit(False)).when(F.col("__lo") == F.col("__hi"), F.col("__lo"))
+        titles = titles.join(kinds, "dst", "left").withColumn("is_show", kind).drop("__lo", "__hi")
+        place = F.row_number().over(Window.partitionBy("names", "rels", "is_show").orderBy("dst", "dst_lang"))
+        titles = titles.withColumn("__place", place)
+        reached = reached.withColumn("__hidden", F.sum("__gone").over(Window.partitionBy("dw_p_id")))
+        least = _least_scores(reached, titles, most).groupBy("__u").agg(
+            F.map_from_entries(F.collect_list(F.struct("__show", "__least"))).alias("__least"))
+        reached = reached.join(least, F.col("dw_p_id").eqNullSafe(F.col("__u")), "left").drop("__u")
+
+    first = F.get("rels", F.lit(0)) * F.get("weights", F.lit(0))
+    terms = F.zip_with("rels", "weights", lambda r, w: r * w)
+    whole = F.aggregate(terms, F.lit(None).cast("double"), lambda s, v: F.coalesce(s + v, s, v))
+    scored = reached.join(titles, "names").withColumn("score", F.when(F.size("names") == 1, first).otherwise(whole))
+    hidden = F.coalesce(F.array_contains("__seen", F.col("dst")), F.lit(False))
+    if quota is not None:
+        cut = (lambda c: c) if quota.digits is None else (lambda c: F.round(c, quota.digits))
+        bound = F.try_element_at("__least", F.col("is_show"))
+        scored = scored.filter((F.col("__place") <= F.lit(most) + F.col("__gone")) & (bound.isNull() | (cut(F.col("score")) >= cut(bound))))
+    return scored.filter(~hidden).select("dw_p_id", "dst", "dst_lang", "score")
 
 
 def token_retrieve(scores: DataFrame, catalog: DataFrame, n: int = 200, kind_min: int = 100) -> DataFrame:

@@ -223,7 +223,8 @@ def _(t):
 @query("k10_token_retrieve", f"""WITH ts AS ({_TOKEN}), tf AS (SELECT ts.*, coalesce(kind = 'show', false) AS is_show, false AS is_brand FROM ts LEFT JOIN catalog ON content_id = dst)
     SELECT dw_p_id, dst, dst_lang, score FROM ({quota_sql('tf', 'dw_p_id', _ORDER, 10, 8)})""")
 def _(t):
-    scores = r6(retrieval.token_scores(t.ns_watches, t.videos, t.tokens, t.token_rel, t.kwatch, NOW))
+    quota = retrieval.TokenQuota(t.catalog, 10, 8, digits=6)
+    scores = r6(retrieval.token_scores(t.ns_watches, t.videos, t.tokens, t.token_rel, t.kwatch, NOW, quota=quota))
     return retrieval.token_retrieve(scores, t.catalog, 10, 8)
 
 
@@ -236,7 +237,8 @@ def _(t):
 @query("k10_token_retrieve_default", f"""WITH ts AS ({_TOKEN}), tf AS (SELECT ts.*, coalesce(kind = 'show', false) AS is_show, false AS is_brand FROM ts LEFT JOIN catalog ON content_id = dst)
     SELECT dw_p_id, dst, dst_lang, score FROM ({quota_sql('tf', 'dw_p_id', _ORDER, 200, 100)})""")
 def _(t):
-    return retrieval.token_retrieve(r6(retrieval.token_scores(t.ns_watches, t.videos, t.tokens, t.token_rel, t.kwatch, NOW)), t.catalog)
+    quota = retrieval.TokenQuota(t.catalog, digits=6)
+    return retrieval.token_retrieve(r6(retrieval.token_scores(t.ns_watches, t.videos, t.tokens, t.token_rel, t.kwatch, NOW, quota=quota)), t.catalog)
 
 
 _DIV = f"""{_TOP}, {_USED},

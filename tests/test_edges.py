@@ -224,6 +224,54 @@ def test_titles_by_language_are_listed_without_a_shuffle_of_users_times_titles(s
     assert "Generate inline" in plan and "Aggregate" not in plan[: plan.index("Generate inline")]
 
 
+def _token_tables(spark):
+    """Users, tokens and targets with repeats, nulls, several names a target, negative weights and equal scores."""
+    import random
+
+    rnd = random.Random(5)
+    names = [f"n{i}" for i in range(6)]
+    ns = [(rnd.choice(["u", "v", "x", None]), rnd.randint(0, 9), 0, rnd.choice([10, 700, 5000]), rnd.randint(0, 5000)) for _ in range(60)]
+    videos = [(i, rnd.choice([100, 300, 301, 402]), 50) for i in range(10)]
+    tokens = [(i, 0, rnd.choice([*names, None]), rnd.choice([1e-6, 0.2, 1.0, -0.5, None])) for i in range(10) for _ in range(2)]
+    rel = [(names[i % 4], i, i % 2, rnd.choice([0.1, 0.2, 0.3, 0.5, None])) for i in range(300)]
+    rel += [(rnd.choice(names), i, i % 2, 0.25) for i in range(0, 300, 3)] + [(None, 7, 0, 9.0), ("n5", None, 0, 0.4)]
+    seen = [(u, d, 0, 5, 0) for u in ("u", "v", None) for d in range(0, 300, 7)]
+    catalog = [(i, rnd.choice(["show", "movie"])) for i in range(250)] + [(i, "show") for i in range(0, 250, 11)]
+    return (spark.createDataFrame(ns, W), spark.createDataFrame(videos, "content_id long, content_type_id int, duration long"),
+            spark.createDataFrame(tokens, "content_id long, language int, name string, weight double"),
+            spark.createDataFrame(rel, "name string, dst long, dst_lang int, score double"), spark.createDataFrame(seen, W),
+            spark.createDataFrame(catalog, "content_id long, kind string"))
+
+
+def test_token_scores_against_one_join_and_sum(spark):
+    ns, videos, tokens, rel, seen, catalog = _token_tables(spark)
+    got = retrieval.token_scores(ns, videos, tokens, rel, seen, 5000).withColumn("score", F.round("score", 9))
+    one = tokens.select("content_id", "language", F.lit("only").alias("name"), F.lit(1.0).alias("weight")).distinct()
+    each = videos.select(F.lit("only").alias("name"), F.lit(0).alias("dst"), F.lit(0).alias("dst_lang"), F.lit(1.0).alias("score")).distinct()
+    weights = []
+    for c in range(10):  # one title's weight per user, through one token
+        own = retrieval.token_scores(ns, videos, one.filter(F.col("content_id") == c), each, seen.filter("false"), 5000)
+        weights += [(r["dw_p_id"], c, r["score"]) for r in own.collect()]
+    by = spark.createDataFrame(weights, "dw_p_id string, content_id long, w double")
+    want = by.join(tokens, "content_id").join(rel, "name").groupBy("dw_p_id", "dst", "dst_lang").agg(F.sum(F.col("w") * F.col("weight") * F.col("score")).alias("score"))
+    want = want.join(seen.select("dw_p_id", F.col("content_id").alias("dst")), ["dw_p_id", "dst"], "left_anti").withColumn("score", F.round("score", 9))
+    pick = lambda df: sorted((tuple(r) for r in df.select("dw_p_id", "dst", "dst_lang", "score").collect()), key=str)
+    assert len(pick(got)) > 500 and pick(got) == pick(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]  # rows of (user, target) are not grouped after the last join
+
+
+@pytest.mark.parametrize("n, kind_min, digits", [(3, 2, 6), (3, 5, None), (40, 10, 2), (200, 100, 6)])
+def test_token_quota_leaves_out_only_rows_that_the_cut_drops(spark, n, kind_min, digits):
+    ns, videos, tokens, rel, seen, catalog = _token_tables(spark)
+    cut = lambda df: df if digits is None else df.withColumn("score", F.round("score", digits))
+    pick = lambda df: sorted((tuple(r) for r in retrieval.token_retrieve(cut(df), catalog, n, kind_min).collect()), key=str)
+    every = retrieval.token_scores(ns, videos, tokens, rel, seen, 5000)
+    some = retrieval.token_scores(ns, videos, tokens, rel, seen, 5000, quota=retrieval.TokenQuota(catalog, n, kind_min, digits))
+    assert pick(some) == pick(every)
+    assert n > 3 or some.count() < every.count() / 2
+
+
 def test_language_gate(spark):
     res = spark.createDataFrame([("u", 1, 0, 5.0), ("u", 2, 1, 9.0), ("u", 3, 1, 2.0), ("v", 1, 7, 1.0)], "dw_p_id string, dst long, dst_lang int, score double")
     watches = spark.createDataFrame([("u", 9, 0, 600, 0), ("v", 9, 0, 599, 0)], W)
