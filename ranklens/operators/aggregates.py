@@ -155,7 +155,7 @@ def profile(watches: DataFrame, catalog: DataFrame, key: list[str], weight: str
     scalars = [c for c in PROFILE_SCALARS if c in catalog.columns]
     pairs = [F.struct(F.lit(c).alias("attr"), F.col(c).cast("string").alias("value")) for c in [*scalars, *extra]]
     genres = F.transform("genre_ids", lambda g: F.struct(F.lit("genre").alias("attr"), g.cast("string").alias("value")))
-    rows = watches.join(catalog.select("content_id", *scalars, "genre_ids"), "content_id").select(
+    rows = watches.join(catalog.select("content_id", *scalars, "genre_ids").hint("merge"), "content_id").select(
         *key, F.col(weight).alias("w"), F.inline(F.concat(F.array(*pairs), genres)))
     summed = rows.groupBy(*key, "attr", "value").agg(F.sum("w").alias("w"))
     total = F.sum("w").over(Window.partitionBy(*key, "attr"))
@@ -170,7 +170,7 @@ def zscore(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
     """
     moments = df.groupBy(*by).agg(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(f"__{c}") for c in cols])
     packed = moments.select(*by, F.struct(*[F.col(f"__{c}").alias(c) for c in cols]).alias("__z"))
-    rows = df.join(packed, list(by)) if by else df.withColumn("__z", packed.scalar())
+    rows = df.join(packed.hint("merge"), list(by)) if by else df.withColumn("__z", packed.scalar())
     scaled = lambda c: F.coalesce(F.try_divide(F.col(c) - F.col(f"__z.{c}.m"), F.col(f"__z.{c}.s")), F.when(F.col(c).isNotNull(), 0.0))
     return rows.withColumns({c: scaled(c) for c in cols}).drop("__z")
 

@@ -1,6 +1,7 @@
 """Training examples from daily logs: positives, negatives, sampling.
 
-Logs stay flat; nothing is nested per user. Every draw is a hash of row identity and a salt.
+Logs stay flat; nothing is nested per user. Joins of logs are merge joins: a job has dozens of them, and as
+many broadcast sides would be held by the driver at once. Every draw is a hash of row identity and a salt.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ def tray_watch_sums(tray_watches: DataFrame, imp: DataFrame) -> DataFrame:
     """Watch seconds per (user, tray, item), for trays that were shown to the user."""
     shown = imp.select("dw_p_id", F.col("full_tray_id").alias("tray_id")).distinct()
     sums = tray_watches.groupBy("dw_p_id", "tray_id", "content_id").agg(F.sum("watch_time").alias("watch_time"))
-    return sums.join(shown, ["dw_p_id", "tray_id"], "left_semi")
+    return sums.join(shown.hint("merge"), ["dw_p_id", "tray_id"], "left_semi")
 
 
 def impression_examples(imp: DataFrame, tray_watches: DataFrame, history: DataFrame, thr: int = WATCH_SECONDS) -> DataFrame:
@@ -41,9 +42,9 @@ def impression_examples(imp: DataFrame, tray_watches: DataFrame, history: DataFr
     seen = history.select("dw_p_id", "content_id").distinct().withColumn("__seen", F.lit(True))
     rows = (
         first_impressions(imp)
-        .join(watched_trays, ["dw_p_id", "tray_id"], "left_semi")
-        .join(sums, ["dw_p_id", "tray_id", "content_id"], "left")
-        .join(seen, ["dw_p_id", "content_id"], "left")
+        .join(watched_trays.hint("merge"), ["dw_p_id", "tray_id"], "left_semi")
+        .join(sums.hint("merge"), ["dw_p_id", "tray_id", "content_id"], "left")
+        .join(seen.hint("merge"), ["dw_p_id", "content_id"], "left")
     )
     label = F.when(F.col("watch_time") > thr, 1).when(F.col("watch_time").isNull() & F.col("__seen").isNull(), 0)
     return rows.withColumn("label", label).filter(F.col("label").isNotNull()).select(
@@ -54,7 +55,7 @@ def impression_examples(imp: DataFrame, tray_watches: DataFrame, history: DataFr
 
 def _with_positives(ex: DataFrame, by: list[str]) -> DataFrame:
     pos = ex.groupBy(*by).agg(F.count_if(F.col("label") > 0).alias("__pos"))
-    return ex.join(pos, by)
+    return ex.join(pos.hint("merge"), by)
 
 
 def _draw(ex: DataFrame, salt: str) -> DataFrame:
@@ -73,7 +74,7 @@ def inter_tray_negatives(ex: DataFrame, salt: str = "inter") -> DataFrame:
     """Negatives of trays without positives, at most as many per user as the user has positives."""
     pool = _with_positives(ex, ["dw_p_id", "tray_id"]).filter(F.col("__pos") == 0).drop("__pos")
     totals = ex.groupBy("dw_p_id").agg(F.count_if(F.col("label") > 0).alias("__total")).filter(F.col("__total") > 0)
-    drawn = _draw(pool.join(totals, "dw_p_id"), salt)
+    drawn = _draw(pool.join(totals.hint("merge"), "dw_p_id"), salt)
     kept = first_by_draw(drawn, ["dw_p_id"], "__u", ["tray_id", "content_id"], F.col("__total"))
     return kept.withColumn("is_inter_tray", F.lit(True)).select(*ex.columns)
 
@@ -95,7 +96,7 @@ def sampled_examples(ex: DataFrame, ratio: int = 5, cap_salt: str = "cap", inter
 
 def first_watch_examples(watches: DataFrame, history: DataFrame, thr: int = WATCH_SECONDS) -> DataFrame:
     """Earliest qualifying watch of a title the user had not seen; one per user."""
-    fresh = watches.filter(F.col("watch_time") > thr).join(history.select("dw_p_id", "content_id"), ["dw_p_id", "content_id"], "left_anti")
+    fresh = watches.filter(F.col("watch_time") > thr).join(history.select("dw_p_id", "content_id").hint("merge"), ["dw_p_id", "content_id"], "left_anti")
     rows = fresh.select("dw_p_id", "content_id", F.col("first_watch_ts").alias("timestamp"), F.col("watch_time").cast("bigint").alias("watch_time"))
     one = pick_one(rows, ["dw_p_id"], ["timestamp", "content_id", "watch_time"], largest=False)
     return one.select("dw_p_id", F.lit("").alias("tray_id"), "content_id", "timestamp", F.lit(1).cast("bigint").alias("label"),
@@ -177,13 +178,13 @@ def random_negatives(positives: DataFrame, catalog: DataFrame, history: DataFram
     """
     live = catalog.select("content_id", "start_dt").distinct()
     size = live.agg(F.count(F.lit(1))).scalar()
-    indexed = dense_index(live).join(live, "content_id").select(F.col("content_id").alias("candidate"), "idx", "start_dt")
+    indexed = dense_index(live).join(live.hint("merge"), "content_id").select(F.col("content_id").alias("candidate"), "idx", "start_dt")
     key = ["dw_p_id", "content_id", "timestamp"]
     draws = positives.select(*key, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
     draws = draws.withColumn("idx", hash_index([*key, "draw"], salt, size))
-    hits = draws.join(indexed, "idx").filter((F.col("candidate") != F.col("content_id")) & (F.col("start_dt") <= F.col("timestamp")))
+    hits = draws.join(indexed.hint("merge"), "idx").filter((F.col("candidate") != F.col("content_id")) & (F.col("start_dt") <= F.col("timestamp")))
     fresh = hits.select(*key, "candidate").distinct().join(
-        history.select("dw_p_id", F.col("content_id").alias("candidate")), ["dw_p_id", "candidate"], "left_anti")
+        history.select("dw_p_id", F.col("content_id").alias("candidate")).hint("merge"), ["dw_p_id", "candidate"], "left_anti")
     return fresh.select(
         "dw_p_id", F.lit("").alias("tray_id"), F.col("candidate").alias("content_id"), "timestamp", F.lit(0).cast("bigint").alias("label"),
         F.lit(0).cast("bigint").alias("watch_time"), F.lit(False).alias("is_inter_tray"), F.col("content_id").alias("positive_id"))
@@ -192,7 +193,7 @@ def random_negatives(positives: DataFrame, catalog: DataFrame, history: DataFram
 def require_both_classes(ex: DataFrame, by: list[str], label: str = "label") -> DataFrame:
     """Rows of the groups with at least one positive and one negative."""
     good = ex.groupBy(*by).agg(F.max(label).alias("__hi"), F.min(label).alias("__lo")).filter("__hi > 0 and __lo <= 0").select(*by)
-    return ex.join(good, by, "left_semi")
+    return ex.join(good.hint("merge"), by, "left_semi")
 
 
 def join_example_sets(clicked: DataFrame, impressed: DataFrame, first_watch: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def event_profiles(events: DataFrame, catalog: DataFrame) -> DataFrame:
         F.col("payload.raw_feature.ent_watches").alias("w"), F.col("payload.raw_feature.ent_watch_weights").alias("weight"))))
     watches = watches.select("event_id", "event_year", F.col("w.content_id").try_cast("bigint").alias("content_id"), F.col("weight").cast("double").alias("weight"))
     years = catalog.select("content_id", "year")
-    dated = watches.join(years, "content_id").withColumn("year_bucket", year_bucket(F.col("year"), F.col("event_year")))
+    dated = watches.join(years.hint("merge"), "content_id").withColumn("year_bucket", year_bucket(F.col("year"), F.col("event_year")))
     attrs = catalog.select("content_id", "studio_id", "parental_rating", "content_type_id", "production_house_id", "genre_ids")
     entries = profile(dated, attrs, ["event_id"], extra=["year_bucket"]).select("event_id", F.concat_ws(":", "attr", "value").alias("k"), "share")
     return entries.groupBy("event_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "share"))).alias("profile"))
@@ -70,12 +70,12 @@ def feature_rows(examples: DataFrame, events: DataFrame, catalog: DataFrame, pop
     for a caller that stages them.
     """
     task_col = F.col("task") if "task" in examples.columns else F.lit(task)
-    matched = match_events(examples, events).join(catalog.select("content_id"), "content_id", "left_semi")
+    matched = match_events(examples, events).join(catalog.select("content_id").hint("merge"), "content_id", "left_semi")
     if not mtl:
         matched = require_both_classes(matched.withColumn("__task", task_col), ["dw_p_id", "__task"]).drop("__task")
     if prepare is not None:
         matched = prepare(matched)
-    needed = events.join(matched.select("event_id").distinct(), "event_id", "left_semi")
+    needed = events.join(matched.select("event_id").distinct().hint("merge"), "event_id", "left_semi")
     sf = F.col("payload.raw_feature.serialized_features")
     facts = needed.select(
         "event_id", "event_year", F.col("payload.user_feature.fids").alias("user_fids"),
@@ -83,11 +83,11 @@ def feature_rows(examples: DataFrame, events: DataFrame, catalog: DataFrame, pop
         F.col("payload.user_feature.fid_weights").alias("user_weighted_fid_weights"),
         map_text(sf, MAP_KEYS["pop_version"]).alias("pop_version"), map_text(sf, MAP_KEYS["state_pop_version"]).alias("state_version"),
         geo_key(map_text(sf, MAP_KEYS["geo_state"]), map_text(sf, MAP_KEYS["state"]), map_text(sf, MAP_KEYS["region"])).alias("state"),
-    ).join(event_profiles(needed, catalog), "event_id", "left")
+    ).join(event_profiles(needed, catalog).hint("merge"), "event_id", "left")
     items = catalog.select(
         "content_id", "content_type_id", "studio_id", "production_house_id", "parental_rating", "entitlement", "priority", "year", "genre_ids",
         F.coalesce(F.get("language_ids", F.lit(0)).cast("int"), F.lit(-1)).alias("language_id"), "start_dt")
-    rows = matched.join(facts, "event_id").join(items, "content_id")
+    rows = matched.join(facts.hint("merge"), "event_id").join(items.hint("merge"), "content_id")
     empty = F.create_map().cast("map<string,double>")
     rows = rows.withColumn("profile", F.coalesce("profile", empty)).withColumn("yb", year_bucket(F.col("year"), F.col("event_year")))
 
@@ -131,7 +131,7 @@ def cumwatch_features(base: DataFrame, events: DataFrame, catalog: DataFrame) ->
     matched = match_events(base, events.filter(F.col("payload").isNotNull()))
     facts = events.select("event_id", F.col("payload.user_feature.fids").alias("user_fids"), F.col("payload.raw_feature.ent_watches").alias("watches"))
     items = catalog.select("content_id", "kind", "content_type_id", "studio_id", "parental_rating", "entitlement", "genre_ids", "start_dt", "channel_id")
-    rows = matched.join(facts, "event_id").join(items, "content_id")
+    rows = matched.join(facts.hint("merge"), "event_id").join(items.hint("merge"), "content_id")
     own = F.filter("watches", lambda w: w["content_id"] == F.col("content_id").cast("string"))
     rows = rows.withColumn("own", own).withColumn(
         "online", F.aggregate("own", F.lit(0).cast("bigint"), lambda s, w: s + w["watch_time"])).withColumn(

@@ -1,7 +1,8 @@
 """Joins with semantics a plain equi join does not give: as-of, versioned, binned, anti-membership.
 
-No join carries a broadcast hint: adaptive execution broadcasts a side when its measured size allows
-and splits skewed partitions otherwise.
+No join carries a broadcast hint. The as-of and version joins, of which a job has dozens, are merge joins, since
+the driver holds every broadcast side of a plan; adaptive execution splits skewed partitions, and elsewhere
+broadcasts a side when its measured size allows.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def asof_strict(left: DataFrame, right: DataFrame, by: list[str], ts: str, right
     before = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     carry = per_slice.select(*by, "__slice", F.last("__r", ignorenulls=True).over(before).alias("__carry"))
 
-    found = within.join(carry, [*by, "__slice"], "left").withColumn("__hit", F.coalesce("__in", "__carry"))
+    found = within.join(carry.hint("merge"), [*by, "__slice"], "left").withColumn("__hit", F.coalesce("__in", "__carry"))
     if not keep_unmatched:
         found = found.filter(F.col("__hit").isNotNull())
     return found.select(*[F.col(f"__l.{c}").alias(c) for c in left_cols], *[F.col(f"__hit.{c}").alias(c) for c in right_cols])
@@ -74,7 +75,7 @@ def resolve_version(df: DataFrame, dim: DataFrame, version: str = "version", on_
 def join_version(df: DataFrame, dim: DataFrame, keys: list[str], version: str = "version", on_gap: str = "error") -> DataFrame:
     """Left join to the dimension rows of the resolved version."""
     resolved = resolve_version(df, dim, version, on_gap)
-    return resolved.join(dim.withColumnRenamed(version, "resolved"), ["resolved", *keys], "left")
+    return resolved.join(dim.withColumnRenamed(version, "resolved").hint("merge"), ["resolved", *keys], "left")
 
 
 def assign_bin(x: Column, edges: Column) -> Column:

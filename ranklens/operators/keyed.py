@@ -114,7 +114,7 @@ def first_by_draw(df: DataFrame, by: list[str], draw: str, tie: list[str], limit
     carry = totals.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     inner = Window.partitionBy(*keys).orderBy(draw, *tie)
     return (
-        cut.join(carry, keys)
+        cut.join(carry.hint("merge"), keys)
         .filter(F.col("__before") < F.col("__limit"))
         .withColumn("__pos", F.row_number().over(inner) + F.col("__before"))
         .filter(F.col("__pos") <= F.col("__limit"))
