@@ -147,6 +147,16 @@ def watch_relevance(watches: DataFrame, relevances: DataFrame) -> DataFrame:
     return watches.join(rel, ["content_id", "language"])
 
 
+def dealt_by_target(joined: DataFrame, parts: int = 256) -> DataFrame:
+    """Rows of ``watch_relevance`` dealt by (user, target), for sums over them.
+
+    A few watched titles may make very many rows in few join tasks; dealt on as they come, none of these
+    tasks holds a table of sums of its own. ``parts`` is fixed, since such rows are small once compressed
+    and adaptive execution, which goes by their bytes, would put too many into one task.
+    """
+    return joined.repartition(parts, "dw_p_id", "dst", "dst_lang")
+
+
 def missing_fids(df: DataFrame, embeddings: DataFrame, fids: str = "fids", key: str = "fid") -> DataFrame:
     """Feature ids without an embedding row, with the number of uses."""
     used = df.select(F.explode(fids).alias(key)).groupBy(key).agg(F.count(F.lit(1)).alias("uses"))

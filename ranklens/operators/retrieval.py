@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ranklens.functions.hashing import hash_uniform
 from ranklens.functions.scalars import recency
-from ranklens.operators.joins import watch_relevance, without_seen
+from ranklens.operators.joins import dealt_by_target, watch_relevance, without_seen
 from ranklens.operators.keyed import SLICE_ROWS, pick_one, places, top_n
 
 HALF_LIFE = 14 * 86400
@@ -51,7 +51,7 @@ def item_scores(watches: DataFrame, relevances: DataFrame, now: int, thr: int =
     long, decay = F.col("watch_len") >= thr, recency(F.col("last_watch"), now, half_life)
     per_title = watches.groupBy("dw_p_id", "content_id", "language").agg(
         F.sum(F.when(long, decay)).alias("__long"), F.sum(decay).alias("__any"))
-    joined = watch_relevance(per_title, relevances)
+    joined = dealt_by_target(watch_relevance(per_title, relevances))
     sums = joined.groupBy("dw_p_id", "dst", "dst_lang").agg(
         F.sum(F.col("relevance") * F.col("__long")).alias("long_score"), F.sum(F.col("relevance") * F.col("__any")).alias("any_score"))
     n_long = F.count("long_score").over(Window.partitionBy("dw_p_id"))

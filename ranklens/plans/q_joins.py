@@ -135,7 +135,7 @@ def _(t):
 @query("j16_watch_relevance", """
     SELECT w.dw_p_id, r.dst, r.dst_lang, count(*) AS n, round(sum(r.score), 6) AS score FROM kwatch w JOIN rel r ON w.content_id = r.src AND w.language = r.src_lang GROUP BY ALL""")
 def _(t):
-    return joins.watch_relevance(t.kwatch, t.rel).groupBy("dw_p_id", "dst", "dst_lang").agg(rows_n(), F.round(F.sum("relevance"), 6).alias("score"))
+    return joins.dealt_by_target(joins.watch_relevance(t.kwatch, t.rel)).groupBy("dw_p_id", "dst", "dst_lang").agg(rows_n(), F.round(F.sum("relevance"), 6).alias("score"))
 
 
 @query("j17_missing_fids", """

@@ -272,6 +272,31 @@ def test_token_quota_leaves_out_only_rows_that_the_cut_drops(spark, n, kind_min,
     assert n > 3 or some.count() < every.count() / 2
 
 
+def test_relevances_are_summed_where_their_targets_are_dealt(spark):
+    watches = spark.createDataFrame([("u", 1, 0, 700, 0)] * 3 + [(None, 1, 0, 700, 0), ("v", 2, 0, 700, 0)], W)
+    rel = spark.createDataFrame([(1, 0, 8, 0, 0.5), (1, 0, None, None, 0.25), (3, 0, 8, 0, 1.0)], REL)
+    out = joins.dealt_by_target(joins.watch_relevance(watches, rel), 7).groupBy("dw_p_id", "dst", "dst_lang").agg(F.sum("relevance").alias("score"))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([("u", 8, 0, 1.5), ("u", None, None, 0.75), (None, 8, 0, 0.5), (None, None, None, 0.25)], key=str)
+    plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    dealt = next(i for i, line in enumerate(plan) if "REPARTITION_BY_NUM" in line)
+    join = next(i for i, line in enumerate(plan) if "Join" in line)
+    assert dealt < join and not any("Exchange" in line for line in plan[:dealt]) and not any("HashAggregate" in line for line in plan[dealt:join])
+    plan = retrieval.item_scores(watches, rel, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_a_daily_job_broadcasts_no_log(spark):
+    schema = "dw_p_id string, tray_id string, content_id long, timestamp long, label long, watch_time long, is_inter_tray boolean"
+    ex = spark.createDataFrame([("u", "a", 1, 1, 1, 700, False), ("u", "b", 2, 1, 0, 0, False)], schema)
+    hist = spark.createDataFrame([("u", 4, 50)], HIST)
+    cat = spark.createDataFrame([(1, 0), (2, 0)], "content_id long, start_dt long")
+    for df in (examples.sampled_examples(ex), examples.require_both_classes(ex, ["dw_p_id"]),
+               joins.asof_strict(ex.select("dw_p_id", "timestamp"), ex.select("dw_p_id", F.col("timestamp").alias("at")), ["dw_p_id"], "timestamp", "at")):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    plan = examples.random_negatives(ex, cat, hist, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 3
+
+
 def test_language_gate(spark):
     res = spark.createDataFrame([("u", 1, 0, 5.0), ("u", 2, 1, 9.0), ("u", 3, 1, 2.0), ("v", 1, 7, 1.0)], "dw_p_id string, dst long, dst_lang int, score double")
     watches = spark.createDataFrame([("u", 9, 0, 600, 0), ("v", 9, 0, 599, 0)], W)
