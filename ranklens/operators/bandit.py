@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ranklens.operators.keyed import row_hash
 
 EPS = 1e-8
-PARTIAL = "arm {arm}, i int, j int, a double"
+PACKED = "arm string, i array<int>, j array<int>, a array<double>"
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
@@ -117,7 +117,8 @@ def gram_by_arm(act: DataFrame, lam: float = 1.0, arm: str = "content_id", h: st
         current, a, b, count = None, None, None, 0
 
         def flush():
-            return _cells(a, b, count).assign(arm=current)[["arm", "i", "j", "a"]]
+            own = _cells(a, b, count)
+            return pd.DataFrame({"arm": [current], **{c: [own[c].to_numpy()] for c in ("i", "j", "a")}})
 
         for pdf in batches:
             for key, g in pdf.groupby("arm", sort=True):
@@ -134,18 +135,20 @@ def gram_by_arm(act: DataFrame, lam: float = 1.0, arm: str = "content_id", h: st
         if a is not None:
             yield flush()
 
-    cells = placed.select("arm", "h", "y").mapInPandas(run, PARTIAL.format(arm="string"))
+    # the cells of a state travel in one row and are summed where its rows meet
+    packed = placed.select("arm", "h", "y").mapInPandas(run, PACKED)
+    cells = packed.repartition("arm").select("arm", F.inline(F.arrays_zip("i", "j", "a")))
     summed = cells.groupBy("arm", "i", "j").agg(F.sum("a").alias("a"))
     return _unfold(summed.withColumn("arm", _arm_value("arm", arm_type)), ["arm"], lam)
 
 
 def _dense(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    d = int(pdf["i"].max()) + 1
+    i, j, value = (np.concatenate(pdf[c].to_list()) for c in ("i", "j", "a"))
+    d = int(i.max()) + 1
     a, b = np.zeros((d, d)), np.zeros(d)
-    quad = pdf[pdf["j"] >= 0]
-    a[quad["i"].to_numpy(), quad["j"].to_numpy()] = quad["a"].to_numpy()
-    line = pdf[pdf["j"] < 0]
-    b[line["i"].to_numpy()] = line["a"].to_numpy()
+    quad = j >= 0
+    a[i[quad], j[quad]] = value[quad]
+    b[i[~quad]] = value[~quad]
     return a, b
 
 
@@ -163,19 +166,25 @@ def _inverse(a: np.ndarray) -> tuple[np.ndarray | None, float]:
     return low.T @ low, least
 
 
-def solve_state(state: DataFrame, arm: str | None = None) -> DataFrame:
+def solve_state(state: DataFrame, arm: str | None = None, symmetric: bool = False) -> DataFrame:
     """One row per arm (or one in all): flattened A^-1, theta = A^-1 b, smallest eigenvalue, singular.
 
     A is solved through its Cholesky factor. An arm whose A has no full rank (lambda 0 and too few
     different rows) or is not finite comes back ``singular``, without A^-1 and theta; the other arms are not
     touched, and scoring treats it as an arm without state. A group is the d x d state of one arm, whatever
-    the number of rows behind it.
+    the number of rows behind it; its cells travel as three lists side by side. ``symmetric`` says
+    that both triangles of A are equal, as ``gram`` and ``gram_by_arm`` make them; only one of them travels then.
     """
     arm_type = state.schema[arm].dataType.simpleString() if arm else "int"
-    keyed = state.select((_arm_key(arm) if arm else F.lit("=0")).alias("arm"), "i", "j", "a")
+    cells = state.select((_arm_key(arm) if arm else F.lit("=0")).alias("arm"), "i", "j", F.coalesce("a", F.lit(float("nan"))).alias("a"))
+    if symmetric:
+        cells = cells.filter("j < 0 or i <= j")
+    keyed = cells.groupBy("arm").agg(*[F.collect_list(c).alias(c) for c in ("i", "j", "a")])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = _dense(pdf)
+        if symmetric:
+            a = a + np.triu(a, 1).T
         inverse, least = _inverse(a)
         return pd.DataFrame({"arm": [pdf["arm"].iloc[0]], "d": [len(b)], "a_inv": [None if inverse is None else inverse.ravel()],
                              "theta": [None if inverse is None else inverse @ b], "min_eigenvalue": [least], "singular": [inverse is None]})

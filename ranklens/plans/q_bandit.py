@@ -131,7 +131,7 @@ def _(t):
 def _(t):
     """Arms of one row each, without a regulariser, are all singular and scored as cold."""
     one = t.acts.withColumn("content_id", F.col("vec_id"))
-    out = bandit.score_by_arm(one, bandit.solve_state(bandit.gram_by_arm(one, lam=0.0), "arm"), lam=2.0)
+    out = bandit.score_by_arm(one, bandit.solve_state(bandit.gram_by_arm(one, lam=0.0), "arm", symmetric=True), lam=2.0)
     return out.select("vec_id", "mean", F.round("sd", 6).alias("sd"))
 
 

@@ -91,6 +91,20 @@ def test_one_singular_arm_leaves_the_others(spark):
     assert scores[99]["mean"] == 0 and scores[99]["sd"] == pytest.approx(0.5, abs=1e-6)
 
 
+def test_cells_of_an_arm_travel_together(spark):
+    rnd = np.random.default_rng(3)
+    act = spark.createDataFrame([(i, [float(v) for v in rnd.normal(size=3)], i % 2, a) for i, a in enumerate([1, 1, 1, 1, 2, None] * 3)],
+                                "id long, h array<double>, click int, content_id long")
+    state = bandit.gram_by_arm(act)
+    key = lambda df: sorted(((r["arm"], [round(v, 9) for v in [*r["a_inv"], *r["theta"]]], r["singular"]) for r in df.collect()), key=str)
+    whole, half = bandit.solve_state(state, "arm"), bandit.solve_state(state, "arm", symmetric=True)
+    assert key(half) == key(whole) and len(key(half)) == 3
+    holed = state.filter("i <> 0 or j <> 1")  # only one of the two cells: it counts half
+    assert key(bandit.solve_state(holed, "arm")) != key(whole)
+    plan = half._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" in plan and not [p for p in plan.splitlines() if "Exchange" in p and "i#" in p.split("hashpartitioning(")[-1].split(")")[0]]
+
+
 def test_a_state_that_is_not_finite_is_singular(spark):
     state = spark.createDataFrame([(0, 0, float("nan")), (0, -1, 1.0)], "i int, j int, a double")
     assert bandit.solve_state(state).first()["singular"]
