@@ -2,7 +2,8 @@
 
 Each word has a vector: the mean of the vectors of its hashed form and of its hashed character
 n-grams. A document is the mean of its words' vectors; a softmax over two classes scores it. Vectors
-and output are trained by stochastic gradient descent in numpy on a bounded labelled sample; the
+and output are trained by stochastic gradient descent in numpy on all labelled texts: a first block in
+several passes by one task, all others once, in parts side by side that are averaged (``labelled``). The
 model is a table of fixed size, and scoring a text is one sum over its words.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranklens.llm.common import fold, free_name
-from ranklens.llm.labelled import TRAIN_ROWS, training_sample
+from ranklens.llm.labelled import TRAIN_ROWS, Changed, rate_of, train_parts, training_texts
 
 BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4, 5)
 EPOCHS, BATCH, RATE = 4, 32, 0.3
@@ -84,6 +85,22 @@ def counted(text: str | None) -> Counter:
     return out
 
 
+class Texts:
+    """Labelled texts, made ready for training: words and shares of each, buckets of the words."""
+
+    def __init__(self, texts: list[str], labels: list[int]):
+        counts = [counted(t) for t in texts]
+        index = {w: i for i, w in enumerate(dict.fromkeys(w for c in counts for w in c))}
+        names = list(index)
+        parts = [pieces(names[at : at + CHUNK_WORDS]) for at in range(0, len(names), CHUNK_WORDS)]
+        self.flat = np.concatenate([np.zeros(0, np.int32), *(b.astype(np.int32) for b, _ in parts)])
+        self.size = np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
+        self.start = np.r_[0, np.cumsum(self.size)].astype(np.int64)
+        docs = [(np.array([index[w] for w in c], dtype=np.int64), np.array(list(c.values()), dtype=np.float32)) for c in counts]
+        self.docs = [(i, v / v.sum()) for i, v in docs]
+        self.y = np.array(labels)
+
+
 class Model:
     """Vectors by bucket and a softmax layer; ``weights`` folds both into one number per bucket."""
 
@@ -92,54 +109,77 @@ class Model:
         self.vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
         self.out = np.zeros((DIM, 2), dtype=np.float32)
         self.bias = np.zeros(2, dtype=np.float32)
+        #: Sums of squared gradients by bucket.
+        self.seen = np.full(BUCKETS, 1e-6, dtype=np.float32)
 
-    def fit(self, texts: list[str], labels: list[int], seed: int = 1) -> Model:
-        counts = [counted(t) for t in texts]
-        index = {w: i for i, w in enumerate(dict.fromkeys(w for c in counts for w in c))}
-        names = list(index)
-        parts = [pieces(names[at : at + CHUNK_WORDS]) for at in range(0, len(names), CHUNK_WORDS)]
-        flat = np.concatenate([np.zeros(0, np.int32), *(b.astype(np.int32) for b, _ in parts)])
-        size = np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
-        start = np.r_[0, np.cumsum(size)].astype(np.int64)
-        docs = [(np.array([index[w] for w in c], dtype=np.int64), np.array(list(c.values()), dtype=np.float32)) for c in counts]
-        docs = [(i, v / v.sum()) for i, v in docs]
-        y, rng = np.array(labels), np.random.default_rng(seed)
-        share = np.bincount(y, minlength=2) / len(y)
+    def begin(self, share: np.ndarray) -> Model:
         self.bias[:] = np.log(np.maximum(share, 1e-3))
-        seen, steps = np.full(BUCKETS, 1e-6, dtype=np.float32), EPOCHS * -(-len(docs) // BATCH)
-        done = 0
+        return self
+
+    def fit(self, texts: list[str], labels: list[int], seed: int = 1) -> Model:
+        own, rng = Texts(texts, labels), np.random.default_rng(seed)
+        self.begin(np.bincount(own.y, minlength=2) / len(own.y))
+        steps, done = EPOCHS * -(-len(own.docs) // BATCH), 0
         for _ in range(EPOCHS):
-            order = rng.permutation(len(docs))
+            order = rng.permutation(len(own.docs))
             for at in range(0, len(order), BATCH):
                 rate = RATE * (1 - done / steps)
                 done += 1
-                own = order[at : at + BATCH]
-                words, column = np.unique(np.concatenate([docs[k][0] for k in own]), return_inverse=True)
-                row = np.repeat(np.arange(len(own)), [len(docs[k][0]) for k in own])
-                bag = np.zeros((len(own), len(words)), dtype=np.float32)
-                bag[row, column] = np.concatenate([docs[k][1] for k in own])
-                n = size[words]
-                first = np.cumsum(n) - n
-                at_flat = np.repeat(start[words] - first, n) + np.arange(n.sum())
-                buckets = flat[at_flat]
-                word_vectors = np.add.reduceat(self.vectors[buckets], first) / n[:, None].astype(np.float32) if len(words) else np.zeros((0, DIM), np.float32)
-                hidden = bag @ word_vectors
-                logits = hidden @ self.out + self.bias
-                p = np.exp(logits - logits.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                error = p
-                error[np.arange(len(own)), y[own]] -= 1
-                back = error @ self.out.T
-                self.out -= rate * hidden.T @ error
-                self.bias -= rate * 0.1 * error.mean(0)
-                if len(words):
-                    grad = (bag.T @ back) / n[:, None]
-                    used, place = np.unique(buckets, return_inverse=True)
-                    total = np.stack([np.bincount(place, np.repeat(grad[:, d], n), len(used)) for d in range(DIM)], axis=1).astype(np.float32)
-                    seen[used] += (total**2).mean(1)
-                    self.vectors[used] -= rate * total / np.sqrt(seen[used])[:, None]
+                self._step(own, order[at : at + BATCH], rate)
         return self
 
+    def learn_part(self, chunks: Iterator[tuple[list[str], list[int]]], expected: float) -> Changed:
+        """Passes once over the texts of a part: what changed, and how many steps used each bucket."""
+        vectors, before = self.vectors.copy(), self.dense()
+        uses, done = np.zeros(BUCKETS, dtype=np.int64), 0
+        for texts, labels in chunks:
+            own = Texts(texts, labels)
+            for at in range(0, len(texts), BATCH):
+                batch = np.arange(at, min(at + BATCH, len(texts)))
+                uses[self._step(own, batch, RATE * rate_of(done, expected))] += 1
+                done += len(batch)
+        return uses, self.vectors - vectors, done, self.dense() - before, np.zeros(0)
+
+    def moved(self, change: np.ndarray, dense: np.ndarray) -> Model:
+        """Takes over the averaged changes of parts."""
+        self.vectors += change.astype(np.float32)
+        self.out += dense[:-2].reshape(self.out.shape).astype(np.float32)
+        self.bias += dense[-2:].astype(np.float32)
+        return self
+
+    def dense(self) -> np.ndarray:
+        return np.concatenate([self.out.ravel(), self.bias]).astype(np.float64)
+
+    def _step(self, texts: Texts, own: np.ndarray, rate: float) -> np.ndarray:
+        """One step on the texts at ``own``; returns the buckets they use."""
+        docs, y, size, start, flat = texts.docs, texts.y, texts.size, texts.start, texts.flat
+        words, column = np.unique(np.concatenate([docs[k][0] for k in own]), return_inverse=True)
+        row = np.repeat(np.arange(len(own)), [len(docs[k][0]) for k in own])
+        bag = np.zeros((len(own), len(words)), dtype=np.float32)
+        bag[row, column] = np.concatenate([docs[k][1] for k in own])
+        n = size[words]
+        first = np.cumsum(n) - n
+        at_flat = np.repeat(start[words] - first, n) + np.arange(n.sum())
+        buckets = flat[at_flat]
+        word_vectors = np.add.reduceat(self.vectors[buckets], first) / n[:, None].astype(np.float32) if len(words) else np.zeros((0, DIM), np.float32)
+        hidden = bag @ word_vectors
+        logits = hidden @ self.out + self.bias
+        p = np.exp(logits - logits.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        error = p
+        error[np.arange(len(own)), y[own]] -= 1
+        back = error @ self.out.T
+        self.out -= rate * hidden.T @ error
+        self.bias -= rate * 0.1 * error.mean(0)
+        if not len(words):
+            return np.zeros(0, dtype=np.int64)
+        grad = (bag.T @ back) / n[:, None]
+        used, place = np.unique(buckets, return_inverse=True)
+        total = np.stack([np.bincount(place, np.repeat(grad[:, d], n), len(used)) for d in range(DIM)], axis=1).astype(np.float32)
+        self.seen[used] += (total**2).mean(1)
+        self.vectors[used] -= rate * total / np.sqrt(self.seen[used])[:, None]
+        return used
+
     def weights(self) -> tuple[np.ndarray, float]:
         return (self.vectors @ (self.out[:, 1] - self.out[:, 0])).astype(np.float64), float(self.bias[1] - self.bias[0])
 
@@ -172,20 +212,38 @@ class Scorer:
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = [r for b in batches for r in b.to_pylist()]
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"])))
-    weights, bias = np.zeros(BUCKETS), UNTRAINED
-    if len({r["y"] for r in rows}) == 2:
-        weights, bias = Model().fit([r["text"] for r in rows], [r["y"] for r in rows]).weights()
-    yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()]), pa.array([bias])], names=["weights", "bias"])
+    if rows:
+        model = Model().fit([r["text"] for r in rows], [r["y"] for r in rows])
+        parts = (model.vectors, model.out, model.bias, model.seen)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in parts], names=["vectors", "out", "bias", "seen"])
+
+
+def _first_block(sample: DataFrame) -> Model:
+    row = sample.repartition(1).mapInArrow(_train, "vectors binary, out binary, bias binary, seen binary").collect()[0]
+    model = Model()
+    for name in ("vectors", "out", "bias", "seen"):
+        own = getattr(model, name)
+        own[:] = np.frombuffer(bytes(row[name]), own.dtype).reshape(own.shape)
+    return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
-    """Folded model (2 MiB) from at most ``rows`` labelled texts outside the held-out fold, fitted in one task.
+    """Folded model (2 MiB) from all labelled texts outside the held-out fold.
 
+    A first block of at most ``rows`` texts is fitted in one task; the others are trained on in parts, a task
+    each, from that model on, and what the parts changed is averaged.
     Without labels of both classes every text scores the same, above ACCEPT, and is accepted.
     """
-    sample = training_sample(docs, labels, "quality", folds, held_out, rows)
-    row = sample.repartition(1).mapInArrow(_train, "weights binary, bias double").collect()
-    return (np.frombuffer(bytes(row[0]["weights"])), row[0]["bias"]) if row else (np.zeros(BUCKETS), UNTRAINED)
+    data = training_texts(docs, labels, "quality", folds, held_out, rows)
+    if data is None:
+        return np.zeros(BUCKETS), UNTRAINED
+    model = Model().begin(np.array([1 - data.share, data.share])) if data.first is None else _first_block(data.first)
+    if data.rest is not None:
+        start, expected = model, data.rest_rows / data.parts
+        _, change, _, dense, _ = train_parts(data, lambda chunks: start.learn_part(chunks, expected))
+        model = model.moved(change, dense)
+    data.done()
+    return model.weights()
 
 
 def score_column(text, model: tuple[np.ndarray, float]):
