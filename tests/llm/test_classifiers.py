@@ -178,3 +178,28 @@ def test_scores_equal_a_plain_forward_pass():
     assert np.allclose(Q.Scorer(weights, bias).scores(probe), [_plain_quality(weights, bias, t) for t in probe], atol=1e-6)
     net = T.Network().fit(texts, labels)
     assert np.allclose(T.Scorer(net).scores(probe), [_plain_toxicity(net, t) for t in probe], atol=1e-4)
+
+
+def test_a_scorer_works_out_a_word_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 200, 50)) for _ in range(20)]
+    net = T.Network().any_word()
+    net.threshold[:] = 0
+    scorer = T.Scorer(net)
+    want = scorer.scores(texts)
+    assert len(set(want)) == len(texts)
+    net.table[:] = 0  # words met before need no row of it
+    assert np.array_equal(scorer.scores(texts[::-1]), want[::-1])
+    net.any_word()
+    monkeypatch.setattr(T, "MEMO_WORDS", 30)  # words are forgotten between texts
+    few = T.Scorer(net)
+    assert np.allclose([few.scores([t])[0] for t in texts], want, atol=1e-6) and len(few.numbers) <= 30 + 50
+
+
+def test_words_are_the_matches_of_the_pattern():
+    every = [chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000]
+    for text in ("".join(every), "a".join(every), "ΑΣ ΑΣ. Σ, İstanbul\x1cß_ﬁ\x85", "_ __ a-b\tC3", " ", "", None):
+        assert T.words_of(text) == T.WORD.findall((text or "").lower())
+    for word in ("", "a", "bad", "straße", "𝒳yz東京大学", "x" * 100):
+        hashed = (f"a{word}", f"{word}b", f"4{word[:4]}", f"5{word[:5]}")
+        assert T.rows_of(word) == tuple(1 + zlib.crc32(x.encode()) % (T.BUCKETS - 1) for x in hashed)
