@@ -7,12 +7,12 @@ row of a table by how many texts of a part use it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ranklens.llm.common import drop, fold, stage
@@ -102,17 +102,29 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, h
     return Training(first, rest, parts, rest_rows, ones / n, ids)
 
 
+def in_order() -> tuple[Column, Column]:
+    """The order in which a first block is trained on."""
+    name = F.col("doc_id").cast("string")
+    return F.crc32(name.cast("binary")), name
+
+
+def texts_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, int]]:
+    """Text and label of each row, one at a time."""
+    for b in batches:
+        for text, label in zip(b.column("text"), b.column("y")):
+            yield text.as_py(), label.as_py()
+
+
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[int]]]:
     """Texts and labels, a bounded number and size at a time."""
     texts, y, size = [], [], 0
-    for b in batches:
-        for text, label in zip(b.column("text"), b.column("y")):
-            texts.append(text.as_py())
-            y.append(label.as_py())
-            size += len(texts[-1])
-            if len(texts) >= CHUNK_ROWS or size >= CHUNK_CHARS:
-                yield texts, y
-                texts, y, size = [], [], 0
+    for text, label in texts_of(batches):
+        texts.append(text)
+        y.append(label)
+        size += len(text)
+        if len(texts) >= CHUNK_ROWS or size >= CHUNK_CHARS:
+            yield texts, y
+            texts, y, size = [], [], 0
     if texts:
         yield texts, y
 

@@ -9,9 +9,8 @@ model is a table of fixed size, and scoring a text is one sum over its words.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranklens.llm.common import fold, free_name
-from ranklens.llm.labelled import TRAIN_ROWS, Changed, rate_of, train_parts, training_texts
+from ranklens.llm.labelled import TRAIN_ROWS, Changed, in_order, rate_of, texts_of, train_parts, training_texts
 
 BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4, 5)
 EPOCHS, BATCH, RATE = 4, 32, 0.3
@@ -27,7 +26,7 @@ FOLDS, HELD_OUT, ACCEPT = 4, 2, 0.7
 #: Logit of every text where labels of both classes are missing: nothing is told apart, nothing is rejected.
 UNTRAINED = 2.0
 #: Words whose weight a task remembers before it starts anew; only time depends on it.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 LONG_WORD = 64
 #: Words whose pieces are hashed at once.
 CHUNK_WORDS = 20_000
@@ -86,18 +85,23 @@ def counted(text: str | None) -> Counter:
 
 
 class Texts:
-    """Labelled texts, made ready for training: words and shares of each, buckets of the words."""
-
-    def __init__(self, texts: list[str], labels: list[int]):
-        counts = [counted(t) for t in texts]
-        index = {w: i for i, w in enumerate(dict.fromkeys(w for c in counts for w in c))}
+    """Labelled texts, made ready for training: words and shares of each, buckets of the words. They are read one at a time."""
+
+    def __init__(self, rows: Iterable[tuple[str, int]]):
+        index, labels, self.docs = {}, [], []
+        for text, label in rows:
+            c = counted(text)
+            share = np.fromiter(c.values(), np.float32, len(c))
+            self.docs.append((np.fromiter((index.setdefault(w, len(index)) for w in c), np.int32, len(c)), share / share.sum()))
+            labels.append(label)
         names = list(index)
-        parts = [pieces(names[at : at + CHUNK_WORDS]) for at in range(0, len(names), CHUNK_WORDS)]
-        self.flat = np.concatenate([np.zeros(0, np.int32), *(b.astype(np.int32) for b, _ in parts)])
-        self.size = np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
+        flat, size = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(names), CHUNK_WORDS):
+            buckets, n = pieces(names[at : at + CHUNK_WORDS])
+            flat.append(buckets.astype(np.int32))
+            size.append(n)
+        self.flat, self.size = np.concatenate(flat), np.concatenate(size)
         self.start = np.r_[0, np.cumsum(self.size)].astype(np.int64)
-        docs = [(np.array([index[w] for w in c], dtype=np.int64), np.array(list(c.values()), dtype=np.float32)) for c in counts]
-        self.docs = [(i, v / v.sum()) for i, v in docs]
         self.y = np.array(labels)
 
 
@@ -117,7 +121,10 @@ class Model:
         return self
 
     def fit(self, texts: list[str], labels: list[int], seed: int = 1) -> Model:
-        own, rng = Texts(texts, labels), np.random.default_rng(seed)
+        return self.fit_on(Texts(zip(texts, labels)), seed)
+
+    def fit_on(self, own: Texts, seed: int = 1) -> Model:
+        rng = np.random.default_rng(seed)
         self.begin(np.bincount(own.y, minlength=2) / len(own.y))
         steps, done = EPOCHS * -(-len(own.docs) // BATCH), 0
         for _ in range(EPOCHS):
@@ -133,7 +140,7 @@ class Model:
         vectors, before = self.vectors.copy(), self.dense()
         uses, done = np.zeros(BUCKETS, dtype=np.int64), 0
         for texts, labels in chunks:
-            own = Texts(texts, labels)
+            own = Texts(zip(texts, labels))
             for at in range(0, len(texts), BATCH):
                 batch = np.arange(at, min(at + BATCH, len(texts)))
                 uses[self._step(own, batch, RATE * rate_of(done, expected))] += 1
@@ -210,16 +217,15 @@ class Scorer:
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [r for b in batches for r in b.to_pylist()]
-    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"])))
-    if rows:
-        model = Model().fit([r["text"] for r in rows], [r["y"] for r in rows])
+    own = Texts(texts_of(batches))
+    if own.docs:
+        model = Model().fit_on(own)
         parts = (model.vectors, model.out, model.bias, model.seen)
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in parts], names=["vectors", "out", "bias", "seen"])
 
 
 def _first_block(sample: DataFrame) -> Model:
-    row = sample.repartition(1).mapInArrow(_train, "vectors binary, out binary, bias binary, seen binary").collect()[0]
+    row = sample.repartition(1).sortWithinPartitions(*in_order()).mapInArrow(_train, "vectors binary, out binary, bias binary, seen binary").collect()[0]
     model = Model()
     for name in ("vectors", "out", "bias", "seen"):
         own = getattr(model, name)

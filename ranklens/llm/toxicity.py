@@ -20,8 +20,8 @@ import pickle
 import re
 import sys
 import zlib
-from collections.abc import Iterator
-from itertools import islice, repeat
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranklens.llm.common import fold, free_name
-from ranklens.llm.labelled import TRAIN_ROWS, Changed, rate_of, train_parts, training_texts
+from ranklens.llm.labelled import TRAIN_ROWS, Changed, in_order, rate_of, texts_of, train_parts, training_texts
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 12, (1, 2, 3), 8
 BATCH, RATE = 16, 0.08
@@ -46,7 +46,8 @@ FLAGGED, HALF_AT = 0.01, 200
 STEPS, FARTHEST = 256, 32
 #: Threshold of a network that has nothing to learn from: every score is below 0.5.
 UNTRAINED = 1.0
-MEMO_WORDS = 300_000
+#: Words whose rows or vectors a task remembers before it starts anew; only time depends on it.
+MEMO_WORDS = 100_000
 #: Words convolved at a time; a longer text is taken in overlapping runs.
 RUN_WORDS = 50_000
 WORD = re.compile(r"\w+")
@@ -185,7 +186,7 @@ class Network:
         With fewer than two texts of a class there is nothing to tell apart: every text scores the same,
         below 0.5.
         """
-        sample = Sample(texts, labels, seed)
+        sample = Sample(zip(texts, labels), seed)
         if not sample.enough:
             return self
         z = np.zeros(len(texts))
@@ -193,7 +194,7 @@ class Network:
             own, z_own = sample.unseen(k)
             z[own] = z_own
         sample.train(self, np.arange(len(texts)))
-        self.threshold = thresholds(z, sample.y, sample.spoken())
+        self.threshold = thresholds(z, sample.y, sample.spoken)
         return self
 
     def _learn(self, docs: list[np.ndarray], pairs: np.ndarray, y: np.ndarray, use: np.ndarray, seed: int) -> Network:
@@ -232,8 +233,8 @@ class Network:
         memo, known = Rows(), np.arange(BUCKETS) > 0
         self.training = True
         for texts, labels in chunks:
-            own = Texts(texts, labels, memo)
-            weight, spoken = _weights(own.y, share), own.spoken()
+            own = Texts(zip(texts, labels), memo.__getitem__)
+            weight, spoken = _weights(own.y, share), own.spoken
             for at in range(0, len(texts), BATCH):
                 batch = slice(at, at + BATCH)
                 ids, back, first = _side_by_side(own.docs[batch])
@@ -340,31 +341,44 @@ def _step_of(z: np.ndarray) -> np.ndarray:
     return np.rint((np.clip(z, -FARTHEST, FARTHEST) + FARTHEST) * STEPS).astype(np.int64)
 
 
-class Texts:
-    """Labelled texts, made ready for training."""
+class Numbers(dict):
+    """Words numbered from 1 as they are met."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self) + 1
+        return n
 
-    def __init__(self, texts: list[str], labels: list[int], memo: Rows):
-        self.y = np.array(labels, dtype=np.float32)
-        self.words = [words_of(t) for t in texts]
-        index = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for t in self.words for w in t))}
-        self.pairs = np.array([NO_WORD, *map(memo.__getitem__, index)], dtype=np.int64)
-        pad = [0] * max(WIDTHS)
-        self.docs = [np.unique(np.array([*map(index.__getitem__, t), *pad], dtype=np.int64), return_inverse=True) for t in self.words]
 
-    def spoken(self) -> np.ndarray:
-        return np.array([language(w) for w in self.words])
+class Texts:
+    """Labelled texts, made ready for training: read one at a time, and kept as numbers of their words."""
+
+    def __init__(self, rows: Iterable[tuple[str, int]], rows_of_word: Callable[[str], tuple[int, ...]]):
+        index, labels, spoken, self.docs = Numbers(), [], [], []
+        for text, label in rows:
+            words = words_of(text)
+            labels.append(label)
+            spoken.append(language(words))
+            ids = np.zeros(len(words) + max(WIDTHS), dtype=np.int32)
+            ids[: len(words)] = np.fromiter(map(index.__getitem__, words), np.int32, len(words))
+            own, place = np.unique(ids, return_inverse=True)
+            self.docs.append((own, place.astype(np.int32)))
+        self.y, self.spoken = np.array(labels, dtype=np.float32), np.array(spoken, dtype=np.int64)
+        found = chain(NO_WORD, chain.from_iterable(map(rows_of_word, index)))
+        self.pairs = np.fromiter(found, np.int64).reshape(-1, len(NO_WORD))
+
+    def words(self, k: int) -> np.ndarray:
+        """Numbers of the words of a text, in its order."""
+        own, place = self.docs[k]
+        return own[place[: -max(WIDTHS)]]
 
 
 class Sample(Texts):
     """Labelled texts dealt to PARTS parts with an equal share of each class."""
 
-    def __init__(self, texts: list[str], labels: list[int], seed: int = 1):
-        self.seed, self.y = seed, np.array(labels, dtype=np.float32)
-        self.enough = min(self.y.sum(), len(self.y) - self.y.sum()) >= 2
-        if not self.enough:
-            return
-        super().__init__(texts, labels, Rows())
-        rng, self.part = np.random.default_rng(seed), np.zeros(len(texts), dtype=np.int64)
+    def __init__(self, rows: Iterable[tuple[str, int]], seed: int = 1):
+        super().__init__(rows, rows_of)
+        self.seed, self.enough = seed, min(self.y.sum(), len(self.y) - self.y.sum()) >= 2
+        rng, self.part = np.random.default_rng(seed), np.zeros(len(self.y), dtype=np.int64)
         for own in (np.flatnonzero(self.y == 0), np.flatnonzero(self.y == 1)):
             self.part[rng.permutation(own)] = np.arange(len(own)) % PARTS
 
@@ -375,7 +389,7 @@ class Sample(Texts):
         """The texts of part k, and their logits from a network trained on the other parts."""
         own = np.flatnonzero(self.part == k)
         net = self.train(Network(self.seed + 1 + k), np.flatnonzero(self.part != k))
-        return own, Scorer(net).logits([self.words[i] for i in own])
+        return own, Scorer(net, self.pairs.__getitem__).logits([self.words(i) for i in own])
 
 
 def _side_by_side(docs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -386,7 +400,7 @@ def _side_by_side(docs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray
         places.append(np.where(place == 0, 0, place + at))
         words.append(own[1:])
         at += len(own) - 1
-    return np.concatenate(words), np.concatenate(places), np.cumsum([0, *(len(p) for p in places[:-1])])
+    return np.concatenate(words), np.concatenate(places, dtype=np.int64), np.cumsum([0, *(len(p) for p in places[:-1])])
 
 
 def best_cut(z: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> float:
@@ -421,19 +435,11 @@ def thresholds(z: np.ndarray, y: np.ndarray, spoken: np.ndarray, n: np.ndarray |
     return out
 
 
-class Numbers(dict):
-    """Words numbered from 1 as they are met."""
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self) + 1
-        return n
-
-
 class Scorer:
     """Scores of whole texts, with a bounded memory of the words seen and of their vectors."""
 
-    def __init__(self, network: Network):
-        self.network = network
+    def __init__(self, network: Network, rows_of_word: Callable[[str], tuple[int, ...]] = rows_of):
+        self.network, self.rows_of_word = network, rows_of_word
         self._forget()
 
     def _forget(self) -> None:
@@ -449,7 +455,7 @@ class Scorer:
             more[: self.known + 1] = self.vectors[: self.known + 1]
             self.vectors = more
         if new:
-            self.vectors[self.known + 1 : n] = self.network.table[np.array([*map(rows_of, new)], dtype=np.int64)].sum(1)
+            self.vectors[self.known + 1 : n] = self.network.table[np.array([*map(self.rows_of_word, new)], dtype=np.int64)].sum(1)
         self.known = n - 1
 
     def _pooled(self, runs: list[tuple[list[str], bool]]) -> np.ndarray:
@@ -499,33 +505,37 @@ class Scorer:
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trains network number ``net`` on the first block: parts first, the last one on all of its texts."""
-    rows: dict[int, list[dict]] = {}
-    for b in batches:
-        for r in b.to_pylist():
-            rows.setdefault(r["net"], []).append(r)
-    for k, own in rows.items():
-        own.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"])))
-        sample = Sample([r["text"] for r in own], [r["y"] for r in own])
-        if not sample.enough:
-            continue
-        if k == PARTS:
-            net = sample.train(Network(), np.arange(len(own)))
-            out = {"network": net.dump(), "place": np.arange(len(own)), "value": sample.y, "spoken": sample.spoken()}
-            state = pickle.dumps((net.seen, net.table_seen, net.texts_of))
-        else:
-            place, z = sample.unseen(k)
-            out, state = {"network": None, "place": place, "value": z, "spoken": None}, None
-        arrays = [pa.array([k], pa.int32()), pa.array([out["network"]], pa.binary()), pa.array([state], pa.binary())]
-        arrays += [pa.array([None if out[c] is None else np.asarray(out[c], t).tobytes()], pa.binary()) for c, t in (("place", "i8"), ("value", "f8"), ("spoken", "i8"))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["net", "network", "state", "place", "value", "spoken"])
+    """Trains the one network number ``net`` of a task on the first block: PARTS on all of its texts, others without a part."""
+    first = next((b for b in batches if b.num_rows), None)
+    if first is None:
+        return
+    k, sample = first.column("net")[0].as_py(), Sample(texts_of(chain([first], batches)))
+    del first
+    if not sample.enough:
+        return
+    if k == PARTS:
+        net, every = Network(), np.arange(len(sample.y))
+        sample.train(net, every)
+        out = {"network": net.dump(), "place": every, "value": sample.y, "spoken": sample.spoken}
+        state = pickle.dumps((net.seen, net.table_seen, net.texts_of))
+    else:
+        place, z = sample.unseen(k)
+        out, state = {"network": None, "place": place, "value": z, "spoken": None}, None
+    arrays = [pa.array([k], pa.int32()), pa.array([out["network"]], pa.binary()), pa.array([state], pa.binary())]
+    arrays += [pa.array([None if out[c] is None else np.asarray(out[c], t).tobytes()], pa.binary()) for c, t in (("place", "i8"), ("value", "f8"), ("spoken", "i8"))]
+    yield pa.RecordBatch.from_arrays(arrays, names=["net", "network", "state", "place", "value", "spoken"])
+
+
+def _dealt(sample: DataFrame) -> DataFrame:
+    """The first block once for each network, a partition each: a task holds one block, and none trains two networks."""
+    each = sample.withColumn("net", F.explode(F.sequence(F.lit(0), F.lit(PARTS)))).repartitionById(PARTS + 1, "net")
+    return each.sortWithinPartitions(*in_order())
 
 
 def _first_block(sample: DataFrame) -> tuple[Network, np.ndarray, np.ndarray, np.ndarray]:
     """Network of the first block; logit of each of its texts by a network that was not trained on it, label, language."""
-    each = sample.withColumn("net", F.explode(F.sequence(F.lit(0), F.lit(PARTS)))).repartitionByRange(PARTS + 1, "net")
     columns = "net int, network binary, state binary, place binary, value binary, spoken binary"
-    found = {r["net"]: r for r in each.mapInArrow(_train, columns).collect()}
+    found = {r["net"]: r for r in _dealt(sample).mapInArrow(_train, columns).collect()}
     array = lambda k, c, t: np.frombuffer(bytes(found[k][c]), t)
     y = array(PARTS, "value", "f8")
     z = np.zeros(len(y))

@@ -95,3 +95,34 @@ def test_counted_logits_cut_like_single_ones():
     spoken = rng.integers(0, 3, 2000)
     kinds, n = np.unique(np.c_[z, y, spoken], axis=0, return_counts=True)
     assert np.allclose(T.thresholds(z, y, spoken), T.thresholds(kinds[:, 0], kinds[:, 1], kinds[:, 2], n))
+
+
+@pytest.mark.parametrize("op,most", [(Q, 40), (T, 48)])
+def test_a_first_block_is_held_as_numbers(monkeypatch, op, most):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"wort{k}" for k in rng.integers(0, 3000, 500)) for _ in range(1200)]
+    columns = {"doc_id": list(range(1200)), "net": pa.array([0] * 1200, pa.int32()), "text": texts, "y": pa.array([k % 2 for k in range(1200)], pa.int32())}
+    batches = pa.table(columns).to_batches(max_chunksize=100)
+    del texts, columns
+    monkeypatch.setattr(op, "EPOCHS", 0 if op is Q else (0, 0))
+    tracemalloc.start()
+    assert len(list(op._train(iter(batches)))) == 1
+    peak = tracemalloc.get_traced_memory()[1] / 2**20
+    tracemalloc.stop()
+    assert peak < most
+
+
+def test_networks_of_the_first_block_are_dealt_to_a_task_each(spark):
+    from pyspark.sql import functions as F
+
+    sample = spark.createDataFrame([(k, f"text {k}", k % 2) for k in range(400)], "doc_id long, text string, y int")
+    for seed in range(2):  # a partition each, whatever rows a sample of them finds
+        dealt = T._dealt(sample.filter(F.col("doc_id") % 2 == seed))
+        rows = dealt.withColumn("at", F.spark_partition_id()).collect()
+        assert {(r["at"], r["net"]) for r in rows} == {(k, k) for k in range(T.PARTS + 1)}
+        own = [r.doc_id for r in rows if r["net"] == 1]
+        assert own == sorted(own, key=lambda k: (zlib.crc32(str(k).encode()), str(k))) and len(own) == 200
