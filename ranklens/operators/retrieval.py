@@ -15,12 +15,23 @@ from pyspark.sql import functions as F
 from ranklens.functions.hashing import hash_uniform
 from ranklens.functions.scalars import recency
 from ranklens.operators.joins import dealt_by_target, watch_relevance, without_seen
-from ranklens.operators.keyed import SLICE_ROWS, pick_one, places, top_n
+from ranklens.operators.keyed import SLICE_ROWS, pick_one, places, small_value, top_n
 
 HALF_LIFE = 14 * 86400
 # Relevance of a sports or news watch by content type.
 NS_TYPE_WEIGHTS = {100: 1.0, 102: 1.0, 105: 1.0, 200: 1.0, 300: 0.1, 301: 1.0, 303: 1.0, 304: 0.1, 401: 0.1}
 ANY_LANGUAGE = -1
+#: Users, and titles, that meet in one row of a join of both.
+USER_TILE, TITLE_TILE = 16_384, 4096
+#: Users of a tile whose rows are made together.
+AT_ONCE = 8
+#: Parts of a join whose small rows make very many: adaptive execution, which goes by bytes, would use too few.
+PARTS = 256
+
+
+def _meet(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Merge join of rows dealt by their keys to a fixed number of parts; no side passes through the driver."""
+    return left.repartition(PARTS, *keys).join(right.repartition(PARTS, *keys).hint("merge"), keys, how)
 
 
 def quota_topk(df: DataFrame, by: list[str], order: list[Column], n: int, kind_min: int, kind: str = "kind",
@@ -195,25 +206,50 @@ def _strong_languages(users: DataFrame, watches: DataFrame, seconds: int = 3600)
     return own.unionByName(none.select("dw_p_id", F.lit(ANY_LANGUAGE).alias("language"), F.lit(0).cast("bigint").alias("seconds")))
 
 
-def _by_user_language(users: DataFrame, watches: DataFrame, titles: DataFrame, defaults: DataFrame) -> DataFrame:
+def _dealt(key: str, tiles: Column) -> Column:
+    """Which of ``tiles`` a row belongs to, by a hash of its key."""
+    return F.pmod(F.xxhash64(key), tiles)
+
+
+def _tiles(rows: DataFrame, most: int) -> Column:
+    """How many tiles of about ``most`` rows a table makes, at least one."""
+    return small_value(rows.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / most)).cast("long")))
+
+
+def _by_user_language(users: DataFrame, watches: DataFrame, titles: DataFrame, defaults: DataFrame,
+                      user_tile: int = USER_TILE, title_tile: int = TITLE_TILE) -> DataFrame:
     """Each title in the language the user watches most, or its default for users without languages.
 
-    A title carries all its languages and a user all of theirs, so a title's rows choose among themselves
-    as they are listed: the (user, title) rows, many more than users and titles, are never shuffled.
+    Users of one order of languages get one list, so they meet a tile of titles together: the languages are
+    compared once for all of them, and what is left per (user, title) row is to write it. These rows, many
+    more than users and titles, are never shuffled. Tiles only spread the work.
     """
-    marker = F.lit(ANY_LANGUAGE)
     known = titles.select("content_id", F.col("language").cast("int").alias("language")).filter("language is not null").distinct()
     known = known.withColumn("pick", F.col("language")).unionByName(
-        defaults.groupBy("content_id").agg(F.min(F.col("language").cast("int")).alias("pick")).withColumn("language", marker))
+        defaults.groupBy("content_id").agg(F.min(F.col("language").cast("int")).alias("pick")).withColumn("language", F.lit(ANY_LANGUAGE)))
     entries = known.groupBy("content_id").agg(F.collect_list(F.struct("language", "pick")).alias("all"))
-    keyed = entries.select("content_id", F.col("all.language").alias("languages"), F.inline("all"))
     # seconds decide, then the smaller language; the marker has no seconds
-    own = _strong_languages(users, watches).groupBy("dw_p_id").agg(F.collect_list(F.struct("seconds", (-F.col("language")).alias("neg"))).alias("__own"))
-    rows = own.select("dw_p_id", "__own", F.explode("__own.neg").alias("neg"))
-    listed = _inline_lists(rows.select("dw_p_id", "__own", (-F.col("neg")).alias("language"), (-F.col("neg")).alias("__mine")), keyed)
-    best = F.array_max(F.filter("__own", lambda o: F.array_contains(F.col("languages"), -o["neg"])))
-    only = (F.size("__own") == 1) | (F.size("languages") == 1) | (-best["neg"] == F.col("__mine"))
-    return listed.filter(only).select("dw_p_id", "content_id", F.col("pick").alias("language"))
+    spoken = F.collect_list(F.struct("seconds", (-F.col("language")).alias("neg"), "language"))
+    own = _strong_languages(users, watches).groupBy("dw_p_id").agg(F.sort_array(spoken, asc=False).alias("own"))
+
+    parts, tiles = _tiles(own, user_tile), _tiles(entries, title_tile)
+    groups = own.groupBy(F.col("own.language").alias("order"), _dealt("dw_p_id", parts).alias("__part")).agg(F.collect_list(F.struct("dw_p_id")).alias("users"))
+    groups = groups.withColumn("__tile", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
+    lists = entries.groupBy(_dealt("content_id", tiles).alias("__tile")).agg(
+        F.collect_list(F.struct("content_id", F.col("all.language").alias("languages"), F.col("all.pick").alias("picks"))).alias("titles"))
+    lists = lists.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    met = _meet(groups, lists, ["__part", "__tile"])
+
+    def picked(t):
+        first = F.get(F.array_intersect("order", t["languages"]), F.lit(0))
+        return F.struct(t["content_id"], F.get(t["picks"], (F.array_position(t["languages"], first) - 1).cast("int")).alias("language"))
+
+    reached = F.filter("titles", lambda t: F.arrays_overlap("order", t["languages"]))
+    listed = met.select("users", F.transform(reached, picked).alias("list"))
+    # all rows made of one row are held at once, so a few users at a time meet the list
+    few = F.transform(F.sequence(F.lit(1), F.size("users"), F.lit(AT_ONCE)), lambda i: F.struct(F.slice("users", i, AT_ONCE).alias("users"), "list"))
+    each = listed.select(F.explode(few).alias("met")).select(F.inline("met.users"), F.col("met.list").alias("list"))
+    return each.select("dw_p_id", F.inline("list"))
 
 
 def burst_for_user(users: DataFrame, watches: DataFrame, burst: DataFrame) -> DataFrame:

@@ -224,6 +224,29 @@ def test_titles_by_language_are_listed_without_a_shuffle_of_users_times_titles(s
     assert "Generate inline" in plan and "Aggregate" not in plan[: plan.index("Generate inline")]
 
 
+def test_users_of_one_order_of_languages_choose_once_for_all(spark):
+    watches = spark.createDataFrame([(f"u{i}", 9, i % 4, 4000 + i % 3, 0) for i in range(60)] + [(f"u{i}", 9, i % 3, 4001, 0) for i in range(30)], W)
+    users = spark.createDataFrame([(f"u{i}",) for i in range(70)], "dw_p_id string")
+    new = spark.createDataFrame([(i, [i % 3, 3 + i % 2], i % 5) for i in range(40)], "content_id long, language_ids array<int>, primary_language int")
+    whole = retrieval.new_for_user(users, watches, new)
+    langs = new.select("content_id", F.explode("language_ids").alias("language"))
+    primary = new.select("content_id", F.col("primary_language").alias("language"))
+    tiled = retrieval._by_user_language(users, watches, langs, primary, user_tile=3, title_tile=2)
+    seconds = {}
+    for u, _, lang, n, _ in watches.collect():
+        seconds[u, lang] = seconds.get((u, lang), 0) + n
+    own = {}
+    for (u, lang), n in seconds.items():
+        own.setdefault(u, []).append((-n, lang))
+    want = [(f"u{i}", i_, p) for i in range(60, 70) for i_, _, p in new.collect()]
+    for u, order in own.items():
+        for c, spoken, _ in new.collect():
+            want += [(u, c, min(o for o in order if o[1] in spoken)[1])] if any(o[1] in spoken for o in order) else []
+    assert sorted(map(tuple, whole.collect())) == sorted(want) == sorted(map(tuple, tiled.collect()))
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan[: plan.index("Generate inline")]  # nothing is decided per (user, title) row
+
+
 def _token_tables(spark):
     """Users, tokens and targets with repeats, nulls, several names a target, negative weights and equal scores."""
     import random
