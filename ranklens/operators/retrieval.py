@@ -27,6 +27,8 @@ USER_TILE, TITLE_TILE = 16_384, 4096
 AT_ONCE = 8
 #: Parts of a join whose small rows make very many: adaptive execution, which goes by bytes, would use too few.
 PARTS = 256
+#: Titles of one list of names and relevances that travel together, and parts that each user list is dealt to.
+LIST_TITLES, LIST_PARTS = 256, 4
 
 
 def _meet(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -301,75 +303,97 @@ def _least_scores(reached: DataFrame, titles: DataFrame, most: int) -> DataFrame
     knots = knots.select("names", "is_show", "rel", F.greatest(F.lit(1), F.floor(F.col("place") / 2)).cast("long").alias("__more"))
     weight = F.get("weights", F.lit(0))
     rows = reached.filter((F.size("names") == 1) & (weight > 0) & (weight < float("inf"))).select("dw_p_id", "names", weight.alias("__w"), "__hidden")
-    scored = rows.join(knots, "names").select("dw_p_id", "is_show", "__hidden", (F.col("rel") * F.col("__w")).alias("__s"), "__more")
+    scored = rows.join(knots.hint("merge"), "names").select("dw_p_id", "is_show", "__hidden", (F.col("rel") * F.col("__w")).alias("__s"), "__more")
     upto = F.sum("__more").over(Window.partitionBy("dw_p_id", "is_show").orderBy(F.col("__s").desc()))
     enough = scored.withColumn("__upto", upto).filter(F.col("__upto") >= F.lit(most) + F.col("__hidden"))
     return enough.groupBy(F.col("dw_p_id").alias("__u"), F.col("is_show").alias("__show")).agg(F.max("__s").alias("__least"))
 
 
 def token_scores(ns_watches: DataFrame, videos: DataFrame, tokens: DataFrame, token_rel: DataFrame, ent_watches: DataFrame,
-                 now: int, last_n: int = 20, half_life: float = HALF_LIFE, quota: TokenQuota | None = None) -> DataFrame:
+                 now: int, last_n: int = 20, half_life: float = HALF_LIFE, quota: TokenQuota | None = None, digits: int | None = None) -> DataFrame:
     """Scores from a user's last sports and news watches through name tokens.
 
     Weight: type weight x recency, x 0.1 up to 600 s, x 0.1 for short clips (under 30 s and under half
     the running time) or live watches under 600 s. Titles in ``ent_watches`` are dropped.
 
     Weights are summed per user and list of names; the targets with that list meet them in the last join, so
-    (user, target) rows are not shuffled. With ``quota``, rows that its cut cannot keep are left out there:
-    those below a score that enough of the user's targets reach, and those behind enough targets of the
-    same names and relevances.
+    (user, target) rows are not shuffled. Targets of the same names and relevances score the same, so they
+    travel as one list, scored (and rounded to ``digits``) once per user. No table passes through the driver:
+    the joins are merge joins, since a file's size says little about its rows.
+
+    With ``quota``, rows that its cut cannot keep are left out there: those below a score that enough of the
+    user's targets reach, and those behind enough targets of the same list. ``__shows`` says, for each of the
+    catalogue's rows of a title, whether it is a show; ``token_retrieve`` reads it.
     """
     last = top_n(ns_watches, ["dw_p_id"], [F.col("last_watch").desc(), F.col("content_id"), F.col("language"), F.col("watch_len")], last_n)
-    rows = last.join(videos.select("content_id", "content_type_id", "duration"), "content_id")
+    rows = last.join(videos.select("content_id", "content_type_id", "duration").hint("merge"), "content_id")
     types = F.create_map(*[F.lit(x) for kv in NS_TYPE_WEIGHTS.items() for x in kv])
     length, duration = F.col("watch_len"), F.col("duration")
     half = (duration <= 0) | (length / F.when(duration > 0, duration) < 0.5)
     short = F.when(F.col("content_type_id") == 301, length < 600).otherwise((length < 30) & half)
     weight = (F.coalesce(F.try_element_at(types, F.col("content_type_id")), F.lit(0.0)) * recency(F.col("last_watch"), now, half_life)
               * F.when(length <= 600, 0.1).otherwise(1.0) * F.when(short, 0.1).otherwise(1.0))
-    named = rows.withColumn("__w", weight).join(tokens.withColumnRenamed("weight", "token_weight"), ["content_id", "language"])
+    named = rows.withColumn("__w", weight).join(tokens.withColumnRenamed("weight", "token_weight").hint("merge"), ["content_id", "language"])
     named = named.groupBy("dw_p_id", "name").agg(F.sum(F.col("__w") * F.col("token_weight")).alias("__w"))
 
     titles = _named_titles(token_rel)
     by_name = titles.select("names").distinct().select(F.explode("names").alias("name"), "names")
-    found = named.join(by_name, "name").groupBy("dw_p_id", "names").agg(F.map_from_entries(F.collect_list(F.struct("name", "__w"))).alias("__of"))
+    found = named.join(by_name.hint("merge"), "name").groupBy("dw_p_id", "names").agg(F.map_from_entries(F.collect_list(F.struct("name", "__w"))).alias("__of"))
     weights = F.transform("names", lambda n: F.try_element_at("__of", n))
-    seen = ent_watches.select(F.col("dw_p_id").alias("__u"), F.col("content_id").alias("dst")).distinct().join(titles.select("dst", "names"), "dst")
+    seen = ent_watches.select(F.col("dw_p_id").alias("__u"), F.col("content_id").alias("dst")).distinct().join(titles.select("dst", "names").hint("merge"), "dst")
     seen = seen.groupBy("__u", F.col("names").alias("__n")).agg(F.collect_set("dst").alias("__seen"), F.count(F.lit(1)).alias("__gone"))
-    reached = found.join(seen, (F.col("dw_p_id") == F.col("__u")) & (F.col("names") == F.col("__n")), "left")
+    reached = found.join(seen.hint("merge"), (F.col("dw_p_id") == F.col("__u")) & (F.col("names") == F.col("__n")), "left")
     reached = reached.select("dw_p_id", "names", weights.alias("weights"), "__seen", F.coalesce("__gone", F.lit(0)).alias("__gone"))
+    like = ["names", "rels"]
     if quota is not None:
         most = max(quota.n, quota.kind_min)
         show = F.coalesce(F.col("kind") == "show", F.lit(False))
-        kinds = quota.catalog.groupBy(F.col("content_id").alias("dst")).agg(F.min(show).alias("__lo"), F.max(show).alias("__hi"))
+        kinds = quota.catalog.groupBy(F.col("content_id").alias("dst")).agg(F.sort_array(F.collect_list(show)).alias("__shows"))
+        titles = titles.join(kinds.hint("merge"), "dst", "left").withColumn("__shows", F.coalesce("__shows", F.array(F.lit(False))))
         # a title that the catalogue lists as both kinds has none here, and only its own like push it out
-        kind = F.when(F.col("__lo").isNull(), F.lit(False)).when(F.col("__lo") == F.col("__hi"), F.col("__lo"))
-        titles = titles.join(kinds, "dst", "left").withColumn("is_show", kind).drop("__lo", "__hi")
-        place = F.row_number().over(Window.partitionBy("names", "rels", "is_show").orderBy("dst", "dst_lang"))
-        titles = titles.withColumn("__place", place)
+        titles = titles.withColumn("is_show", F.when(F.array_min("__shows") == F.array_max("__shows"), F.array_min("__shows")))
+        like += ["__shows", "is_show"]
         reached = reached.withColumn("__hidden", F.sum("__gone").over(Window.partitionBy("dw_p_id")))
         least = _least_scores(reached, titles, most).groupBy("__u").agg(
             F.map_from_entries(F.collect_list(F.struct("__show", "__least"))).alias("__least"))
-        reached = reached.join(least, F.col("dw_p_id").eqNullSafe(F.col("__u")), "left").drop("__u")
+        reached = reached.join(least.hint("merge"), F.col("dw_p_id").eqNullSafe(F.col("__u")), "left").drop("__u")
+
+    place = F.row_number().over(Window.partitionBy(*like).orderBy("dst", "dst_lang"))
+    lists = titles.withColumn("__place", place).groupBy(*like, F.floor((F.col("__place") - 1) / LIST_TITLES).alias("__list")).agg(
+        F.collect_list(F.struct("dst", "dst_lang", "__place")).alias("__titles"))
+    # the users of a much read list of names are dealt to several parts
+    lists = lists.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LIST_PARTS - 1).cast("long"))))
+    met = _meet(reached.withColumn("__part", _dealt("dw_p_id", F.lit(LIST_PARTS))), lists, ["names", "__part"])
 
     first = F.get("rels", F.lit(0)) * F.get("weights", F.lit(0))
     terms = F.zip_with("rels", "weights", lambda r, w: r * w)
     whole = F.aggregate(terms, F.lit(None).cast("double"), lambda s, v: F.coalesce(s + v, s, v))
-    scored = reached.join(titles, "names").withColumn("score", F.when(F.size("names") == 1, first).otherwise(whole))
+    score = F.when(F.size("names") == 1, first).otherwise(whole)
+    scored = met.withColumn("score", score if digits is None else F.round(score, digits))
+    out = ["dw_p_id", "dst", "dst_lang", "score"]
     hidden = F.coalesce(F.array_contains("__seen", F.col("dst")), F.lit(False))
-    if quota is not None:
-        cut = (lambda c: c) if quota.digits is None else (lambda c: F.round(c, quota.digits))
-        bound = F.try_element_at("__least", F.col("is_show"))
-        scored = scored.filter((F.col("__place") <= F.lit(most) + F.col("__gone")) & (bound.isNull() | (cut(F.col("score")) >= cut(bound))))
-    return scored.filter(~hidden).select("dw_p_id", "dst", "dst_lang", "score")
+    if quota is None:
+        return scored.select("dw_p_id", "score", "__seen", F.inline("__titles")).filter(~hidden).select(*out)
+    cut = (lambda c: c) if quota.digits is None else (lambda c: F.round(c, quota.digits))
+    bound = F.try_element_at("__least", F.col("is_show"))
+    ahead = F.lit(most) + F.col("__gone")
+    scored = scored.filter((F.col("__list") * LIST_TITLES < ahead) & (bound.isNull() | (cut(F.col("score")) >= cut(bound))))
+    each = scored.select("dw_p_id", "score", "__shows", "__seen", "__gone", F.inline("__titles"))
+    return each.filter((F.col("__place") <= ahead) & ~hidden).select(*out, "__shows")
 
 
 def token_retrieve(scores: DataFrame, catalog: DataFrame, n: int = 200, kind_min: int = 100) -> DataFrame:
-    """Token scores cut to n per user, with at least ``kind_min`` shows and as many other titles."""
-    info = catalog.select(F.col("content_id").alias("dst"), (F.col("kind") == "show").alias("is_show"))
-    rows = scores.join(info, "dst", "left").withColumn("is_show", F.coalesce("is_show", F.lit(False)))
+    """Token scores cut to n per user, with at least ``kind_min`` shows and as many other titles.
+
+    Scores made for a quota have met the catalogue as titles; others meet it here.
+    """
+    if "__shows" in scores.columns:
+        rows = scores.withColumn("is_show", F.explode("__shows")).drop("__shows")
+    else:
+        info = catalog.select(F.col("content_id").alias("dst"), (F.col("kind") == "show").alias("is_show"))
+        rows = scores.join(info.hint("merge"), "dst", "left").withColumn("is_show", F.coalesce("is_show", F.lit(False)))
     kept = quota_topk(rows, ["dw_p_id"], [F.col("score").desc(), F.col("dst"), F.col("dst_lang")], n, kind_min, "is_show")
-    return kept.select(*scores.columns)
+    return kept.select(*[c for c in scores.columns if c != "__shows"])
 
 
 def tagged_union(sources: dict[str, DataFrame], catalog: DataFrame) -> DataFrame:

@@ -295,6 +295,16 @@ def test_token_quota_leaves_out_only_rows_that_the_cut_drops(spark, n, kind_min,
     assert n > 3 or some.count() < every.count() / 2
 
 
+def test_token_scores_leave_every_table_out_of_the_driver(spark):
+    ns, videos, tokens, rel, seen, catalog = _token_tables(spark)
+    quota = retrieval.TokenQuota(catalog, 10, 8, 6)
+    plain = retrieval.token_scores(ns, videos, tokens, rel, seen, 5000, digits=6)
+    for df in (plain, retrieval.token_retrieve(plain, catalog, 10, 8),
+               retrieval.token_retrieve(retrieval.token_scores(ns, videos, tokens, rel, seen, 5000, quota=quota), catalog, 10, 8)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_relevances_are_summed_where_their_targets_are_dealt(spark):
     watches = spark.createDataFrame([("u", 1, 0, 700, 0)] * 3 + [(None, 1, 0, 700, 0), ("v", 2, 0, 700, 0)], W)
     rel = spark.createDataFrame([(1, 0, 8, 0, 0.5), (1, 0, None, None, 0.25), (3, 0, 8, 0, 1.0)], REL)
