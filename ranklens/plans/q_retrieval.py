@@ -217,7 +217,7 @@ _TOKEN = f"""
 
 @query("k10_token_scores", _TOKEN)
 def _(t):
-    return r6(retrieval.token_scores(t.ns_watches, t.videos, t.tokens, t.token_rel, t.kwatch, NOW))
+    return retrieval.token_scores(t.ns_watches, t.videos, t.tokens, t.token_rel, t.kwatch, NOW, digits=6)
 
 
 @query("k10_token_retrieve", f"""WITH ts AS ({_TOKEN}), tf AS (SELECT ts.*, coalesce(kind = 'show', false) AS is_show, false AS is_brand FROM ts LEFT JOIN catalog ON content_id = dst)

@@ -305,6 +305,15 @@ def test_token_scores_leave_every_table_out_of_the_driver(spark):
         assert "Broadcast" not in plan and "SortMergeJoin" in plan
 
 
+def test_titles_of_the_same_names_and_relevances_are_scored_as_one_list(spark):
+    ns, videos, tokens, rel, seen, catalog = _token_tables(spark)
+    plain = retrieval.token_scores(ns, videos, tokens, rel, seen, 5000, digits=3)
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan[: plan.index("Generate inline")] and "round(" in plan
+    whole = retrieval.token_scores(ns, videos, tokens, rel, seen, 5000).withColumn("score", F.round("score", 3))
+    assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+
+
 def test_relevances_are_summed_where_their_targets_are_dealt(spark):
     watches = spark.createDataFrame([("u", 1, 0, 700, 0)] * 3 + [(None, 1, 0, 700, 0), ("v", 2, 0, 700, 0)], W)
     rel = spark.createDataFrame([(1, 0, 8, 0, 0.5), (1, 0, None, None, 0.25), (3, 0, 8, 0, 1.0)], REL)
