@@ -128,9 +128,13 @@ class Network:
         """Filter responses of each width at each place, from the vectors of the distinct words; 0 at padding."""
         return self._summed((vectors @ self._places()).take(ids, axis=0), ids)
 
-    def responses_to(self, vectors: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
-        """The same where few of the vectors are used."""
-        return self._summed(vectors.take(ids, axis=0) @ self._places(), ids)
+    def heard(self, vectors: np.ndarray) -> np.ndarray:
+        """What each place of each filter makes of each vector."""
+        return vectors @ self._places()
+
+    def responses_to(self, heard: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
+        """The same where what is heard of each word is known."""
+        return self._summed(heard.take(ids, axis=0), ids)
 
     def _places(self) -> np.ndarray:
         """The filters' weights at each of their places, one width after another."""
@@ -436,7 +440,10 @@ def thresholds(z: np.ndarray, y: np.ndarray, spoken: np.ndarray, n: np.ndarray |
 
 
 class Scorer:
-    """Scores of whole texts, with a bounded memory of the words seen and of their vectors."""
+    """Scores of whole texts, with a bounded memory of the words seen and of what the filters make of them.
+
+    A matrix product may round a row by its place among others, so a word's row is worked out once.
+    """
 
     def __init__(self, network: Network, rows_of_word: Callable[[str], tuple[int, ...]] = rows_of):
         self.network, self.rows_of_word = network, rows_of_word
@@ -444,18 +451,19 @@ class Scorer:
 
     def _forget(self) -> None:
         self.numbers, self.known = Numbers(), 0
-        self.vectors = np.zeros((1, DIM), dtype=np.float32)  # of the padding
+        self.heard = np.zeros((1, FILTERS * sum(WIDTHS)), dtype=np.float32)  # of the padding
 
     def _remember(self) -> None:
-        """Looks up the vectors of the words that were numbered since the last call."""
+        """Works out what is heard of the words that were numbered since the last call."""
         n = len(self.numbers) + 1
         new = list(islice(reversed(self.numbers), n - 1 - self.known))[::-1]
-        if n > len(self.vectors):
-            more = np.empty((max(n, 2 * len(self.vectors)), DIM), dtype=np.float32)
-            more[: self.known + 1] = self.vectors[: self.known + 1]
-            self.vectors = more
+        if n > len(self.heard):
+            more = np.empty((max(n, 2 * len(self.heard)), self.heard.shape[1]), dtype=np.float32)
+            more[: self.known + 1] = self.heard[: self.known + 1]
+            self.heard = more
         if new:
-            self.vectors[self.known + 1 : n] = self.network.table[np.array([*map(self.rows_of_word, new)], dtype=np.int64)].sum(1)
+            vectors = self.network.table[np.array([*map(self.rows_of_word, new)], dtype=np.int64)].sum(1)
+            self.heard[self.known + 1 : n] = self.network.heard(vectors)
         self.known = n - 1
 
     def _pooled(self, runs: list[tuple[list[str], bool]]) -> np.ndarray:
@@ -472,7 +480,7 @@ class Scorer:
                 first.append(at + len(words) - lap)
             at += len(words) + len(pad)
         self._remember()
-        best = [np.maximum.reduceat(total, first, axis=0) for total in self.network.responses_to(self.vectors, np.concatenate(ids))]
+        best = [np.maximum.reduceat(total, first, axis=0) for total in self.network.responses_to(self.heard, np.concatenate(ids))]
         return np.concatenate(best, axis=1)[own]
 
     def logits(self, texts: list[list[str]]) -> np.ndarray:
@@ -495,7 +503,7 @@ class Scorer:
                 if n >= RUN_WORDS:
                     flush()
         flush()
-        return np.maximum(best + net.shift, 0) @ net.out + net.bias
+        return (np.maximum(best + net.shift, 0) * net.out).sum(axis=1) + net.bias  # row by row: neighbours do not count
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         words = [words_of(t) for t in texts]
